@@ -4,18 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridweave.llm.binary import read_ids, write_ids
 from gridweave.llm.minhash import near_duplicates
-from gridweave.llm.shared import table
+from gridweave.llm.mixing import mixed
+from gridweave.llm.packing import best_fit_packing
+from gridweave.llm.shared import new_path, table
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed(table(spark, sf_dir, "documents"))
+    return mix.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+    )
+
+
+#: The level whose capped targets sum up to the whole is searched among all sources by a plain join.
+MIX_SQL = r"""
+with sized as (
+  select *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+), sources as (
+  select source, sum(size)::bigint as source_size,
+    [5, 2, 1][(row_number() over (order by source is null, source collate "binary") - 1) % 3 + 1] as weight
+  from sized group by source
+), levels as (
+  select a.source_size / a.weight as reached,
+    (sum(b.source_size) - 3 * coalesce(sum(b.source_size) filter (b.source_size / b.weight < a.source_size / a.weight), 0))
+      / (sum(b.weight) - coalesce(sum(b.weight) filter (b.source_size / b.weight < a.source_size / a.weight), 0)) as level,
+    a.weight, a.source_size
+  from sources a, sources b group by a.source, a.source_size, a.weight
+), level as (
+  select arg_min(level, reached) as level from levels where level * weight <= 3 * source_size
+), goal as (
+  select source, source_size, coalesce(least(3 * source_size::double, level * weight), 0) as target from sources, level
+), placed as (
+  select doc_id, size, source_size, target,
+    case when source_size > 0 then least(target / source_size, 3.0::double) else 0 end as rate,
+    ('0x' || substr(md5('mix:' || coalesce('+' || d.source, '-')), 1, 12))::bigint / (1::bigint << 48)::double as shift,
+    row_number() over (partition by d.source order by
+      length(bin(size)) * 8 + floor(size / pow(2.0, greatest(length(bin(size)) - 4, 0)))::bigint % 8,
+      md5(coalesce(doc_id::varchar, '')), doc_id) as place
+  from sized d join goal g on d.source is not distinct from g.source
+)
+select doc_id, size, source_size, target,
+  ((floor(place * rate + shift) - floor((place - 1) * rate + shift)) * size)::bigint as taken
+from placed
+"""
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_token_binary": op10_token_binary,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_source_mixing": MIX_SQL,
+}
