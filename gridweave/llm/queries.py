@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.llm.binary import read_ids, write_ids
+from gridweave.llm.language import identify
 from gridweave.llm.minhash import near_duplicates
 from gridweave.llm.mixing import mixed
 from gridweave.llm.packing import best_fit_packing
@@ -22,6 +23,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents"))
     return mix.select(
@@ -75,6 +80,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_language_id": op5_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op10_token_binary": op10_token_binary,
 }
