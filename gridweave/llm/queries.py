@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.llm.binary import read_ids, write_ids
 from gridweave.llm.language import identify
+from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.minhash import near_duplicates
 from gridweave.llm.mixing import mixed
 from gridweave.llm.packing import best_fit_packing
 from gridweave.llm.shared import new_path, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,6 +84,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
