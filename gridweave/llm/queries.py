@@ -13,6 +13,7 @@ from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.minhash import near_duplicates
 from gridweave.llm.mixing import mixed
 from gridweave.llm.packing import best_fit_packing
+from gridweave.llm.sentences import without_repeated_spans
 from gridweave.llm.shared import new_path, table
 
 
@@ -33,6 +34,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_spans(docs).withColumnsRenamed({"_n_sentences": "n_sentences", "_n_removed": "n_removed"})
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents"))
     return mix.select(
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_sentence_spans": op6_sentence_spans,
     "op8_source_mixing": op8_source_mixing,
     "op10_token_binary": op10_token_binary,
 }
