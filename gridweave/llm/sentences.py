@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``width`` consecutive sentences is hashed. Runs whose hash stands
+Every run of ``width`` or, where they are short, more consecutive sentences is hashed. Runs whose hash stands
 at several places are found by a count over all hashes, and only they are
 looked up again to find the first place of each. Sentences that some
 non-first run covers are removed; what a removed run said stays at its first
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridweave.llm.shared import saved
 
-#: Sentences in a span, and the words that it has at least.
+#: Sentences and words that a span has at least.
 WIDTH, LEAST_WORDS = 2, 8
 #: A sentence with what separates it from the next: up to a line end, or to
 #: white space after end marks and closing quotes or brackets.
@@ -42,21 +42,26 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(parts: list[str], width: int, least_words: int) -> list[tuple[int, int, bytes]]:
-    """First sentence, sentences and hash of each run of ``width`` sentences with words enough.
+    """First sentence, sentences and hash of the run that starts at each sentence.
 
-    Words are compared as they are, white space isn't. Sentences without
-    words belong to the sentence before. A text with fewer sentences is one run.
+    A run has ``width`` sentences, and more where these have fewer than
+    ``least_words`` words. Words are compared as they are, white space isn't.
+    Sentences without words belong to the sentence before. Only a text with
+    fewer than ``width`` sentences is one run as a whole.
     """
     words = [p.split() for p in parts]
     at = [k for k, w in enumerate(words) if w]
-    ends = [*at[1:], len(parts)]
-    out = []
-    for k in range(max(1, len(at) - width + 1) if at else 0):
-        last = min(k + width, len(at)) - 1
-        own = [w for j in at[k : last + 1] for w in words[j]]
-        if len(own) >= least_words:
-            out.append((at[k], ends[last] - at[k], xxhash.xxh3_128_digest(" ".join(own).encode())))
-    return out
+    ends, flat = [*at[1:], len(parts)], [w for k in at for w in words[k]]
+    upto = np.cumsum([len(words[k]) for k in at], dtype=np.int64)
+    before = np.concatenate(([0], upto[:-1])).astype(np.int64)
+    last = np.maximum(np.searchsorted(upto, before + least_words), np.arange(len(at)) + width - 1)
+    if 0 < len(at) < width and len(flat) >= least_words:
+        last[0] = len(at) - 1
+    return [
+        (at[k], ends[j] - at[k], xxhash.xxh3_128_digest(" ".join(flat[before[k] : upto[j]]).encode()))
+        for k, j in enumerate(last.tolist())
+        if j < len(at)
+    ]
 
 
 def _spans(docs: DataFrame, width: int, least_words: int) -> DataFrame:
