@@ -13,6 +13,7 @@ from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.minhash import near_duplicates
 from gridweave.llm.mixing import mixed
 from gridweave.llm.packing import best_fit_packing
+from gridweave.llm.secrets import scan
 from gridweave.llm.sentences import without_repeated_spans
 from gridweave.llm.shared import new_path, table
 
@@ -39,6 +40,10 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_spans(docs).withColumnsRenamed({"_n_sentences": "n_sentences", "_n_removed": "n_removed"})
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents"))
     return mix.select(
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_sentence_spans": op6_sentence_spans,
+    "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
     "op10_token_binary": op10_token_binary,
 }
