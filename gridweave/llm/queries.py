@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridweave.llm.audio import matches, recordings
 from gridweave.llm.binary import read_ids, write_ids
 from gridweave.llm.language import identify
 from gridweave.llm.lines import without_repeated_lines
@@ -108,6 +109,11 @@ from placed
 """
 
 
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each row of embeddings is played as a melody."""
+    return matches(recordings(table(spark, sf_dir, "embeddings"))).withColumnRenamed("rec_id", "vec_id")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentence_spans": op6_sentence_spans,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
+    "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_token_binary": op10_token_binary,
 }
 
