@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cells", "samples", "scalars")
+MODULES = ("cells", "samples", "scalars", "summaries")
 
 
 def _all():
