@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cells", "samples", "scalars", "summaries", "spatial")
+MODULES = ("cells", "samples", "scalars", "summaries", "spatial", "measurements", "scoring")
 
 
 def _all():
