@@ -25,42 +25,42 @@ def _points(name: str, expression: str, column, more: str = "") -> None:
 
     @query(name, f"-- doubles: y\nselect id, {expression} as y from good_points{more}", "good_points")
     def points(v):
-        return v.good_points.select("id", column.alias("y"))
-
-
-k = F.col("k")
-_points("k_to_kh", "k * (999.7::double * 9.81::double / 0.0013::double) / 1e6", X.k_to_kh(k) / 1e6)
-_points("kh_to_k", "k / (999.7::double * 9.81::double / 0.0013::double) * 1e6", X.kh_to_k(k) * 1e6)
-_points("rescale", "(k - 0.1) / (2.0 - 0.1)", X.rescale(k, 0.1, 2.0))
-_points("standardize", "(k - 0.4) / 0.3", X.standardize(k, 0.4, 0.3))
-_points("log_rescale", "ln(k - 0.0 + 1) / ln(3.0)", X.log_rescale(k, 0.0, 2.0))
-_points("corr_exponential", "exp(-sqrt((x_m / 500) * (x_m / 500) + (y_m / 800) * (y_m / 800)))", X.correlation("exponential", F.col("x_m"), F.col("y_m"), 500, 800))
-_points("corr_radial_exponential", "exp(-sqrt((x_m / 900) * (x_m / 900) + (y_m / 900) * (y_m / 900)))", X.correlation("exponential", F.col("x_m"), F.col("y_m"), 900, 900))
-_points("corr_gaussian", "exp(-((x_m / 5000) * (x_m / 5000) + (y_m / 8000) * (y_m / 8000)) / 2)", X.correlation("gaussian", F.col("x_m"), F.col("y_m"), 5000, 8000))
+        return v.good_points.select("id", column(F.col("k")).alias("y"))
+
+
+_points("k_to_kh", "k * (999.7::double * 9.81::double / 0.0013::double) / 1e6", lambda k: X.k_to_kh(k) / 1e6)
+_points("kh_to_k", "k / (999.7::double * 9.81::double / 0.0013::double) * 1e6", lambda k: X.kh_to_k(k) * 1e6)
+_points("rescale", "(k - 0.1) / (2.0 - 0.1)", lambda k: X.rescale(k, 0.1, 2.0))
+_points("standardize", "(k - 0.4) / 0.3", lambda k: X.standardize(k, 0.4, 0.3))
+_points("log_rescale", "ln(k - 0.0 + 1) / ln(3.0)", lambda k: X.log_rescale(k, 0.0, 2.0))
+_points("corr_exponential", "exp(-sqrt((x_m / 500) * (x_m / 500) + (y_m / 800) * (y_m / 800)))", lambda k: X.correlation("exponential", F.col("x_m"), F.col("y_m"), 500, 800))
+_points("corr_radial_exponential", "exp(-sqrt((x_m / 900) * (x_m / 900) + (y_m / 900) * (y_m / 900)))", lambda k: X.correlation("exponential", F.col("x_m"), F.col("y_m"), 900, 900))
+_points("corr_gaussian", "exp(-((x_m / 5000) * (x_m / 5000) + (y_m / 8000) * (y_m / 8000)) / 2)", lambda k: X.correlation("gaussian", F.col("x_m"), F.col("y_m"), 5000, 8000))
 _points(
     "corr_matern32",
     "(1 + sqrt(3.0::double) * x_m / 5000) * exp(-sqrt(3.0::double) * x_m / 5000) * (1 + sqrt(3.0::double) * y_m / 8000) * exp(-sqrt(3.0::double) * y_m / 8000)",
-    X.correlation("matern32", F.col("x_m"), F.col("y_m"), 5000, 8000, separable=True),
+    lambda k: X.correlation("matern32", F.col("x_m"), F.col("y_m"), 5000, 8000, separable=True),
 )
-_points("variogram_model", "0.2 + 0.8 * (1 - exp(-x_m / 3000))", X.variogram(X.correlation("exponential", F.col("x_m"), F.lit(0.0), 3000, 3000), 0.2, 0.8))
-_points("range_to_length_scale", "x_m / sqrt(2.0::double)", X.range_to_length(F.col("x_m"), "gaussian"))
-_points("arith_mean_correction", "-0.5 * ln(10.0::double) * k * k", X.arithmetic_mean_shift(k))
-_points("xi_to_offsets", "(2 * k - 1) * 500 + 500", (2 * k - 1) * 500 + 500)
-_points("unit_shift", "log10_k - log10(0.75::double)", F.col("log10_k") - F.log10(F.lit(0.75)))
-_points("projected_to_local", "x_m - 6400.0", F.col("x_m") - 6400.0)
-_points("interp_knots", "case when k <= 0.1 then -1 when k <= 0.4 then -1 + (k - 0.1) * (1.5 / 0.3) when k <= 0.9 then 0.5 + (k - 0.4) * (0.5 / 0.5) else 1 end", X.interpolated(k, [(0.1, -1.0), (0.4, 0.5), (0.9, 1.0)]))
+_points("variogram_model", "0.2 + 0.8 * (1 - exp(-x_m / 3000))", lambda k: X.variogram(X.correlation("exponential", F.col("x_m"), F.lit(0.0), 3000, 3000), 0.2, 0.8))
+_points("range_to_length_scale", "x_m / sqrt(2.0::double)", lambda k: X.range_to_length(F.col("x_m"), "gaussian"))
+_points("arith_mean_correction", "-0.5 * ln(10.0::double) * k * k", lambda k: X.arithmetic_mean_shift(k))
+_points("xi_to_offsets", "(2 * k - 1) * 500 + 500", lambda k: (2 * k - 1) * 500 + 500)
+_points("unit_shift", "log10_k - log10(0.75::double)", lambda k: F.col("log10_k") - F.log10(F.lit(0.75)))
+_points("projected_to_local", "x_m - 6400.0", lambda k: F.col("x_m") - 6400.0)
+_points("interp_knots", "case when k <= 0.1 then -1 when k <= 0.4 then -1 + (k - 0.1) * (1.5 / 0.3) when k <= 0.9 then 0.5 + (k - 0.4) * (0.5 / 0.5) else 1 end", lambda k: X.interpolated(k, [(0.1, -1.0), (0.4, 0.5), (0.9, 1.0)]))
 
 
 def _pairs(name: str, first: str, second: str, columns) -> None:
     @query(name, f"-- doubles: a b\nselect id, {first} as a, {second} as b from good_points", "good_points")
     def points(v):
-        return v.good_points.select("id", columns[0].alias("a"), columns[1].alias("b"))
+        a, b = columns(F.col("k"))
+        return v.good_points.select("id", a.alias("a"), b.alias("b"))
 
 
-_pairs("lognormal_to_physical", "exp(log10_k + k * k / 2)", "exp(log10_k + k * k / 2) * sqrt(exp(k * k) - 1)", X.lognormal_to_physical(F.col("log10_k"), k))
-_pairs("physical_to_lognormal", "ln(k) - ln(1 + (0.2 / k) * (0.2 / k)) / 2", "sqrt(ln(1 + (0.2 / k) * (0.2 / k)))", X.physical_to_lognormal(k, F.lit(0.2)))
-_pairs("bounds_to_lognormal", "(ln(k) + ln(k + 1)) / 2", f"(ln(k + 1) - ln(k)) / (2 * {X.Z95})", X.bounds_to_lognormal(k, k + 1))
-_pairs("lognormal_to_bounds", f"exp(log10_k - {X.Z95} * k)", f"exp(log10_k + {X.Z95} * k)", X.lognormal_to_bounds(F.col("log10_k"), k))
+_pairs("lognormal_to_physical", "exp(log10_k + k * k / 2)", "exp(log10_k + k * k / 2) * sqrt(exp(k * k) - 1)", lambda k: X.lognormal_to_physical(F.col("log10_k"), k))
+_pairs("physical_to_lognormal", "ln(k) - ln(1 + (0.2 / k) * (0.2 / k)) / 2", "sqrt(ln(1 + (0.2 / k) * (0.2 / k)))", lambda k: X.physical_to_lognormal(k, F.lit(0.2)))
+_pairs("bounds_to_lognormal", "(ln(k) + ln(k + 1)) / 2", f"(ln(k + 1) - ln(k)) / (2 * {X.Z95})", lambda k: X.bounds_to_lognormal(k, k + 1))
+_pairs("lognormal_to_bounds", f"exp(log10_k - {X.Z95} * k)", f"exp(log10_k + {X.Z95} * k)", lambda k: X.lognormal_to_bounds(F.col("log10_k"), k))
 
 
 @query("georef_xy_to_index", "select id, round_even((x_m - 6.25) / 100, 0)::int as ix, round_even((y_m - 6.25) / 100, 0)::int as iy from points", "points")
