@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridweave.llm.shared import saved
+from gridweave.llm.shared import saved, slices
 
 #: Characters that a run has to have at least.
 LEAST_CHARS = 25
@@ -184,7 +184,7 @@ def without_repeated_lines(
     kept, names = ", ".join(f"`{c}` {t}" for c, t in df.dtypes), list(df.columns)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, gone = b.column(text_col).to_pylist(), [0] * b.num_rows
             for k, found in enumerate(b.column("_runs").to_pylist()):
                 if found:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweave.llm.shared import saved
+from gridweave.llm.shared import saved, slices
 
 #: Sentences and words that a span has at least.
 WIDTH, LEAST_WORDS = 2, 8
@@ -119,7 +119,7 @@ def without_repeated_spans(
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, total, gone = b.column(text_col).to_pylist(), [], []
             for k, runs in enumerate(b.column("_runs").to_pylist()):
                 parts = sentences(texts[k] or "")

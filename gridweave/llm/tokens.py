@@ -14,8 +14,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Units whose ids a worker keeps, the first it meets; further ones are encoded once in each call.
-KEPT_UNITS = 1 << 19
+#: Units whose ids a task keeps, the first it meets; further ones are encoded once in each call.
+KEPT_UNITS = 1 << 18
 #: Longer units are not kept.
 KEPT_LENGTH = 128
 #: Texts whose units are encoded in one call.
@@ -50,6 +50,10 @@ class Encoder:
             _open[path, spaces] = cls(path, spaces)
         return _open[path, spaces]
 
+    def forget(self) -> None:
+        """Drops the kept ids, at the end of a task: a worker may go on with other work."""
+        self._ids.clear()
+
     def _encode(self, units: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
