@@ -176,3 +176,15 @@ def test_files(spark, tmp_path):
     assert df.count() == meta["rows"] == 5
     (tmp_path / "grid.csv").write_text(" 1 2  3\n\n4 5 6\n")
     assert IO.read_table(spark, str(tmp_path / "grid.csv"), ["x", "y", "z"]).count() == 2
+
+
+def test_ledger(spark, tmp_path):
+    from gridweave.sources import ledger as J
+
+    path = str(tmp_path / "x")
+    assert J.written_once(spark.range(5), path).count() == 5
+    assert J.written_once(spark.range(9), path).count() == 5  # complete: not written again
+    spark.range(6).write.mode("overwrite").parquet(f"{path}/data")
+    with pytest.raises(ValueError):
+        J.written_once(spark.range(5), path)
+    assert J.seed_for("a", 1) == J.seed_for("a", 1) != J.seed_for("a", 2) and 0 <= J.seed_for() < 1 << 64
