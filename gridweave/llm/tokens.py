@@ -1,7 +1,7 @@
 """Token ids of whole texts, by the vocabulary files of public tokenizers.
 
 Both kinds of tokenizer treat what stands between white space on its own, so
-a text is cut into such units, each distinct unit is encoded once by the
+a text is cut into such units or smaller ones, each distinct unit is encoded once by the
 tokenizers library, and its ids are looked up after that. The result is that
 of encoding the whole text; tests hold the two against each other.
 """
@@ -22,8 +22,12 @@ KEPT_LENGTH = 128
 TOGETHER = 512
 
 _SPACE = "\t-\r \x85\xa0  -     　"
-#: White space up to the last one before a word; a word with a blank before it; other white space.
-_UNITS = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+#: White space up to the last one before a word; letters, with a blank before
+#: them, up to white space or an ASCII mark; else all up to white space; other
+#: white space. No token reaches over the ends of such units: letters end at a
+#: mark in either kind of tokenizer, and what starts with a mark stays whole.
+_UNITS = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[{_LETTERS}]+(?=[{_SPACE}{_MARKS}]|$)| ?[^{_SPACE}]+|[{_SPACE}]")
 
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -59,7 +63,7 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _units(self, text: str) -> list:
-        return _UNITS.findall(text) if self._spaces else text.encode().split()
+        return _UNITS.findall(text) if self._spaces else text.encode().lower().split()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids; a null text is an empty one."""
