@@ -118,7 +118,6 @@ def write_ids(
                         start, held, ids, size = start + size, [], [], 0
         if held:
             yield out()
-        encode.forget()
 
     docs = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
