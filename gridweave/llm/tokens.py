@@ -78,17 +78,11 @@ class Encoder:
         units = [[] if w else self._units(t) for t, w in zip(texts, whole, strict=True)]
         kept = self._ids
         new = [u for u in set(chain.from_iterable(units)) if u not in kept]
-        ids = dict(zip(new, self._encode(new if self._spaces else [u.decode() for u in new]), strict=True))
-        if len(kept) < KEPT_UNITS:
-            kept.update((u, x) for u, x in ids.items() if len(u) <= KEPT_LENGTH)
-            ids = {u: x for u, x in ids.items() if len(u) > KEPT_LENGTH}
-        look = _either(kept, ids) if ids else kept.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(look, us)) for t, w, us in zip(texts, whole, units, strict=True)]
-
-
-def _either(first: dict, second: dict):
-    def get(unit):
-        found = first.get(unit)
-        return second[unit] if found is None else found
-
-    return get
+        room = len(kept) < KEPT_UNITS
+        kept.update(zip(new, self._encode(new if self._spaces else [u.decode() for u in new]), strict=True))
+        look = kept.__getitem__
+        out = [self._encode([t])[0] if w else b"".join(map(look, us)) for t, w, us in zip(texts, whole, units, strict=True)]
+        for u in new:
+            if not room or len(u) > KEPT_LENGTH:
+                del kept[u]
+        return out
