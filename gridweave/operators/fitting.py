@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gridweave.operators.spatial import block_key
 from gridweave.randomfield.fields import Kriging, kernel
 
 FAMILIES = ("exponential", "gaussian", "matern32")
@@ -102,6 +103,110 @@ def restricted_likelihood(at: np.ndarray, y: np.ndarray, sigma: float, length: f
     return float(-0.5 * (r @ r + 2 * np.log(np.diag(lower)).sum() + math.log(one @ one) + (n - 1) * math.log(2 * math.pi)))
 
 
+def block_size(points: DataFrame, per_block: int) -> float:
+    """Side of square blocks that hold about so many points (x_m, y_m)."""
+    e = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x_m", "y_m"))).first()
+    if not e["n"]:
+        return 1.0
+    width, height = e["max_x_m"] - e["min_x_m"], e["max_y_m"] - e["min_y_m"]
+    whole = max(width, height) + 1.0
+    share = per_block / e["n"]
+    return whole if share >= 1 else max(math.sqrt(width * height * share), whole * share)
+
+
+def local_kriging(points: DataFrame, observed: DataFrame, sigma: float, length: float, mean: float | None = None, nugget: float = 0.0, per_block: int = 40, least: int = 16) -> DataFrame:
+    """id, mean, variance of points (id, x_m, y_m), kriged from all observations (x_m, y_m, value) of the blocks around.
+
+    Observations at one place are one with their mean and a part of the
+    nugget, which is the same system. A block of points takes the observations
+    of its own block and the eight around it; where these are fewer than
+    ``least``, sides are doubled until they are enough or hold all. A few
+    hundred observations are one block: the whole system.
+    """
+    places = observed.groupBy("x_m", "y_m").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    total = places.count()
+    size = block_size(places, per_block if total > 9 * per_block else max(total, 1))
+    own = block_key(points.select("id", "x_m", "y_m"), size)
+    train = block_key(places, size)
+    wanted, counts = own.select("bx", "by").distinct(), train.groupBy("bx", "by").agg(F.count("*").alias("n"))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+    def spread(x: DataFrame, level: int, *columns: str) -> DataFrame:
+        cell = [F.floor(F.col(c) / (1 << level)).cast("int") for c in ("bx", "by")]
+        return x.withColumns({"o": around, "_cx": cell[0], "_cy": cell[1]}).select(
+            *columns, F.lit(level).alias("level"), (F.col("_cx") + F.col("o.i")).alias("cx"), (F.col("_cy") + F.col("o.j")).alias("cy")
+        )
+
+    # Levels are as many as doublings reach over all blocks of either table.
+    span = own.select("bx", "by").union(train.select("bx", "by")).agg(F.greatest(F.max(F.abs("bx")), F.max(F.abs("by"))).alias("m")).first()["m"]
+    top = math.ceil(math.log2((span or 0) + 2))
+    placed, level, left = None, 0, wanted
+    while True:
+        cells = {"cx": F.floor(F.col("bx") / (1 << level)).cast("int"), "cy": F.floor(F.col("by") / (1 << level)).cast("int")}
+        near = spread(counts, level, "n").groupBy("cx", "cy").agg(F.sum("n").alias("n"))
+        tried = left.withColumns(cells).join(near, ["cx", "cy"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        enough = F.lit(True) if level >= top else F.col("n") >= min(least, total)
+        done = tried.where(enough).select("bx", "by", F.lit(level).alias("level"), "cx", "cy")
+        placed = done if placed is None else placed.unionByName(done)
+        left = tried.where(~enough).select("bx", "by")
+        level += 1
+        if level > top or left.isEmpty():
+            break
+    used = None
+    for k in range(level):
+        one = spread(train, k, "x_m", "y_m", "value", "n")
+        used = one if used is None else used.unionByName(one)
+    keys = ["level", "cx", "cy"]
+    targets = own.join(placed, ["bx", "by"]).select("id", "x_m", "y_m", *keys)
+    used = used.join(placed.select(*keys).distinct(), keys, "left_semi").select(*(F.col(c).alias(c if c == "n" else f"_{c}") for c in used.columns))
+
+    def solve(key, x: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame({"id": [], "mean": [], "variance": []})
+        if not len(seen):
+            return pd.DataFrame({"id": x["id"], "mean": mean, "variance": sigma * sigma if mean is not None else None})
+        seen = seen.sort_values(["_x_m", "_y_m"])
+        model = Kriging.fit(seen[["_x_m", "_y_m"]], seen["_value"], sigma, length, mean, nugget / seen["n"].to_numpy(float))
+        at = x[["x_m", "y_m"]].to_numpy(float)
+        parts = [model.predict(at[k : k + 4096]) for k in range(0, len(at), 4096)]
+        return pd.DataFrame({"id": x["id"], "mean": np.concatenate([m for m, _ in parts]), "variance": np.concatenate([v for _, v in parts])})
+
+    return targets.groupBy(*keys).cogroup(used.groupBy(*(f"_{k}" for k in keys))).applyInPandas(solve, "id long, mean double, variance double")
+
+
+def local_cross_validation(points: DataFrame, folds: int, sigma: float, length: float, nugget: float) -> DataFrame:
+    """fold, id, truth, mean, std as of block_cross_validation, for tables of any size: folds are kriged in blocks."""
+    points, out = points.select("fold", "id", "x_m", "y_m", "value"), None
+    for k in range(folds):
+        test, train = points.where(F.col("fold") == k), points.where(F.col("fold") != k)
+        known = train.agg(F.avg("value").alias("m")).first()["m"]
+        if known is None:
+            continue
+        found = local_kriging(test, train, sigma, length, known, nugget).join(test, "id")
+        found = found.select("fold", "id", F.col("value").alias("truth"), "mean", F.sqrt(F.col("variance") + nugget).alias("std"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else points.select("fold", "id", F.col("value").alias("truth"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"))
+
+
+def block_covariance_scores(points: DataFrame, candidates: list[tuple[float, float, float]], per_block: int = 200) -> DataFrame:
+    """As covariance_scores, summed over blocks of about so many points, each with a mean of its own.
+
+    Up to nine blocks' points are one block: the likelihood of the whole.
+    """
+    count = points.count()
+    keyed = block_key(points, block_size(points, per_block if count > 9 * per_block else max(count, 1)), *(points.agg(F.min("x_m"), F.min("y_m")).first() if count else (0.0, 0.0)))
+    table = points.sparkSession.createDataFrame(candidates, "sigma double, length double, nugget double")
+    each = keyed.select("id", "x_m", "y_m", "value", "bx", "by").join(F.broadcast(table))
+
+    def score(key, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id")
+        found = restricted_likelihood(x[["x_m", "y_m"]].to_numpy(float), x["value"].to_numpy(float), *key[:3])
+        return pd.DataFrame([(*key[:3], found)], columns=["sigma", "length", "nugget", "likelihood"])
+
+    blocks = each.groupBy("sigma", "length", "nugget", "bx", "by").applyInPandas(score, "sigma double, length double, nugget double, likelihood double")
+    return blocks.groupBy("sigma", "length", "nugget").agg(F.sum("likelihood").alias("likelihood"))
+
+
 def block_bootstrap(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
     """estimate, lower, upper (95 %) of the mean difference over blocks (block, value), resampled by seeded hashes.
 

@@ -101,9 +101,10 @@ def to_nearest_cell(points: DataFrame, mask: DataFrame, x0: float, y0: float, st
     return x.join(mask, ["ix", "iy"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
 
-def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, step: float, clamp: tuple[float, float] | None = None) -> DataFrame:
+def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, step: float, clamp: tuple[float, float] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Points with the value interpolated from the four cells around (row, col, value); null outside.
 
+    keys: columns of both tables that cells have to agree in, such as a sample.
     clamp: largest x and y index, to which coordinates are moved first.
     """
     gx, gy = (F.col("x_m") - x0) / step, (F.col("y_m") - y0) / step
@@ -115,7 +116,7 @@ def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, step: flo
     corner = lambda i, j: F.struct(near("_gy", i).alias("row"), near("_gx", j).alias("col"), (share("_gy", i) * share("_gx", j)).alias("weight"))
     corners = F.filter(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1))), lambda c: c["weight"] > 0)
     each = x.withColumn("_c", F.explode(corners)).select(*points.columns, F.col("_c.row").alias("row"), F.col("_c.col").alias("col"), F.col("_c.weight").alias("weight"))
-    met = each.join(grid.withColumnRenamed("value", "_v"), ["row", "col"], "left")
+    met = each.join(grid.withColumnRenamed("value", "_v"), [*keys, "row", "col"], "left")
     inside = F.count("_v") == F.count("*")
     return met.groupBy(*points.columns).agg(F.when(inside, F.sum(F.col("_v") * F.col("weight"))).alias("sampled"))
 

@@ -17,13 +17,8 @@ def _arrays(v):
     return v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("values"))
 
 
-def _points(v, share: int = 25):
-    return v.good_points.where(f"id % {share} = 0").select("id", "x_m", "y_m", F.col("log10_k").alias("value"))
-
-
-def _observed(v, share: int = 50):
-    rows = _points(v, share).orderBy("id").limit(400).collect()
-    return [(r["x_m"], r["y_m"]) for r in rows], [r["value"] for r in rows]
+def _points(v):
+    return v.good_points.select("id", "x_m", "y_m", F.col("log10_k").alias("value"))
 
 
 query("gaussian_sampler")(lambda v: C.iid_gaussian(v.spark, N, 8, SEED))
@@ -61,8 +56,9 @@ for _name in ("kl_conditional", "kl_conditional_points"):
 @query("kl_at_points")
 def kl_at_points(v):
     """The expansion's fields read at points by interpolation of their modes."""
-    grid = R.to_long(_expansion().map(_xi(v).where("sample_id = 0")), 8).drop("sample_id")
-    return P.bilinear(v.points.where("id % 10 = 0").select("id", "x_m", "y_m"), grid, 0.0, 0.0, 1600.0).select("id", "sampled")
+    grid = R.to_long(_expansion().map(_xi(v)), 8)
+    each = v.points.select("id", "x_m", "y_m").join(F.broadcast(_xi(v).select("sample_id")))
+    return P.bilinear(each, grid, 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sample_id", "sampled")
 
 
 @query("fft_residual")
@@ -102,20 +98,20 @@ for _name in ("ordinary_kriging", "universal_kriging_predict"):
 
     @query(_name)
     def ordinary_kriging(v):
-        return R.Kriging.fit(*_observed(v), 0.4, 2000.0, nugget=0.05).map(v.points)
+        return X.local_kriging(v.points, _points(v), 0.4, 2000.0, nugget=0.05)
 
 
 for _name in ("simple_kriging_points", "join_kriging_cross"):
 
     @query(_name)
     def simple_kriging_points(v):
-        return R.Kriging.fit(*_observed(v), 0.4, 2000.0, mean=-0.4, nugget=0.05).map(v.points)
+        return X.local_kriging(v.points, _points(v), 0.4, 2000.0, mean=-0.4, nugget=0.05)
 
 
 query("spectrum_2d")(lambda v: R.spectrum(_arrays(v), 8, 8))
 for _name in ("connected_components", "heat_pump_centers"):
     query(_name)(lambda v: R.components(_arrays(v), 8, 8, 0.1))
-query("streamlines")(lambda v: X.streamlines(_arrays(v).where("sample_id < 50"), 8, 8, [(3.5, 3.5), (2.0, 5.0)]))
+query("streamlines")(lambda v: X.streamlines(_arrays(v), 8, 8, [(3.5, 3.5), (2.0, 5.0)]))
 
 query("normal_cdf")(lambda v: v.points.select("id", Z.normal_cdf("k").alias("p")))
 query("normal_ppf")(lambda v: v.points.select("id", Z.normal_ppf(F.col("x_m") / 12800 * 0.98 + 0.01).alias("z")))
@@ -162,7 +158,7 @@ _cells("draw_reference_measurements", lambda: _GRID[S.weighted_locations(_GRID,
 
 @query("variogram_fit_points")
 def variogram_fit_points(v):
-    curve = P.point_variogram(_points(v, 2), 1200.0, 150.0)
+    curve = P.point_variogram(_points(v), 1200.0, 150.0)
     return X.variogram_fits(curve.select("direction", F.col("mean_lag").alias("lag"), "gamma", "pairs"), "direction")
 
 
@@ -178,15 +174,15 @@ for _name in ("spatial_block_cv", "development_cv"):
 
     @query(_name)
     def spatial_block_cv(v):
-        folded = S.balanced_folds(_points(v, 5), 1500.0, 5, SEED)
-        return X.block_cross_validation(folded.select("id", "x_m", "y_m", "value", "fold"), 0.4, 1500.0, 0.05)
+        folded = S.balanced_folds(_points(v), 1500.0, 5, SEED)
+        return X.local_cross_validation(folded.select("id", "x_m", "y_m", "value", "fold"), 5, 0.4, 1500.0, 0.05)
 
 
 for _name in ("reml_fit", "select_covariance"):
 
     @query(_name)
     def reml_fit(v):
-        return X.covariance_scores(_points(v, 10), [(s, length, 0.05) for s in (0.3, 0.5) for length in (500.0, 1500.0, 4000.0)])
+        return X.block_covariance_scores(_points(v), [(s, length, 0.05) for s in (0.3, 0.5) for length in (500.0, 1500.0, 4000.0)])
 
 
 @query("block_bootstrap")
@@ -197,7 +193,7 @@ def block_bootstrap(v):
 
 @query("condition_number")
 def condition_number(v):
-    at = np.array(_observed(v)[0])
+    at = np.array(v.good_points.select("x_m", "y_m").collect())
     value = np.linalg.eigvalsh(np.exp(-np.hypot(*(at[:, None] - at).transpose(2, 0, 1)) / 2000))
     return v.rows([(len(at), float(value[-1] / max(value[0], 1e-12 * value[-1])))], "n int, condition double")
 
