@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted; documents of which nothing but white space stays go. n_chars follows the text."""
-    found = without_repeated_lines(docs)
+    found = without_repeated_lines(docs, maximal=True)
     empty = (F.col("_n_deleted") > 0) & ~F.col("text").rlike(r"\S")
     return found.where(~empty).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

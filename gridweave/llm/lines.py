@@ -11,7 +11,13 @@ The longest common prefix of neighbours in the suffix array comes from the
 ranks of all levels, largest first. Where it covers less than a run has to
 have, one interval of the array ends and the next begins. All suffixes of an
 interval start with the same run; the first by document and line keeps it,
-and the lines that it covers at the others are deleted. Runs that overlap
+and the lines that it covers at the others are deleted.
+
+These are the shortest runs from each start. A maximal run can have short
+lines after its last such start, and each of them ends a shortest run too: the
+one back to the latest start that gives it enough characters. Those that
+aren't shortest from their start as well are few. They are hashed as a whole
+and counted. Each line of a maximal run is in a run of either kind, so both
 add up to the maximal repeated run.
 """
 
@@ -32,12 +38,16 @@ _POSITION = "d long, th long, i int"
 
 
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """A row for each line: its document's key, its number, 128 bits of hash, and how many lines from it a run needs."""
+    """A row for each line: its document's key, its number, 128 bits of hash, and how many lines from it a run needs.
+
+    back, t0, t1: lines and hash of the shortest run that ends with the line,
+    null if there is none or it is the shortest from its start too.
+    """
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part, who, place, high, low, reach = b.slice(k, 256), [], [], [], [], []
+                part, who, place, high, low, reach, back, tails = b.slice(k, 256), [], [], [], [], [], [], []
                 for r, text in enumerate(part.column("text").to_pylist()):
                     if not text:
                         continue
@@ -46,20 +56,28 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
                     both = np.frombuffer(digests, "<i8").reshape(-1, 2)
                     ends = np.cumsum([len(x) for x in rows])
                     before = np.concatenate(([0], ends[:-1]))
-                    reach.append(np.searchsorted(ends, before + least_chars) - np.arange(len(rows)) + 1)
+                    at = np.arange(len(rows))
+                    reach.append(np.searchsorted(ends, before + least_chars) - at + 1)
+                    start = np.searchsorted(before, ends - least_chars, side="right") - 1
+                    tail = (start >= 0) & (start + reach[-1][start] - 1 < at)
+                    back.append(np.where(tail, at - start + 1, 0))
+                    tails += [xxhash.xxh3_128_digest(digests[16 * start[j] : 16 * (j + 1)]) for j in np.nonzero(tail)[0].tolist()]
                     who.append(np.full(len(rows), r))
                     place.append(np.arange(len(rows)))
                     high.append(both[:, 0])
                     low.append(both[:, 1])
                 if not who:
                     continue
-                at = pa.array(np.concatenate(who))
+                at, back = pa.array(np.concatenate(who)), np.concatenate(back).astype("i4")
+                ends_run, whole = back > 0, np.zeros((len(back), 2), "i8")
+                whole[ends_run] = np.frombuffer(b"".join(tails), "<i8").reshape(-1, 2)
+                last = [pa.array(x, mask=~ends_run) for x in (back, whole[:, 0].copy(), whole[:, 1].copy())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("d").take(at), part.column("th").take(at), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((place, "i4"), (high, "i8"), (low, "i8"), (reach, "i4")))],
-                    ["d", "th", "i", "h0", "h1", "reach"],
+                    [part.column("d").take(at), part.column("th").take(at), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((place, "i4"), (high, "i8"), (low, "i8"), (reach, "i4"))), *last],
+                    ["d", "th", "i", "h0", "h1", "reach", "back", "t0", "t1"],
                 )
 
-    return docs.mapInArrow(run, f"{_POSITION}, h0 long, h1 long, reach int")
+    return docs.mapInArrow(run, f"{_POSITION}, h0 long, h1 long, reach int, back int, t0 long, t1 long")
 
 
 def dense_ranks(keys: DataFrame, *by: str) -> DataFrame:
@@ -144,28 +162,39 @@ def _intervals(prefixes: DataFrame) -> DataFrame:
     return x.join(first, "interval").select("rank", "reach", "first")
 
 
+def _tails(lines: DataFrame) -> DataFrame:
+    """d, th, i, n of the runs by their ends that stand earlier too."""
+    runs = lines.where("back is not null").select("d", "th", (F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("n"), "t0", "t1")
+    place = F.struct("d", "th", "i")
+    first = runs.groupBy("t0", "t1").agg(F.min(place).alias("first"), F.max(place).alias("z")).where("first <> z").select("t0", "t1", "first")
+    return runs.join(first, ["t0", "t1"]).where(place > F.col("first")).select("d", "th", "i", "n")
+
+
 def _key(id_col: str, text_col: str) -> dict[str, Column]:
     """What a document is known by; null ids stand last."""
     return {"d": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)), "th": F.xxhash64(F.col(f"`{text_col}`"))}
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, maximal: bool = False) -> DataFrame:
     """d, th, i, n: n lines from line i of a document stand earlier too, in an earlier document or above."""
     docs = df.select(*(c.alias(n) for n, c in _key(id_col, text_col).items()), F.col(f"`{text_col}`").alias("text"))
     lines = saved(_lines(docs, least_chars), "lines")
     array, levels = suffix_array(_segments(lines))
     runs = array.where("reach <= rem").join(_intervals(common_prefixes(array, levels)).select("rank", "first"), "rank")
-    return runs.where(F.struct("d", "th", "i") > F.col("first")).select("d", "th", "i", F.col("reach").alias("n"))
+    runs = runs.where(F.struct("d", "th", "i") > F.col("first")).select("d", "th", "i", F.col("reach").alias("n"))
+    return runs.unionByName(_tails(lines)) if maximal else runs
 
 
 def without_repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, maximal: bool = False
 ) -> DataFrame:
     """The rows of df with repeated line runs deleted from the text, and _n_lines and _n_deleted besides.
 
     A line goes if it belongs to a run of lines of ``least_chars`` characters
     or more (without line ends) that stands at an earlier place: in a document
-    with a smaller id, or further up. Lines end at \\n alone and are compared
+    with a smaller id, or further up; with ``maximal`` to the end of what both
+    places share, else only as far as the shortest run from some line reaches,
+    which leaves short last lines of a run in the text. Lines end at \\n alone and are compared
     as they are; blank lines count as part of runs. Rows with one id and one
     text are one document and get the same result; of rows with one id and
     different texts the order is fixed by the texts' hashes; null ids come
@@ -175,7 +204,7 @@ def without_repeated_lines(
     added = {"_n_lines", "_n_deleted", "_d", "_th", "_runs"}
     if added & set(df.columns):
         raise ValueError(f"the table has columns named {sorted(added & set(df.columns))}")
-    runs = repeated_runs(df, id_col, text_col, least_chars)
+    runs = repeated_runs(df, id_col, text_col, least_chars, maximal)
     runs = runs.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("i", "n")).alias("_runs"))
     key = _key(id_col, text_col)
     x = df.withColumns({"_d": key["d"], "_th": key["th"]}).join(runs, ["_d", "_th"], "left")

@@ -41,7 +41,7 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeated_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
+    return without_repeated_lines(docs, maximal=True).withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -86,3 +87,32 @@ def test_shared_passage_goes_from_later_documents(spark):
 def test_sentences_are_the_text(corpus):
     for r in corpus:
         assert "".join(sentences(r[1] or "")) == (r[1] or "")
+
+
+def brute_maximal_lines(rows, least):
+    """Every line of every longest common run with an earlier place, by comparing all pairs of places."""
+    docs, out = documents(rows), {}
+    parts = [t.split("\n") if t else [] for _, t in docs]
+    for x, (i, t) in enumerate(docs):
+        gone = set()
+        for s in range(len(parts[x])):
+            for y in range(x + 1):
+                for e in range(s if y == x else len(parts[y])):
+                    n = 0
+                    while s + n < len(parts[x]) and e + n < len(parts[y]) and parts[x][s + n] == parts[y][e + n]:
+                        n += 1
+                    if sum(map(len, parts[x][s : s + n])) >= least:
+                        gone.update(range(s, s + n))
+        out[i, t] = "\n".join(p for k, p in enumerate(parts[x]) if k not in gone), len(gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 25])
+def test_lines_of_maximal_runs(spark, least):
+    rng = random.Random(5)
+    kinds = ["a line with characters enough", "short", "", "twelve chars", "x", "another line of some length"]
+    rows = [(k, "\n".join(rng.choices(kinds, [3, 3, 2, 2, 1, 1], k=rng.randint(1, 9)))) for k in range(40)]
+    rows += [(90, "only here at its place, long enough\nshort\n\nend"), (91, "only here at its place, long enough\nshort\n\nend"), (92, "only here at its place, long enough\nshort\nother")]
+    got = {(r.doc_id, r.old): (r.text, r._n_deleted) for r in without_repeated_lines(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, old string"), least_chars=least, maximal=True).collect()}
+    assert got == brute_maximal_lines(rows, least)
+    assert got[91, rows[-2][1]][0] == "" and (least == 1 or got[92, rows[-1][1]][0] == "other")
