@@ -7,6 +7,8 @@
 3. Bands of three registers are hashed to buckets. Every member of a bucket
    is held against the bucket's least id (a star, not all pairs). What the
    collision-corrected estimate can't rule out is verified on full sets.
+   Small sets, for which bands are unsure, have their first few hashes in
+   order as buckets too: sets that are similar enough share one of these.
 4. Connected components of those links leave few buckets with members of
    several components. Such buckets are cut into blocks of bounded size, in
    which the pairs across components are estimated and then verified on full
@@ -26,12 +28,12 @@ from gridweave.llm.components import components
 from gridweave.llm.shared import only, saved, slices
 
 #: Sets of fewer shingles reach a similarity of 0.75 only if they are equal.
-LEAST_SET = 4
+LEAST_SET = 3
 #: Members, and shingles of all members, that a block may hold of one side.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 1_000_000
 
 
-def _sketched(docs: DataFrame, width: int) -> DataFrame:
+def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             sets = [K.shingles(t, width) for t in b.column("text").to_pylist()]
@@ -41,19 +43,20 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([K.set_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([K.registers(s).tobytes() if len(s) >= LEAST_SET else None for s in sets], pa.binary()),
+                    pa.array([K.prefix_keys(s, percent) if len(s) >= LEAST_SET else [] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "digest", "regs"],
+                ["doc_id", "n", "digest", "regs", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, regs binary, prefix array<long>")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             keys, who = [], []
-            for i, r in enumerate(b.column("regs").to_pylist()):
-                own = K.band_keys(np.frombuffer(r, np.uint16))
+            for i, (r, prefix) in enumerate(zip(b.column("regs").to_pylist(), b.column("prefix").to_pylist(), strict=True)):
+                own = K.band_keys(np.frombuffer(r, np.uint16)) + prefix
                 keys += own
                 who += [i] * len(own)
             at = pa.array(who, pa.int64())
@@ -61,7 +64,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 [pa.array(keys, pa.int64()), b.column("rep").take(at), b.column("n").take(at)], ["key", "rep", "n"]
             )
 
-    return classes.where(F.col("n") >= LEAST_SET).select("rep", "n", "regs").mapInArrow(run, "key long, rep long, n long")
+    return classes.where(F.col("n") >= LEAST_SET).select("rep", "n", "regs", "prefix").mapInArrow(run, "key long, rep long, n long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -222,10 +225,10 @@ def near_duplicates(
     """
     percent = round(100 * least)
     docs = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    all_docs = saved(_sketched(docs, width), "sketch")
+    all_docs = saved(_sketched(docs, width, percent), "sketch")
     named = all_docs.where("doc_id is not null")
     classes = saved(
-        named.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")),
+        named.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("prefix").alias("prefix")),
         "classes",
     )
     own = classes.select("rep", "digest")

@@ -77,6 +77,24 @@ def band_keys(regs: np.ndarray) -> list[int]:
     return out
 
 
+#: Pairs whose smaller set has fewer shingles meet for certain and are never estimated.
+SMALL_SET = 16
+
+
+def prefix_keys(hashes: np.ndarray, percent: int) -> list[int]:
+    """Signed 64-bit keys of which small sets with a similarity of ``percent`` or more share one.
+
+    They have ceil(percent * n / 100) hashes in common at least, so their
+    first n - ceil(...) + 1 in order meet. Sets that can't be similar to one
+    of fewer than SMALL_SET have none.
+    """
+    n = len(hashes)
+    if percent * n > 100 * (SMALL_SET - 1):
+        return []
+    own = [xxhash.xxh3_64_intdigest(h.tobytes(), BANDS) for h in hashes[: n + percent * n // -100 + 1]]
+    return [k - (1 << 64) if k >= 1 << 63 else k for k in own]
+
+
 def chance_matches(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Expected share of buckets that agree by chance, for sets of n and m.
 
@@ -105,13 +123,13 @@ def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
 def may_link(a, b, n, m, least: float = 0.75, sigmas: float = 5.0) -> np.ndarray:
     """Whether pairs may reach the similarity ``least``.
 
-    Sizes rule pairs out exactly. The estimate does within ``sigmas`` standard
+    Sizes rule pairs out exactly, and small sets by nothing else. The estimate does within ``sigmas`` standard
     deviations, which leaves a chance of about 3e-7 to lose a pair that is
     just similar enough.
     """
     n, m = np.asarray(n), np.asarray(m)
     keep = np.minimum(n, m) >= least * np.maximum(n, m)
-    at = np.nonzero(keep)[0]
+    at = np.nonzero(keep & (np.minimum(n, m) >= SMALL_SET))[0]
     a, b = a[at], b[at]
     full = np.maximum(((a | b) > 0).sum(axis=1), 1)
     low = least - sigmas * np.sqrt(least * (1 - least) / full)

@@ -1,4 +1,7 @@
 import itertools
+import random
+
+import numpy as np
 
 from gridweave.llm import sketch as K
 from gridweave.llm.components import components
@@ -61,3 +64,25 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}}
+
+
+def test_small_sets_that_differ_by_an_end_word(spark):
+    rows = []
+    for n in range(6, 24):
+        for k in range(12):
+            text = " ".join(f"v{n}x{k}y{j}" for j in range(n))
+            rows += [(len(rows), text), (len(rows) + 1, text + " more") if k % 2 else (len(rows) + 1, "more " + text)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert [c for i, _, c in got if rows[i][1].split()[-1] == "more" and len(rows[i][1].split()) == 8] and any(n == 4 and c != i for i, n, c in got)
+
+
+def test_small_sets_always_share_a_key():
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randint(3, 20)
+        a = sorted(rng.getrandbits(64) for _ in range(n))
+        b = sorted({rng.getrandbits(64) if rng.random() < 0.1 else x for x in a} | {rng.getrandbits(64) for _ in range(rng.randint(0, 1))})
+        if min(len(a), len(b)) < K.SMALL_SET and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)):
+            keys = [set(K.prefix_keys(np.array(x, np.uint64), 75)) for x in (a, b)]
+            assert keys[0] & keys[1]
