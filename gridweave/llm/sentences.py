@@ -28,14 +28,36 @@ _SENTENCE = re.compile(r"[^\n]*?[.!?…。！？]+[\"'”’»)\]]*(?:[ \t\r\f\v
 #: Longer sentences, in words, are taken by their clauses.
 LONG_WORDS = 20
 _CLAUSE = re.compile(r"[^,;:]*[,;:]+(?:\s+|$)|[^,;:]*[,;:]+|[^,;:]+$")
+#: Clauses that stay longer are cut at least once in so many words.
+WINDOW = 8
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+def _pieces(part: str) -> list[str]:
+    """A part of many words cut where its words decide it, so that copies of a passage are cut alike in any host.
+
+    Of every ``WINDOW`` gaps between words in a row, the one whose two words
+    have the least hash is a cut (the last of equal ones).
+    """
+    words = _WORD.findall(part)
+    if len(words) <= LONG_WORDS:
+        return [part]
+    bare = [w.strip() for w in words]
+    n, digest = len(words), xxhash.xxh3_64_intdigest
+    # The hash, and below it how far the gap is from the end.
+    gaps = [digest(f"{a} {b}".encode()) << 32 | n - g for g, (a, b) in enumerate(zip(bare, bare[1:], strict=False), 1)]
+    least = {min(gaps[k : k + WINDOW]) for k in range(len(gaps) - WINDOW + 1)}
+    ends = [*sorted(n - (x & 0xFFFFFFFF) for x in least), n]
+    return ["".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences, or clauses of long ones; together they are the text."""
+    """The sentences, or clauses of long ones, or pieces of long clauses; together they are the text."""
     out: list[str] = []
     for part in _SENTENCE.findall(text):
         if len(part) > 2 * LONG_WORDS and len(part.split()) > LONG_WORDS:
-            out += _CLAUSE.findall(part)
+            for clause in _CLAUSE.findall(part):
+                out += _pieces(clause)
         elif part:
             out.append(part)
     return out

@@ -116,3 +116,18 @@ def test_lines_of_maximal_runs(spark, least):
     got = {(r.doc_id, r.old): (r.text, r._n_deleted) for r in without_repeated_lines(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, old string"), least_chars=least, maximal=True).collect()}
     assert got == brute_maximal_lines(rows, least)
     assert got[91, rows[-2][1]][0] == "" and (least == 1 or got[92, rows[-1][1]][0] == "other")
+
+
+def test_long_passages_without_marks(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    whole, inside = some(60), some(60)
+    rows = [(k, f"Own {some(12)}. {whole}. Then {some(15)} {inside} {some(14)}.") for k in range(3)]
+    for text in (r[1] for r in rows):
+        assert "".join(sentences(text)) == text
+    got = {r.doc_id: r.text for r in without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for k in (1, 2):
+        left = set(got[k].split())
+        assert not left & set(whole.split()) and len(left & set(inside.split())) <= 16
+        assert set(rows[k][1].split()) - set(whole.split()) - set(inside.split()) - set(f"{whole}.".split()) <= left
