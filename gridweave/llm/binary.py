@@ -22,8 +22,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridweave.llm.shared import only
-from gridweave.llm.tokens import Encoder
+from gridweave.llm.shared import only, parts
+from gridweave.llm.tokens import TOGETHER, Encoder
 
 MAGIC = b"BPS1"
 #: Ids in a block, and ids in a stretch, about.
@@ -105,17 +105,15 @@ def write_ids(
                 pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())]),
             )
 
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                for who, where, found in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                    shard = where
-                    held.append(who)
-                    ids.append(found + end)
-                    size += len(ids[-1]) // 4
-                    if size >= stretch:
-                        yield out()
-                        start, held, ids, size = start + size, [], [], 0
+        for b in parts(batches, "text", TOGETHER):
+            for who, where, found in zip(b.column("doc_id").to_pylist(), b.column("shard").to_pylist(), encode(b.column("text")), strict=True):
+                shard = where
+                held.append(who)
+                ids.append(found + end)
+                size += len(ids[-1]) // 4
+                if size >= stretch:
+                    yield out()
+                    start, held, ids, size = start + size, [], [], 0
         if held:
             yield out()
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridweave.llm.shared import only, saved, slices
-from gridweave.llm.tokens import Encoder
+from gridweave.llm.shared import only, parts, saved
+from gridweave.llm.tokens import TOGETHER, Encoder
 
 #: Bins that a group has open at once, and the share of them that its tokens fill on average.
 OPEN_BINS, FILL = 4096, 0.85
@@ -80,9 +80,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(tokenizer, spaces=False)
-        for b in slices(batches):
+        for b in parts(batches, "text", TOGETHER):
             who, out = [], []
-            for i, ids in enumerate(encode(b.column("text").to_pylist())):
+            for i, ids in enumerate(encode(b.column("text"))):
                 found = list(cut(ids + end, capacity))
                 out += found
                 who += [i] * len(found)
@@ -91,7 +91,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 [b.column("doc_id").take(pa.array(who, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 3), strict=True))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        encode.forget()
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

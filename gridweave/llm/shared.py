@@ -6,17 +6,22 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) is a temporary
-    folder of this machine used and set.
+    Only where the session names none and all runs on this machine (tests in
+    local mode) is a temporary folder of it used and set; a cluster has to
+    name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,14 +45,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Removes the files of a table made by ``saved``."""
+    """Removes the files of a table made by ``saved``: its folder stands in the shared one and holds nothing else."""
     spark = df.sparkSession
-    home = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    home = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = home.getFileSystem(conf)
+    home = files.makeQualified(home)
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/" + folder.split("/")[-1] and home.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = files.makeQualified(jvm.org.apache.hadoop.fs.Path(folder))
+        if path.getParent().equals(home):
+            files.delete(path, True)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps from one task to the next, of one kind of work at a time: another key drops it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def slices(batches, rows: int = 512):
@@ -57,6 +75,28 @@ def slices(batches, rows: int = 512):
             yield b.slice(k, rows)
 
 
+def parts(batches, column: str, size: int = 1 << 22, rows: int = 4096):
+    """Arrow batches in parts of about ``size`` bytes of a column and so many rows at most; a longer text is a part of its own."""
+    for b in slices(batches, rows):
+        upto, start = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while start < b.num_rows:
+            before = upto[start - 1] if start else 0
+            n = max(1, int(np.searchsorted(upto, before + size, side="right")) - start)
+            yield b.slice(start, n)
+            start += n
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, or longer ones where the table has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,25 +1,28 @@
 """Token ids of whole texts, by the vocabulary files of public tokenizers.
 
 Both kinds of tokenizer treat what stands between white space on its own, so
-a text is cut into such units or smaller ones, each distinct unit is encoded once by the
-tokenizers library, and its ids are looked up after that. The result is that
-of encoding the whole text; tests hold the two against each other.
+a column of texts is cut into such units, each distinct unit is encoded once
+by the tokenizers library, and its ids are gathered after that. The result is
+that of encoding the whole text; tests hold the two against each other.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Units whose ids a task keeps, the first it meets; further ones are encoded once in each call.
-KEPT_UNITS = 1 << 18
+from gridweave.llm.shared import held, parts
+
+#: Units whose ids a worker keeps, the first it meets; further ones are encoded once in each call.
+KEPT_UNITS = 1 << 19
 #: Longer units are not kept.
 KEPT_LENGTH = 128
-#: Texts whose units are encoded in one call.
-TOGETHER = 512
+#: Bytes of texts whose units are looked up together, and units encoded as one text.
+TOGETHER, JOINED = 1 << 23, 1000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
@@ -29,7 +32,8 @@ _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
 #: mark in either kind of tokenizer, and what starts with a mark stays whole.
 _UNITS = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[{_LETTERS}]+(?=[{_SPACE}{_MARKS}]|$)| ?[^{_SPACE}]+|[{_SPACE}]")
 
-_open: dict[tuple[str, bool], "Encoder"] = {}
+#: Texts whose white space is not just single blanks and one or two line ends between other characters.
+_ODD = f"[\\x00\t\x0b-\r{_SPACE[4:]}]|  | \n|\n |\n\n\n|^[ \n]|[ \n]$"
 
 
 class Encoder:
@@ -44,45 +48,96 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._spaces, self._ids = Tokenizer.from_file(path), spaces, {}
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._added = re.compile("|".join(map(re.escape, added))) if added else None
+        added = self._tokenizer.get_added_tokens_decoder()
+        names = "|".join(re.escape(t.content) for t in added.values())
+        # Word BPE is looked up in lower case: what is an added token only in lower case must not become one.
+        self._added = names or None
+        #: An added token that takes nothing beside it: what stands on either side is encoded on its own.
+        plain = (k for k, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word))
+        self._end = next(plain, None)
+        self._mark = added[self._end].content if self._end is not None else ""
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> "Encoder":
         """The encoder of this Python worker."""
-        if (path, spaces) not in _open:
-            _open[path, spaces] = cls(path, spaces)
-        return _open[path, spaces]
-
-    def forget(self) -> None:
-        """Drops the kept ids, at the end of a task: a worker may go on with other work."""
-        self._ids.clear()
+        return held((cls, path, spaces), lambda: cls(path, spaces))
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(units, add_special_tokens=False)
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _units(self, text: str) -> list:
-        return _UNITS.findall(text) if self._spaces else text.encode().lower().split()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids; a null text is an empty one."""
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """The ids of units that hold no added token: many as one text, with an added token between them."""
+        if self._end is None:
+            return self._texts(units)
         out: list[bytes] = []
-        for k in range(0, len(texts), TOGETHER):
-            out += self._together([t or "" for t in texts[k : k + TOGETHER]])
+        for k in range(0, len(units), JOINED):
+            raw = self._texts([self._mark.join(units[k : k + JOINED])])[0]
+            ends = (4 * np.nonzero(np.frombuffer(raw, "<u4") == self._end)[0]).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
         return out
 
-    def _together(self, texts: list[str]) -> list[bytes]:
-        # An added token also ends the white space before it: such texts are not cut.
-        whole = [bool(self._spaces and self._added and self._added.search(t)) for t in texts]
-        units = [[] if w else self._units(t) for t, w in zip(texts, whole, strict=True)]
+    def _units(self, text: str) -> list[str]:
+        return _UNITS.findall(text) if self._spaces else [u.decode() for u in text.encode().lower().split()]
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The units of plain texts."""
+        if not self._spaces:
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        ends = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        return pc.split_pattern(ends, "\0")
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
         kept = self._ids
-        new = [u for u in set(chain.from_iterable(units)) if u not in kept]
+        new = [u for u in units if u not in kept]
         room = len(kept) < KEPT_UNITS
-        kept.update(zip(new, self._encode(new if self._spaces else [u.decode() for u in new]), strict=True))
-        look = kept.__getitem__
-        out = [self._encode([t])[0] if w else b"".join(map(look, us)) for t, w, us in zip(texts, whole, units, strict=True)]
+        kept.update(zip(new, self._encode(new), strict=True))
+        found = list(map(kept.__getitem__, units))
         for u in new:
             if not room or len(u) > KEPT_LENGTH:
                 del kept[u]
+        return found
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """For each text its ids; a null text is an empty one."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        out: list[bytes] = []
+        for b in parts([pa.record_batch([column.fill_null("")], ["text"])], "text", TOGETHER, 1 << 14):
+            out += self._together(b.column(0))
         return out
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        whole, plain = np.zeros(len(texts), bool), np.ones(len(texts), bool)
+        if self._added is not None:
+            whole = pc.match_substring_regex(texts, self._added, ignore_case=not self._spaces).to_numpy(zero_copy_only=False)
+        if self._spaces:
+            plain = ~pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain &= ~whole
+        out: list[bytes] = [b""] * len(texts)
+        self._gather(self._cut(texts.filter(pa.array(plain))), np.nonzero(plain)[0], out)
+        for k in np.nonzero(~plain)[0].tolist():
+            text = texts[k].as_py()
+            # An added token ends the white space before it too: such texts are not cut.
+            if whole[k]:
+                out[k] = self._texts([text])[0]
+            else:
+                units = self._units(text)
+                known = dict(zip(own := list(dict.fromkeys(units)), self._known(own), strict=True))
+                out[k] = b"".join(map(known.__getitem__, units))
+        return out
+
+    def _gather(self, lists: pa.ListArray, places: np.ndarray, out: list[bytes]) -> None:
+        """Puts the ids of each list of units at its place."""
+        if not len(lists):
+            return
+        coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        unit, found = coded.indices.to_numpy(), self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        many = sizes[unit]
+        upto = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(starts[unit] - upto[:-1], many) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[ends]).tolist()
+        for k, a, b in zip(places.tolist(), cuts[:-1], cuts[1:], strict=True):
+            out[k] = ids[a:b]

@@ -13,7 +13,7 @@ from gridweave.llm.shared import new_path
 from gridweave.llm.tokens import Encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = list(" \n\t\r\x1c\x85\xa0 ​'sdtaZé.,É漢Ω!?|") + ["<|endoftext|>", "'ll", "́"]
+ODD = list(" \n\t\r\x1c\x85\xa0 ​'sdtaZé.,É漢Ω!?|") + ["<|endoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "'ll", "́"]
 
 
 @pytest.mark.parametrize("path, spaces", [(WORD, False), (BYTE, True)])
@@ -25,6 +25,16 @@ def test_units_encode_like_whole_texts(path, spaces, parts):
     assert np.frombuffer(Encoder.of(path, spaces)([text])[0], "<u4").tolist() == whole
 
 
+@pytest.mark.parametrize("path, spaces", [(WORD, False), (BYTE, True)])
+def test_many_units_encoded_as_one_text(path, spaces):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdEé.,'9漢"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(300)] + ["a <|STARTOFTEXT|> z", "<|startoftext|>x <|endoftext|>"]
+    got = Encoder(path, spaces)(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == _tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 _open = {}
 
 
