@@ -30,10 +30,32 @@ def test_topk_against_brute_force(spark):
 
 def test_topk_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0]), (1, [0.5, -1.0])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df).collect()] == [(0, 1, 1, 256 * 128 - 512 * 256)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df).collect()] == [(0, k, 1, 256 * 128 - 512 * 256) for k in (1, 2)]
     assert top_k(df.where("false")).count() == 0
 
 
+def test_topk_of_repeated_ids_and_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, d)], "x") for i, d in zip(rng.integers(0, 120, 500), rng.choice([3, 4], 500))]
+    rows += [(1, [1.0, 0.0, 0.0], "a"), (1, [2.0, 0.0, 0.0], "b"), (100, rows[0][1], "c")]
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string").repartition(4), every=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    e = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows]
+    want = {}
+    for i, v in set(e):
+        if i % 10 == 0:
+            want.setdefault(i, []).extend((-int(np.dot(v, w)), j) for j, w in e if j != i and len(w) == len(v))
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(k + 1, j, -s) for k, (s, j) in enumerate(sorted(x)[:5])] for q, x in want.items()}
+
+
+def test_annuli_of_one_pivot():
+    pivot, r = np.array([0] * 300 + [1] * 2), np.concatenate((np.arange(300.0), [5.0, 6.0]))
+    from gridweave.llm import topk
+
+    assert topk.annuli(pivot, r) == [(0, 256), (256, 300), (300, 302)] and topk.annuli(pivot[:0], r[:0]) == []
+
+
 def tune(seed, n=64):
     return A.tones(np.random.default_rng(seed).integers(0, 36, n))
 
