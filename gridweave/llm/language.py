@@ -15,16 +15,27 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from gridweave.llm.shared import held, saved, slices
+
+
+def _numerals(last: int) -> str:
+    """What re counts as part of a word though it is neither a letter nor a decimal digit: fractions, superscripts, Roman numerals."""
+    return "".join(c for c in map(chr, range(last)) if c.isnumeric() and not (c.isalpha() or c.isdecimal()))
 
-from gridweave.llm.shared import saved, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Such numerals, rare in texts, and a quick way to see that there may be some.
+_NUMERALS = re.compile(f"[{_numerals(sys.maxunicode + 1)}]+")
+_MAYBE = re.compile(f"[{_numerals(1 << 16)}\U00010000-\U0010ffff]")
 START = "▁"
 #: Probability of a character that is no piece, in every language, and of a piece that a language never needed, in counts.
 UNKNOWN, SMOOTHING = 1e-7, 0.01
@@ -32,6 +43,8 @@ UNKNOWN, SMOOTHING = 1e-7, 0.01
 LIFT = 12.0
 #: Words whose scores a task keeps, the first it meets; texts scored together.
 KEPT_WORDS, TOGETHER = 1 << 17, 512
+#: Longer words are gone through one by one, place by place.
+LONG = 256
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -96,6 +109,65 @@ class Pieces:
             out.update(((k, k + size), found[k]) for k in np.nonzero(used)[0].tolist())
         return out
 
+    def found(self, word: str) -> np.ndarray:
+        """(start, size - 1): the piece of a word that starts there and has this size, 0 if none."""
+        points = self.points([word])[:, 0]
+        n, h = len(points), np.zeros(len(points), np.uint64)
+        out = np.zeros((n, self.longest), np.int32)
+        for size in range(1, min(n, self.longest) + 1):
+            h = self._more(h[: n - size + 1], points[size - 1 :])
+            out[: n - size + 1, size - 1] = self._look(h)
+        out[out[:, 0] == 0, 0] = 1
+        return out
+
+    def long_forward(self, word: str, p: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        """The logs of a word's last forward sums by language, in windows of the longest piece: its length costs no memory."""
+        last, logs = np.zeros((self.longest, p.shape[1])), np.zeros(p.shape[1])
+        last[-1] = 1  # sums of the places before, the nearest last
+        for k in range(0, len(word), step):
+            around = word[max(0, k - self.longest + 1) : k + step]
+            ahead, found = k - max(0, k - self.longest + 1), self.found(around)
+            for e in range(ahead, len(around)):
+                sizes = np.arange(1, min(self.longest, e + 1) + 1)
+                now = (last[-sizes] * p[found[e + 1 - sizes, sizes - 1]]).sum(axis=0)
+                last[:-1] = last[1:]
+                last[-1] = now
+                if e % 32 == 0:
+                    top = np.maximum(now, 1e-250)
+                    last /= top
+                    logs += np.log(top)
+        return np.log(np.maximum(last[-1], 1e-300)) + logs - len(word) * np.log(LIFT)
+
+    def long_counts(self, word: str, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in all segmentations of one long word; p is of one language and lifted."""
+        n, found = len(word), self.found(word)
+        chances, total = np.where(found > 0, p[found], 0.0), np.zeros(self.size)
+        a, b, up, down = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+        a[0] = b[n] = 1
+
+        def near_one(x, logs, at, low, high):
+            top = max(x[at], 1e-250)
+            x[low:high] /= top
+            logs[low:high] += np.log(top)
+
+        # Scaled sums and the logs of their scales; sums that meet in one step have one scale.
+        for e in range(1, n + 1):
+            sizes = np.arange(1, min(self.longest, e) + 1)
+            a[e], up[e] = (a[e - sizes] * chances[e - sizes, sizes - 1]).sum(), up[e - 1]
+            if e % 32 == 0:
+                near_one(a, up, e, max(0, e - self.longest), e + 1)
+        for s in range(n - 1, -1, -1):
+            sizes = np.arange(1, min(self.longest, n - s) + 1)
+            b[s], down[s] = (b[s + sizes] * chances[s, sizes - 1]).sum(), down[s + 1]
+            if s % 32 == 0:
+                near_one(b, down, s, s, min(n, s + self.longest) + 1)
+        whole = np.log(max(a[n], 1e-300)) + up[n]
+        for size in range(1, self.longest + 1):
+            at = np.nonzero(found[: n - size + 1, size - 1])[0]
+            use = a[at] * chances[at, size - 1] * b[at + size] * np.exp(up[at] + down[at + size] - whole)
+            total += np.bincount(found[at, size - 1], use, self.size)
+        return total
+
     def lifted(self, p: np.ndarray) -> np.ndarray:
         """Probabilities (pieces, languages) times LIFT for each character."""
         return p * LIFT ** self.lengths[:, None]
@@ -137,14 +209,12 @@ class Scorer:
         out, marked = np.zeros((len(words), self._p.shape[1])), [START + w for w in words]
         for at in _by_length(marked):
             own = [marked[k] for k in at]
+            if len(own[0]) > LONG:
+                out[at] = [self.pieces.long_forward(w, self._p) for w in own]
+                continue
             out[at] = self.pieces.forward(self.pieces.edges(own), len(own[0]), self._p, len(own))[1]
         return out
 
-    def forget(self) -> None:
-        """Drops the kept scores, at the end of a task: a worker may go on with other work."""
-        self._place.clear()
-        self._kept = np.zeros((1024, self._p.shape[1]))
-
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the sums over its words; nan without words."""
         units, place = [words_of(t) for t in texts], self._place
@@ -166,7 +236,12 @@ class Scorer:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The runs of letters of a text in lower case."""
+    low = text.lower() if text else ""
+    words = _WORD.findall(low)
+    if not low.isascii() and _MAYBE.search(low):
+        words = [part for w in words for part in _NUMERALS.split(w) if part]
+    return words
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -189,8 +264,10 @@ def expected_counts(pieces: Pieces, words: list[str], n: np.ndarray, p: np.ndarr
     for at in _by_length(marked):
         own, weight = [marked[k] for k in at], n[at].astype(float)
         size = len(own[0])
-        if size > 64:
-            continue  # longer runs of letters than words have teach nothing
+        if size > LONG:
+            for w, times in zip(own, weight, strict=True):
+                total += times * pieces.long_counts(w, lifted[:, 0])
+            continue
         edges = pieces.edges(own)
         a, b = np.zeros((size + 1, len(own))), np.zeros((size + 1, len(own)))
         a[0] = b[size] = 1
@@ -210,9 +287,11 @@ def fit(rows: DataFrame, model_file: str, rows_per_lang: int = 1500, rounds: int
     At most about ``rows_per_lang`` rows of each language teach: those whose
     hashed id is below the share that this bound is of the language's rows.
     """
-    known = rows.where("lang is not null and text is not null")
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_lang)) / F.count("*")).alias("share"))
-    picked = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    sizes = rows.where("lang is not null").groupBy("lang").count().collect()
+    hashed, picked = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)), F.lit(False)
+    for r in sizes:  # a table of languages is as small as the model itself
+        picked = picked | ((F.col("lang") == r["lang"]) & (hashed < min(1.0, rows_per_lang / r["count"]) * 1_000_000))
+    picked = rows.where(picked & F.col("text").isNotNull())
     counts = saved(_word_counts(picked), "words")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     size = Pieces(model_file).size
@@ -241,22 +320,18 @@ def fit(rows: DataFrame, model_file: str, rows_per_lang: int = 1500, rounds: int
     return langs, p
 
 
-_scorers: dict[tuple[str, bytes], Scorer] = {}
-
-
 def predict(rows: DataFrame, model_file: str, langs: list[str], p: np.ndarray, text_col: str = "text") -> DataFrame:
     """rows with _lang_pred and _score besides."""
-    given, names = p.astype(np.float64).tobytes(), list(rows.columns)
-    key = (model_file, hashlib.sha256(given).digest())
+    given, names = p.astype(np.float64).tobytes(), [*rows.columns, "_lang_pred", "_score"]
+    key = ("scorer", model_file, hashlib.sha256(given).digest())
 
     def run(batches):
-        if langs and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model_file, np.frombuffer(given).reshape(-1, len(langs)))
+        if langs:
+            scorer = held(key, lambda: Scorer(model_file, np.frombuffer(given).reshape(-1, len(langs))))
         for b in slices(batches, TOGETHER):
             texts = b.column(text_col).to_pylist()
             if langs:
-                logs = _scorers[key].texts(texts)
+                logs = scorer.texts(texts)
                 none = np.isnan(logs[:, 0])
                 logs[none] = 0
                 top = logs.argmax(axis=1)
@@ -265,12 +340,9 @@ def predict(rows: DataFrame, model_file: str, langs: list[str], p: np.ndarray, t
                 sure = np.where(none, 0.0, share)
             else:
                 best, sure = ["und"] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], [*names, "_lang_pred", "_score"])
-        if langs:
-            _scorers[key].forget()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], names)
 
-    given_types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{given_types}, _lang_pred string, _score double")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -287,10 +359,10 @@ def identify_rows(
     null or without letters gets ``und`` with score 0, and so does every text
     where no row teaches. The score is the probability of the language among
     those learned; at a tie the first by code point wins. Repeated rows get
-    repeated answers; an empty table gives no rows.
+    repeated answers; an empty table gives no rows. Columns that the table has
+    under the two added names are replaced; other columns stay as they are.
     """
-    if {"_lang_pred", "_score"} & set(df.columns):
-        raise ValueError("the table has columns named _lang_pred or _score")
+    df = df.drop("_lang_pred", "_score")
     doc_id = F.col(f"`{id_col}`")
     known = df.where(~held_out(doc_id)).select(
         doc_id.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")

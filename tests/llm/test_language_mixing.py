@@ -86,6 +86,100 @@ def test_mix_takes_the_targets(docs, corpus):
     assert sorted((str(r.doc_id), r._copies) for r in rows) == sorted((str(r.doc_id), r._copies) for r in mixed(docs.repartition(5)).collect())
 
 
+def test_clashing_columns_and_many_null_ids(spark):
+    rows = [(None, f"words of text {k % 40}", "a", 1, "p") for k in range(200)] + [(k, "one two", "b", 2, "q") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, _null string").selectExpr("*", "'old' as _size")
+    got = mixed(df).collect()
+    assert len(got) == len(rows) and all(r._size in (2, 4) and r._null == {1: "p", 2: "q"}[r._n] for r in got)
+    again = mixed(df.repartition(7), texts=False)
+    assert "text" not in again.columns
+    assert sorted((str(r.doc_id), r._copies) for r in again.collect()) == sorted((str(r.doc_id), r._copies) for r in got)
+
+
 def test_emitted_rows(docs, empty):
     assert emitted(docs).count() == sum(r._copies for r in mixed(docs).collect())
     assert emitted(docs).columns == docs.columns and emitted(empty).count() == 0
+
+
+def vocabulary():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    plain = [k for k in range(model.get_piece_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
+    return {w: k + 2 for k, w in enumerate(sorted({model.id_to_piece(k) for k in plain}))}
+
+
+def segmentations(word, known):
+    """All ways to cut a word into pieces, with row 1 for a character that is none."""
+    if not word:
+        yield []
+    for e in range(1, len(word) + 1):
+        row = known.get(word[:e], 1 if e == 1 else None)
+        if row is not None:
+            for rest in segmentations(word[e:], known):
+                yield [row, *rest]
+
+
+def brute_counts(words, n, p, known):
+    total = np.zeros(len(known) + 2)
+    for word, times in zip(words, n, strict=True):
+        ways = list(segmentations(L.START + word, known))
+        chances = np.array([math.prod(p[k] for k in way) for way in ways])
+        for way, share in zip(ways, chances / chances.sum(), strict=True):
+            np.add.at(total, way, times * share)
+    return total
+
+
+@pytest.mark.parametrize("long", [2, 256])
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch, long):
+    monkeypatch.setattr(L, "LONG", long)
+    known, pieces = vocabulary(), L.Pieces(MODEL)
+    assert pieces.size == len(known) + 2
+    p = np.random.default_rng(2).random(pieces.size) / pieces.size
+    p[0], p[1] = 0, L.UNKNOWN
+    words, n = ["the", "houses", "ß漢x", "a", "und"], np.array([3, 1, 2, 5, 4])
+    assert L.expected_counts(pieces, words, n, p) == pytest.approx(brute_counts(words, n, p, known), rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("size", [300, 5000])
+def test_long_words(size):
+    pieces, rng = L.Pieces(MODEL), random.Random(size)
+    p = np.random.default_rng(1).random((pieces.size, 2)) / pieces.size
+    p[0], p[1] = 0, L.UNKNOWN
+    word, lifted = L.START + "".join(rng.choices("abcdeß漢", k=size)), pieces.lifted(p)
+    want = [pieces.forward(pieces.edges([word]), len(word), lifted[:, [k]], 1)[1][0, 0] for k in (0, 1)]
+    assert pieces.long_forward(word, lifted) == pytest.approx(want, rel=1e-9)
+    assert pieces.long_forward(word, lifted, step=64) == pytest.approx(want, rel=1e-9)
+    counts = pieces.long_counts(word, lifted[:, 0])
+    # Each segmentation covers every character once.
+    assert (counts * pieces.lengths).sum() == pytest.approx(len(word), rel=1e-6)
+
+
+def test_learning_is_the_same_as_by_hand(spark):
+    known = vocabulary()
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the house the", "en"), ("das haus", "de"), ("a house", "en"), ("ein", "de"), ("½ x²", "en")] * 3)]
+    langs, p = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL, rounds=2)
+    assert langs == ["de", "en"]
+    for k, lang in enumerate(langs):
+        q = np.full(len(known) + 2, 1 / (len(known) + 2))
+        words = defaultdict(int)
+        for _, text, own in rows:
+            if own == lang:
+                for w in text.replace("½", " ").replace("²", " ").split():
+                    words[w] += 1
+        for _ in range(2):
+            q[0], q[1] = 0, L.UNKNOWN
+            q, n = np.full(len(known) + 2, L.SMOOTHING), brute_counts(list(words), list(words.values()), q, known)
+            q += n
+            q[:2] = 0
+            q /= q.sum()
+        q[1] = L.UNKNOWN
+        assert p[:, k] == pytest.approx(q, rel=1e-6, abs=1e-15)
+
+
+def test_numerals_are_no_letters_and_clashing_columns(spark, speech):
+    df, _ = speech
+    more = df.unionByName(spark.createDataFrame([(950, "½ ² Ⅷ ³ 一", None), (951, "½ ² Ⅷ ³ ①", None)], df.schema)).selectExpr("*", "1 as _score", "'x' as _lang_pred", "2 as `n`")
+    got = {r.doc_id: r for r in L.identify_rows(more, MODEL).collect()}
+    assert got[951]._lang_pred == "und" and got[951]._score == 0.0 and got[951].n == 2
+    assert got[950]._lang_pred != "und"
