@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridweave.llm.shared import saved
+from gridweave.llm.shared import free_names, saved
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -74,51 +74,58 @@ def mixed(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
     seed: str = "mix",
+    texts: bool = True,
 ) -> DataFrame:
-    """The rows of df with _size, _source_size, _target and _copies besides.
+    """The rows of df with _size, _source_size, _target and _copies besides; without ``texts`` the text column is left out.
 
     _copies says how often the mix takes the row, 0 to ``most`` times. Null
     sources are one source, the last. Null and wordless texts have size 0:
     they are taken as often as others and add nothing; a source of such texts
     alone has the target 0 and none of its rows is taken. Rows with the same
-    id, null ids among them, stand next to each other and count as rows of
-    their own. An empty table gives no rows. Reruns take the same copies.
+    id stand next to each other and count as rows of their own; those with a
+    null id stand by their texts. An empty table gives no rows. Reruns take
+    the same copies. Columns that the table has under the added names are
+    replaced.
     """
-    used = {"_null", "_source", "_hash", "_class", "_content", "_part", "_ahead", "_place", *ADDED} & set(df.columns)
-    if used:
-        raise ValueError(f"the table has columns named {sorted(used)}")
-    text, source, size = F.col(f"`{text_col}`"), F.col(f"`{source_col}`"), F.col("_size")
-    # A source as two columns without nulls, to group, sort and join by.
-    own = {"_null": source.isNull(), "_source": F.coalesce(source.cast("string"), F.lit(""))}
-    rows = df.withColumn("_size", word_count(text)).withColumns(own)
-
-    known = saved(rows.groupBy("_null", "_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    df = df.drop(*ADDED)
+    null, name, hashed, klass, content, part, place, ahead, n = free_names(
+        df, "_null", "_source", "_hash", "_class", "_content", "_part", "_place", "_ahead", "_n"
+    )
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
+    names = [c for c in df.columns if texts or c != text_col]
+    # What the steps need of a text is worked out in one pass; a source is two columns without nulls, to group, sort and join by.
+    who = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), text, F.lit("")))
+    rows = df.select(
+        *(F.col(f"`{c}`") for c in names), word_count(text).alias("_size"), F.xxhash64(text).alias(content), who.alias(hashed),
+        source.isNull().alias(null), F.coalesce(source.cast("string"), F.lit("")).alias(name),
+    )
+    rows = saved(rows, "sizes")
+
+    known = saved(rows.groupBy(F.col(null).alias("_null"), F.col(name).alias("_source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")), "sources")
     largest = known.agg(F.max("rows")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, largest / BUCKET_ROWS), 16)))
     goal = targets(known, weights, most).select(
-        "_null", "_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("_null").alias(null), F.col("_source").alias(name), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
     )
 
-    hashed = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    rows = rows.withColumns({"_hash": hashed, "_class": size_class(size), "_content": F.xxhash64(text)})
-    rows = rows.withColumn("_part", F.substring("_hash", 1, digits))
-    bucket = ["_null", "_source", "_class", "_part"]
-    ahead = W.partitionBy("_null", "_source").orderBy("_class", "_part").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy(*bucket).agg(F.count("*").alias("_n"))
-    counts = counts.select(*bucket, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    within = W.partitionBy(*bucket).orderBy("_hash", F.col(f"`{id_col}`"), "_content")
-    rows = rows.join(counts, bucket).withColumn("_place", F.col("_ahead") + F.row_number().over(within))
+    rows = rows.withColumns({klass: size_class(F.col("_size")), part: F.substring(hashed, 1, digits)})
+    bucket = [null, name, klass, part]
+    before = W.partitionBy(null, name).orderBy(klass, part).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*bucket).agg(F.count("*").alias(n))
+    counts = counts.select(*bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    within = W.partitionBy(*bucket).orderBy(hashed, F.col(f"`{id_col}`"), content)
+    rows = rows.join(counts, bucket).withColumn(place, F.col(ahead) + F.row_number().over(within))
 
     rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(most)))).otherwise(0.0)
-    key = F.concat(F.lit(f"{seed}:"), F.when(F.col("_null"), "-").otherwise(F.concat(F.lit("+"), F.col("_source"))))
+    key = F.concat(F.lit(f"{seed}:"), F.when(F.col(null), "-").otherwise(F.concat(F.lit("+"), F.col(name))))
     offset = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    crossed = F.floor(F.col("_place") * rate + offset) - F.floor((F.col("_place") - 1) * rate + offset)
-    out = rows.join(goal, ["_null", "_source"]).withColumn("_copies", crossed.cast("int"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), *ADDED)
+    crossed = F.floor(F.col(place) * rate + offset) - F.floor((F.col(place) - 1) * rate + offset)
+    out = rows.join(goal, [null, name]).withColumn("_copies", crossed.cast("int"))
+    return out.select(*(F.col(f"`{c}`") for c in names), *ADDED)
 
 
 def emitted(df: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of df, each as often as it is taken."""
     rows = mixed(df, **options).where("_copies > 0")
-    names = [F.col(f"`{c}`") for c in df.columns]
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)
+    names, (copy,) = [F.col(f"`{c}`") for c in df.columns if c not in ADDED], free_names(df, "_copy")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)

@@ -66,7 +66,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixed(table(spark, sf_dir, "documents"))
+    mix = mixed(table(spark, sf_dir, "documents"), texts=False)
     return mix.select(
         "doc_id",
         F.col("_size").alias("size"),
@@ -100,7 +100,7 @@ with sized as (
     ('0x' || substr(md5('mix:' || coalesce('+' || d.source, '-')), 1, 12))::bigint / (1::bigint << 48)::double as shift,
     row_number() over (partition by d.source order by
       length(bin(size)) * 8 + floor(size / pow(2.0, greatest(length(bin(size)) - 4, 0)))::bigint % 8,
-      md5(coalesce(doc_id::varchar, '')), doc_id) as place
+      md5(coalesce(doc_id::varchar, text, '')), doc_id) as place
   from sized d join goal g on d.source is not distinct from g.source
 )
 select doc_id, size, source_size, target,
