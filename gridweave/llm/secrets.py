@@ -4,13 +4,17 @@ All of it is SQL functions. Long tokens without white space are candidates.
 An encoding is inferred for each (hex, base32, base64), and its characters
 are tested as digits of that encoding: chi-squared uniformity over the
 alphabet, the runs test about the middle digit, and lag-one serial
-correlation. A token that one of them rejects is no random string.
-
-To find the random ones among ordinary text, the null hypothesis is text: few
-changes of character class and repeated characters as in prose. Its p-values
-go through false-discovery control by length class, since short tokens come
-by chance far more often than long ones. The control needs only counts of
-p-values in bins.
+correlation.
+
+The battery decides in two directions, each under false-discovery control of
+its own by length class, since short tokens say little and come by chance far
+more often than long ones. The least of the three p-values of randomness,
+times three, finds tokens that are no random strings; these are dropped. What
+stays must also be found to be no text: the same three statistics are held
+against what prose gives (repeated characters, runs of character classes,
+correlation), and their sum has a p-value. A token is a span if text is
+rejected and randomness is not. The controls need only counts of p-values in
+bins.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ _SEARCH = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{16,}", "hex":
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: A test of the battery rejects below this; the share of false discoveries allowed.
-REJECT, FALSE_SHARE = 0.001, 0.01
+#: The share of false discoveries allowed in either direction.
+FALSE_SHARE = 0.01
 #: Bins of -log10(p), in quarters.
 BINS = 80
-#: In prose: chance that two characters agree, that three do, and that the class changes.
-_AGREE, _AGREE3, _CHANGE = 0.066, 0.0062, 0.15
+#: In prose: chance that two characters agree, that three do, that the class changes, and the serial correlation of digits about the middle.
+_AGREE, _AGREE3, _CHANGE, _SERIAL = 0.066, 0.0062, 0.15, 0.36
 
 
 def _sql(text: str) -> str:
@@ -73,7 +77,7 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """p-values of tokens (column token): p_chi, p_runs, p_serial of randomness and p_text of prose."""
+    """p-values of tokens (column token): p_chi, p_runs, p_serial of randomness, p_random of all three, and p_text of prose."""
     x = tokens.withColumn("_t", F.regexp_replace("token", "=+$", "")).withColumn("_n", F.length("_t").cast("double"))
     code = F.when(F.lower("_t").rlike("^[0-9a-f]+$") & ((F.lower("_t") == F.col("_t")) | (F.upper("_t") == F.col("_t"))), "hex")
     x = x.withColumn("encoding", code.when(F.col("_t").rlike("^[A-Z2-7]+$"), "base32").otherwise("base64"))
@@ -108,29 +112,39 @@ def battery(tokens: DataFrame) -> DataFrame:
     )
     changes = (F.col("_class") - _CHANGE * (n - 1)) / F.sqrt(_CHANGE * (1 - _CHANGE) * (n - 1))
     agree = (F.col("_same") / (n * (n - 1)) - _AGREE) / F.sqrt(2 * _AGREE * (1 - _AGREE) / (n * (n - 1)) + 4 * (_AGREE3 - _AGREE**2) / n)
-    serial = F.when(F.col("_sq") > 0, F.abs(F.col("_lag")) / F.col("_sq") * F.sqrt(n)).otherwise(F.lit(99.0))
+    ratio = F.when(F.col("_sq") > 0, F.col("_lag") / F.col("_sq")).otherwise(F.lit(99.0))
+    less = F.greatest((_SERIAL - ratio) * F.sqrt(n), F.lit(-99.0))
     found = x.withColumns(
         {
             "p_chi": upper_tail(cube),
             "p_runs": 2 * upper_tail(F.abs(runs - mean) / spread),
-            "p_serial": 2 * upper_tail(serial),
-            "p_text": upper_tail((changes - agree) / 2**0.5),
+            "p_serial": 2 * upper_tail(F.abs(ratio) * F.sqrt(n)),
+            "p_text": upper_tail((changes - agree + less) / 3**0.5),
         }
     )
-    return found.select(*tokens.columns, "encoding", "p_chi", "p_runs", "p_serial", "p_text")
+    found = found.withColumn("p_random", F.least(3 * F.least("p_chi", "p_runs", "p_serial"), F.lit(1.0)))
+    return found.select(*tokens.columns, "encoding", "p_chi", "p_runs", "p_serial", "p_random", "p_text")
+
+
+def _bin(p: str) -> Column:
+    """The bin of -log10(p), in quarters."""
+    return F.least(F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(BINS)).cast("int")
 
 
-def discoveries(tested: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
-    """For each length class the least bin of -log10(p_text) that counts as a discovery.
+def discoveries(tested: DataFrame, column: str, share: float = FALSE_SHARE) -> Column:
+    """Whether a row's bin (column) of -log10(p) is a discovery in its length class (klass).
 
     Benjamini and Hochberg's rule on binned p-values, taken at the upper end
     of their bin. There are as many classes as bits in the longest length.
     """
-    counts = tested.groupBy("klass", "bin").agg(F.count("*").alias("n"))
+    counts = tested.groupBy("klass", F.col(column).alias("bin")).agg(F.count("*").alias("n"))
     down = W.partitionBy("klass").orderBy(F.col("bin").desc())
     ranked = counts.withColumns({"rank": F.sum("n").over(down), "all": F.sum("n").over(W.partitionBy("klass"))})
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 4) <= share * F.col("rank") / F.col("all"))
-    return {r["klass"]: r["bin"] for r in passed.groupBy("klass").agg(F.min("bin").alias("bin")).collect()}
+    found = F.lit(False)
+    for r in passed.groupBy("klass").agg(F.min("bin").alias("bin")).collect():
+        found = F.when(F.col("klass") == r["klass"], F.col(column) >= r["bin"]).otherwise(found)
+    return found
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
@@ -157,15 +171,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: f
     tested = battery(tokens).select(
         "row", "start", "end",
         F.length(F.bin(F.col("end") - F.col("start"))).alias("klass"),
-        F.least(F.floor(-4 * F.log10(F.greatest("p_text", F.lit(1e-300)))), F.lit(BINS)).cast("int").alias("bin"),
-        (F.least("p_chi", "p_runs", "p_serial") >= REJECT).alias("random"),
+        _bin("p_text").alias("no_text"),
+        _bin("p_random").alias("no_random"),
     )
     tested = saved(tested, "tested")
-    limits = discoveries(tested, share)
-    limit = F.lit(None).cast("int")
-    for klass, least in limits.items():
-        limit = F.when(F.col("klass") == klass, least).otherwise(limit)
-    added = tested.where(F.col("random") & (F.col("bin") >= limit)).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("random"))
+    secret = discoveries(tested, "no_text", share) & ~discoveries(tested, "no_random", share)
+    added = tested.where(secret).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("random"))
 
     x = found.join(added, "row", "left").withColumn("random", F.expr("coalesce(random, array())"))
     named = lambda k, i: f"transform({k}, s -> named_struct('start', s.start, 'kind', {i}, 'text', concat_ws(':', '{k}', s.start, s.end)))"
