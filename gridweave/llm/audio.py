@@ -4,8 +4,10 @@ A recording (16-bit mono samples in a binary column) becomes frames of twelve
 pitch classes. Filters over the integral image of these frames compare sums
 of rectangles; each gives two bits, and sixteen of them one packed integer a
 frame. Recordings with the same integers form a class. Queries meet other
-classes at equal integers; the histogram of offsets between the places finds
-alignments, and the share of differing bits over the overlap confirms them.
+classes at equal integers, looked up where an integer differs from the one
+before; the histogram of offsets between the places finds candidates, in which
+a sustained integer counts by its frames too, and the share of differing bits
+over the overlap decides among all of a pair's candidates.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gridweave.llm.shared import saved
+from gridweave.llm.shared import parts, saved, slices
 
 #: Samples a second, of a frame, and from one frame to the next.
 RATE, FRAME, HOP = 4000, 1024, 256
 #: Frequencies that have a pitch class.
 LOWEST, HIGHEST = 60.0, 1800.0
-#: Equal integers at one offset that make a candidate, and the share of bits that may differ.
-LEAST_VOTES, MOST_ERRORS = 3, 0.25
+#: Equal changes at one offset, or frames that such integers last in both, that make a candidate, and the share of bits that may differ.
+LEAST_VOTES, LEAST_FRAMES, MOST_ERRORS = 3, 16, 0.25
 FILTERS = [(k % 6, (5 * k) % 12, 1 + k % 4, 2 + 2 * (k % 7)) for k in range(16)]
 #: Edges between a filter's four values, as the difference of two sums of logarithms per cell.
 EDGES = np.array([-0.8, 0.0, 0.8])
@@ -97,12 +99,12 @@ def recordings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """rec_id, pcm: each vector played as a melody, a note a component, silence for null and non-finite ones; null vectors give null."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             pcm = []
             for v in b.column("v").to_pylist():
                 x = np.array([np.nan if c is None else c for c in v or ()], float)
                 good = np.isfinite(x)
-                notes = np.floor(np.clip(np.where(good, x, 0.0), -8, 8) * 96).astype(int) % 36
+                notes = np.mod(np.floor(np.where(good, x, 0.0) * 96), 36).astype(int)
                 wave = tones(notes)
                 wave[np.repeat(~good, HOP)] = 0
                 pcm.append(None if v is None else wave.tobytes())
@@ -113,11 +115,11 @@ def recordings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def fingerprinted(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", rate: int = RATE) -> DataFrame:
-    """rec_id, n_codes, codes (4 bytes each), codes_crc32, of each recording."""
+    """rec_id, n_codes, codes (4 bytes each), codes_crc32, of each recording. A last byte that makes no sample is left out."""
 
     def run(batches):
-        for b in batches:
-            codes = [np.empty(0, np.uint32) if p is None else fingerprint(np.frombuffer(p, "<i2"), rate) for p in b.column("pcm").to_pylist()]
+        for b in parts(batches, "pcm", 1 << 23, 256):
+            codes = [np.empty(0, np.uint32) if p is None else fingerprint(np.frombuffer(p, "<i2", len(p) // 2), rate) for p in b.column("pcm").to_pylist()]
             raw = [c.astype("<u4").tobytes() for c in codes]
             yield pa.RecordBatch.from_arrays(
                 [b.column("rec_id"), pa.array([len(c) for c in codes], pa.int32()), pa.array(raw, pa.binary()), pa.array(list(map(zlib.crc32, raw)), pa.int64())],
@@ -129,23 +131,21 @@ def fingerprinted(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", r
 
 
 def _changes(classes: DataFrame) -> DataFrame:
-    """class_id, code, at: the places where a recording's integer differs from the one before."""
+    """class_id, code, at, n: the places where a recording's integer differs from the one before, and how many frames it lasts."""
 
     def run(batches):
-        for b in batches:
-            who, code, at = [], [], []
+        for b in slices(batches):
+            flat = [np.empty((0, 4), np.int64)]
             for i, raw in enumerate(b.column("codes").to_pylist()):
                 c = np.frombuffer(raw, "<u4")
                 places = np.nonzero(np.concatenate(([True], c[1:] != c[:-1])))[0] if len(c) else np.empty(0, np.int64)
-                who.append(np.full(len(places), i))
-                code.append(c[places].astype(np.int64))
-                at.append(places)
-            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (who, code, at)]
+                flat.append(np.column_stack((np.full(len(places), i), c[places].astype(np.int64), places, np.diff(np.append(places, len(c))))))
+            who, code, at, n = np.concatenate(flat).T
             yield pa.RecordBatch.from_arrays(
-                [b.column("class_id").take(pa.array(flat[0].astype(np.int64))), pa.array(flat[1]), pa.array(flat[2].astype(np.int32))], ["class_id", "code", "at"]
+                [b.column("class_id").take(pa.array(who.copy())), pa.array(code.copy()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["class_id", "code", "at", "n"]
             )
 
-    return classes.select("class_id", "codes").mapInArrow(run, "class_id long, code long, at int")
+    return classes.select("class_id", "codes").mapInArrow(run, "class_id long, code long, at int, n int")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -155,33 +155,42 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return n, int(np.bitwise_count(x[:n] ^ y[:n]).sum())
 
 
-def aligned(classes: DataFrame, queries: DataFrame, least_votes: int = LEAST_VOTES, most_errors: float = MOST_ERRORS) -> DataFrame:
+def aligned(
+    classes: DataFrame, queries: DataFrame, least_votes: int = LEAST_VOTES, most_errors: float = MOST_ERRORS, least_frames: int = LEAST_FRAMES
+) -> DataFrame:
     """query_class, class_id, offset, votes, overlap, errors of the classes that align with a query class.
 
-    The offset with most votes counts (of equal ones the nearest to 0, then
-    the smaller), and it has to have ``least_votes``.
+    Every offset with ``least_votes`` equal changes or ``least_frames`` frames
+    of such integers is a candidate. Of a pair's candidates whose bits differ
+    by ``most_errors`` at most the one with most votes counts; of equal ones
+    the nearest to 0, then the smaller.
     """
     places = saved(_changes(classes), "places")
-    asked = places.join(queries.select(F.col("class_id")), "class_id", "left_semi").select(F.col("class_id").alias("query_class"), "code", F.col("at").alias("q"))
+    asked = places.join(queries.select(F.col("class_id")), "class_id", "left_semi").select(F.col("class_id").alias("query_class"), "code", F.col("at").alias("q"), F.col("n").alias("m"))
     met = asked.join(places, "code").where("query_class <> class_id")
-    votes = met.groupBy("query_class", "class_id", (F.col("q") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("x")
-    top = votes.where(F.col("votes") >= least_votes).groupBy("query_class", "class_id").agg(best).select("query_class", "class_id", "x.offset", "x.votes")
+    votes = met.groupBy("query_class", "class_id", (F.col("q") - F.col("at")).alias("offset")).agg(
+        F.count("*").alias("votes"), F.sum(F.least("n", "m")).alias("frames")
+    )
+    enough = votes.where((F.col("votes") >= least_votes) | (F.col("frames") >= least_frames))
+    tried = enough.groupBy("query_class", "class_id").agg(F.collect_list(F.struct("offset", "votes")).alias("tried"))
     codes = classes.select("class_id", "codes")
-    both = top.join(codes, "class_id").join(codes.select(F.col("class_id").alias("query_class"), F.col("codes").alias("asked")), "query_class")
+    both = tried.join(codes, "class_id").join(codes.select(F.col("class_id").alias("query_class"), F.col("codes").alias("asked")), "query_class")
 
     def run(batches):
-        for b in batches:
-            n, e = [], []
-            for x, y, o in zip(b.column("asked").to_pylist(), b.column("codes").to_pylist(), b.column("offset").to_pylist(), strict=True):
-                found = bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o)
-                n.append(found[0])
-                e.append(found[1])
-            rows = pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("query_class", "class_id", "offset", "votes")), pa.array(n, pa.int32()), pa.array(e, pa.int32())],
-                ["query_class", "class_id", "offset", "votes", "overlap", "errors"],
+        for b in slices(batches):
+            rows = []
+            for who, other, x, y, offsets in zip(*(b.column(c).to_pylist() for c in ("query_class", "class_id", "asked", "codes", "tried")), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                for o in sorted(offsets, key=lambda o: (-o["votes"], abs(o["offset"]), o["offset"])):
+                    n, errors = bit_errors(x, y, o["offset"])
+                    if errors <= most_errors * 32 * n:
+                        rows.append((who, other, o["offset"], o["votes"], n, errors))
+                        break
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_class", "class_id", "offset", "votes", "overlap", "errors"]
             )
-            yield rows.filter(pa.array([k <= most_errors * 32 * m for k, m in zip(e, n, strict=True)], pa.bool_()))
 
     return both.mapInArrow(run, "query_class long, class_id long, offset int, votes long, overlap int, errors int")
 
@@ -193,8 +202,8 @@ def matches(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every:
     divisible by ``every`` are the queries; alignments (class_id, offset in
     frames, votes, overlap, errors) stand with the class of a query, on the
     row of its least id, and are null elsewhere. Too short, null and empty
-    recordings have no integers, no class and no alignments; null ids come
-    back without a class; repeated rows repeat. An empty table gives no rows.
+    recordings have no integers, no class and no alignments; a last odd byte is
+    no sample; null ids come back without a class; repeated rows repeat. An empty table gives no rows.
     """
     every_one = saved(fingerprinted(df, id_col, pcm_col, rate), "codes")
     named = every_one.where("rec_id is not null and n_codes > 0")
