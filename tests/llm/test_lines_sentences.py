@@ -1,8 +1,9 @@
 import random
-from collections import defaultdict
+import time
 
 import pytest
 
+from gridweave.llm import sentences as S
 from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.sentences import sentences, without_repeated_spans
 
@@ -52,41 +53,71 @@ def test_empty_tables(empty):
     assert without_repeated_lines(empty).count() == 0 and without_repeated_spans(empty).count() == 0
 
 
-def brute_spans(rows, width=2, least=8):
+def brute_spans(rows, width, least):
     seen, out = set(), {}
     for i, t in documents(rows):
         parts = sentences(t)
-        at, gone = [k for k, s in enumerate(parts) if s.split()], set()
-        for k in range(len(at)):
-            run, j = [], k
-            while j < len(at) and (j - k < width or len(run) < least):
-                run, j = run + parts[at[j]].split(), j + 1
-            if len(run) >= least and (j - k >= width or len(at) < width):
-                span = range(at[k], at[j] if j < len(at) else len(parts))
-                if tuple(run) in seen:
-                    gone.update(span)
-                seen.add(tuple(run))
-        out[i, t] = "".join(p for k, p in enumerate(parts) if k not in gone), len(gone)
+        words = [S._WORD.findall(p) for p in parts]
+        runs, size, n = set(), list(map(len, words)), len(parts)
+        for k in range(n):
+            total = 0
+            for z in range(k, n):
+                total += size[z]
+                if total >= least and z + 1 - k >= width:
+                    runs.add((k, z + 1))
+                    break
+            total = 0
+            for x in range(k, -1, -1):
+                total += size[x]
+                if total >= least and k + 1 - x >= width:
+                    runs.add((x, k + 1))
+                    break
+        if 0 < len(parts) < width and sum(map(len, words)) >= least:
+            runs.add((0, len(parts)))
+        gone, own = set(), set()
+        for a, z in sorted(runs):
+            said = tuple(w.strip() for p in words[a:z] for w in p)
+            if said in seen or said in own:
+                gone.update(range(a, z))
+            own.add(said)
+        seen |= own
+        out[i, t] = "".join(p for k, p in enumerate(parts) if k not in gone) if parts else t, len(gone)
     return out
 
 
-def test_spans(docs, corpus):
-    want, by_key = brute_spans(corpus), {r[6]: r for r in corpus}
-    for r in without_repeated_spans(docs).collect():
+@pytest.mark.parametrize("width, least", [(2, 8), (2, 25), (3, 1), (1, 5)])
+def test_spans(docs, corpus, width, least):
+    want, by_key = brute_spans(corpus, width, least), {r[6]: r for r in corpus}
+    for r in without_repeated_spans(docs, width=width, least_words=least).collect():
         old = by_key[r["key"]]
-        assert (r.text is None) if old[1] is None else (r.text, r._n_removed) == want[old[0], old[1]]
+        assert (r.text is None) if old[1] is None else (r.text, r._n_removed, r._n_sentences) == (*want[old[0], old[1]], len(sentences(old[1])))
+
+
+def test_what_a_sentence_is():
+    assert sentences('One two. "Three four!" Five... six\nseven  eight?\n\n nine') == ["One two. ", '"Three four!" ', "Five... ", "six\n", "seven  eight?\n\n ", "nine"]
+    assert sentences("  \n a.b c。漢字。かな x") == ["  \n a.b c。", "漢字。", "かな x"]
+    assert sentences(" \n\t") == [] and sentences("") == []
+    long = " ".join(f"w{k}" for k in range(20)) + ", " + " ".join(f"v{k}" for k in range(20)) + "."
+    assert sentences(long) == [long[: long.index(",") + 2], long[long.index(",") + 2 :]]
+
+
+def test_runs_of_marks_take_linear_time():
+    start = time.perf_counter()
+    for text in ("." * 200_000 + "x", "a" + "!" * 200_000, ". " * 100_000 + "x", "\n" * 200_000, "word " * 100_000):
+        assert "".join(sentences(text)) == (text if text.strip() else "")
+    assert time.perf_counter() - start < 10
 
 
 def test_shared_passage_goes_from_later_documents(spark):
     passage = "The first of these says a thing. The second goes on about it at length. A third closes the case for good."
     rows = [(k, f"Opening number {k} is quite unlike others here. {passage} Ending {k} says what no other does.") for k in range(5)]
-    got = {r.doc_id: r.text for r in without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), least_words=8).collect()}
     assert got[0] == rows[0][1] and all(passage not in got[k] and f"Opening number {k}" in got[k] and f"Ending {k}" in got[k] for k in range(1, 5))
 
 
 def test_sentences_are_the_text(corpus):
     for r in corpus:
-        assert "".join(sentences(r[1] or "")) == (r[1] or "")
+        assert "".join(sentences(r[1] or "")) == (r[1] or "") or not r[1].strip()
 
 
 def brute_maximal_lines(rows, least):
@@ -131,3 +162,13 @@ def test_long_passages_without_marks(spark):
         left = set(got[k].split())
         assert not left & set(whole.split()) and len(left & set(inside.split())) <= 16
         assert set(rows[k][1].split()) - set(whole.split()) - set(inside.split()) - set(f"{whole}.".split()) <= left
+
+
+def test_ids_with_several_texts_and_clashing_columns(spark):
+    said = "One sentence of this passage has some words in it. Another one follows it and has even more words. The last one ends what all of them say."
+    rows = [(None, f"Null first here. {said}", "x"), (None, f"Null again there. {said}", "x"), (7, f"Seven. {said}", "y"), (7, f"Also seven. {said}", "y"), (7, f"Seven. {said}", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d string").selectExpr("*", "5 as `_runs`", "1 as _n_removed")
+    got = without_repeated_spans(df).collect()
+    assert all(r._runs == 5 and r._d == ("x" if r.doc_id is None else "y") for r in got)
+    whole = {r.text for r in got if said in r.text}
+    assert len(whole) == 1 and {r.doc_id for r in got if said in r.text} == {7} and all(r._n_removed == 3 for r in got if said not in r.text)
