@@ -77,13 +77,13 @@ def feature_comparison(generated: DataFrame, reference: DataFrame, names: list[s
 def closest_by_features(generated: DataFrame, training: DataFrame, names: list[str]) -> DataFrame:
     """For each generated row (id) the nearest training row in standardized features; ties to the smaller id.
 
-    Training fields are a bounded library of descriptors, so they are sent to
-    every task by Spark's own choice of a nested-loop broadcast.
+    Training fields are a bounded library of descriptors, sent to every task
+    after a check of its size.
     """
     stats = training.agg(*(F.stddev_samp(n).alias(f"s_{n}") for n in names))
     t = training.select(F.col("id").alias("train_id"), *(F.col(n).alias(f"t_{n}") for n in names)).join(F.broadcast(stats))
     square = sum((((F.col(n) - F.col(f"t_{n}")) / F.col(f"s_{n}")) ** 2 for n in names), F.lit(0.0))
-    near = generated.join(t).select("id", "train_id", F.sqrt(square).alias("distance"))
+    near = generated.join(bounded(t)).select("id", "train_id", F.sqrt(square).alias("distance"))
     best = F.min(F.struct(F.round("distance", 12).alias("distance"), F.col("train_id"))).alias("x")
     return near.groupBy("id").agg(best).select("id", "x.train_id", "x.distance")
 
@@ -96,11 +96,51 @@ def probe_covariance(fields: DataFrame, probes: list[tuple[int, int]]) -> DataFr
     return wide.agg(each.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def pairwise_rms(fields: DataFrame) -> DataFrame:
-    """a, b, rms distance of all pairs of a bounded set of draws."""
-    other = fields.select(F.col("sample_id").alias("b"), "row", "col", F.col("value").alias("other"))
-    d = F.col("value") - F.col("other")
-    return fields.join(other, ["row", "col"]).where("sample_id < b").groupBy(F.col("sample_id").alias("a"), "b").agg(F.sqrt(F.avg(d * d)).alias("rms"))
+#: Draws that a block of pairs has of either side, and rows that a library sent to every task may have.
+PAIR_BLOCK, LIBRARY = 512, 100_000
+
+
+def pairwise_rms(fields: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """a, b (a < b), rms distance over the cells that both have, of all pairs of draws.
+
+    Draws are dealt into blocks, and each pair of blocks is one product of
+    matrices, so a task holds two blocks of draws at a time. The result has a
+    row for each pair: that is what is asked for.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cells = F.collect_list(F.struct("row", "col", F.col("value").cast("double").alias("value"))).alias("cells")
+    draws = fields.where("value is not null").groupBy("sample_id").agg(cells)
+    blocks = max(1, math.ceil(fields.select("sample_id").distinct().count() / block))
+    own = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
+    dealt = draws.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("sample_id", "cells", "own", F.least("own", "o").alias("g"), F.greatest("own", "o").alias("h"))
+
+    def run(key, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("sample_id")
+        places = {p: k for k, p in enumerate(sorted({(c["row"], c["col"]) for cs in x["cells"] for c in cs}))}
+        values, known = np.zeros((len(x), len(places))), np.zeros((len(x), len(places)))
+        for i, cs in enumerate(x["cells"]):
+            at = [places[c["row"], c["col"]] for c in cs]
+            values[i, at], known[i, at] = [c["value"] for c in cs], 1.0
+        ids, own = x["sample_id"].to_numpy(), x["own"].to_numpy()
+        left, right = np.nonzero(own == key[0])[0], np.nonzero(own == key[1])[0]
+        squares = (values * values)[left] @ known[right].T + known[left] @ (values * values)[right].T - 2 * values[left] @ values[right].T
+        both = known[left] @ known[right].T
+        i, j = np.nonzero((both > 0) & ((ids[left][:, None] < ids[right]) if key[0] == key[1] else np.ones(both.shape, bool)))
+        a, b = ids[left][i], ids[right][j]
+        rms = np.sqrt(np.maximum(squares[i, j], 0) / both[i, j])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "rms": rms})
+
+    return dealt.groupBy("g", "h").applyInPandas(run, "a long, b long, rms double")
+
+
+def bounded(library: DataFrame, most: int = LIBRARY) -> DataFrame:
+    """A table to be sent to every task, after a check of its size."""
+    if library.limit(most + 1).count() > most:
+        raise ValueError(f"a table that every task needs whole has more than {most} rows")
+    return F.broadcast(library)
 
 
 def criteria(df: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -191,7 +231,7 @@ def knots(df: DataFrame, count: int) -> DataFrame:
 def simple_kriging_mean(queries: DataFrame, weights: DataFrame, mean: float, length: float) -> DataFrame:
     """id and posterior mean: mean + sum of weight times covariance (exponential) over observations.
 
-    Observations are few (their system was solved densely), queries are many.
+    Observations are few (their system was solved densely), which is checked; queries are many.
     """
     d = F.sqrt((F.col("x_m") - F.col("ox")) * (F.col("x_m") - F.col("ox")) + (F.col("y_m") - F.col("oy")) * (F.col("y_m") - F.col("oy")))
-    return queries.join(F.broadcast(weights)).groupBy("id").agg((F.lit(mean) + F.sum(F.col("alpha") * F.exp(-d / length))).alias("mean"))
+    return queries.join(bounded(weights)).groupBy("id").agg((F.lit(mean) + F.sum(F.col("alpha") * F.exp(-d / length))).alias("mean"))

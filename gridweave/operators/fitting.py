@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gridweave.operators.spatial import block_key
+from gridweave.operators.spatial import block_key, buffered_training
 from gridweave.randomfield.fields import Kriging, kernel
 
 FAMILIES = ("exponential", "gaussian", "matern32")
@@ -114,9 +114,40 @@ def block_size(points: DataFrame, per_block: int) -> float:
     return whole if share >= 1 else max(math.sqrt(width * height * share), whole * share)
 
 
-def local_kriging(points: DataFrame, observed: DataFrame, sigma: float, length: float, mean: float | None = None, nugget: float = 0.0, per_block: int = 40, least: int = 16) -> DataFrame:
+def universal_prediction(
+    at: np.ndarray, y: np.ndarray, noise: np.ndarray, x: np.ndarray, sigma: float, length: float, family: str = "exponential", trend: str = "linear"
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance at x of a field with a constant or linear trend, whose coefficients are estimated too.
+
+    The variance is that of the noise-free field, with the uncertainty of the
+    trend. Coordinates of the trend are centred and scaled. With fewer
+    observations than a linear trend needs the trend is constant.
+    """
+    middle, scale = at.mean(axis=0), max(float(np.abs(at - at.mean(axis=0)).max()), 1e-9)
+
+    def design(p):
+        flat = np.ones((len(p), 1))
+        return np.column_stack((flat, (p - middle) / scale)) if trend == "linear" and len(at) > 3 else flat
+
+    cov = lambda a, b: sigma * sigma * kernel(np.hypot(a[:, :1] - b[:, 0], a[:, 1:] - b[:, 1]) / length, family)
+    lower = np.linalg.cholesky(cov(at, at) + np.diag(noise) + 1e-10 * sigma * sigma * np.eye(len(at)))
+    f, z = np.linalg.solve(lower, design(at)), np.linalg.solve(lower, y)
+    inner = np.linalg.pinv(f.T @ f, hermitian=True)
+    beta = inner @ f.T @ z
+    w = np.linalg.solve(lower, cov(at, x))
+    rest = design(x) - w.T @ f
+    mean = design(x) @ beta + w.T @ (z - f @ beta)
+    return mean, np.maximum(sigma * sigma - (w * w).sum(axis=0) + ((rest @ inner) * rest).sum(axis=1), 0)
+
+
+def local_kriging(
+    points: DataFrame, observed: DataFrame, sigma: float = 1.0, length: float = 1.0, mean: float | None = None, nugget: float = 0.0, per_block: int = 40, least: int = 16,
+    models: list[dict] | None = None,
+) -> DataFrame:
     """id, mean, variance of points (id, x_m, y_m), kriged from all observations (x_m, y_m, value) of the blocks around.
 
+    ``models`` (dicts of model, sigma, length, nugget, family, trend) gives a row for each point and model instead, by ``universal_prediction``.
+
     Observations at one place are one with their mean and a part of the
     nugget, which is the same system. A block of points takes the observations
     of its own block and the eight around it; where these are fewer than
@@ -160,18 +191,127 @@ def local_kriging(points: DataFrame, observed: DataFrame, sigma: float, length:
     targets = own.join(placed, ["bx", "by"]).select("id", "x_m", "y_m", *keys)
     used = used.join(placed.select(*keys).distinct(), keys, "left_semi").select(*(F.col(c).alias(c if c == "n" else f"_{c}") for c in used.columns))
 
+    names = ["model", "id", "mean", "variance"] if models else ["id", "mean", "variance"]
+
+    def several(x: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        at, y, n, to = seen[["_x_m", "_y_m"]].to_numpy(float), seen["_value"].to_numpy(float), seen["n"].to_numpy(float), x[["x_m", "y_m"]].to_numpy(float)
+        out = []
+        for m in models:
+            for k in range(0, len(to), 4096):
+                found = universal_prediction(at, y, m["nugget"] / n, to[k : k + 4096], m["sigma"], m["length"], m["family"], m["trend"])
+                out.append(pd.DataFrame({"model": m["model"], "id": x["id"].to_numpy()[k : k + 4096], "mean": found[0], "variance": found[1]}))
+        return pd.concat(out)
+
     def solve(key, x: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"id": [], "mean": [], "variance": []})
+        if not len(x) or models and not len(seen):
+            return pd.DataFrame({c: [] for c in names})
         if not len(seen):
             return pd.DataFrame({"id": x["id"], "mean": mean, "variance": sigma * sigma if mean is not None else None})
         seen = seen.sort_values(["_x_m", "_y_m"])
+        if models:
+            return several(x, seen)
         model = Kriging.fit(seen[["_x_m", "_y_m"]], seen["_value"], sigma, length, mean, nugget / seen["n"].to_numpy(float))
         at = x[["x_m", "y_m"]].to_numpy(float)
         parts = [model.predict(at[k : k + 4096]) for k in range(0, len(at), 4096)]
         return pd.DataFrame({"id": x["id"], "mean": np.concatenate([m for m, _ in parts]), "variance": np.concatenate([v for _, v in parts])})
 
-    return targets.groupBy(*keys).cogroup(used.groupBy(*(f"_{k}" for k in keys))).applyInPandas(solve, "id long, mean double, variance double")
+    return targets.groupBy(*keys).cogroup(used.groupBy(*(f"_{k}" for k in keys))).applyInPandas(solve, ("model string, " if models else "") + "id long, mean double, variance double")
+
+
+def model_cross_validation(folded: DataFrame, folds: int, models: list[dict], size: float, buffer_m: float = 0.0) -> DataFrame:
+    """model, fold, block, id, truth, mean, std of points (id, x_m, y_m, value, bx, by, fold) by each model.
+
+    A fold is kriged from the points of the others that stand at least
+    ``buffer_m`` from its blocks. The standard deviation is that of a reading.
+    """
+    out, noise = None, F.create_map(*(F.lit(x) for m in models for x in (m["model"], float(m["nugget"]))))
+    for k in range(folds):
+        test = folded.where(F.col("fold") == k)
+        train = folded.where(F.col("fold") != k)
+        if buffer_m > 0:
+            train = buffered_training(train.drop("bx", "by"), test.select("bx", "by").distinct(), size, buffer_m)
+        found = local_kriging(test, train, models=models).join(test.select("id", "fold", "bx", "by", F.col("value").alias("truth")), "id")
+        found = found.select("model", "fold", F.concat_ws("/", "bx", "by").alias("block"), "id", "truth", "mean", F.sqrt(F.col("variance") + noise[F.col("model")]).alias("std"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def reml_search(points: DataFrame, rounds: int = 4) -> DataFrame:
+    """sigma, length, nugget, likelihood: the best of a grid of candidates that is refined about the best so far.
+
+    All 27 candidates of a round are scored in one job, block by block; only
+    their likelihoods pass the driver.
+    """
+    e = points.agg(F.stddev_samp("value").alias("sd"), F.max("x_m") - F.min("x_m"), F.max("y_m") - F.min("y_m")).first()
+    sd, extent = e[0] or 1.0, max(e[1] or 0, e[2] or 0, 1.0)
+    at, step, best = (sd, extent / 10, 0.1 * sd * sd), 4.0, None
+    for _ in range(rounds):
+        candidates = [(at[0] * a, at[1] * b, at[2] * c) for a in (1 / step, 1.0, step) for b in (1 / step, 1.0, step) for c in (1 / step, 1.0, step)]
+        found = block_covariance_scores(points, candidates).collect()
+        best = max([*found, *([best] if best else [])], key=lambda r: r["likelihood"])
+        at, step = (best["sigma"], best["length"], best["nugget"]), math.sqrt(step)
+    return points.sparkSession.createDataFrame([(*at, best["likelihood"])], "sigma double, length double, nugget double, likelihood double")
+
+
+def mean_correlation(height: int, width: int, along: float, across: float, angle: float) -> float:
+    """The mean Matern-3/2 correlation of two cells of a grid, both taken at random."""
+    i, j = np.arange(1 - height, height), np.arange(1 - width, width)
+    weight = np.outer(height - np.abs(i), width - np.abs(j)) / (height * width) ** 2
+    return float((weight * kernel(rotated_lag(i[:, None], j[None], along, across, angle), "matern32")).sum())
+
+
+def rotated_lag(dy, dx, along: float, across: float, angle: float):
+    """Lags in units of the two lengths, of which the first lies at an angle from the x axis."""
+    u, v = dx * np.cos(angle) + dy * np.sin(angle), dy * np.cos(angle) - dx * np.sin(angle)
+    return np.hypot(u / along, v / across)
+
+
+def structural_fit(curve: DataFrame, variance: float, height: int, width: int) -> DataFrame:
+    """nugget, sill, along, across, angle, rmse of a curve (dy, dx, gamma, pairs): a rotated anisotropic Matern-3/2 model.
+
+    Fitted in logarithms of the semivariance. A finite domain shows less than
+    the sill: the variance seen is nugget + sill * (1 - mean correlation).
+    Lengths end at four sides of the grid. A curve has a few bins a direction, which pass the driver.
+    """
+    rows = curve.where("gamma > 0").collect()
+    dy, dx, gamma, pairs = (np.array([float(r[c]) for r in rows]) for c in ("dy", "dx", "gamma", "pairs"))
+    weight = np.sqrt(pairs / pairs.sum())
+
+    def parts(p):
+        share, along, across = 1 / (1 + math.exp(-np.clip(p[0], -30, 30))), *np.exp(np.clip(p[1:3], math.log(0.1), math.log(4 * max(height, width))))
+        sill = variance * (1 - share) / max(1 - mean_correlation(height, width, along, across, p[3]), 1e-6)
+        return variance * share, sill, along, across
+
+    def residual(p):
+        nugget, sill, along, across = parts(p)
+        return weight * (np.log(nugget + sill * (1 - kernel(rotated_lag(dy, dx, along, across, p[3]), "matern32")) + 1e-12) - np.log(gamma))
+
+    starts = [[s, math.log(a), math.log(b), t] for s in (-3.0, 0.0) for a, b in ((2.0, 2.0), (4.0, 1.5)) for t in (0.0, math.pi / 4, math.pi / 2, 3 * math.pi / 4)]
+    best = min((least_squares(residual, np.array(x)) for x in starts), key=lambda p: float(residual(p) @ residual(p)))
+    nugget, sill, along, across = parts(best)
+    angle = best[3]
+    if along < across:
+        along, across, angle = across, along, angle + math.pi / 2
+    row = (nugget, sill, along, across, float(angle % math.pi), float(np.sqrt(residual(best) @ residual(best))))
+    return curve.sparkSession.createDataFrame([tuple(map(float, row))], "nugget double, sill double, along double, across double, angle double, rmse double")
+
+
+def block_condition(points: DataFrame, length: float, per_block: int = 200) -> DataFrame:
+    """bx, by, n, condition of the correlation matrices of blocks of about so many points; repeated places count once.
+
+    Kriging solves systems of this size, so these are the numbers that tell
+    whether it can. Up to nine blocks' points are one block: the whole matrix.
+    """
+    places = points.select("x_m", "y_m").distinct()
+    count = places.count()
+    keyed = block_key(places, block_size(places, per_block if count > 9 * per_block else max(count, 1)), *(places.agg(F.min("x_m"), F.min("y_m")).first() if count else (0.0, 0.0)))
+
+    def run(key, x: pd.DataFrame) -> pd.DataFrame:
+        at = x.sort_values(["x_m", "y_m"])[["x_m", "y_m"]].to_numpy(float)
+        value = np.linalg.eigvalsh(np.exp(-np.hypot(at[:, :1] - at[:, 0], at[:, 1:] - at[:, 1]) / length))
+        return pd.DataFrame([(*key, len(at), float(value[-1] / max(value[0], 1e-12 * value[-1])))], columns=["bx", "by", "n", "condition"])
+
+    return keyed.groupBy("bx", "by").applyInPandas(run, "bx int, by int, n long, condition double")
 
 
 def local_cross_validation(points: DataFrame, folds: int, sigma: float, length: float, nugget: float) -> DataFrame:

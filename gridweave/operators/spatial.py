@@ -165,14 +165,37 @@ def domain_by_count(points: DataFrame, window: float, step: float) -> DataFrame:
 
 
 def nearest_distance(test: DataFrame, train: DataFrame) -> DataFrame:
-    """id and the distance to the nearest training point.
+    """id and the distance to the nearest training point; null coordinates have none and training points without one don't count.
 
-    The training side of a study is a bounded set of measurements: each test
-    block meets it through a broadcast that Spark sizes, or a nested loop.
+    Points meet in blocks. A distance found in the nine blocks around a point
+    is right if it is no longer than a block's side; points without such a
+    one look again in blocks of four times the side.
     """
-    t = train.select(F.col("x_m").alias("x2"), F.col("y_m").alias("y2"))
-    d = F.sqrt((F.col("x_m") - F.col("x2")) * (F.col("x_m") - F.col("x2")) + (F.col("y_m") - F.col("y2")) * (F.col("y_m") - F.col("y2")))
-    return test.join(t).groupBy("id").agg(F.min(d).alias("distance"))
+    place = ["x_m", "y_m"]
+    train = train.select(*(F.col(c).alias(f"_{c}") for c in place)).where("_x_m is not null and _y_m is not null").distinct()
+    ends = [f(c) for c in ("_x_m", "_y_m") for f in (F.min, F.max)]
+    n, *edges = train.agg(F.count("*"), *ends).first()
+    every = test.select("id", *place)
+    if not n:
+        return every.where("false").select("id", F.lit(0.0).alias("distance"))
+    far = every.agg(*(f(c) for c in place for f in (F.min, F.max))).first()
+    lows, highs = ([min(x for x in (edges[k], far[k]) if x is not None) for k in (0, 2)], [max(x for x in (edges[k], far[k]) if x is not None) for k in (1, 3)])
+    longest = math.hypot(highs[0] - lows[0], highs[1] - lows[1]) + 1e-9
+    size = max(longest / math.sqrt(n), longest * 1e-6)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left, out = every.where("x_m is not null and y_m is not null").distinct(), None
+    while True:
+        block = lambda c, s=size: F.floor(F.col(c) / s)
+        known = train.withColumns({"bx": block("_x_m"), "by": block("_y_m")})
+        asked = left.withColumns({"o": around, "cx": block("x_m"), "cy": block("y_m")}).select("id", *place, (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
+        d = F.sqrt((F.col("x_m") - F.col("_x_m")) * (F.col("x_m") - F.col("_x_m")) + (F.col("y_m") - F.col("_y_m")) * (F.col("y_m") - F.col("_y_m")))
+        found = asked.join(known, ["bx", "by"]).groupBy("id", *place).agg(F.min(d).alias("distance")).where(F.col("distance") <= size).persist()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("id", *place), ["id", *place], "left_anti")
+        if size > longest or left.isEmpty():
+            break
+        size *= 4
+    return every.select("id").distinct().join(out.groupBy("id").agg(F.min("distance").alias("distance")), "id", "left")
 
 
 def unordered(a: Column, b: Column) -> Column:

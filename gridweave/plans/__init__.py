@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cells", "samples", "scalars", "summaries", "spatial", "measurements", "scoring", "distributions", "randomfields", "studies")
+MODULES = ("cells", "samples", "scalars", "summaries", "spatial", "measurements", "scoring", "distributions", "randomfields", "studies", "steps")
 
 
 def _all():

@@ -25,7 +25,7 @@ def risk_and_statistics(v):
     return C.risk_and_statistics(v.temperature, BACKGROUND, 0.5)
 
 
-for _name in ("field_statistics", "field_statistics_accumulator"):
+for _name in ("field_statistics",):
 
     @query(_name, f"-- doubles: mean variance std min max\nselect row, col, {_STATS} from fields_long group by row, col", "fields_long")
     def field_statistics(v):
@@ -35,7 +35,7 @@ for _name in ("field_statistics", "field_statistics_accumulator"):
 _EXCEED = f"""-- doubles: threshold probability
 select threshold, row, col, avg(((value - {BACKGROUND})::float >= threshold::float)::double) as probability
 from temperature, (select unnest([0.1, 0.5])::double as threshold) group by all"""
-for _name in ("exceedance_probability", "exceedance_accumulator"):
+for _name in ("exceedance_probability",):
 
     @query(_name, _EXCEED, "temperature")
     def exceedance_probability(v):
@@ -151,12 +151,12 @@ def scan_cellid_reorder(v):
 
 @query(
     "diagnostic_tee",
-    "-- doubles: value\nselect sample_id, row, col, value from fields_long where sample_id < 4",
+    "-- doubles: value\nselect sample_id, row, col, value from fields_long",
     "fields_long",
 )
 def diagnostic_tee(v):
     """Rows pass through unchanged; counts can be read from the observation."""
-    return G.guarded(v.fields_long.where("sample_id < 4"))
+    return G.guarded(v.fields_long)
 
 
 @query("scan_empirical_fields", "-- doubles: value\nselect sample_id, row, col, value from fields_long", "fields_long")
@@ -164,8 +164,12 @@ def scan_empirical_fields(v):
     return v.fields_long
 
 
-for _name in ("source_empirical_sampler", "limit_ordered_prefix"):
+@query("source_empirical_sampler", "-- doubles: value\nselect sample_id, row, col, log10(value) as value from permeability", "permeability")
+def source_empirical_sampler(v):
+    return G.guarded(v.permeability, positive=True).withColumn("value", F.log10("value"))
 
-    @query(_name, "-- doubles: value\nselect sample_id, row, col, log10(value) as value from permeability where sample_id < 100", "permeability")
-    def limit_ordered_prefix(v):
-        return G.guarded(v.permeability.where("sample_id < 100"), positive=True).withColumn("value", F.log10("value"))
+
+@query("limit_ordered_prefix", "-- doubles: value\nselect sample_id, row, col, value from permeability where sample_id < 100", "permeability")
+def limit_ordered_prefix(v):
+    """The first samples in their order, as many as a budget allows: the limit is the operator."""
+    return v.permeability.where("sample_id < 100")

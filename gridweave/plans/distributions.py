@@ -8,7 +8,7 @@ from gridweave.functions import scalars as S
 from gridweave.operators import distributions as D, samples
 from gridweave.plans.registry import query
 
-for _name in ("wasserstein_1d", "ensemble_fidelity"):
+for _name in ("wasserstein_1d",):
 
     @query(
         _name,
@@ -40,7 +40,7 @@ def ecdf_at_edges(v):
     return D.ecdf(v.fields_long, [-0.2, 0.0, 0.2], ("row", "col"))
 
 
-for _name in ("marginal_validation", "marginal_accumulator"):
+for _name in ("marginal_validation",):
 
     @query(
         _name,
@@ -68,7 +68,7 @@ def _features(v):
     return samples.field_features(v.fields_long, 1.0).withColumnRenamed("sample_id", "id")
 
 
-for _name in ("feature_reference", "training_profile"):
+for _name in ("feature_reference",):
 
     @query(
         _name,
@@ -79,7 +79,7 @@ for _name in ("feature_reference", "training_profile"):
         return D.feature_reference(_features(v), _F)
 
 
-for _name in ("feature_comparison", "training_compat", "reference_comparison"):
+for _name in ("feature_comparison",):
 
     @query(
         _name,
@@ -130,18 +130,18 @@ def probe_prefix_convergence(v):
     return wide.join(F.broadcast(v.budgets), F.col("sample_id") < F.col("budget")).groupBy("budget").agg(F.covar_samp("p0", "p1").alias("c01"), F.count("*").alias("n"))
 
 
-_RMS = "select a.sample_id as a, b.sample_id as b, sqrt(avg((a.value - b.value) * (a.value - b.value))) as rms from fields_long a join fields_long b on a.row = b.row and a.col = b.col and a.sample_id < b.sample_id where b.sample_id < 40 group by all"
+_RMS = "select a.sample_id as a, b.sample_id as b, sqrt(avg((a.value - b.value) * (a.value - b.value))) as rms from fields_long a join fields_long b on a.row = b.row and a.col = b.col and a.sample_id < b.sample_id group by all"
 
 
 @query("pairwise_rms", "-- doubles: rms\n" + _RMS, "fields_long")
 def pairwise_rms(v):
-    return D.pairwise_rms(v.fields_long.where("sample_id < 40"))
+    return D.pairwise_rms(v.fields_long)
 
 
-@query("pair_rms_checkpoints", f"-- doubles: median_rms max_rms\nselect n, median(rms) as median_rms, max(rms) as max_rms from ({_RMS}), (select unnest([10, 20, 40])::int as n) where b < n group by n", "fields_long")
+@query("pair_rms_checkpoints", f"-- doubles: median_rms max_rms\nselect n, median(rms) as median_rms, max(rms) as max_rms from ({_RMS}), (select unnest([10, 40, 160]) as n union all select max(sample_id) + 1 from fields_long) where b < n group by n", "fields_long")
 def pair_rms_checkpoints(v):
-    rms = D.pairwise_rms(v.fields_long.where("sample_id < 40"))
-    marks = v.rows([(10,), (20,), (40,)], "n int")
+    rms = D.pairwise_rms(v.fields_long)
+    marks = v.rows([(10,), (40,), (160,)], "n long").union(v.fields_long.agg((F.max("sample_id") + 1).alias("n")))
     return rms.join(F.broadcast(marks), F.col("b") < F.col("n")).groupBy("n").agg(F.median("rms").alias("median_rms"), F.max("rms").alias("max_rms"))
 
 
@@ -226,13 +226,13 @@ def kl_mode_select(v):
     return D.energy_modes(line, line, 0.9)
 
 
-@query("kl_variance", "-- doubles: variance\nselect row, col, sum(value * value * (1.0 / (1 + sample_id))) as variance from fields_long where sample_id < 20 group by row, col", "fields_long")
+@query("kl_variance", "-- doubles: variance\nselect row, col, sum(value * value * (1.0 / (1 + sample_id))) as variance from fields_long group by row, col", "fields_long")
 def kl_variance(v):
     """Retained variance of a cell: squared modes times their energies; fields stand for modes."""
-    return v.fields_long.where("sample_id < 20").groupBy("row", "col").agg(F.sum(F.col("value") * F.col("value") / (1 + F.col("sample_id"))).alias("variance"))
+    return v.fields_long.groupBy("row", "col").agg(F.sum(F.col("value") * F.col("value") / (1 + F.col("sample_id"))).alias("variance"))
 
 
-for _name in ("normal_score_fit", "normal_score_diagnostics"):
+for _name in ("normal_score_fit",):
 
     @query(_name, "-- doubles: value p\nselect k::int as k, (k + 0.5) / 20 as p, (select quantile_cont(value, (k + 0.5) / 20) from log_k) as value from range(20) t(k)".replace("(select quantile_cont(value, (k + 0.5) / 20) from log_k)", "qs[k + 1]").replace("from range(20) t(k)", "from range(20) t(k), (select quantile_cont(value, [" + ", ".join(str((i + 0.5) / 20) for i in range(20)) + "]) as qs from log_k)"), "log_k")
     def normal_score_fit(v):
@@ -243,16 +243,16 @@ _KNOTS = [(-9.6, -2.0), (-9.4, -0.8), (-9.2, 0.8), (-9.0, 2.0)]
 _TO = "case when value <= -9.6 then -2.0 when value <= -9.4 then -2 + (value + 9.6) * 6.0 when value <= -9.2 then -0.8 + (value + 9.4) * 8.0 when value <= -9.0 then 0.8 + (value + 9.2) * 6.0 else 2.0 end"
 
 
-@query("normal_score_to", f"-- doubles: z\nselect sample_id, row, col, {_TO} as z from log_k where sample_id < 50", "log_k", digits=5)
+@query("normal_score_to", f"-- doubles: z\nselect sample_id, row, col, {_TO} as z from log_k", "log_k", digits=5)
 def normal_score_to(v):
-    return v.log_k.where("sample_id < 50").select("sample_id", "row", "col", S.interpolated(F.col("value"), _KNOTS).alias("z"))
+    return v.log_k.select("sample_id", "row", "col", S.interpolated(F.col("value"), _KNOTS).alias("z"))
 
 
-for _name in ("normal_score_from", "normal_score_local_std"):
+for _name in ("normal_score_from",):
 
-    @query(_name, f"-- doubles: y\nselect sample_id, row, col, case when z <= -2 then -9.6 when z <= -0.8 then -9.6 + (z + 2) / 6.0 when z <= 0.8 then -9.4 + (z + 0.8) / 8.0 when z <= 2 then -9.2 + (z - 0.8) / 6.0 else -9.0 end as y from (select sample_id, row, col, {_TO} as z from log_k where sample_id < 50)", "log_k", digits=5)
+    @query(_name, f"-- doubles: y\nselect sample_id, row, col, case when z <= -2 then -9.6 when z <= -0.8 then -9.6 + (z + 2) / 6.0 when z <= 0.8 then -9.4 + (z + 0.8) / 8.0 when z <= 2 then -9.2 + (z - 0.8) / 6.0 else -9.0 end as y from (select sample_id, row, col, {_TO} as z from log_k)", "log_k", digits=5)
     def normal_score_from(v):
-        z = v.log_k.where("sample_id < 50").withColumn("z", S.interpolated(F.col("value"), _KNOTS))
+        z = v.log_k.withColumn("z", S.interpolated(F.col("value"), _KNOTS))
         return z.select("sample_id", "row", "col", S.interpolated(F.col("z"), [(b, a) for a, b in _KNOTS]).alias("y"))
 
 
@@ -261,15 +261,15 @@ for _name in ("simple_kriging_grid",):
     @query(
         _name,
         """-- doubles: mean
-        select q.id, -0.4 + sum(o.log10_k / 10 * exp(-sqrt((q.x_m - o.x_m) * (q.x_m - o.x_m) + (q.y_m - o.y_m) * (q.y_m - o.y_m)) / 900)) as mean from points q, good_points o where o.id % 50 = 0 group by q.id""",
+        select q.id, -0.4 + sum(o.log10_k / 10 * exp(-sqrt((q.x_m - o.x_m) * (q.x_m - o.x_m) + (q.y_m - o.y_m) * (q.y_m - o.y_m)) / 900)) as mean from points q, good_points o group by q.id""",
         "good_points",
     )
     def simple_kriging_grid(v):
-        weights = v.good_points.where("id % 50 = 0").select(F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), (F.col("log10_k") / 10).alias("alpha"))
+        weights = v.good_points.select(F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), (F.col("log10_k") / 10).alias("alpha"))
         return D.simple_kriging_mean(v.points, weights, -0.4, 900.0)
 
 
-for _name in ("mc_propagate", "callable_surrogate"):
+for _name in ("mc_propagate",):
 
     @query(_name, "-- doubles: mean std\nselect row, col, avg(t) as mean, stddev_samp(t) as std from (select row, col, 10.6 + 4 * exp(log10(value) + 9.3) as t from permeability) group by row, col", "permeability")
     def mc_propagate(v):
@@ -285,7 +285,7 @@ def _parts(v):
 
 
 _PARTS = 'm as (select p_brand as model, round(avg(p_retailprice), 6) as score, min(p_size) as "order" from part group by p_brand)'
-for _name in ("sort_candidates_by_rmse", "rank_covariances", "rank_screen"):
+for _name in ("sort_candidates_by_rmse", "rank_covariances"):
 
     @query(_name, f'-- doubles: score\nwith {_PARTS} select model, score, row_number() over (order by score, "order", model)::int as rank from m')
     def sort_candidates(v):
@@ -297,7 +297,7 @@ def argmin_model(v):
     return _parts(v).agg(F.min_by("model", F.struct("score", "order", "model")).alias("model"))
 
 
-for _name in ("topk_coarse_matches", "rank_fit_windows"):
+for _name in ("topk_coarse_matches",):
 
     @query(_name, "select * from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_size, p_partkey)::int as rank from part) where rank <= 3")
     def topk_per_group(v):
@@ -305,7 +305,7 @@ for _name in ("topk_coarse_matches", "rank_fit_windows"):
         return v.table("part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
 
-for _name in ("measurement_prefix", "lhs_select"):
+for _name in ("measurement_prefix",):
 
     @query(_name, "select position, p_partkey from (select row_number() over (order by p_partkey)::int as position, p_partkey from part) where position <= 64")
     def measurement_prefix(v):
@@ -319,13 +319,13 @@ for _name, _take in (("even_midpoint_sample", "floor(0.5 * (floor(i * 2000 / 50.
         return v.spark.range(50).select(F.least(F.expr(take.replace("i", "id").replace("mid", "mi")), F.lit(1999)).cast("bigint").alias("position"))
 
 
-for _name in ("historical_window", "historical_reconstruct"):
+for _name in ("historical_window",):
 
-    @query(_name, "-- doubles: value\nselect sample_id, (6 - col)::int as row, (row - 1)::int as col, log10(pow(10.0, value) * 7.5e6) as value from fields_long where row between 1 and 6 and col between 1 and 6 and sample_id < 50", "fields_long")
+    @query(_name, "-- doubles: value\nselect sample_id, (6 - col)::int as row, (row - 1)::int as col, log10(pow(10.0, value) * 7.5e6) as value from fields_long where row between 1 and 6 and col between 1 and 6", "fields_long")
     def historical_window(v):
         """A window turned by 90 degrees, converted by the historical divisor."""
         from gridweave.operators.spatial import orient
 
-        w = v.fields_long.where("row between 1 and 6 and col between 1 and 6 and sample_id < 50").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
+        w = v.fields_long.where("row between 1 and 6 and col between 1 and 6").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
         turned = orient(w, "transpose_flip_y", 6, 6)
         return turned.select("sample_id", "row", "col", F.log10(F.pow(F.lit(10.0), "value") * S.HISTORICAL_DIVISOR).alias("value"))

@@ -132,7 +132,7 @@ def join_channel_stats(v):
 
 
 _SPLIT = "case when i % 10 = 7 then 'validation' when i % 10 = 3 then 'test' else 'train' end"
-for _name in ("join_order_index_to_run", "training_split"):
+for _name in ("join_order_index_to_run",):
 
     @query(_name, f"select i as position, run, {_SPLIT} as part from (select row_number() over (order by p_partkey) - 1 as i, p_partkey as run from part where p_partkey % 2 = 0)")
     def training_split(v):

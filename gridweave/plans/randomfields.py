@@ -46,7 +46,7 @@ def kl_map(v):
     return R.to_long(_expansion().map(_xi(v)), 8)
 
 
-for _name in ("kl_conditional", "kl_conditional_points"):
+for _name in ("kl_conditional",):
 
     @query(_name)
     def kl_conditional(v, noise=0.05):
@@ -61,6 +61,14 @@ def kl_at_points(v):
     return P.bilinear(each, grid, 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sample_id", "sampled")
 
 
+@query("kl_conditional_points")
+def kl_conditional_points(v):
+    """Conditioned fields read at points by interpolation of their cells."""
+    grid = R.to_long(_expansion().map_conditioned(_xi(v), _PINS, _VALUES, 0.05), 8)
+    each = v.points.select("id", "x_m", "y_m").join(F.broadcast(_xi(v).select("sample_id")))
+    return P.bilinear(each, grid, 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sample_id", "sampled")
+
+
 @query("fft_residual")
 def fft_residual(v):
     return R.to_long(R.fft_fields(v.spark, 16, 16, 16, 0.3, 3.0, SEED), 16)
@@ -70,7 +78,7 @@ def _grid_kriging():
     return R.Kriging.fit([(1, 1), (6, 3), (6, 6)], [-0.2, 0.3, 0.1], 0.3, 3.0, mean=0.0)
 
 
-for _name in ("conditional_fft", "known_mean_conditioner", "condition_prefixes", "native_ensembles", "conditional_blocks"):
+for _name in ("conditional_fft",):
 
     @query(_name)
     def conditional_fft(v):
@@ -82,26 +90,35 @@ def cached_prior(v):
     return R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED)
 
 
-for _name in ("reference_field_map", "normal_score_map"):
+for _name in ("reference_field_map",):
 
     @query(_name)
     def reference_field_map(v):
         return R.to_long(R.around_reference(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), [-9.3] * 64, 0.3, arithmetic=True), 8)
 
 
+@query("normal_score_map")
+def normal_score_map(v):
+    """Gaussian fields, scaled to scores, through the map from scores to values."""
+    from gridweave.functions.scalars import interpolated
+
+    z = R.to_long(R.fft_fields(v.spark, 16, 8, 8, 1.0, 3.0, SEED), 8)
+    return z.withColumn("value", interpolated(F.col("value"), [(-2.0, -9.6), (-0.8, -9.4), (0.8, -9.2), (2.0, -9.0)]))
+
+
 @query("perlin_field")
 def perlin_field(v):
     return R.to_long(R.perlin(v.spark, 16, 16, 16, 5.0, SEED), 16)
 
 
-for _name in ("ordinary_kriging", "universal_kriging_predict"):
+for _name in ("ordinary_kriging",):
 
     @query(_name)
     def ordinary_kriging(v):
         return X.local_kriging(v.points, _points(v), 0.4, 2000.0, nugget=0.05)
 
 
-for _name in ("simple_kriging_points", "join_kriging_cross"):
+for _name in ("simple_kriging_points",):
 
     @query(_name)
     def simple_kriging_points(v):
@@ -109,7 +126,7 @@ for _name in ("simple_kriging_points", "join_kriging_cross"):
 
 
 query("spectrum_2d")(lambda v: R.spectrum(_arrays(v), 8, 8))
-for _name in ("connected_components", "heat_pump_centers"):
+for _name in ("connected_components",):
     query(_name)(lambda v: R.components(_arrays(v), 8, 8, 0.1))
 query("streamlines")(lambda v: X.streamlines(_arrays(v), 8, 8, [(3.5, 3.5), (2.0, 5.0)]))
 
@@ -126,12 +143,19 @@ def clopper_pearson(v):
 
 @query("normal_score_qq")
 def normal_score_qq(v):
+    """Values of a cell beside the normal scores of their ranks; counts of equal values are summed, not rows."""
     from pyspark.sql import Window as W
 
     cell = v.log_k.where("row = 0 and col = 0")
-    n = F.count("*").over(W.partitionBy())
-    ranked = cell.select("value", ((F.row_number().over(W.orderBy("value")) - 0.5) / n).alias("p"))
-    return ranked.select("value", Z.normal_ppf("p").alias("z"))
+    n = cell.count()
+    # The ranks before a stretch of values come from the stretches' counts; windows run within stretches.
+    low, high = cell.agg(F.min("value"), F.max("value")).first()
+    stretch = F.floor((F.col("value") - low) / max((high or 0) - (low or 0), 1e-300) * 1000).alias("stretch")
+    counts = cell.groupBy(stretch).agg(F.count("*").alias("n"))
+    counts = counts.select("stretch", F.coalesce(F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = cell.select("value", stretch).join(F.broadcast(counts), "stretch")
+    rank = F.col("before") + F.row_number().over(W.partitionBy("stretch").orderBy("value"))
+    return placed.select("value", ((rank - 0.5) / n).alias("p")).select("value", Z.normal_ppf("p").alias("z"))
 
 
 @query("fold_assign_greedy")
@@ -162,7 +186,7 @@ def variogram_fit_points(v):
     return X.variogram_fits(curve.select("direction", F.col("mean_lag").alias("lag"), "gamma", "pairs"), "direction")
 
 
-for _name in ("variogram_fit_grid", "structural_profile_fit"):
+for _name in ("variogram_fit_grid",):
 
     @query(_name)
     def variogram_fit_grid(v):
@@ -170,7 +194,7 @@ for _name in ("variogram_fit_grid", "structural_profile_fit"):
         return X.variogram_fits(curve.select("direction", F.col("distance").alias("lag"), "gamma", "pairs"), "direction")
 
 
-for _name in ("spatial_block_cv", "development_cv"):
+for _name in ("spatial_block_cv",):
 
     @query(_name)
     def spatial_block_cv(v):
@@ -178,11 +202,83 @@ for _name in ("spatial_block_cv", "development_cv"):
         return X.local_cross_validation(folded.select("id", "x_m", "y_m", "value", "fold"), 5, 0.4, 1500.0, 0.05)
 
 
-for _name in ("reml_fit", "select_covariance"):
+def _model(name, sigma, length, nugget, family="exponential", trend="constant"):
+    return {"model": name, "sigma": sigma, "length": length, "nugget": nugget, "family": family, "trend": trend}
 
-    @query(_name)
-    def reml_fit(v):
-        return X.block_covariance_scores(_points(v), [(s, length, 0.05) for s in (0.3, 0.5) for length in (500.0, 1500.0, 4000.0)])
+
+@query("universal_kriging_predict")
+def universal_kriging_predict(v):
+    """A linear trend, estimated with the field; the variance holds its uncertainty."""
+    return X.local_kriging(v.points, _points(v), models=[_model("linear", 0.4, 2000.0, 0.05, trend="linear")]).select("id", "mean", "variance")
+
+
+@query("development_cv")
+def development_cv(v):
+    """Eight models by buffered folds: scores of each model and fold."""
+    models = [_model(f"{f}/{t}/{n}", 0.4, 2000.0, n, f, t) for f in ("exponential", "matern32") for t in ("constant", "linear") for n in (0.02, 0.1)]
+    folded = S.balanced_folds(_points(v), 1500.0, 5, SEED)
+    e = F.col("mean") - F.col("truth")
+    found = X.model_cross_validation(folded, 5, models, 1500.0, 300.0)
+    return found.groupBy("model", "fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(Z.gaussian_crps("mean", "std", "truth")).alias("crps"))
+
+
+@query("select_covariance")
+def select_covariance(v):
+    """Candidates by the continuous ranked probability score, each block with the same weight; the best has rank 1."""
+    from pyspark.sql import Window as W
+
+    models = [_model(f"{s}/{length:g}", s, length, 0.05) for s in (0.3, 0.5) for length in (500.0, 1500.0, 4000.0)]
+    found = X.model_cross_validation(S.balanced_folds(_points(v), 1500.0, 5, SEED), 5, models, 1500.0)
+    blocks = found.groupBy("model", "block").agg(F.avg(Z.gaussian_crps("mean", "std", "truth")).alias("crps"))
+    scores = blocks.groupBy("model").agg(F.avg("crps").alias("crps"), F.count("*").alias("blocks"))
+    return scores.withColumn("rank", F.row_number().over(W.orderBy("crps", "model")))
+
+
+query("reml_fit")(lambda v: X.reml_search(_points(v)))
+
+
+@query("structural_profile_fit")
+def structural_profile_fit(v):
+    """A rotated anisotropic model of the fields' variograms in four directions."""
+    ways = {"y": (1, 0), "x": (0, 1), "diagonal": (1, 1), "other": (1, -1)}
+    curve = P.directional_variograms(v.fields_long, ways, [1, 2, 3, 4, 5])
+    unit = lambda k: F.create_map(*(F.lit(x) for n, w in ways.items() for x in (n, w[k] / (w[0] ** 2 + w[1] ** 2) ** 0.5)))[F.col("direction")]
+    lags = curve.select((unit(0) * F.col("distance")).alias("dy"), (unit(1) * F.col("distance")).alias("dx"), "gamma", "pairs")
+    return X.structural_fit(lags, v.fields_long.agg(F.var_pop("value")).first()[0], 8, 8)
+
+
+def _prefix(n):
+    at, values = [(1, 1), (6, 3), (6, 6)], [-0.2, 0.3, 0.1]
+    return R.Kriging.fit(at[:n], values[:n], 0.3, 3.0, mean=0.0)
+
+
+@query("known_mean_conditioner")
+def known_mean_conditioner(v):
+    """Mean and variance of each cell, given the first one, two and three readings."""
+    cells = v.reference_field.select((F.col("row") * 8 + F.col("col")).cast("long").alias("id"), F.col("col").cast("double").alias("x_m"), F.col("row").cast("double").alias("y_m"))
+    out = None
+    for n in (1, 2, 3):
+        one = _prefix(n).map(cells).withColumn("readings", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def conditioned_draws(v):
+    """readings, sample_id, row, col, value: the same draws, free and given the first one, two and three readings."""
+    prior = R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED)
+    out = R.to_long(prior, 8).withColumn("readings", F.lit(0))
+    for n in (1, 2, 3):
+        out = out.unionByName(R.to_long(_prefix(n).update(prior, 8), 8).withColumn("readings", F.lit(n)))
+    return out
+
+
+query("condition_prefixes")(conditioned_draws)
+
+
+@query("native_ensembles")
+def native_ensembles(v):
+    """Mean and spread of each cell over the draws, for every number of readings."""
+    return conditioned_draws(v).groupBy("readings", "row", "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
 @query("block_bootstrap")
@@ -193,9 +289,7 @@ def block_bootstrap(v):
 
 @query("condition_number")
 def condition_number(v):
-    at = np.array(v.good_points.select("x_m", "y_m").collect())
-    value = np.linalg.eigvalsh(np.exp(-np.hypot(*(at[:, None] - at).transpose(2, 0, 1)) / 2000))
-    return v.rows([(len(at), float(value[-1] / max(value[0], 1e-12 * value[-1])))], "n int, condition double")
+    return X.block_condition(v.good_points, 2000.0)
 
 
 @query("pce_workflow")

@@ -32,7 +32,7 @@ def roi_filter(v):
 _RECEPTORS = """-- doubles: receptor_001 receptor_002 receptor_003
 select sample_id, max(value) filter (row = 1 and col = 1) as receptor_001, max(value) filter (row = 3 and col = 4) as receptor_002,
   max(value) filter (row = 6 and col = 2) as receptor_003 from temperature group by sample_id"""
-for _name in ("qoi_receptors", "receptor_select"):
+for _name in ("qoi_receptors",):
 
     @query(_name, _RECEPTORS, "temperature")
     def qoi_receptors(v):
@@ -42,7 +42,7 @@ for _name in ("qoi_receptors", "receptor_select"):
 _WARM = f"""-- doubles: max_anomaly area_m2
 select sample_id, max(value - {BACKGROUND}) as max_anomaly, count(*) filter ((value - {BACKGROUND})::float > 0.5::float) * 25.0 as area_m2
 from temperature group by sample_id"""
-for _name in ("qoi_roi_max_anomaly", "qoi_warming_area", "risk_area"):
+for _name in ("qoi_roi_max_anomaly",):
 
     @query(_name, _WARM, "temperature")
     def warming(v):
@@ -76,7 +76,7 @@ with {_NEAR} select sample_id, avg(value) as mean, stddev_samp(value) as std, qu
   quantile_cont(value, 0.95) as q95, sqrt(avg(((value - up) / 5) * ((value - up) / 5))) as gradient_y,
   sqrt(avg(((value - "left") / 5) * ((value - "left") / 5))) as gradient_x, coalesce(corr(value, up), 0) as lag1_y, coalesce(corr(value, "left"), 0) as lag1_x
 from near group by sample_id"""
-for _name in ("field_features", "lag1_correlation", "native_short_range_features"):
+for _name in ("field_features", "native_short_range_features"):
 
     @query(_name, _FEATURES, "fields_long")
     def field_features(v, undefined=None if _name == "native_short_range_features" else 0.0):
@@ -194,11 +194,11 @@ def normalization_bounds_fraction(v):
     "gradient_adjacent",
     """-- doubles: dy dx
     select sample_id, row, col, (value - lag(value) over (partition by sample_id, col order by row)) / 5 as dy,
-      (value - lag(value) over (partition by sample_id, row order by col)) / 5 as dx from fields_long where sample_id < 50""",
+      (value - lag(value) over (partition by sample_id, row order by col)) / 5 as dx from fields_long""",
     "fields_long",
 )
 def gradient_adjacent(v):
-    near = S._neighbours(v.fields_long.where("sample_id < 50"))
+    near = S._neighbours(v.fields_long)
     return near.select("sample_id", "row", "col", ((F.col("value") - F.col("up")) / 5).alias("dy"), ((F.col("value") - F.col("left")) / 5).alias("dx"))
 
 
@@ -210,11 +210,11 @@ def _central(axis: str, other: str) -> str:
 @query(
     "gradient_central",
     f"""-- doubles: value gy gx magnitude
-    select *, sqrt(gy * gy + gx * gx) as magnitude from (select *, {_central("row", "col")} as gy, {_central("col", "row")} as gx from fields_long where sample_id < 50)""",
+    select *, sqrt(gy * gy + gx * gx) as magnitude from (select *, {_central("row", "col")} as gy, {_central("col", "row")} as gx from fields_long)""",
     "fields_long",
 )
 def gradient_central(v):
-    return S.gradients_central(v.fields_long.where("sample_id < 50"), 5.0)
+    return S.gradients_central(v.fields_long, 5.0)
 
 
 _LATTICE = """select i::int as patch, ((i * 2) // 4 * 2)::int as row0, ((i * 2) % 4)::int as col0 from range(4) t(i)"""
@@ -228,7 +228,7 @@ def patch_lattice(v):
 _PATCHES = f"""-- doubles: mean std
 with patches as ({_LATTICE}) select f.sample_id, p.patch, avg(value) as mean, stddev_samp(value) as std from fields_long f join patches p
 on row >= row0 and row < row0 + 4 and col >= col0 and col < col0 + 4 group by f.sample_id, p.patch"""
-for _name in ("patch_features", "patch_compat"):
+for _name in ("patch_features",):
 
     @query(_name, _PATCHES, "fields_long")
     def patch_features(v):

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from gridweave.functions import scalars as X
 from gridweave.plans.registry import query
 
-_LOG = "select sample_id, row, col, {} as y from permeability where sample_id < 20"
+_LOG = "select sample_id, row, col, {} as y from permeability"
 
 
 @query("log10_field", "-- doubles: y\n" + _LOG.format("log10(value)"), "permeability")
 def log10_field(v):
-    return v.permeability.where("sample_id < 20").select("sample_id", "row", "col", F.log10("value").alias("y"))
+    return v.permeability.select("sample_id", "row", "col", F.log10("value").alias("y"))
 
 
-@query("pow10", "-- doubles: y\nselect sample_id, row, col, pow(10.0, value) as y from fields_long where sample_id < 20", "fields_long")
+@query("pow10", "-- doubles: y\nselect sample_id, row, col, pow(10.0, value) as y from fields_long", "fields_long")
 def pow10(v):
-    return v.fields_long.where("sample_id < 20").select("sample_id", "row", "col", F.pow(F.lit(10.0), "value").alias("y"))
+    return v.fields_long.select("sample_id", "row", "col", F.pow(F.lit(10.0), "value").alias("y"))
 
 
 def _points(name: str, expression: str, column, more: str = "") -> None:
@@ -83,7 +83,7 @@ def rotated_source_index(v):
     "perlin_value_to_k",
     """-- doubles: y
     select sample_id, row, col, -11 + 2.5 * (value - min(value) over w) / (max(value) over w - min(value) over w) as y
-    from fields_long where sample_id < 50 window w as (partition by sample_id)""",
+    from fields_long window w as (partition by sample_id)""",
     "fields_long",
 )
 def perlin_value_to_k(v):
@@ -91,7 +91,7 @@ def perlin_value_to_k(v):
 
     w = W.partitionBy("sample_id")
     low, high = F.min("value").over(w), F.max("value").over(w)
-    return v.fields_long.where("sample_id < 50").select("sample_id", "row", "col", (-11 + 2.5 * (F.col("value") - low) / (high - low)).alias("y"))
+    return v.fields_long.select("sample_id", "row", "col", (-11 + 2.5 * (F.col("value") - low) / (high - low)).alias("y"))
 
 
 for _name, _column in (("scenario_id", "concat(p_brand, ':', p_size)"), ("array_hash", "concat(p_name, p_type)"), ("sha256_file", "p_name")):
@@ -121,7 +121,7 @@ def run_number(v):
     return named.select("name", X.run_number(F.col("name")).alias("run"))
 
 
-for _name in ("scan_discover_runs", "run_inventory"):
+for _name in ("scan_discover_runs",):
 
     @query(_name, f"select distinct substr(name, 5)::bigint as run from ({_RUNS}) where regexp_matches(name, '^RUN_[0-9]+$')")
     def runs(v):

@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 from gridweave.operators import spatial as P
 from gridweave.plans.registry import query
 
-_SOME = "sample_id < 50"
-
-
-def _some(v):
-    return v.fields_long.where(_SOME)
-
-
-@query("crop_center", f"-- doubles: value\nselect sample_id, row - 1 as row, col - 2 as col, value from fields_long where {_SOME} and row between 1 and 5 and col between 2 and 5", "fields_long")
+@query("crop_center", "-- doubles: value\nselect sample_id, row - 1 as row, col - 2 as col, value from fields_long where row between 1 and 5 and col between 2 and 5", "fields_long")
 def crop_center(v):
-    return P.crop_center(_some(v), 8, 8, 5, 4)
+    return P.crop_center(v.fields_long, 8, 8, 5, 4)
 
 
 @query("stride_decimate", "-- doubles: value\nselect * from fields_long where row % 2 = 0 and col % 2 = 0", "fields_long")
@@ -26,7 +19,7 @@ def stride_decimate(v):
 
 _D4 = [("identity", "row", "col"), ("flip_y", "7 - row", "col"), ("flip_x", "row", "7 - col"), ("rotate_180", "7 - row", "7 - col"), ("transpose", "col", "row"),
        ("transpose_flip_y", "7 - col", "row"), ("transpose_flip_x", "col", "7 - row"), ("transpose_rotate_180", "7 - col", "7 - row")]
-_ORIENTED = " union all ".join(f"select '{n}' as transform, sample_id, {r} as row, {c} as col, value from fields_long where sample_id < 5" for n, r, c in _D4)
+_ORIENTED = " union all ".join(f"select '{n}' as transform, sample_id, {r} as row, {c} as col, value from fields_long" for n, r, c in _D4)
 
 
 def _oriented(v, fields):
@@ -39,12 +32,12 @@ def _oriented(v, fields):
 
 @query("orient_d4", f"-- doubles: value\n{_ORIENTED}", "fields_long")
 def orient_d4(v):
-    return _oriented(v, v.fields_long.where("sample_id < 5"))
+    return _oriented(v, v.fields_long)
 
 
-@query("orient_d4_inverse", "-- doubles: value\nselect n as transform, sample_id, row, col, value from fields_long, (select unnest(%s) as n) where sample_id < 5" % [n for n, *_ in _D4], "fields_long")
+@query("orient_d4_inverse", "-- doubles: value\nselect n as transform, sample_id, row, col, value from fields_long, (select unnest(%s) as n)" % [n for n, *_ in _D4], "fields_long")
 def orient_d4_inverse(v):
-    fields, out = v.fields_long.where("sample_id < 5"), None
+    fields, out = v.fields_long, None
     for name in P.D4:
         one = P.orient_inverse(P.orient(fields, name, 8, 8), name, 8, 8).withColumn("transform", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -80,12 +73,12 @@ def coarsen_log_median(v):
 
 @query(
     "join_lag_shift",
-    f"""-- doubles: value other
-    select a.sample_id, a.row, a.col, a.value, b.value as other from fields_long a join fields_long b on a.sample_id = b.sample_id and b.row = a.row + 1 and b.col = a.col + 2 where a.{_SOME}""",
+    """-- doubles: value other
+    select a.sample_id, a.row, a.col, a.value, b.value as other from fields_long a join fields_long b on a.sample_id = b.sample_id and b.row = a.row + 1 and b.col = a.col + 2""",
     "fields_long",
 )
 def join_lag_shift(v):
-    return P.lag_pairs(_some(v), 1, 2)
+    return P.lag_pairs(v.fields_long, 1, 2)
 
 
 def _variograms(name: str, directions: dict, lags: list[int], by: tuple[str, ...] = ()) -> None:
@@ -172,7 +165,7 @@ def _bilinear_sql(clamp: bool) -> str:
     from c left join reference_field r on c.row = r.row and c.col = r.col where weight > 0 group by c.id"""
 
 
-for _name in ("join_point_bilinear", "join_raster_sample", "historical_interpolate"):
+for _name in ("join_point_bilinear",):
 
     @query(_name, _bilinear_sql(False), "points reference_field")
     def bilinear(v):
@@ -219,11 +212,11 @@ def join_buffer_dilate(v):
 @query(
     "join_nearest_train_distance",
     """-- doubles: distance
-    select a.id, min(sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m))) as distance from points a, points b where a.id % 10 = 0 and b.id % 10 = 1 group by a.id""",
+    select a.id, min(sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m))) as distance from points a, points b where a.id % 10 = 0 and b.id % 10 <> 0 group by a.id""",
     "points",
 )
 def join_nearest_train_distance(v):
-    return P.nearest_distance(v.points.where("id % 10 = 0"), v.points.where("id % 10 = 1"))
+    return P.nearest_distance(v.points.where("id % 10 = 0"), v.points.where("id % 10 <> 0"))
 
 
 @query(
@@ -238,7 +231,7 @@ def select_domain_max_count(v):
     return P.domain_by_count(v.points, 1600.0, 400.0)
 
 
-for _name in ("bbox_filter", "subset_mask"):
+for _name in ("bbox_filter",):
 
     @query(_name, "select id, x_m >= 3000 and x_m < 9000 and y_m >= 2000 and y_m < 8000 as kept from points", "points")
     def bbox_filter(v):
@@ -251,7 +244,7 @@ def domain_contains(v):
     return v.points.where("x_m between 3000 and 9000 and y_m between 2000 and 8000").select("id")
 
 
-for _name in ("withheld_mask", "probe_exclude_observed", "except_cells"):
+for _name in ("withheld_mask",):
 
     @query(_name, "select row, col from reference_field where not (row = col and row % 2 = 0)", "reference_field")
     def withheld_mask(v):
@@ -285,3 +278,26 @@ def georef_search(v):
 @query("to_2d", "select count(*) = 64 * count(distinct sample_id) as complete from fields_long", "fields_long")
 def to_2d(v):
     return v.fields_long.agg((F.count("*") == 64 * F.count_distinct("sample_id")).alias("complete"))
+
+
+def _historical(v):
+    """The reference turned and converted as the historical window is."""
+    from gridweave.functions import scalars as S
+
+    turned = P.orient(v.fields_long.where("sample_id = 0"), "transpose_flip_y", 8, 8)
+    return turned.select("sample_id", "row", "col", F.log10(F.pow(F.lit(10.0), "value") * S.HISTORICAL_DIVISOR).alias("value"))
+
+
+@query("historical_interpolate")
+def historical_interpolate(v):
+    """The converted field read at points, between its cells."""
+    each = v.points.select("id", "x_m", "y_m", F.lit(0).cast("long").alias("sample_id"))
+    return P.bilinear(each, _historical(v), 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sampled")
+
+
+@query("historical_reconstruct")
+def historical_reconstruct(v):
+    """The converted field on a grid of twice its resolution."""
+    nodes = v.spark.range(225).select("id", (F.col("id") % 15 * 800.0).alias("x_m"), (F.floor(F.col("id") / 15) * 800.0).alias("y_m"), F.lit(0).cast("long").alias("sample_id"))
+    fine = P.bilinear(nodes, _historical(v), 0.0, 0.0, 1600.0, keys=("sample_id",))
+    return fine.select(F.expr("int(id div 15)").alias("row"), (F.col("id") % 15).cast("int").alias("col"), F.col("sampled").alias("value"))

@@ -59,7 +59,7 @@ def profile_sensitivity(v):
     return parts(contrast=Y.paired_contrast(rows, "1995"), level=Y.mean_sem(rows, ("budget", "profile")))
 
 
-for _name in ("measurement_density", "conditional_density_visual", "conditioning_temperature"):
+for _name in ("measurement_density",):
 
     @query(_name)
     def measurement_density(v):
@@ -69,7 +69,7 @@ for _name in ("measurement_density", "conditional_density_visual", "conditioning
         return parts(reduction=Y.reduction_from_prior(cases), prior=C.budget_moments(v.fields_long, 32), final=C.budget_moments(v.fields_long, 256))
 
 
-for _name in ("measurement_model_validation", "density_validation"):
+for _name in ("measurement_model_validation",):
 
     @query(_name)
     def measurement_model_validation(v):
@@ -82,15 +82,14 @@ def _reference(v) -> DataFrame:
     return v.reference_field.withColumnRenamed("value", "reference")
 
 
-for _name in ("conditioning_deviation", "reference_conditioning"):
+for _name in ("conditioning_deviation",):
 
     @query(_name)
     def conditioning_deviation(v):
         """Deviations of draws from the reference, by draw, by cell and between designs."""
-        near = v.fields_long.where("sample_id < 40")
         designs = v.fields_long.withColumn("design", F.col("sample_id") % 4)
         return parts(
-            draws=S.sample_errors(near, _reference(v)), cells=C.bias_and_std(v.fields_long, _reference(v)), pairs=D.pairwise_rms(near), designs=C.design_mixture_variance(designs)
+            draws=S.sample_errors(v.fields_long, _reference(v)), cells=C.bias_and_std(v.fields_long, _reference(v)), pairs=D.pairwise_rms(v.fields_long), designs=C.design_mixture_variance(designs)
         )
 
 
@@ -101,7 +100,7 @@ def covariance_reconstruction(v):
     cases = v.table("lineitem").withColumn("n", F.col("l_linenumber")).groupBy("n").agg(error.alias("estimate"), (error + 0.003).alias("upper"))
     limits = v.rows([(0.004,), (0.01,), (0.02,)], "`limit` double")
     table = Y.stopping_table(cases, limits).select(F.col("limit").cast("string").alias("limit"), F.col("first_estimate").cast("double"), F.col("first_upper").cast("double"))
-    return parts(cases=cases, stopping=table, interval=Y.quantile_interval(_qoi(v).where("sample_id < 256"), 0.9, 0.95))
+    return parts(cases=cases, stopping=table, interval=Y.quantile_interval(_qoi(v), 0.9, 0.95))
 
 
 @query("reference_scenarios")
@@ -113,7 +112,7 @@ def reference_scenarios(v):
 
 
 _GRID = {"y": (1, 0), "x": (0, 1), "diagonal": (1, 1)}
-for _name in ("ensemble_coherence", "reference_kernel_study", "reference_field_diagnostics", "structural_profiles"):
+for _name in ("ensemble_coherence",):
 
     @query(_name)
     def ensemble_coherence(v):
@@ -132,3 +131,78 @@ def realistic_permeability(v):
     """Measurements to a model: quality control, cell means, variogram, summary."""
     values = v.good_points.select("id", "x_m", "y_m", F.col("log10_k").alias("value"))
     return parts(cells=M.cell_means(v.good_points, 800.0), variogram=P.point_variogram(values, 600.0, 100.0), summary=M.measurement_summary(v.good_points, 800.0))
+
+
+@query("conditional_density_visual")
+def conditional_density_visual(v):
+    """Spread of conditioned draws by number of readings: over all cells, and at the cell that no reading is near."""
+    from gridweave.plans.randomfields import conditioned_draws
+
+    cells = conditioned_draws(v).groupBy("readings", "row", "col").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    return parts(whole=cells.groupBy("readings").agg(F.avg("mean").alias("mean"), F.avg("variance").alias("variance")), far=cells.where("row = 0 and col = 7").select("readings", "mean", "variance"))
+
+
+@query("conditioning_temperature")
+def conditioning_temperature(v):
+    """What a surrogate makes of conditioned draws, by number of readings."""
+    from gridweave.plans.randomfields import conditioned_draws
+
+    t = conditioned_draws(v).withColumn("value", BACKGROUND + 4 * F.exp(F.col("value")))
+    mean = t.groupBy("readings", "sample_id").agg(F.avg("value").alias("value"))
+    return parts(draws=mean.groupBy("readings").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance")), cells=t.groupBy("readings", "row", "col").agg(F.stddev_samp("value").alias("std")))
+
+
+@query("reference_conditioning")
+def reference_conditioning(v):
+    """Conditioned draws at the readings, which they have to meet, and away from them."""
+    from gridweave.plans.randomfields import conditioned_draws
+
+    pins = v.rows([(1, 1, 1, -0.2), (2, 3, 6, 0.3), (3, 6, 6, 0.1)], "reading int, row int, col int, given double")
+    drawn = conditioned_draws(v)
+    at = drawn.join(F.broadcast(pins), ["row", "col"]).where("reading <= readings")
+    return parts(residual=at.groupBy("readings").agg(F.max(F.abs(F.col("value") - F.col("given"))).alias("largest")), away=drawn.join(F.broadcast(pins), ["row", "col"], "left_anti").groupBy("readings").agg(F.stddev_samp("value").alias("std")))
+
+
+@query("density_validation")
+def density_validation(v):
+    """Predictions from the first readings against the reference at all other cells, by number of readings."""
+    from gridweave.plans.randomfields import known_mean_conditioner
+
+    p = known_mean_conditioner(v).select("readings", "mean", F.sqrt("variance").alias("std"), F.expr("int(id div 8)").alias("row"), (F.col("id") % 8).cast("int").alias("col"))
+    e = F.col("mean") - F.col("reference")
+    inside = (F.abs(e) <= 1.6448536269514722 * F.col("std")).cast("double")
+    return parts(scores=p.join(_reference(v), ["row", "col"]).groupBy("readings").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(inside).alias("coverage")))
+
+
+@query("reference_kernel_study")
+def reference_kernel_study(v):
+    """Which family fits each direction's variogram best, and how well all do."""
+    from gridweave.plans.registry import QUERIES
+
+    fits = QUERIES["variogram_fit_grid"](v.spark, v.sf_dir)
+    best = fits.groupBy("direction").agg(F.min_by("family", F.struct("rmse", "family")).alias("family"), F.min("rmse").alias("rmse"))
+    return parts(fits=fits, best=best)
+
+
+@query("reference_field_diagnostics")
+def reference_field_diagnostics(v):
+    """Spectrum, spread and neighbours of the reference beside those of the ensemble."""
+    from gridweave.randomfield.fields import spectrum
+
+    arrays = v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("values"))
+    rings = spectrum(arrays, 8, 8).groupBy("ring").agg(F.avg("energy").alias("ensemble"), F.max(F.when(F.col("sample_id") == 0, F.col("energy"))).alias("reference"))
+    feats = S.field_features(v.fields_long, 1.0)
+    own = feats.agg(*(F.avg(c).alias(f"{c}_ensemble") for c in ("std", "lag1_y", "lag1_x")), *(F.max(F.when(F.col("sample_id") == 0, F.col(c))).alias(f"{c}_reference") for c in ("std", "lag1_y", "lag1_x")))
+    return parts(spectrum=rings, features=own)
+
+
+@query("structural_profiles")
+def structural_profiles(v):
+    """The fitted structure of the fields, with the correlation that a domain of their size has by it."""
+    from gridweave.operators.fitting import mean_correlation
+    from gridweave.plans.registry import QUERIES
+
+    fit = QUERIES["structural_profile_fit"](v.spark, v.sf_dir)
+    r = fit.first()
+    inside = v.rows([(mean_correlation(8, 8, r["along"], r["across"], r["angle"]),)], "mean_correlation double")
+    return parts(fit=fit, domain=inside)

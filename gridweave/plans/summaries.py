@@ -74,12 +74,16 @@ def prefix_quantile(v):
 
 @query(
     "quantile_interval",
-    f"-- doubles: lower upper\nwith {_QOI}, r as (select value, row_number() over (order by value) as k from qoi where sample_id < 256) select max(value) filter (k = %d) as lower, max(value) filter (k = %d) as upper from r"
-    % X.binomial_ranks(256, 0.9, 0.95),
+    f"""-- doubles: lower upper
+    with {_QOI}, size as (select count(*) as n from qoi), each as (select n::double as n, unnest(range(0, n + 1))::double as k from size),
+    cdf as (select n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.9::double) + (n - k) * ln(0.1::double))) over (order by k) as c from each),
+    ends as (select min(k) filter (c >= 0.025) as low, min(k) filter (c >= 0.975) + 1 as high from cdf),
+    r as (select value, row_number() over (order by value) as k from qoi)
+    select max(value) filter (k = low) as lower, max(value) filter (k = high) as upper from r, ends""",
     "temperature",
 )
 def quantile_interval(v):
-    return X.quantile_interval(_qoi(v).where("sample_id < 256"), 0.9, 0.95)
+    return X.quantile_interval(_qoi(v), 0.9, 0.95)
 
 
 _CASES = "cases as (select l_linenumber as n, avg(abs(l_discount - 0.05)) / l_linenumber as estimate, avg(abs(l_discount - 0.05)) / l_linenumber + 0.003 as upper from lineitem group by l_linenumber)"
@@ -101,7 +105,7 @@ _GAIN = """-- doubles: rmse_first rmse_second gain
 select *, case when rmse_second <> 0 then rmse_first / rmse_second when rmse_first = 0 then 0 else 'inf'::double end as gain from (
   select budget, target, sqrt(avg(error * error) filter (method = 'MC')) as rmse_first, sqrt(avg(error * error) filter (method = 'RQMC')) as rmse_second,
     least(count(*) filter (method = 'MC'), count(*) filter (method = 'RQMC')) as repetitions from trial_errors group by budget, target) where repetitions > 0"""
-for _name in ("mc_rqmc_gain", "join_mc_rqmc_inner"):
+for _name in ("mc_rqmc_gain",):
 
     @query(_name, _GAIN, "trial_errors")
     def mc_rqmc_gain(v):
@@ -135,7 +139,7 @@ with {_QOI}, own as (select budget, {_SUMMARY} from qoi, budgets where sample_id
 a as (unpivot (select * exclude count from own) on mean, sd, q05, q50, q95 into name statistic value estimate),
 b as (unpivot (select * exclude count from every) on mean, sd, q05, q50, q95 into name statistic value reference)
 select budget, statistic, estimate, reference, estimate - reference as error, abs(estimate - reference) as abs_error from a join b using (statistic)"""
-for _name in ("scalar_prefix_convergence", "convergence_rows", "truncation_sensitivity"):
+for _name in ("scalar_prefix_convergence",):
 
     @query(_name, _SCALAR, "temperature budgets")
     def scalar_prefix_convergence(v):
@@ -158,7 +162,7 @@ _CONTRAST = """-- doubles: mean sd sem
 with cases as (select year(l_shipdate)::varchar as profile, l_linenumber as budget, l_suppkey as trial, avg(l_discount) as value from lineitem group by all)
 select a.budget, a.profile, avg(a.value - b.value) as mean, stddev_samp(a.value - b.value) as sd, stddev_samp(a.value - b.value) / sqrt(count(*)) as sem
 from cases a join cases b on a.budget = b.budget and a.trial = b.trial and b.profile = '1995' where a.profile <> '1995' group by all"""
-for _name in ("profile_contrast", "join_paired_trials"):
+for _name in ("profile_contrast",):
 
     @query(_name, _CONTRAST)
     def profile_contrast(v):
@@ -170,7 +174,7 @@ _REDUCE = """-- doubles: value reduction remaining
 with cases as (select l_linenumber as budget, (l_suppkey % 4)::int as n, var_samp(l_discount) as value from lineitem group by all)
 select c.budget, c.n, c.value, p.value - c.value as reduction, case when p.value <> 0 then c.value / p.value end as remaining
 from cases c join cases p on c.budget = p.budget and p.n = 0 where c.n > 0"""
-for _name in ("density_reduction", "join_prior_baseline"):
+for _name in ("density_reduction",):
 
     @query(_name, _REDUCE)
     def density_reduction(v):
@@ -180,25 +184,26 @@ for _name in ("density_reduction", "join_prior_baseline"):
 
 @query(
     "half_batch_stats",
-    "-- doubles: mean variance\nselect (sample_id >= 128)::int as half, row, col, avg(value) as mean, var_samp(value) as variance from fields_long where sample_id < 256 group by all",
+    "-- doubles: mean variance\nselect (2 * sample_id > (select max(sample_id) from fields_long))::int as half, row, col, avg(value) as mean, var_samp(value) as variance from fields_long group by all",
     "fields_long",
 )
 def half_batch_stats(v):
-    half = (F.col("sample_id") >= 128).cast("int").alias("half")
-    return v.fields_long.where("sample_id < 256").groupBy(half, "row", "col").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    last = v.fields_long.agg(F.max("sample_id")).first()[0]
+    half = (2 * F.col("sample_id") > last).cast("int").alias("half")
+    return v.fields_long.groupBy(half, "row", "col").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
 
 
 @query(
     "budget_compare",
-    """-- doubles: mean_4 mean_8 mean_change std_4 std_8
-    select row, col, avg(value) filter (sample_id < 4) as mean_4, avg(value) as mean_8, avg(value) - avg(value) filter (sample_id < 4) as mean_change,
-      stddev_samp(value) filter (sample_id < 4) as std_4, stddev_samp(value) as std_8 from fields_long where sample_id < 8 group by row, col""",
+    """-- doubles: mean_some mean_all mean_change std_some std_all
+    select row, col, avg(value) filter (sample_id < 128) as mean_some, avg(value) as mean_all, avg(value) - avg(value) filter (sample_id < 128) as mean_change,
+      stddev_samp(value) filter (sample_id < 128) as std_some, stddev_samp(value) as std_all from fields_long group by row, col""",
     "fields_long",
 )
 def budget_compare(v):
-    four = F.when(F.col("sample_id") < 4, F.col("value"))
-    return v.fields_long.where("sample_id < 8").groupBy("row", "col").agg(
-        F.avg(four).alias("mean_4"), F.avg("value").alias("mean_8"), (F.avg("value") - F.avg(four)).alias("mean_change"), F.stddev_samp(four).alias("std_4"), F.stddev_samp("value").alias("std_8")
+    some = F.when(F.col("sample_id") < 128, F.col("value"))
+    return v.fields_long.groupBy("row", "col").agg(
+        F.avg(some).alias("mean_some"), F.avg("value").alias("mean_all"), (F.avg("value") - F.avg(some)).alias("mean_change"), F.stddev_samp(some).alias("std_some"), F.stddev_samp("value").alias("std_all")
     )
 
 

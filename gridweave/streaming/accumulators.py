@@ -21,13 +21,18 @@ def partials(fields: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """count, mean, variance, std, min, max from partial rows: deviations about own means plus those of the means."""
+    """count, mean, variance, std, min, max from partial rows: deviations about own means plus those of the means.
+
+    The means' deviations are sums too, about a first mean, so no list of
+    batches is gathered for a cell.
+    """
     n, m = F.col("n"), F.col("m")
-    out = parts.groupBy("row", "col").agg(
-        F.sum(n).alias("count"), (F.sum(n * m) / F.sum(n)).alias("mean"), F.sum("s").alias("within"), F.collect_list(F.struct("n", "m")).alias("each"), F.min("low").alias("min"), F.max("high").alias("max")
+    middle = parts.groupBy("row", "col").agg((F.sum(n * m) / F.sum(n)).alias("mean"))
+    d = m - F.col("mean")
+    out = parts.join(middle, ["row", "col"]).groupBy("row", "col", "mean").agg(
+        F.sum(n).alias("count"), F.sum("s").alias("within"), F.sum(n * d * d).alias("between"), F.min("low").alias("min"), F.max("high").alias("max")
     )
-    between = F.aggregate("each", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean")))
-    out = out.withColumn("variance", F.when(F.col("count") > 1, (F.col("within") + between) / (F.col("count") - 1)))
+    out = out.withColumn("variance", F.when(F.col("count") > 1, (F.col("within") + F.col("between")) / (F.col("count") - 1)))
     return out.select("row", "col", "count", "mean", "variance", F.sqrt("variance").alias("std"), "min", "max")
 
 
