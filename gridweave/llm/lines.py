@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gridweave.llm.shared import saved, slices
+from gridweave.llm.shared import free_names, saved, slices
 
 #: Characters that a run has to have at least.
 LEAST_CHARS = 25
@@ -155,7 +156,7 @@ def _intervals(prefixes: DataFrame) -> DataFrame:
     sums = x.groupBy("stretch").agg(F.sum("cut").alias("n"))
     ahead = W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("stretch", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    x = x.join(F.broadcast(sums), "stretch")
+    x = x.join(sums, "stretch")
     x = x.withColumn("interval", F.col("ahead") + F.sum("cut").over(W.partitionBy("stretch").orderBy("rank")))
     x = x.where("reach is not null").select("rank", "reach", "interval", F.struct("d", "th", "i").alias("at"))
     first = x.groupBy("interval").agg(F.min("at").alias("first"))
@@ -199,23 +200,23 @@ def without_repeated_lines(
     text are one document and get the same result; of rows with one id and
     different texts the order is fixed by the texts' hashes; null ids come
     last. A null text stays null with no lines, an empty one has one. An empty
-    table gives no rows.
+    table gives no rows. Columns that the table has under the two added names
+    are replaced.
     """
-    added = {"_n_lines", "_n_deleted", "_d", "_th", "_runs"}
-    if added & set(df.columns):
-        raise ValueError(f"the table has columns named {sorted(added & set(df.columns))}")
+    df = df.drop("_n_lines", "_n_deleted")
+    d, th, runs_col = free_names(df, "_d", "_th", "_runs")
     runs = repeated_runs(df, id_col, text_col, least_chars, maximal)
-    runs = runs.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("i", "n")).alias("_runs"))
+    runs = runs.groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_set(F.struct("i", "n")).alias(runs_col))
     key = _key(id_col, text_col)
-    x = df.withColumns({"_d": key["d"], "_th": key["th"]}).join(runs, ["_d", "_th"], "left")
+    x = df.withColumns({d: key["d"], th: key["th"]}).join(runs, [d, th], "left")
     text, all_lines = F.col(f"`{text_col}`"), F.split(F.col(f"`{text_col}`"), "\n", -1)
     x = x.withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.size(all_lines)))
-    kept, names = ", ".join(f"`{c}` {t}" for c, t in df.dtypes), list(df.columns)
+    names = list(df.columns)
 
     def run(batches):
         for b in slices(batches):
             texts, gone = b.column(text_col).to_pylist(), [0] * b.num_rows
-            for k, found in enumerate(b.column("_runs").to_pylist()):
+            for k, found in enumerate(b.column(runs_col).to_pylist()):
                 if found:
                     rows = texts[k].split("\n")
                     keep = np.ones(len(rows), bool)
@@ -226,4 +227,5 @@ def without_repeated_lines(
             columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, b.column("_n_lines"), pa.array(gone, pa.int32())], [*names, "_n_lines", "_n_deleted"])
 
-    return x.select(*(F.col(f"`{c}`") for c in names), "_runs", "_n_lines").mapInArrow(run, f"{kept}, _n_lines int, _n_deleted int")
+    schema = StructType([*df.schema, StructField("_n_lines", IntegerType()), StructField("_n_deleted", IntegerType())])
+    return x.select(*(F.col(f"`{c}`") for c in names), runs_col, "_n_lines").mapInArrow(run, schema)

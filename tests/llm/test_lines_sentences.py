@@ -172,3 +172,10 @@ def test_ids_with_several_texts_and_clashing_columns(spark):
     assert all(r._runs == 5 and r._d == ("x" if r.doc_id is None else "y") for r in got)
     whole = {r.text for r in got if said in r.text}
     assert len(whole) == 1 and {r.doc_id for r in got if said in r.text} == {7} and all(r._n_removed == 3 for r in got if said not in r.text)
+
+
+def test_lines_beside_clashing_columns(spark):
+    rows = [(k, "a line with characters enough\nand one of this document alone" + str(k), "x", 7) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th string, _runs int").selectExpr("*", "1 as _n_deleted", "2 as d")
+    got = {r.doc_id: r for r in without_repeated_lines(df, maximal=True).collect()}
+    assert [got[k]._n_deleted for k in range(3)] == [0, 1, 1] and all(r._th == "x" and r._runs == 7 and r.d == 2 for r in got.values())
