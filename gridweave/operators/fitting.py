@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gridweave.operators.distributions import bounded
 from gridweave.operators.spatial import block_key, buffered_training
 from gridweave.randomfield.fields import Kriging, kernel
 
@@ -350,17 +351,18 @@ def block_covariance_scores(points: DataFrame, candidates: list[tuple[float, flo
 def block_bootstrap(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
     """estimate, lower, upper (95 %) of the mean difference over blocks (block, value), resampled by seeded hashes.
 
-    Each replicate's picks come from hashes of (replicate, place); block
-    values are few and looked up by their place.
+    Each replicate's picks come from hashes of (replicate, place), and blocks
+    are looked up by their place; their table is sent to every task after a
+    check of its size.
     """
     spark = blocks.sparkSession
-    rows = [r["value"] for r in blocks.orderBy("block").collect()]
-    values = F.array(*map(F.lit, rows))
-    picks = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("place"))
-    pick = F.pmod(F.xxhash64("replicate", "place", F.lit(seed)), F.lit(len(rows))).cast("int")
-    means = picks.select("replicate", F.element_at(values, pick + 1).alias("value")).groupBy("replicate").agg(F.avg("value").alias("m"))
+    placed = bounded(blocks.where("value is not null").select("value", (F.row_number().over(W.orderBy("block")) - 1).cast("int").alias("pick")))
+    n, mean = placed.agg(F.count("*"), F.avg("value")).first()
+    picks = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("place"))
+    pick = F.pmod(F.xxhash64("replicate", "place", F.lit(seed)), F.lit(max(n, 1))).cast("int")
+    means = picks.select("replicate", pick.alias("pick")).join(placed, "pick").groupBy("replicate").agg(F.avg("value").alias("m"))
     out = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return out.select(F.lit(float(np.mean(rows))).alias("estimate"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return out.select(F.lit(mean).cast("double").alias("estimate"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def streamline(u: np.ndarray, v: np.ndarray, start: tuple[float, float], step: float, limit: int) -> np.ndarray:

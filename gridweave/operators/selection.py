@@ -1,24 +1,32 @@
-"""Sequential selections over small candidate tables, and partitions of points into blocks.
+"""Sequential selections of locations, and partitions of points into blocks.
 
-Choosing one location after another depends on all chosen before, so these
-loops run on the driver over a bounded table of candidates or blocks; what is
-large (points, cells) meets their result by a join.
+Choosing one location after another depends on all chosen before: each choice
+is one aggregate over the candidates, which may be many, and a few choices are
+made. Folds are balanced on the driver over a checked number of blocks; points
+meet their result by a join.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from gridweave.operators.spatial import block_key, buffered_training, dilated
+from gridweave.randomfield.fields import Kriging
+
+#: Blocks that folds are balanced over.
+MOST_BLOCKS = 1_000_000
 
 
 def balanced_folds(points: DataFrame, size: float, folds: int, seed: int, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Points with a fold: blocks in seeded order, larger first, each into the smallest fold so far; blocks stay whole."""
     keyed = block_key(points, size, x0, y0)
-    blocks = keyed.groupBy("bx", "by").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.xxhash64("bx", "by", F.lit(seed))).collect()
+    counts = keyed.groupBy("bx", "by").agg(F.count("*").alias("n"))
+    if counts.limit(MOST_BLOCKS + 1).count() > MOST_BLOCKS:
+        raise ValueError(f"blocks of this size are more than {MOST_BLOCKS}")
+    blocks = counts.orderBy(F.desc("n"), F.xxhash64("bx", "by", F.lit(seed))).collect()
     load, out = [0] * folds, []
     for b in blocks:
         fold = load.index(min(load))
@@ -50,53 +58,95 @@ def grid_partition(cells: DataFrame, size: int, share: float, buffer: int, heigh
     return out.withColumn("part", F.when(F.col("test"), "test").when(F.col("near").isNull(), "train")).drop("test", "near")
 
 
-def boreholes(height: int, width: int, count: int, margin: int, spacing: float, seed: int, attempts: int = 100_000) -> list[tuple[int, int]]:
-    """Cells by rejection: within a margin and no nearer to each other than the spacing; raises if they don't fit."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(attempts):
-        cell = int(rng.integers(margin, height - margin)), int(rng.integers(margin, width - margin))
-        if all(math.dist(cell, c) >= spacing for c in out):
-            out.append(cell)
-            if len(out) == count:
-                return out
-    raise ValueError(f"only {len(out)} of {count} locations fit")
-
-
-def farthest_points(candidates: np.ndarray, count: int, first: int = 0) -> list[int]:
-    """Nested maximin order: each next candidate is the farthest from those before; ties to the smaller index."""
-    out, near = [first], np.hypot(*(candidates - candidates[first]).T)
-    while len(out) < count:
-        k = int(near.argmax())
-        if near[k] == 0:
-            raise ValueError("there are fewer distinct candidates")
-        out.append(k)
-        near = np.minimum(near, np.hypot(*(candidates - candidates[k]).T))
-    return out
-
-
-def variance_locations(candidates: np.ndarray, count: int, sigma: float, length: float, seed: int, floor: float = 1e-9) -> list[int]:
-    """Nested draw in proportion to what variance is left, with rank-one updates; stops where it is used up."""
-    d = np.hypot(*(candidates[:, None] - candidates).transpose(2, 0, 1))
-    c, rng, out = sigma * sigma * np.exp(-d / length), np.random.default_rng(seed), []
-    while len(out) < count:
-        left = np.where(np.diag(c) > floor, np.diag(c), 0.0)
-        if left.sum() <= 0:
+def _placed(candidates: DataFrame) -> DataFrame:
+    """The candidates that have an id and a place; others take no part."""
+    return candidates.where("id is not null and x_m is not null and y_m is not null")
+
+
+def _distance(x: float, y: float) -> Column:
+    return F.sqrt((F.col("x_m") - x) * (F.col("x_m") - x) + (F.col("y_m") - y) * (F.col("y_m") - y))
+
+
+def _race(share: Column, seed: int, place: int) -> Column:
+    """A draw in proportion to a share, as the largest of these over all rows: seeded exponential arrival times, negated."""
+    u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(place)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.when(share > 0, F.log(u) / share)
+
+
+def _sequence(candidates: DataFrame, count: int, step: Callable[[int, list[Row]], tuple[DataFrame, Column]], strict: bool = True) -> DataFrame:
+    """place, id, x_m, y_m of candidates (id, x_m, y_m) taken one after the other.
+
+    ``step`` gives the rows that may be next and their score; the highest is
+    taken, of equal ones the least id. Each step is one aggregate over the
+    table, and only the row taken passes the driver.
+    """
+    chosen: list[Row] = []
+    for place in range(count):
+        rows, score = step(place, chosen)
+        best = rows.where(score.isNotNull()).agg(F.max_by(F.struct("id", "x_m", "y_m"), F.struct(score.alias("score"), (-F.col("id")).alias("order"))).alias("x")).first()["x"]
+        if best is None:
+            if strict:
+                raise ValueError(f"only {len(chosen)} of {count} locations fit")
             break
-        k = int(rng.choice(len(left), p=left / left.sum()))
-        out.append(k)
-        c = c - np.outer(c[:, k], c[k]) / c[k, k]
-    return out
+        chosen.append(best)
+    rows = [(k, r["id"], r["x_m"], r["y_m"]) for k, r in enumerate(chosen)]
+    return candidates.sparkSession.createDataFrame(rows, "place int, id long, x_m double, y_m double")
+
+
+def _apart(rows: DataFrame, chosen: list[Row], spacing: float) -> DataFrame:
+    for r in chosen:
+        rows = rows.where(_distance(r["x_m"], r["y_m"]) >= spacing)
+    return rows
+
 
+def boreholes(candidates: DataFrame, count: int, margin: float, spacing: float, seed: int) -> DataFrame:
+    """Uniform draws within a margin of the candidates' extent and no nearer to each other than the spacing; raises if they don't fit."""
+    candidates = _placed(candidates)
+    e = candidates.agg(*(f(c) for c in ("x_m", "y_m") for f in (F.min, F.max))).first()
+    if e[0] is None:
+        raise ValueError(f"only 0 of {count} locations fit")
+    inside = candidates.where(F.col("x_m").between(e[0] + margin, e[1] - margin) & F.col("y_m").between(e[2] + margin, e[3] - margin))
+    return _sequence(candidates, count, lambda place, chosen: (_apart(inside, chosen, spacing), _race(F.lit(1.0), seed, place)))
 
-def weighted_locations(candidates: np.ndarray, weight: np.ndarray, count: int, spacing: float, explore: float, seed: int) -> list[int]:
+
+def farthest_points(candidates: DataFrame, count: int) -> DataFrame:
+    """Nested maximin order from the least id: each next candidate is the farthest from those before; ends at candidates that are all taken."""
+    candidates = _placed(candidates)
+
+    def step(place, chosen):
+        if not chosen:
+            return candidates, -F.col("id").cast("double")
+        near = [_distance(r["x_m"], r["y_m"]) for r in chosen]
+        far = near[0] if len(near) == 1 else F.least(*near)
+        return candidates.where(far > 0), far
+
+    return _sequence(candidates, count, step)
+
+
+def variance_locations(candidates: DataFrame, count: int, sigma: float, length: float, seed: int, floor: float = 1e-9) -> DataFrame:
+    """Nested draw in proportion to the kriging variance that those before leave; stops where it is used up."""
+    candidates = _placed(candidates)
+    rows = candidates.select("id", "x_m", "y_m")
+
+    def step(place, chosen):
+        left = rows.withColumn("variance", F.lit(sigma * sigma))
+        if chosen:
+            known = Kriging.fit([(r["x_m"], r["y_m"]) for r in chosen], [0.0] * len(chosen), sigma, length, mean=0.0)
+            left = known.map(rows, places=True)
+        return left.where(F.col("variance") > floor), _race(F.col("variance"), seed, place)
+
+    return _sequence(candidates, count, step, strict=False)
+
+
+def weighted_locations(candidates: DataFrame, weight: Column, count: int, spacing: float, explore: float, seed: int) -> DataFrame:
     """Sequential draw by weight mixed with a share of uniform exploration; chosen ones block their surroundings."""
-    rng, free, out = np.random.default_rng(seed), np.ones(len(candidates), bool), []
-    while len(out) < count:
-        if not free.any():
-            raise ValueError(f"only {len(out)} of {count} locations fit")
-        w = np.where(free, weight, 0.0)
-        p = (1 - explore) * (w / w.sum() if w.sum() > 0 else free / free.sum()) + explore * free / free.sum()
-        k = int(rng.choice(len(p), p=p / p.sum()))
-        out.append(k)
-        free &= np.hypot(*(candidates - candidates[k]).T) >= spacing
-    return out
+    candidates = _placed(candidates)
+    rows = candidates.withColumn("_weight", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+    def step(place, chosen):
+        free = _apart(rows, chosen, spacing)
+        n, total = free.agg(F.count("*"), F.sum("_weight")).first()
+        share = (1 - explore) * (F.col("_weight") / total if total else F.lit(1.0 / max(n, 1))) + explore / max(n, 1)
+        return free, _race(share, seed, place)
+
+    return _sequence(candidates, count, step)

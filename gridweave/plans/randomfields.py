@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from gridweave.functions import special as Z
@@ -167,17 +166,14 @@ query("spatial_partition")(lambda v: S.spatial_partition(v.points.select("id", "
 query("grid_test_partition")(lambda v: S.grid_partition(v.reference_field.select("row", "col"), 2, 0.2, 1, 8, 8, SEED))
 
 
-def _cells(name, f) -> None:
-    @query(name)
-    def chosen(v):
-        return v.rows([(k, int(r), int(c)) for k, (r, c) in enumerate(f())], "place int, row int, col int")
+def _places(v):
+    return v.points.select("id", "x_m", "y_m", "k")
 
 
-_GRID = np.array([(r, c) for r in range(16) for c in range(16)], float)
-_cells("sample_boreholes", lambda: S.boreholes(16, 16, 12, 1, 3.0, SEED))
-_cells("coverage_locations", lambda: _GRID[S.farthest_points(_GRID, 12)])
-_cells("covariance_locations", lambda: _GRID[S.variance_locations(_GRID, 12, 0.4, 4.0, SEED)])
-_cells("draw_reference_measurements", lambda: _GRID[S.weighted_locations(_GRID, 1 + _GRID[:, 0], 12, 2.0, 0.2, SEED)])
+query("sample_boreholes")(lambda v: S.boreholes(_places(v), 8, 500.0, 900.0, SEED))
+query("coverage_locations")(lambda v: S.farthest_points(_places(v), 8))
+query("covariance_locations")(lambda v: S.variance_locations(_places(v), 8, 0.4, 2000.0, SEED))
+query("draw_reference_measurements")(lambda v: S.weighted_locations(_places(v), F.col("k"), 8, 900.0, 0.2, SEED))
 
 
 @query("variogram_fit_points")

@@ -148,16 +148,17 @@ class Kriging:
             mean = weights[:, :-1] @ self.values
         return mean, np.maximum(self.sigma**2 - (weights * c).sum(axis=1), 0)
 
-    def map(self, points: DataFrame) -> DataFrame:
-        """id, mean, variance of points (id, x_m, y_m)."""
+    def map(self, points: DataFrame, places: bool = False) -> DataFrame:
+        """id, mean, variance of points (id, x_m, y_m); with ``places`` x_m and y_m besides."""
+        more = ["x_m", "y_m"] if places else []
 
         def run(batches):
             for b in batches:
                 x = np.column_stack([b.column(c).to_numpy() for c in ("x_m", "y_m")])
                 mean, variance = self.predict(x)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(mean), pa.array(variance)], ["id", "mean", "variance"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in more), pa.array(mean), pa.array(variance)], ["id", *more, "mean", "variance"])
 
-        return points.select("id", "x_m", "y_m").mapInArrow(run, "id long, mean double, variance double")
+        return points.select("id", "x_m", "y_m").mapInArrow(run, "id long, " + "".join(f"{c} double, " for c in more) + "mean double, variance double")
 
     def update(self, fields: DataFrame, width: int) -> DataFrame:
         """Free draws on a grid turned into conditional ones: each takes over the kriged residual of its own values (needs a known mean).

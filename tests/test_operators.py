@@ -145,14 +145,29 @@ def test_folds_keep_blocks_whole(spark):
     assert len(parts) == 300 and set(parts.values()) <= {"train", "test", None} and "test" in parts.values()
 
 
-def test_sequential_locations():
-    chosen = L.boreholes(20, 20, 8, 2, 4.0, 1)
-    assert all(math.dist(a, b) >= 4 for i, a in enumerate(chosen) for b in chosen[:i]) and all(2 <= r < 18 and 2 <= c < 18 for r, c in chosen)
-    grid = np.array([(r, c) for r in range(6) for c in range(6)], float)
-    assert L.farthest_points(grid, 5)[:3] == L.farthest_points(grid, 3) and L.farthest_points(grid, 2) == [0, 35]
-    assert len(set(L.variance_locations(grid, 10, 1.0, 2.0, 3))) == 10
+def test_sequential_locations(spark):
+    grid = [(6 * r + c, float(c), float(r)) for r in range(6) for c in range(6)]
+    df = spark.createDataFrame([*grid, (None, 1.0, 1.0), (99, None, 1.0)], "id long, x_m double, y_m double")
+    order = lambda t: [r.id for r in t.orderBy("place").collect()]
+    at = {i: (x, y) for i, x, y in grid}
+    chosen = order(L.boreholes(df, 4, 1.0, 2.0, 1))
+    assert all(math.dist(at[a], at[b]) >= 2 for i, a in enumerate(chosen) for b in chosen[:i]) and all(1 <= x <= 4 and 1 <= y <= 4 for x, y in map(at.get, chosen))
+    assert chosen == order(L.boreholes(df.repartition(5), 4, 1.0, 2.0, 1))
+    far = [0]
+    while len(far) < 5:
+        far.append(max(at, key=lambda i: (min(math.dist(at[i], at[j]) for j in far), -i)))
+    assert order(L.farthest_points(df, 5)) == far
+    assert len(set(order(L.variance_locations(df, 6, 1.0, 2.0, 3)))) == 6
+    assert order(L.weighted_locations(df, F.when(F.col("id") == 14, 1.0).otherwise(0.0), 1, 3.0, 0.0, 1)) == [14]
     with pytest.raises(ValueError):
-        L.weighted_locations(grid, np.ones(36), 30, 3.0, 0.1, 1)
+        L.weighted_locations(df, F.lit(1.0), 30, 3.0, 0.1, 1)
+    assert L.variance_locations(df.where("false"), 3, 1.0, 2.0, 3).count() == 0
+
+
+def test_weighted_draws_follow_their_weights(spark):
+    df = spark.createDataFrame([(k, float(k), 0.0) for k in range(4)], "id long, x_m double, y_m double")
+    first = [L.weighted_locations(df, F.col("id") + 0.0, 1, 0.5, 0.0, seed).first().id for seed in range(40)]
+    assert 0 not in first and first.count(3) > first.count(1)
 
 
 def test_stream_equals_one_pass(spark, tmp_path):
