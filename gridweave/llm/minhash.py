@@ -19,22 +19,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import sketch as K
 from gridweave.llm.components import components
-from gridweave.llm.shared import only, saved, slices
+from gridweave.llm.shared import only, release, saved, slices
 
 #: Sets of fewer shingles reach a similarity of 0.75 only if they are equal.
 LEAST_SET = 3
 #: Members, and shingles of all members, that a block may hold of one side.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Pairs that are estimated together.
+PAIRS = 1 << 15
 
 
 def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
+        release()
         for b in slices(batches):
             sets = [K.shingles(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -123,60 +128,124 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, i: int, least: float) -> np.ndarray:
-    """The members after i of other components that may link with it."""
-    j = np.nonzero(comp[i + 1 :] != comp[i])[0] + i + 1
-    if len(j):
-        j = j[K.may_link(np.broadcast_to(regs[i], (len(j), K.BUCKETS)), regs[j], np.full(len(j), n[i]), n[j], least)]
-    return j
+def _pairs_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of one group each, for groups of consecutive rows that end (exclusive) at the given places."""
+    sizes = np.diff(np.concatenate(([0], ends)))
+    left = np.repeat(ends, sizes) - np.arange(len(np.repeat(ends, sizes))) - 1  # rows of the group after each row
+    i = np.repeat(np.arange(len(left)), left)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left) + i + 1
+    return i, j
+
+
+def _rounds(block: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of whole blocks with few pairs together, or of one block."""
+    ends = np.append(np.nonzero(block[1:] != block[:-1])[0] + 1, len(block))
+    sizes = np.diff(np.concatenate(([0], ends)))
+    pairs, start, held = sizes * (sizes - 1) // 2, 0, 0
+    for e, p in zip(ends.tolist(), pairs.tolist(), strict=True):
+        held += p
+        if held >= PAIRS:
+            yield start, e
+            start, held = e, 0
+    if start < len(block):
+        yield start, len(block)
+
+
+def _held_together(frames, columns: list[str]) -> Iterator[pa.Table]:
+    """Arrow batches of rows sorted by block as tables of whole blocks."""
+    rest = None
+    for b in frames:
+        t = pa.Table.from_batches([b.select(["block", *columns])])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        block = t.column("block").to_numpy()
+        cut = int(np.nonzero(block != block[-1])[0][-1]) + 1 if block[0] != block[-1] else 0
+        rest = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _candidates(block: np.ndarray, regs: np.ndarray, n: np.ndarray, comp: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block and different components that may link."""
+    ends = np.append(np.nonzero(block[1:] != block[:-1])[0] + 1, len(block))
+    if len(ends) == 1 and len(block) > 512:
+        for i in range(len(block) - 1):
+            j = np.nonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i])))[0] + i + 1
+            if len(j):
+                j = j[K.may_link(np.broadcast_to(regs[i], (len(j), K.BUCKETS)), regs[j], np.full(len(j), n[i]), n[j], least)]
+                yield np.full(len(j), i), j
+        return
+    i, j = _pairs_of(ends)
+    keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+    i, j = i[keep], j[keep]
+    for k in range(0, len(i), PAIRS):
+        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        good = K.may_link(regs[a], regs[b], n[a], n[b], least)
+        yield a[good], b[good]
 
 
 def _possible(least: float):
-    """Of a block, the members with a possible partner in another component."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        regs = np.stack(_arrays(t.column("regs"), np.uint16))
-        n, comp = t.column("n").to_numpy(), t.column("comp").to_numpy()
-        keep = np.zeros(len(n), bool)
-        for i in range(len(n) - 1):
-            j = _across(regs, n, comp, i, least)
-            if len(j):
-                keep[i] = True
-                keep[j] = True
-        return t.select(["block", "rep", "comp"]).filter(pa.array(keep))
+    """Of blocks, the members with a possible partner in another component."""
+
+    def run(frames):
+        for whole in _held_together(frames, ["rep", "n", "comp", "regs"]):
+            for a, z in _rounds(whole.column("block").to_numpy()):
+                t = whole.slice(a, z - a)
+                regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, K.BUCKETS)
+                block, n, comp = (t.column(c).to_numpy() for c in ("block", "n", "comp"))
+                keep = np.zeros(len(n), bool)
+                for i, j in _candidates(block, regs, n, comp, least):
+                    keep[i] = True
+                    keep[j] = True
+                yield from t.select(["block", "rep", "comp"]).filter(pa.array(keep)).to_batches()
 
     return run
 
 
 def _block_links(least: float, percent: int):
-    """Links of a block that join different components, at most one for each member."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        sets = _arrays(t.column("hashes"), np.uint64)
-        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy().copy()
-        regs, n = np.stack([K.registers(s) for s in sets]), np.array([len(s) for s in sets])
-        ends = np.cumsum(n)
-        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        a, b = [], []
-        for i in range(len(n) - 1):
-            j = _across(regs, n, comp, i, least)
-            if not len(j):
-                continue
-            mark = np.zeros(len(words), np.int64)
-            mark[inverse[ends[i] - n[i] : ends[i]]] = 1
-            common = np.array([mark[inverse[ends[x] - n[x] : ends[x]]].sum() for x in j])
-            for x in j[_linked(common, n[i], n[j], percent)]:
-                if comp[x] != comp[i]:
-                    a.append(rep[i])
-                    b.append(rep[x])
-                    comp[comp == comp[x]] = comp[i]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Links of blocks that join different components, at most one for each member."""
+
+    def run(frames):
+        for whole in _held_together(frames, ["rep", "comp", "hashes"]):
+            for s, z in _rounds(whole.column("block").to_numpy()):
+                t = whole.slice(s, z - s)
+                sets = _arrays(t.column("hashes"), np.uint64)
+                block, rep, comp = (t.column(c).to_numpy() for c in ("block", "rep", "comp"))
+                regs, n, a, b = np.stack([K.registers(x) for x in sets]), np.array([len(x) for x in sets]), [], []
+                words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                starts, mark = np.cumsum(n) - n, np.zeros(len(words), bool)
+                # A component is known by its block too: links of one block say nothing about another's.
+                label = np.unique(np.column_stack((block, comp)), axis=0, return_inverse=True)[1].reshape(-1)
+                for left, right in _candidates(block, regs, n, comp, least):
+                    for i in np.unique(left).tolist():
+                        j = right[left == i] if left[0] != left[-1] else right
+                        j = j[label[j] != label[i]]
+                        if not len(j):
+                            continue
+                        own = flat[starts[i] : starts[i] + n[i]]
+                        mark[own] = True
+                        upto = np.cumsum(n[j])
+                        at = np.repeat(starts[j] - upto + n[j], n[j]) + np.arange(upto[-1])
+                        common = np.add.reduceat(mark[flat[at]].astype(np.int64), upto - n[j])
+                        mark[own] = False
+                        for x in j[_linked(common, n[i], n[j], percent)].tolist():
+                            if label[x] != label[i]:
+                                a.append(rep[i])
+                                b.append(rep[x])
+                                label[label == label[x]] = label[i]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _by_block(rows: DataFrame, run, schema: str) -> DataFrame:
+    """run over rows that stand in order of their blocks, each block whole in one task."""
+    return rows.repartition("block").sortWithinPartitions("block", "rep").mapInArrow(run, schema)
+
+
 def _blocked(rows: DataFrame) -> DataFrame:
     """key, rep, n, comp with the blocks of buckets that hold several components.
 
@@ -204,7 +273,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
         + ") end"
     )
     return x.select("rep", "n", "comp", "key", F.explode(blocks).alias("part")).select(
-        "rep", "n", "comp", F.concat_ws(":", "key", "part").alias("block")
+        "rep", "n", "comp", F.xxhash64("key", "part").alias("block")
     )
 
 
@@ -263,14 +332,12 @@ def near_duplicates(
     placed = placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     blocks = _blocked(saved(placed, "placed"))
     possible = saved(
-        blocks.join(regs.select("rep", "regs"), "rep").select("block", "rep", "n", "comp", "regs")
-        .groupBy("block").applyInArrow(_possible(least), "block string, rep long, comp long"),
+        _by_block(blocks.join(regs.select("rep", "regs"), "rep").select("block", "rep", "n", "comp", "regs"), _possible(least), "block long, rep long, comp long"),
         "possible",
     )
     late_sets = one_text(possible.select("rep").distinct())
     late = saved(
-        possible.join(late_sets, "rep").select("block", "rep", "comp", "hashes")
-        .groupBy("block").applyInArrow(_block_links(least, percent), "a long, b long"),
+        _by_block(possible.join(late_sets, "rep").select("block", "rep", "comp", "hashes"), _block_links(least, percent), "a long, b long"),
         "links",
     )
 

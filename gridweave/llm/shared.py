@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -63,11 +64,17 @@ _held: dict = {}
 def held(key, make):
     """What a Python worker keeps from one task to the next, of one kind of work at a time: another key drops it."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Drops what a Python worker keeps, where work of another kind begins that keeps nothing."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of so many rows, so that a worker holds few texts as Python objects."""
     for b in batches:

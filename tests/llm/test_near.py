@@ -86,3 +86,27 @@ def test_small_sets_always_share_a_key():
         if min(len(a), len(b)) < K.SMALL_SET and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)):
             keys = [set(K.prefix_keys(np.array(x, np.uint64), 75)) for x in (a, b)]
             assert keys[0] & keys[1]
+
+
+def test_blocks_that_are_cut(spark, monkeypatch):
+    from gridweave.llm import minhash as M
+
+    monkeypatch.setattr(M, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(M, "PAIRS", 50)
+    rng, rows = random.Random(2), []
+    for k in range(30):  # families that share most of a text, with links inside them and across
+        base = [f"b{rng.randint(0, 3)}w{j}" for j in range(24)]
+        for _ in range(5):
+            words = [w if rng.random() > 0.03 else f"n{rng.randint(0, 9)}" for w in base]
+            rows.append((len(rows), " ".join(words)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_pairs_of_consecutive_groups():
+    from gridweave.llm import minhash as M
+
+    i, j = M._pairs_of(np.array([3, 4, 8]))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [*itertools.combinations(range(3), 2), *itertools.combinations(range(4, 8), 2)]
+    block = np.array([1, 1, 2, 5, 5, 5])
+    assert [x for x in M._rounds(block)] == [(0, 6)]
