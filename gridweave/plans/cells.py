@@ -25,21 +25,19 @@ def risk_and_statistics(v):
     return C.risk_and_statistics(v.temperature, BACKGROUND, 0.5)
 
 
-for _name in ("field_statistics",):
-
-    @query(_name, f"-- doubles: mean variance std min max\nselect row, col, {_STATS} from fields_long group by row, col", "fields_long")
-    def field_statistics(v):
-        return C.field_statistics(v.fields_long)
+@query("field_statistics", f"-- doubles: mean variance std min max\nselect row, col, {_STATS} from fields_long group by row, col", "fields_long")
+def field_statistics(v):
+    return C.field_statistics(v.fields_long)
 
 
 _EXCEED = f"""-- doubles: threshold probability
 select threshold, row, col, avg(((value - {BACKGROUND})::float >= threshold::float)::double) as probability
 from temperature, (select unnest([0.1, 0.5])::double as threshold) group by all"""
-for _name in ("exceedance_probability",):
 
-    @query(_name, _EXCEED, "temperature")
-    def exceedance_probability(v):
-        return C.exceedance_probability(v.temperature, BACKGROUND, THRESHOLDS)
+
+@query("exceedance_probability", _EXCEED, "temperature")
+def exceedance_probability(v):
+    return C.exceedance_probability(v.temperature, BACKGROUND, THRESHOLDS)
 
 
 @query("risk_probability_map", _EXCEED.replace(">=", ">"), "temperature")

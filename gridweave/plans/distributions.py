@@ -8,20 +8,19 @@ from gridweave.functions import scalars as S
 from gridweave.operators import distributions as D, samples
 from gridweave.plans.registry import query
 
-for _name in ("wasserstein_1d",):
-
-    @query(
-        _name,
-        """-- doubles: w1
-        with c as (select row, col, value, (sample_id % 2 = 0)::int as x, (sample_id % 2 = 1)::int as y from fields_long),
-        r as (select row, col, value, sum(x) over w / (sum(x) over p)::double as f, sum(y) over w / (sum(y) over p)::double as g, lead(value) over (partition by row, col order by value) - value as width
-          from (select row, col, value, sum(x) as x, sum(y) as y from c group by all) window w as (partition by row, col order by value), p as (partition by row, col))
-        select row, col, coalesce(sum(abs(f - g) * width), 0) as w1 from r group by row, col""",
-        "fields_long",
-    )
-    def wasserstein_1d(v):
-        f = v.fields_long
-        return D.wasserstein(f.where("sample_id % 2 = 0"), f.where("sample_id % 2 = 1"), ("row", "col"))
+
+@query(
+    "wasserstein_1d",
+    """-- doubles: w1
+    with c as (select row, col, value, (sample_id % 2 = 0)::int as x, (sample_id % 2 = 1)::int as y from fields_long),
+    r as (select row, col, value, sum(x) over w / (sum(x) over p)::double as f, sum(y) over w / (sum(y) over p)::double as g, lead(value) over (partition by row, col order by value) - value as width
+      from (select row, col, value, sum(x) as x, sum(y) as y from c group by all) window w as (partition by row, col order by value), p as (partition by row, col))
+    select row, col, coalesce(sum(abs(f - g) * width), 0) as w1 from r group by row, col""",
+    "fields_long",
+)
+def wasserstein_1d(v):
+    f = v.fields_long
+    return D.wasserstein(f.where("sample_id % 2 = 0"), f.where("sample_id % 2 = 1"), ("row", "col"))
 
 
 @query(
@@ -40,18 +39,16 @@ def ecdf_at_edges(v):
     return D.ecdf(v.fields_long, [-0.2, 0.0, 0.2], ("row", "col"))
 
 
-for _name in ("marginal_validation",):
-
-    @query(
-        _name,
-        """-- doubles: mean std mean_error std_error inside below above q01 q05 q50 q95 q99
-        select count(*) as n, avg(value) as mean, stddev_samp(value) as std, avg(value) + 9.3 as mean_error, stddev_samp(value) - 0.125 as std_error, avg((value between -9.6 and -9.0)::int::double) as inside,
-          avg((value < -9.6)::int::double) as below, avg((value > -9.0)::int::double) as above, quantile_cont(value, 0.01) as q01, quantile_cont(value, 0.05) as q05, quantile_cont(value, 0.5) as q50,
-          quantile_cont(value, 0.95) as q95, quantile_cont(value, 0.99) as q99, case when abs(avg(value) + 9.3) <= 0.01 and abs(stddev_samp(value) - 0.125) <= 0.01 then 'pass' else 'warn' end as status from log_k""",
-        "log_k",
-    )
-    def marginal_validation(v):
-        return D.marginal_validation(v.log_k, -9.3, 0.125, -9.6, -9.0, 0.01)
+@query(
+    "marginal_validation",
+    """-- doubles: mean std mean_error std_error inside below above q01 q05 q50 q95 q99
+    select count(*) as n, avg(value) as mean, stddev_samp(value) as std, avg(value) + 9.3 as mean_error, stddev_samp(value) - 0.125 as std_error, avg((value between -9.6 and -9.0)::int::double) as inside,
+      avg((value < -9.6)::int::double) as below, avg((value > -9.0)::int::double) as above, quantile_cont(value, 0.01) as q01, quantile_cont(value, 0.05) as q05, quantile_cont(value, 0.5) as q50,
+      quantile_cont(value, 0.95) as q95, quantile_cont(value, 0.99) as q99, case when abs(avg(value) + 9.3) <= 0.01 and abs(stddev_samp(value) - 0.125) <= 0.01 then 'pass' else 'warn' end as status from log_k""",
+    "log_k",
+)
+def marginal_validation(v):
+    return D.marginal_validation(v.log_k, -9.3, 0.125, -9.6, -9.0, 0.01)
 
 
 @query("normality_metrics", "-- doubles: skewness kurtosis\nselect count(value) as n, skewness(value) as skewness, kurtosis(value) as kurtosis from log_k", "log_k")
@@ -68,31 +65,27 @@ def _features(v):
     return samples.field_features(v.fields_long, 1.0).withColumnRenamed("sample_id", "id")
 
 
-for _name in ("feature_reference",):
-
-    @query(
-        _name,
-        f"-- doubles: mean std min max\nwith {_FSQL}, u as (unpivot (select * exclude id from f) on {', '.join(_F)} into name metric value value) select metric, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, min(value) as min, max(value) as max from u group by metric",
-        "fields_long",
-    )
-    def feature_reference(v):
-        return D.feature_reference(_features(v), _F)
-
+@query(
+    "feature_reference",
+    f"-- doubles: mean std min max\nwith {_FSQL}, u as (unpivot (select * exclude id from f) on {', '.join(_F)} into name metric value value) select metric, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, min(value) as min, max(value) as max from u group by metric",
+    "fields_long",
+)
+def feature_reference(v):
+    return D.feature_reference(_features(v), _F)
 
-for _name in ("feature_comparison",):
 
-    @query(
-        _name,
-        f"""-- doubles: ref_mean ref_std mean std outside_fraction z_score
-        with {_FSQL}, u as (unpivot f on {', '.join(_F)} into name metric value value),
-        r as (select metric, avg(value) as ref_mean, coalesce(stddev_samp(value), 0) as ref_std, min(value) as lo, max(value) as hi from u where id < 100 group by metric)
-        select metric, ref_mean, ref_std, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, avg((value < lo or value > hi)::int::double) as outside_fraction, (avg(value) - ref_mean) / ref_std as z_score
-        from u join r using (metric) where id >= 100 group by metric, ref_mean, ref_std""",
-        "fields_long",
-    )
-    def feature_comparison(v):
-        f = _features(v)
-        return D.feature_comparison(f.where("id >= 100"), f.where("id < 100"), _F)
+@query(
+    "feature_comparison",
+    f"""-- doubles: ref_mean ref_std mean std outside_fraction z_score
+    with {_FSQL}, u as (unpivot f on {', '.join(_F)} into name metric value value),
+    r as (select metric, avg(value) as ref_mean, coalesce(stddev_samp(value), 0) as ref_std, min(value) as lo, max(value) as hi from u where id < 100 group by metric)
+    select metric, ref_mean, ref_std, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, avg((value < lo or value > hi)::int::double) as outside_fraction, (avg(value) - ref_mean) / ref_std as z_score
+    from u join r using (metric) where id >= 100 group by metric, ref_mean, ref_std""",
+    "fields_long",
+)
+def feature_comparison(v):
+    f = _features(v)
+    return D.feature_comparison(f.where("id >= 100"), f.where("id < 100"), _F)
 
 
 @query(
@@ -232,11 +225,9 @@ def kl_variance(v):
     return v.fields_long.groupBy("row", "col").agg(F.sum(F.col("value") * F.col("value") / (1 + F.col("sample_id"))).alias("variance"))
 
 
-for _name in ("normal_score_fit",):
-
-    @query(_name, "-- doubles: value p\nselect k::int as k, (k + 0.5) / 20 as p, (select quantile_cont(value, (k + 0.5) / 20) from log_k) as value from range(20) t(k)".replace("(select quantile_cont(value, (k + 0.5) / 20) from log_k)", "qs[k + 1]").replace("from range(20) t(k)", "from range(20) t(k), (select quantile_cont(value, [" + ", ".join(str((i + 0.5) / 20) for i in range(20)) + "]) as qs from log_k)"), "log_k")
-    def normal_score_fit(v):
-        return D.knots(v.log_k, 20)
+@query("normal_score_fit", "-- doubles: value p\nselect k::int as k, (k + 0.5) / 20 as p, (select quantile_cont(value, (k + 0.5) / 20) from log_k) as value from range(20) t(k)".replace("(select quantile_cont(value, (k + 0.5) / 20) from log_k)", "qs[k + 1]").replace("from range(20) t(k)", "from range(20) t(k), (select quantile_cont(value, [" + ", ".join(str((i + 0.5) / 20) for i in range(20)) + "]) as qs from log_k)"), "log_k")
+def normal_score_fit(v):
+    return D.knots(v.log_k, 20)
 
 
 _KNOTS = [(-9.6, -2.0), (-9.4, -0.8), (-9.2, 0.8), (-9.0, 2.0)]
@@ -248,36 +239,30 @@ def normal_score_to(v):
     return v.log_k.select("sample_id", "row", "col", S.interpolated(F.col("value"), _KNOTS).alias("z"))
 
 
-for _name in ("normal_score_from",):
-
-    @query(_name, f"-- doubles: y\nselect sample_id, row, col, case when z <= -2 then -9.6 when z <= -0.8 then -9.6 + (z + 2) / 6.0 when z <= 0.8 then -9.4 + (z + 0.8) / 8.0 when z <= 2 then -9.2 + (z - 0.8) / 6.0 else -9.0 end as y from (select sample_id, row, col, {_TO} as z from log_k)", "log_k", digits=5)
-    def normal_score_from(v):
-        z = v.log_k.withColumn("z", S.interpolated(F.col("value"), _KNOTS))
-        return z.select("sample_id", "row", "col", S.interpolated(F.col("z"), [(b, a) for a, b in _KNOTS]).alias("y"))
-
-
-for _name in ("simple_kriging_grid",):
+@query("normal_score_from", f"-- doubles: y\nselect sample_id, row, col, case when z <= -2 then -9.6 when z <= -0.8 then -9.6 + (z + 2) / 6.0 when z <= 0.8 then -9.4 + (z + 0.8) / 8.0 when z <= 2 then -9.2 + (z - 0.8) / 6.0 else -9.0 end as y from (select sample_id, row, col, {_TO} as z from log_k)", "log_k", digits=5)
+def normal_score_from(v):
+    z = v.log_k.withColumn("z", S.interpolated(F.col("value"), _KNOTS))
+    return z.select("sample_id", "row", "col", S.interpolated(F.col("z"), [(b, a) for a, b in _KNOTS]).alias("y"))
 
-    @query(
-        _name,
-        """-- doubles: mean
-        select q.id, -0.4 + sum(o.log10_k / 10 * exp(-sqrt((q.x_m - o.x_m) * (q.x_m - o.x_m) + (q.y_m - o.y_m) * (q.y_m - o.y_m)) / 900)) as mean from points q, good_points o group by q.id""",
-        "good_points",
-    )
-    def simple_kriging_grid(v):
-        weights = v.good_points.select(F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), (F.col("log10_k") / 10).alias("alpha"))
-        return D.simple_kriging_mean(v.points, weights, -0.4, 900.0)
 
+@query(
+    "simple_kriging_grid",
+    """-- doubles: mean
+    select q.id, -0.4 + sum(o.log10_k / 10 * exp(-sqrt((q.x_m - o.x_m) * (q.x_m - o.x_m) + (q.y_m - o.y_m) * (q.y_m - o.y_m)) / 900)) as mean from points q, good_points o group by q.id""",
+    "good_points",
+)
+def simple_kriging_grid(v):
+    weights = v.good_points.select(F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), (F.col("log10_k") / 10).alias("alpha"))
+    return D.simple_kriging_mean(v.points, weights, -0.4, 900.0)
 
-for _name in ("mc_propagate",):
 
-    @query(_name, "-- doubles: mean std\nselect row, col, avg(t) as mean, stddev_samp(t) as std from (select row, col, 10.6 + 4 * exp(log10(value) + 9.3) as t from permeability) group by row, col", "permeability")
-    def mc_propagate(v):
-        """A surrogate as a column expression, then statistics of what it gives."""
-        from gridweave.operators.cells import field_statistics
+@query("mc_propagate", "-- doubles: mean std\nselect row, col, avg(t) as mean, stddev_samp(t) as std from (select row, col, 10.6 + 4 * exp(log10(value) + 9.3) as t from permeability) group by row, col", "permeability")
+def mc_propagate(v):
+    """A surrogate as a column expression, then statistics of what it gives."""
+    from gridweave.operators.cells import field_statistics
 
-        t = v.permeability.withColumn("value", 10.6 + 4 * F.exp(F.log10("value") + 9.3))
-        return field_statistics(t).select("row", "col", "mean", "std")
+    t = v.permeability.withColumn("value", 10.6 + 4 * F.exp(F.log10("value") + 9.3))
+    return field_statistics(t).select("row", "col", "mean", "std")
 
 
 def _parts(v):
@@ -297,19 +282,15 @@ def argmin_model(v):
     return _parts(v).agg(F.min_by("model", F.struct("score", "order", "model")).alias("model"))
 
 
-for _name in ("topk_coarse_matches",):
+@query("topk_coarse_matches", "select * from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_size, p_partkey)::int as rank from part) where rank <= 3")
+def topk_per_group(v):
+    w = W.partitionBy("p_brand").orderBy("p_retailprice", "p_size", "p_partkey")
+    return v.table("part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
-    @query(_name, "select * from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_size, p_partkey)::int as rank from part) where rank <= 3")
-    def topk_per_group(v):
-        w = W.partitionBy("p_brand").orderBy("p_retailprice", "p_size", "p_partkey")
-        return v.table("part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
-
-for _name in ("measurement_prefix",):
-
-    @query(_name, "select position, p_partkey from (select row_number() over (order by p_partkey)::int as position, p_partkey from part) where position <= 64")
-    def measurement_prefix(v):
-        return v.table("part").select(F.row_number().over(W.orderBy("p_partkey")).alias("position"), "p_partkey").where("position <= 64")
+@query("measurement_prefix", "select position, p_partkey from (select row_number() over (order by p_partkey)::int as position, p_partkey from part) where position <= 64")
+def measurement_prefix(v):
+    return v.table("part").select(F.row_number().over(W.orderBy("p_partkey")).alias("position"), "p_partkey").where("position <= 64")
 
 
 for _name, _take in (("even_midpoint_sample", "floor(0.5 * (floor(i * 2000 / 50.0) + floor((i + 1) * 2000 / 50.0)))"), ("bounded_linspace_sample", "floor(i * 1999 / 49.0)")):
@@ -319,13 +300,11 @@ for _name, _take in (("even_midpoint_sample", "floor(0.5 * (floor(i * 2000 / 50.
         return v.spark.range(50).select(F.least(F.expr(take.replace("i", "id").replace("mid", "mi")), F.lit(1999)).cast("bigint").alias("position"))
 
 
-for _name in ("historical_window",):
-
-    @query(_name, "-- doubles: value\nselect sample_id, (6 - col)::int as row, (row - 1)::int as col, log10(pow(10.0, value) * 7.5e6) as value from fields_long where row between 1 and 6 and col between 1 and 6", "fields_long")
-    def historical_window(v):
-        """A window turned by 90 degrees, converted by the historical divisor."""
-        from gridweave.operators.spatial import orient
+@query("historical_window", "-- doubles: value\nselect sample_id, (6 - col)::int as row, (row - 1)::int as col, log10(pow(10.0, value) * 7.5e6) as value from fields_long where row between 1 and 6 and col between 1 and 6", "fields_long")
+def historical_window(v):
+    """A window turned by 90 degrees, converted by the historical divisor."""
+    from gridweave.operators.spatial import orient
 
-        w = v.fields_long.where("row between 1 and 6 and col between 1 and 6").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
-        turned = orient(w, "transpose_flip_y", 6, 6)
-        return turned.select("sample_id", "row", "col", F.log10(F.pow(F.lit(10.0), "value") * S.HISTORICAL_DIVISOR).alias("value"))
+    w = v.fields_long.where("row between 1 and 6 and col between 1 and 6").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
+    turned = orient(w, "transpose_flip_y", 6, 6)
+    return turned.select("sample_id", "row", "col", F.log10(F.pow(F.lit(10.0), "value") * S.HISTORICAL_DIVISOR).alias("value"))

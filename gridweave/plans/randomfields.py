@@ -45,11 +45,9 @@ def kl_map(v):
     return R.to_long(_expansion().map(_xi(v)), 8)
 
 
-for _name in ("kl_conditional",):
-
-    @query(_name)
-    def kl_conditional(v, noise=0.05):
-        return R.to_long(_expansion().map_conditioned(_xi(v), _PINS, _VALUES, noise), 8)
+@query("kl_conditional")
+def kl_conditional(v, noise=0.05):
+    return R.to_long(_expansion().map_conditioned(_xi(v), _PINS, _VALUES, noise), 8)
 
 
 @query("kl_at_points")
@@ -77,11 +75,9 @@ def _grid_kriging():
     return R.Kriging.fit([(1, 1), (6, 3), (6, 6)], [-0.2, 0.3, 0.1], 0.3, 3.0, mean=0.0)
 
 
-for _name in ("conditional_fft",):
-
-    @query(_name)
-    def conditional_fft(v):
-        return R.to_long(_grid_kriging().update(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), 8), 8)
+@query("conditional_fft")
+def conditional_fft(v):
+    return R.to_long(_grid_kriging().update(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), 8), 8)
 
 
 @query("cached_prior")
@@ -89,11 +85,9 @@ def cached_prior(v):
     return R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED)
 
 
-for _name in ("reference_field_map",):
-
-    @query(_name)
-    def reference_field_map(v):
-        return R.to_long(R.around_reference(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), [-9.3] * 64, 0.3, arithmetic=True), 8)
+@query("reference_field_map")
+def reference_field_map(v):
+    return R.to_long(R.around_reference(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), [-9.3] * 64, 0.3, arithmetic=True), 8)
 
 
 @query("normal_score_map")
@@ -110,23 +104,20 @@ def perlin_field(v):
     return R.to_long(R.perlin(v.spark, 16, 16, 16, 5.0, SEED), 16)
 
 
-for _name in ("ordinary_kriging",):
+@query("ordinary_kriging")
+def ordinary_kriging(v):
+    return X.local_kriging(v.points, _points(v), 0.4, 2000.0, nugget=0.05)
 
-    @query(_name)
-    def ordinary_kriging(v):
-        return X.local_kriging(v.points, _points(v), 0.4, 2000.0, nugget=0.05)
 
+@query("simple_kriging_points")
+def simple_kriging_points(v):
+    return X.local_kriging(v.points, _points(v), 0.4, 2000.0, mean=-0.4, nugget=0.05)
 
-for _name in ("simple_kriging_points",):
 
-    @query(_name)
-    def simple_kriging_points(v):
-        return X.local_kriging(v.points, _points(v), 0.4, 2000.0, mean=-0.4, nugget=0.05)
+query("spectrum_2d")(lambda v: R.spectrum(_arrays(v), 8, 8))
 
 
-query("spectrum_2d")(lambda v: R.spectrum(_arrays(v), 8, 8))
-for _name in ("connected_components",):
-    query(_name)(lambda v: R.components(_arrays(v), 8, 8, 0.1))
+query("connected_components")(lambda v: R.components(_arrays(v), 8, 8, 0.1))
 query("streamlines")(lambda v: X.streamlines(_arrays(v), 8, 8, [(3.5, 3.5), (2.0, 5.0)]))
 
 query("normal_cdf")(lambda v: v.points.select("id", Z.normal_cdf("k").alias("p")))
@@ -182,20 +173,16 @@ def variogram_fit_points(v):
     return X.variogram_fits(curve.select("direction", F.col("mean_lag").alias("lag"), "gamma", "pairs"), "direction")
 
 
-for _name in ("variogram_fit_grid",):
-
-    @query(_name)
-    def variogram_fit_grid(v):
-        curve = P.directional_variograms(v.fields_long, {"y": (1, 0), "x": (0, 1), "diagonal": (1, 1)}, [1, 2, 3, 4, 5])
-        return X.variogram_fits(curve.select("direction", F.col("distance").alias("lag"), "gamma", "pairs"), "direction")
+@query("variogram_fit_grid")
+def variogram_fit_grid(v):
+    curve = P.directional_variograms(v.fields_long, {"y": (1, 0), "x": (0, 1), "diagonal": (1, 1)}, [1, 2, 3, 4, 5])
+    return X.variogram_fits(curve.select("direction", F.col("distance").alias("lag"), "gamma", "pairs"), "direction")
 
 
-for _name in ("spatial_block_cv",):
-
-    @query(_name)
-    def spatial_block_cv(v):
-        folded = S.balanced_folds(_points(v), 1500.0, 5, SEED)
-        return X.local_cross_validation(folded.select("id", "x_m", "y_m", "value", "fold"), 5, 0.4, 1500.0, 0.05)
+@query("spatial_block_cv")
+def spatial_block_cv(v):
+    folded = S.balanced_folds(_points(v), 1500.0, 5, SEED)
+    return X.local_cross_validation(folded.select("id", "x_m", "y_m", "value", "fold"), 5, 0.4, 1500.0, 0.05)
 
 
 def _model(name, sigma, length, nugget, family="exponential", trend="constant"):

@@ -32,21 +32,21 @@ def roi_filter(v):
 _RECEPTORS = """-- doubles: receptor_001 receptor_002 receptor_003
 select sample_id, max(value) filter (row = 1 and col = 1) as receptor_001, max(value) filter (row = 3 and col = 4) as receptor_002,
   max(value) filter (row = 6 and col = 2) as receptor_003 from temperature group by sample_id"""
-for _name in ("qoi_receptors",):
 
-    @query(_name, _RECEPTORS, "temperature")
-    def qoi_receptors(v):
-        return S.receptors(v.temperature, RECEPTORS)
+
+@query("qoi_receptors", _RECEPTORS, "temperature")
+def qoi_receptors(v):
+    return S.receptors(v.temperature, RECEPTORS)
 
 
 _WARM = f"""-- doubles: max_anomaly area_m2
 select sample_id, max(value - {BACKGROUND}) as max_anomaly, count(*) filter ((value - {BACKGROUND})::float > 0.5::float) * 25.0 as area_m2
 from temperature group by sample_id"""
-for _name in ("qoi_roi_max_anomaly",):
 
-    @query(_name, _WARM, "temperature")
-    def warming(v):
-        return S.warming(v.temperature, BACKGROUND, 0.5, 5.0)
+
+@query("qoi_roi_max_anomaly", _WARM, "temperature")
+def warming(v):
+    return S.warming(v.temperature, BACKGROUND, 0.5, 5.0)
 
 
 @query(
@@ -228,8 +228,8 @@ def patch_lattice(v):
 _PATCHES = f"""-- doubles: mean std
 with patches as ({_LATTICE}) select f.sample_id, p.patch, avg(value) as mean, stddev_samp(value) as std from fields_long f join patches p
 on row >= row0 and row < row0 + 4 and col >= col0 and col < col0 + 4 group by f.sample_id, p.patch"""
-for _name in ("patch_features",):
 
-    @query(_name, _PATCHES, "fields_long")
-    def patch_features(v):
-        return S.patch_features(v.fields_long, S.patch_lattice(v.spark, 8, 8, 4, 2), 4)
+
+@query("patch_features", _PATCHES, "fields_long")
+def patch_features(v):
+    return S.patch_features(v.fields_long, S.patch_lattice(v.spark, 8, 8, 4, 2), 4)

@@ -121,12 +121,10 @@ def run_number(v):
     return named.select("name", X.run_number(F.col("name")).alias("run"))
 
 
-for _name in ("scan_discover_runs",):
-
-    @query(_name, f"select distinct substr(name, 5)::bigint as run from ({_RUNS}) where regexp_matches(name, '^RUN_[0-9]+$')")
-    def runs(v):
-        named = v.table("part").select(F.expr("concat(case when p_partkey % 5 = 0 then 'X_' else 'RUN_' end, p_partkey)").alias("name"))
-        return named.select(X.run_number(F.col("name")).alias("run")).where("run is not null").distinct().orderBy("run")
+@query("scan_discover_runs", f"select distinct substr(name, 5)::bigint as run from ({_RUNS}) where regexp_matches(name, '^RUN_[0-9]+$')")
+def runs(v):
+    named = v.table("part").select(F.expr("concat(case when p_partkey % 5 = 0 then 'X_' else 'RUN_' end, p_partkey)").alias("name"))
+    return named.select(X.run_number(F.col("name")).alias("run")).where("run is not null").distinct().orderBy("run")
 
 
 @query("json_safe", "-- doubles: y\nselect id, case when k > 0 then ln(k) end as y from points", "points")

@@ -17,11 +17,9 @@ def ensemble_crps(v):
     return X.ensemble_scores(v.draws)
 
 
-for _name in ("rank_pit",):
-
-    @query(_name, f"-- doubles: pit\nwith {_ENS} select trial, rank, (rank + 0.5) / (n + 1) as pit, (rank + 0.5) / (n + 1) >= 0.05 and (rank + 0.5) / (n + 1) <= 0.95 as covered from ens", "draws")
-    def rank_pit(v):
-        return X.rank_interval(X.ensemble_scores(v.draws), 0.9).select("trial", "rank", "pit", "covered")
+@query("rank_pit", f"-- doubles: pit\nwith {_ENS} select trial, rank, (rank + 0.5) / (n + 1) as pit, (rank + 0.5) / (n + 1) >= 0.05 and (rank + 0.5) / (n + 1) <= 0.95 as covered from ens", "draws")
+def rank_pit(v):
+    return X.rank_interval(X.ensemble_scores(v.draws), 0.9).select("trial", "rank", "pit", "covered")
 
 
 @query(
@@ -43,11 +41,10 @@ _SCORES = """count(*) as n, sqrt(avg((truth - mean) * (truth - mean))) as rmse,
   avg(0.5 * ln(2 * pi()) + ln(std) + (truth - mean) * (truth - mean) / (2 * std * std)) as nlpd"""
 _NAMES = "rmse mae bias rms_sd within_50 within_68 within_80 within_90 within_95 z_rmse z_bias z_std nlpd"
 
-for _name in ("predictive_scores",):
 
-    @query(_name, f"-- doubles: {_NAMES}\nselect {_SCORES} from pred_truth", "pred_truth")
-    def predictive_scores(v):
-        return X.predictive_scores(v.pred_truth)
+@query("predictive_scores", f"-- doubles: {_NAMES}\nselect {_SCORES} from pred_truth", "pred_truth")
+def predictive_scores(v):
+    return X.predictive_scores(v.pred_truth)
 
 
 @query("uncertainty_bins", f"""-- doubles: {_NAMES}
@@ -80,11 +77,9 @@ def _compared(v):
     return v.temperature.where("sample_id > 0").join(ref, ["row", "col"]).withColumnRenamed("value", "prediction")
 
 
-for _name in ("field_error_metrics",):
-
-    @query(_name, f"-- doubles: mae mse rmse max_abs bias\nwith {_FIELD} select sample_id, {_ERR} from f group by sample_id", "temperature")
-    def field_error_metrics(v):
-        return X.error_metrics(_compared(v), ("sample_id",))
+@query("field_error_metrics", f"-- doubles: mae mse rmse max_abs bias\nwith {_FIELD} select sample_id, {_ERR} from f group by sample_id", "temperature")
+def field_error_metrics(v):
+    return X.error_metrics(_compared(v), ("sample_id",))
 
 
 @query(

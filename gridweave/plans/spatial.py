@@ -165,11 +165,9 @@ def _bilinear_sql(clamp: bool) -> str:
     from c left join reference_field r on c.row = r.row and c.col = r.col where weight > 0 group by c.id"""
 
 
-for _name in ("join_point_bilinear",):
-
-    @query(_name, _bilinear_sql(False), "points reference_field")
-    def bilinear(v):
-        return P.bilinear(v.points.select("id", "x_m", "y_m"), v.reference_field, 0.0, 0.0, 1600.0).select("id", "sampled")
+@query("join_point_bilinear", _bilinear_sql(False), "points reference_field")
+def bilinear(v):
+    return P.bilinear(v.points.select("id", "x_m", "y_m"), v.reference_field, 0.0, 0.0, 1600.0).select("id", "sampled")
 
 
 @query("join_grid_bilinear_mean", _bilinear_sql(True), "points reference_field")
@@ -231,12 +229,10 @@ def select_domain_max_count(v):
     return P.domain_by_count(v.points, 1600.0, 400.0)
 
 
-for _name in ("bbox_filter",):
-
-    @query(_name, "select id, x_m >= 3000 and x_m < 9000 and y_m >= 2000 and y_m < 8000 as kept from points", "points")
-    def bbox_filter(v):
-        x, y = F.col("x_m"), F.col("y_m")
-        return v.points.select("id", ((x >= 3000) & (x < 9000) & (y >= 2000) & (y < 8000)).alias("kept"))
+@query("bbox_filter", "select id, x_m >= 3000 and x_m < 9000 and y_m >= 2000 and y_m < 8000 as kept from points", "points")
+def bbox_filter(v):
+    x, y = F.col("x_m"), F.col("y_m")
+    return v.points.select("id", ((x >= 3000) & (x < 9000) & (y >= 2000) & (y < 8000)).alias("kept"))
 
 
 @query("domain_contains", "select id from points where x_m between 3000 and 9000 and y_m between 2000 and 8000", "points")
@@ -244,12 +240,10 @@ def domain_contains(v):
     return v.points.where("x_m between 3000 and 9000 and y_m between 2000 and 8000").select("id")
 
 
-for _name in ("withheld_mask",):
-
-    @query(_name, "select row, col from reference_field where not (row = col and row % 2 = 0)", "reference_field")
-    def withheld_mask(v):
-        observed = v.reference_field.where("row = col and row % 2 = 0").select("row", "col")
-        return v.reference_field.select("row", "col").join(observed, ["row", "col"], "left_anti")
+@query("withheld_mask", "select row, col from reference_field where not (row = col and row % 2 = 0)", "reference_field")
+def withheld_mask(v):
+    observed = v.reference_field.where("row = col and row % 2 = 0").select("row", "col")
+    return v.reference_field.select("row", "col").join(observed, ["row", "col"], "left_anti")
 
 
 @query("probe_stencil", "select distinct least(greatest(r, 0), 7)::int as row, least(greatest(c, 0), 7)::int as col from (select 2 * i + d as r, 2 * i - d as c from range(4) a(i), range(-2, 3) b(d))")

@@ -105,11 +105,11 @@ _GAIN = """-- doubles: rmse_first rmse_second gain
 select *, case when rmse_second <> 0 then rmse_first / rmse_second when rmse_first = 0 then 0 else 'inf'::double end as gain from (
   select budget, target, sqrt(avg(error * error) filter (method = 'MC')) as rmse_first, sqrt(avg(error * error) filter (method = 'RQMC')) as rmse_second,
     least(count(*) filter (method = 'MC'), count(*) filter (method = 'RQMC')) as repetitions from trial_errors group by budget, target) where repetitions > 0"""
-for _name in ("mc_rqmc_gain",):
 
-    @query(_name, _GAIN, "trial_errors")
-    def mc_rqmc_gain(v):
-        return X.method_gain(v.trial_errors)
+
+@query("mc_rqmc_gain", _GAIN, "trial_errors")
+def mc_rqmc_gain(v):
+    return X.method_gain(v.trial_errors)
 
 
 @query(
@@ -139,11 +139,11 @@ with {_QOI}, own as (select budget, {_SUMMARY} from qoi, budgets where sample_id
 a as (unpivot (select * exclude count from own) on mean, sd, q05, q50, q95 into name statistic value estimate),
 b as (unpivot (select * exclude count from every) on mean, sd, q05, q50, q95 into name statistic value reference)
 select budget, statistic, estimate, reference, estimate - reference as error, abs(estimate - reference) as abs_error from a join b using (statistic)"""
-for _name in ("scalar_prefix_convergence",):
 
-    @query(_name, _SCALAR, "temperature budgets")
-    def scalar_prefix_convergence(v):
-        return X.scalar_prefix_convergence(_qoi(v), v.budgets)
+
+@query("scalar_prefix_convergence", _SCALAR, "temperature budgets")
+def scalar_prefix_convergence(v):
+    return X.scalar_prefix_convergence(_qoi(v), v.budgets)
 
 
 @query(
@@ -162,24 +162,24 @@ _CONTRAST = """-- doubles: mean sd sem
 with cases as (select year(l_shipdate)::varchar as profile, l_linenumber as budget, l_suppkey as trial, avg(l_discount) as value from lineitem group by all)
 select a.budget, a.profile, avg(a.value - b.value) as mean, stddev_samp(a.value - b.value) as sd, stddev_samp(a.value - b.value) / sqrt(count(*)) as sem
 from cases a join cases b on a.budget = b.budget and a.trial = b.trial and b.profile = '1995' where a.profile <> '1995' group by all"""
-for _name in ("profile_contrast",):
 
-    @query(_name, _CONTRAST)
-    def profile_contrast(v):
-        keys = [F.year("l_shipdate").cast("string").alias("profile"), F.col("l_linenumber").alias("budget"), F.col("l_suppkey").alias("trial")]
-        return X.paired_contrast(v.table("lineitem").groupBy(*keys).agg(F.avg("l_discount").alias("value")), "1995")
+
+@query("profile_contrast", _CONTRAST)
+def profile_contrast(v):
+    keys = [F.year("l_shipdate").cast("string").alias("profile"), F.col("l_linenumber").alias("budget"), F.col("l_suppkey").alias("trial")]
+    return X.paired_contrast(v.table("lineitem").groupBy(*keys).agg(F.avg("l_discount").alias("value")), "1995")
 
 
 _REDUCE = """-- doubles: value reduction remaining
 with cases as (select l_linenumber as budget, (l_suppkey % 4)::int as n, var_samp(l_discount) as value from lineitem group by all)
 select c.budget, c.n, c.value, p.value - c.value as reduction, case when p.value <> 0 then c.value / p.value end as remaining
 from cases c join cases p on c.budget = p.budget and p.n = 0 where c.n > 0"""
-for _name in ("density_reduction",):
 
-    @query(_name, _REDUCE)
-    def density_reduction(v):
-        keys = [F.col("l_linenumber").alias("budget"), (F.col("l_suppkey") % 4).cast("int").alias("n")]
-        return X.reduction_from_prior(v.table("lineitem").groupBy(*keys).agg(F.var_samp("l_discount").alias("value")))
+
+@query("density_reduction", _REDUCE)
+def density_reduction(v):
+    keys = [F.col("l_linenumber").alias("budget"), (F.col("l_suppkey") % 4).cast("int").alias("n")]
+    return X.reduction_from_prior(v.table("lineitem").groupBy(*keys).agg(F.var_samp("l_discount").alias("value")))
 
 
 @query(
