@@ -93,25 +93,26 @@ def mixed(
     )
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
     names = [c for c in df.columns if texts or c != text_col]
-    # What the steps need of a text is worked out in one pass; a source is two columns without nulls, to group, sort and join by.
+    # A source is two columns without nulls, to group, sort and join by.
     who = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), text, F.lit("")))
-    rows = df.select(
-        *(F.col(f"`{c}`") for c in names), word_count(text).alias("_size"), F.xxhash64(text).alias(content), who.alias(hashed),
-        source.isNull().alias(null), F.coalesce(source.cast("string"), F.lit("")).alias(name),
-    )
-    rows = saved(rows, "sizes")
+    of_text = [word_count(text).alias("_size"), source.isNull().alias(null), F.coalesce(source.cast("string"), F.lit("")).alias(name), who.alias(hashed)]
+    # Counts come from a narrow table, made in one pass over the texts; so do the rows where no text is wanted.
+    own = [] if texts else [*(F.col(f"`{c}`") for c in names), F.xxhash64(text).alias(content)]
+    slim = saved(df.select(*own, *of_text), "sizes")
+    rows = df.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(text).alias(content), *of_text) if texts else slim
 
-    known = saved(rows.groupBy(F.col(null).alias("_null"), F.col(name).alias("_source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    known = saved(slim.groupBy(F.col(null).alias("_null"), F.col(name).alias("_source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")), "sources")
     largest = known.agg(F.max("rows")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, largest / BUCKET_ROWS), 16)))
     goal = targets(known, weights, most).select(
         F.col("_null").alias(null), F.col("_source").alias(name), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
     )
 
-    rows = rows.withColumns({klass: size_class(F.col("_size")), part: F.substring(hashed, 1, digits)})
+    parts = {klass: size_class(F.col("_size")), part: F.substring(hashed, 1, digits)}
+    rows = rows.withColumns(parts)
     bucket = [null, name, klass, part]
     before = W.partitionBy(null, name).orderBy(klass, part).rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy(*bucket).agg(F.count("*").alias(n))
+    counts = slim.withColumns(parts).groupBy(*bucket).agg(F.count("*").alias(n))
     counts = counts.select(*bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
     within = W.partitionBy(*bucket).orderBy(hashed, F.col(f"`{id_col}`"), content)
     rows = rows.join(counts, bucket).withColumn(place, F.col(ahead) + F.row_number().over(within))
