@@ -134,13 +134,13 @@ def join_channel_stats(v):
 _SPLIT = "case when i % 10 = 7 then 'validation' when i % 10 = 3 then 'test' else 'train' end"
 
 
-@query("join_order_index_to_run", f"select i as position, run, {_SPLIT} as part from (select row_number() over (order by p_partkey) - 1 as i, p_partkey as run from part where p_partkey % 2 = 0)")
+@query("join_order_index_to_run", f"select i as position, run, {_SPLIT} as part from (select row_number() over (order by p_partkey) - 1 as i, p_partkey as run from part)")
 def training_split(v):
     from pyspark.sql import Window as W
 
-    runs = v.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("run"), (F.row_number().over(W.orderBy("p_partkey")) - 1).cast("bigint").alias("position"))
+    runs = v.table("part").select(F.col("p_partkey").alias("run"), (F.row_number().over(W.orderBy("p_partkey")) - 1).cast("bigint").alias("position"))
     i = F.col("position")
-    split = v.spark.range(0, 10**6).where(f"id < {10**6}").select(F.col("id").alias("position"), F.expr(_SPLIT.replace("i %", "id %")).alias("part"))
+    split = v.spark.range(v.table("part").count()).select(F.col("id").alias("position"), F.expr(_SPLIT.replace("i %", "id %")).alias("part"))
     return runs.join(split, "position").select(i, "run", "part")
 
 
