@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweave.llm.shared import only, parts
-from gridweave.llm.tokens import TOGETHER, Encoder
+from gridweave.llm.tokens import KEPT_UNITS, TOGETHER, Encoder
 
 MAGIC = b"BPS1"
 #: Ids in a block, and ids in a stretch, about.
@@ -94,7 +94,7 @@ def write_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, held, ids, size = Encoder.of(tokenizer, spaces=True), 0, [], [], 0
+        encode, start, held, ids, size = Encoder.of(tokenizer, True, 2 * KEPT_UNITS, 4 * TOGETHER), 0, [], [], 0
         shard = None
 
         def out() -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def write_ids(
                 pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())]),
             )
 
-        for b in parts(batches, "text", TOGETHER):
+        for b in parts(batches, "text", 4 * TOGETHER):
             for who, where, found in zip(b.column("doc_id").to_pylist(), b.column("shard").to_pylist(), encode(b.column("text")), strict=True):
                 shard = where
                 held.append(who)
@@ -118,7 +118,9 @@ def write_ids(
             yield out()
 
     docs = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id, null ids above all, are dealt by the beginnings of their texts, which their order follows.
+    place = F.col("doc_id").asc_nulls_first()
+    dealt = docs.repartitionByRange(place, F.substring("text", 1, 32)).sortWithinPartitions(place, "text")
     dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(
         run, "shard int, start long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
     ).write.option("compression", "none").parquet(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridweave.llm.shared import held, saved, slices
+from gridweave.llm.shared import held, saved, slices, trim
 
 
 def _numerals(last: int) -> str:
@@ -308,6 +308,7 @@ def fit(rows: DataFrame, model_file: str, rows_per_lang: int = 1500, rounds: int
                     at = [i for i, x in enumerate(lang) if x == name]
                     if at:
                         sums[:, k] += expected_counts(pieces, [word[i] for i in at], n[at], now[:, k])
+            trim()
             piece, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(sums[piece, k])], ["piece", "k", "n"])
 
@@ -341,6 +342,7 @@ def predict(rows: DataFrame, model_file: str, langs: list[str], p: np.ndarray, t
             else:
                 best, sure = ["und"] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], names)
+        trim()
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())]))
 

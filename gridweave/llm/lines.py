@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gridweave.llm.shared import free_names, saved, slices
+from gridweave.llm.shared import free_names, release, saved, slices, trim
 
 #: Characters that a run has to have at least.
 LEAST_CHARS = 25
@@ -46,6 +46,7 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """
 
     def run(batches):
+        release()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part, who, place, high, low, reach, back, tails = b.slice(k, 256), [], [], [], [], [], [], []
@@ -77,6 +78,7 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
                     [part.column("d").take(at), part.column("th").take(at), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((place, "i4"), (high, "i8"), (low, "i8"), (reach, "i4"))), *last],
                     ["d", "th", "i", "h0", "h1", "reach", "back", "t0", "t1"],
                 )
+        trim()
 
     return docs.mapInArrow(run, f"{_POSITION}, h0 long, h1 long, reach int, back int, t0 long, t1 long")
 

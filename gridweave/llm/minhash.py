@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import sketch as K
 from gridweave.llm.components import components
-from gridweave.llm.shared import only, release, saved, slices
+from gridweave.llm.shared import only, release, saved, slices, trim
 
 #: Sets of fewer shingles reach a similarity of 0.75 only if they are equal.
 LEAST_SET = 3
@@ -52,13 +52,14 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ],
                 ["doc_id", "n", "digest", "regs", "prefix"],
             )
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, regs binary, prefix array<long>")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, who = [], []
             for i, (r, prefix) in enumerate(zip(b.column("regs").to_pylist(), b.column("prefix").to_pylist(), strict=True)):
                 own = K.band_keys(np.frombuffer(r, np.uint16)) + prefix
@@ -201,6 +202,7 @@ def _possible(least: float):
                     keep[i] = True
                     keep[j] = True
                 yield from t.select(["block", "rep", "comp"]).filter(pa.array(keep)).to_batches()
+        trim()
 
     return run
 
@@ -237,6 +239,7 @@ def _block_links(least: float, percent: int):
                                 b.append(rep[x])
                                 label[label == label[x]] = label[i]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        trim()
 
     return run
 

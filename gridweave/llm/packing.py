@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridweave.llm.shared import only, parts, saved
+from gridweave.llm.shared import only, parts, saved, trim
 from gridweave.llm.tokens import TOGETHER, Encoder
 
 #: Bins that a group has open at once, and the share of them that its tokens fill on average.
 OPEN_BINS, FILL = 4096, 0.85
+#: Pieces of a group, about, where these are so short that tokens would allow more.
+GROUP_PIECES = 500_000
 
 
 class BestFit:
@@ -79,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of(tokenizer, spaces=False)
+        encode = Encoder.of(tokenizer, False)
         for b in parts(batches, "text", TOGETHER):
             who, out = [], []
             for i, ids in enumerate(encode(b.column("text"))):
@@ -91,6 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 [b.column("doc_id").take(pa.array(who, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 3), strict=True))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -127,8 +130,8 @@ def best_fit_packing(
     """
     docs = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = saved(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    total = found.agg(F.sum("length")).first()[0] or 0
-    groups = int(total / (capacity * open_bins * FILL)) + 1
+    rows, total = found.agg(F.count("*"), F.sum("length")).first()
+    groups = int(max((total or 0) / (capacity * open_bins * FILL), rows / GROUP_PIECES)) + 1
     dealt = found.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("pack").applyInArrow(_packed(capacity, open_bins), schema)

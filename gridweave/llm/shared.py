@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -72,7 +73,15 @@ def held(key, make):
 def release() -> None:
     """Drops what a Python worker keeps, where work of another kind begins that keeps nothing."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def slices(batches, rows: int = 512):

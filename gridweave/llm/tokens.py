@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from gridweave.llm.shared import held, parts
 
 #: Units whose ids a worker keeps, the first it meets; further ones are encoded once in each call.
-KEPT_UNITS = 1 << 19
+KEPT_UNITS = 1 << 18
 #: Longer units are not kept.
 KEPT_LENGTH = 128
 #: Bytes of texts whose units are looked up together, and units encoded as one text.
-TOGETHER, JOINED = 1 << 23, 1000
+TOGETHER, JOINED = 1 << 21, 1000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
@@ -40,14 +40,15 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers in bytes.
 
     spaces: white space belongs to the tokens (byte-level BPE); else it only
-    separates them (word BPE).
+    separates them (word BPE). kept, together: units that stay known, and bytes
+    of texts that are looked up together: memory against time.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, kept: int = KEPT_UNITS, together: int = TOGETHER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._spaces, self._ids = Tokenizer.from_file(path), spaces, {}
+        self._tokenizer, self._spaces, self._ids, self._room, self._at_once = Tokenizer.from_file(path), spaces, {}, kept, together
         added = self._tokenizer.get_added_tokens_decoder()
         names = "|".join(re.escape(t.content) for t in added.values())
         # Word BPE is looked up in lower case: what is an added token only in lower case must not become one.
@@ -58,9 +59,9 @@ class Encoder:
         self._mark = added[self._end].content if self._end is not None else ""
 
     @classmethod
-    def of(cls, path: str, spaces: bool) -> "Encoder":
+    def of(cls, *args) -> "Encoder":
         """The encoder of this Python worker."""
-        return held((cls, path, spaces), lambda: cls(path, spaces))
+        return held((cls, *args), lambda: cls(*args))
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -91,7 +92,7 @@ class Encoder:
         """The ids of distinct units."""
         kept = self._ids
         new = [u for u in units if u not in kept]
-        room = len(kept) < KEPT_UNITS
+        room = len(kept) < self._room
         kept.update(zip(new, self._encode(new), strict=True))
         found = list(map(kept.__getitem__, units))
         for u in new:
@@ -103,7 +104,7 @@ class Encoder:
         """For each text its ids; a null text is an empty one."""
         column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
         out: list[bytes] = []
-        for b in parts([pa.record_batch([column.fill_null("")], ["text"])], "text", TOGETHER, 1 << 14):
+        for b in parts([pa.record_batch([column.fill_null("")], ["text"])], "text", self._at_once, 1 << 14):
             out += self._together(b.column(0))
         return out
 
@@ -133,11 +134,14 @@ class Encoder:
             return
         coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         unit, found = coded.indices.to_numpy(), self._known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        # Texts are so few that 32 bits hold all places.
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        starts, flat = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(found), "<u4")
         many = sizes[unit]
-        upto = np.concatenate(([0], np.cumsum(many)))
-        ids = flat[np.repeat(starts[unit] - upto[:-1], many) + np.arange(upto[-1])].tobytes()
-        cuts = (4 * upto[ends]).tolist()
+        upto = np.zeros(len(unit) + 1, np.int32)
+        np.cumsum(many, out=upto[1:])
+        at = np.repeat(starts[unit] - upto[:-1], many)
+        at += np.arange(upto[-1], dtype=np.int32)
+        ids, cuts = flat[at].tobytes(), (4 * upto[ends].astype(np.int64)).tolist()
         for k, a, b in zip(places.tolist(), cuts[:-1], cuts[1:], strict=True):
             out[k] = ids[a:b]
