@@ -14,6 +14,7 @@ from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.minhash import near_duplicates
 from gridweave.llm.mixing import mixed
 from gridweave.llm.packing import best_fit_packing
+from gridweave.llm.resample import resampled
 from gridweave.llm.secrets import scan
 from gridweave.llm.sentences import without_repeated_spans
 from gridweave.llm.shared import new_path, table
@@ -120,6 +121,48 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path)
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 of each distinct word bit by bit: -1 stands for a step of the register, other numbers for a byte that comes in.
+RESAMPLE_SQL = r"""
+with texts as (
+  select row_number() over () as r, doc_id, 0 as goal, text from documents
+  union all select row_number() over (), null, 1, text from benchmark
+), cut as (
+  select r, doc_id, goal, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words
+  from texts
+), vocabulary as (
+  select word, hex(encode(word)) as h from (select distinct unnest(words) as word from cut)
+), hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(len(h) // 2),
+      lambda k: list_prepend(('0x' || substr(h, 2 * k + 1, 2))::bigint, [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))),
+    lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295) % 10000 as bucket
+  from vocabulary
+), found as (
+  select r, doc_id, goal, bucket from (select r, doc_id, goal, unnest(words) as word from cut) join hashed using (word)
+), counted as (
+  select bucket, count(*) filter (goal = 0) as s, count(*) filter (goal = 1) as t from found group by bucket
+), gained as (
+  select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain
+  from counted
+), weighed as (
+  select r, sum(gain)::bigint as weight from found join gained using (bucket) where goal = 0 group by r
+), scored as (
+  select c.doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(c.doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from cut c left join weighed w using (r) where goal = 0
+), placed as (
+  select *, row_number() over (order by n_features < 20, score desc, doc_id nulls first) as place,
+    count(*) filter (n_features >= 20) over () * 10 // 100 as drawn
+  from scored
+)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end as rank from placed
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -131,9 +174,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_token_binary": op10_token_binary,
+    "op12_target_resampling": op12_target_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_topk": TOPK_SQL,
     "op8_source_mixing": MIX_SQL,
+    "op12_target_resampling": RESAMPLE_SQL,
 }
