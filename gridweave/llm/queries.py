@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridweave.llm.align import aligned
 from gridweave.llm.audio import matches, recordings
 from gridweave.llm.binary import read_ids, write_ids
 from gridweave.llm.language import identify
@@ -163,6 +164,11 @@ select doc_id, n_features, weight, score, case when n_features >= 20 and place <
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned(table(spark, sf_dir, "documents"), *names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_line_dedup": op2_line_dedup,
@@ -175,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_token_binary": op10_token_binary,
     "op12_target_resampling": op12_target_resampling,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
