@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridweave.llm.align import aligned
 from gridweave.llm.audio import matches, recordings
 from gridweave.llm.binary import read_ids, write_ids
+from gridweave.llm.html import extracted
 from gridweave.llm.language import identify
 from gridweave.llm.lines import without_repeated_lines
 from gridweave.llm.minhash import near_duplicates
@@ -122,6 +123,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path)
 
 
+def op11_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -180,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_token_binary": op10_token_binary,
+    "op11_template_extraction": op11_template_extraction,
     "op12_target_resampling": op12_target_resampling,
     "op13_token_alignment": op13_token_alignment,
 }
