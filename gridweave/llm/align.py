@@ -213,7 +213,7 @@ class Aligner:
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 
 
-def _aligned(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
+def _aligned(docs: DataFrame, byte_level: str, piece_model: str, chunk_pairs: int) -> DataFrame:
     """A row for each document with its places in the chunk's dictionary, as differences, and the numbers of its links there; and the dictionaries' rows."""
     schema = pa.schema(
         [("chunk", pa.int64()), *((n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("places", pa.binary()), ("numbers", pa.binary())]
@@ -248,7 +248,7 @@ def _aligned(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
             for who, found in zip(b.column("doc_id").to_pylist(), align(b.column("text")), strict=True):
                 rows.append((who, *found))
                 size += len(found[5])
-                if size >= CHUNK_PAIRS:
+                if size >= chunk_pairs:
                     yield from chunk_rows(chunk, rows)
                     chunk, size, rows = chunk + 1, 0, []
         if rows:
@@ -276,7 +276,7 @@ def _summed(docs: pa.Table, counts: pa.Table) -> pa.Table:
     return kept.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
 
 
-def aligned(df: DataFrame, byte_level: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned(df: DataFrame, byte_level: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", chunk_pairs: int = CHUNK_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum of each row.
 
     A is the byte-level BPE file on a blank and the text, B the sentencepiece
@@ -289,7 +289,7 @@ def aligned(df: DataFrame, byte_level: str, piece_model: str, id_col: str = "doc
     end is paired by its distinct ids. An empty table gives no rows.
     """
     docs = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = saved(_aligned(docs, byte_level, piece_model), "aligned")
+    found = saved(_aligned(docs, byte_level, piece_model, chunk_pairs), "aligned")
     dictionary = found.where("pairs is not null").select("chunk", "base", F.posexplode(F.arrays_zip("pairs", "holders")).alias("at", "x"))
     dictionary = dictionary.select("chunk", (F.col("base") + F.col("at")).alias("place"), F.col("x.pairs").alias("pair"), F.col("x.holders").alias("holders"))
     counts = dictionary.groupBy("pair").agg(F.sum("holders").alias("n"))

@@ -221,7 +221,7 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._linked = 0
-        elif tag not in INLINE and tag not in VOID:
+        elif tag not in INLINE and tag not in VOID and (self._open[tag] or tag == "p"):
             self._flush()
             self._linked = 0
             if self._open[tag]:
