@@ -44,6 +44,7 @@ class NestedConditioner:
     sigma: float
     length: float
     family: str
+    noise: float
     inverse: np.ndarray
 
     @classmethod
@@ -56,7 +57,7 @@ class NestedConditioner:
         if len(np.unique(at, axis=0)) < len(at) or not np.isfinite(values).all():
             raise ValueError("readings have to be finite and at distinct cells")
         c = sigma**2 * kernel(np.hypot(*(at[:, None] - at).transpose(2, 0, 1)) / length, family) + noise**2 * np.eye(len(at))
-        return cls(at, values, mean, sigma, length, family, np.linalg.solve(np.linalg.cholesky(c), np.eye(len(at))))
+        return cls(at, values, mean, sigma, length, family, noise, np.linalg.solve(np.linalg.cholesky(c), np.eye(len(at))))
 
     def features(self, cells: np.ndarray) -> np.ndarray:
         """Whitened covariances of cells and readings: a row for each cell."""
@@ -84,11 +85,13 @@ class NestedConditioner:
 
         return cells.select(*(F.col(c).cast("int").alias(c) for c in ("row", "col"))).mapInArrow(run, "readings int, row int, col int, mean double, std double")
 
-    def draws(self, fields: DataFrame, counts) -> DataFrame:
+    def draws(self, fields: DataFrame, counts, seed: int = 0) -> DataFrame:
         """readings, sample_id, row, col, value: draws of standard normal fields (sample_id, row, col, value), given the first so many readings.
 
         A draw has to have all cells with readings; other cells may be missing.
-        A value that isn't finite raises, as nothing stands in for it.
+        A value that isn't finite raises, as nothing stands in for it. Noisy
+        readings get simulated noise for each draw, from seed and draw alone,
+        which all prefixes share.
         """
         counts, n = _counts(counts, len(self.at)), len(self.at)
         spark = fields.sparkSession
@@ -112,7 +115,8 @@ class NestedConditioner:
                     key = (row.tobytes(), col.tobytes())
                     if key != held:
                         held, f = key, self.features(np.column_stack((row, col)).astype(float))
-                    whitened = self.inverse @ (self.values - self.mean - self.sigma * own)
+                    told = self.noise * np.random.default_rng([seed, b.column("sample_id")[k].as_py()]).standard_normal(n) if self.noise else 0.0
+                    whitened = self.inverse @ (self.values - self.mean - self.sigma * own - told)
                     now, seen, size = self.mean + self.sigma * value, 0, len(value)
                     for m in counts:
                         now = now + f[:, seen:m] @ whitened[seen:m]

@@ -9,7 +9,7 @@ from gridweave.operators import fitting as X, selection as S, spatial as P
 from gridweave.plans.registry import query
 from gridweave.randomfield import coordinates as C, fields as R
 
-SEED, N = 11, 64
+SEED = 11
 
 
 def _arrays(v):
@@ -20,88 +20,94 @@ def _points(v):
     return v.good_points.select("id", "x_m", "y_m", F.col("log10_k").alias("value"))
 
 
-query("gaussian_sampler")(lambda v: C.iid_gaussian(v.spark, N, 8, SEED))
-query("iid_gaussian")(lambda v: C.iid_gaussian(v.spark, N, 3, SEED))
-query("uniform_sampler")(lambda v: C.iid_uniform(v.spark, N, 8, SEED))
-query("iid_uniform")(lambda v: C.iid_uniform(v.spark, N, 3, SEED))
-query("sobol_sampler")(lambda v: C.sobol(v.spark, N, 6, SEED))
-query("lhs_uniform")(lambda v: C.latin_hypercube(v.spark, N, 4, SEED))
-query("lhs_gaussian")(lambda v: C.latin_hypercube(v.spark, N, 4, SEED, gaussian=True))
+def designs(v):
+    """Ids of the designs to be drawn: those of the ensemble's samples."""
+    return v.table("embeddings").select(F.col("vec_id").alias("id"))
 
 
-def _expansion():
-    return R.Expansion.fit(8, 8, -9.3, 0.4, 4.0)
+query("gaussian_sampler")(lambda v: C.iid_gaussian(v.spark, designs(v), 8, SEED))
+query("iid_gaussian")(lambda v: C.iid_gaussian(v.spark, designs(v), 3, SEED))
+query("uniform_sampler")(lambda v: C.iid_uniform(v.spark, designs(v), 8, SEED))
+query("iid_uniform")(lambda v: C.iid_uniform(v.spark, designs(v), 3, SEED))
+query("sobol_sampler")(lambda v: C.sobol(v.spark, designs(v), 6, SEED))
+query("lhs_uniform")(lambda v: C.latin_hypercube(v.spark, designs(v), 4, SEED))
+query("lhs_gaussian")(lambda v: C.latin_hypercube(v.spark, designs(v), 4, SEED, gaussian=True))
 
 
-def _xi(v):
-    return C.iid_gaussian(v.spark, N, 64, SEED)
+def _expansion(v):
+    """An expansion with the ensemble's own mean and spread."""
+    mean, sigma = v.log_k.agg(F.avg("value"), F.stddev_pop("value")).first()
+    return R.Expansion.fit(8, 8, mean or 0.0, sigma or 1.0, 4.0)
 
 
-_PINS, _VALUES = [9, 30, 54], [-9.1, -9.6, -9.2]
+def coordinates(v):
+    """sample_id, xi: the samples' 64 numbers, about standard normal, as coordinates of fields."""
+    return v.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.transform("embedding", lambda x: 8 * x.cast("double")).alias("xi"))
+
+
+def _unit(v):
+    """sample_id, values: the samples' fields, about standard normal."""
+    return coordinates(v).withColumnRenamed("xi", "values")
 
 
 @query("kl_map")
 def kl_map(v):
-    return R.to_long(_expansion().map(_xi(v)), 8)
+    return R.to_long(_expansion(v).map(coordinates(v)), 8)
 
 
 @query("kl_conditional")
 def kl_conditional(v, noise=0.05):
-    return R.to_long(_expansion().map_conditioned(_xi(v), _PINS, _VALUES, noise), 8)
-
-
-@query("kl_at_points")
-def kl_at_points(v):
-    """The expansion's fields read at points by interpolation of their modes."""
-    grid = R.to_long(_expansion().map(_xi(v)), 8)
-    each = v.points.select("id", "x_m", "y_m").join(F.broadcast(_xi(v).select("sample_id")))
-    return P.bilinear(each, grid, 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sample_id", "sampled")
-
-
-@query("kl_conditional_points")
-def kl_conditional_points(v):
-    """Conditioned fields read at points by interpolation of their cells."""
-    grid = R.to_long(_expansion().map_conditioned(_xi(v), _PINS, _VALUES, 0.05), 8)
-    each = v.points.select("id", "x_m", "y_m").join(F.broadcast(_xi(v).select("sample_id")))
-    return P.bilinear(each, grid, 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sample_id", "sampled")
+    """Fields of the coordinates, given the permeability of sample 0 at the cells that have wells."""
+    wells = v.points.select(F.floor(F.col("y_m") / 1600).cast("int").alias("row"), F.floor(F.col("x_m") / 1600).cast("int").alias("col")).distinct()
+    known = wells.join(v.log_k.where("sample_id = 0"), ["row", "col"]).orderBy("row", "col").collect()
+    return R.to_long(_expansion(v).map_conditioned(coordinates(v), [8 * r["row"] + r["col"] for r in known], [r["value"] for r in known], noise), 8)
 
 
 @query("fft_residual")
 def fft_residual(v):
-    return R.to_long(R.fft_fields(v.spark, 16, 16, 16, 0.3, 3.0, SEED), 16)
+    return R.to_long(R.fft_fields(v.spark, designs(v), 16, 16, 0.3, 3.0, SEED), 16)
 
 
-def _grid_kriging():
-    return R.Kriging.fit([(1, 1), (6, 3), (6, 6)], [-0.2, 0.3, 0.1], 0.3, 3.0, mean=0.0)
+def _grid_kriging(v):
+    """A system of the first well of each row of cells."""
+    cell = [F.floor(F.col(c) / 1600).cast("int").alias(n) for c, n in (("x_m", "col"), ("y_m", "row"))]
+    first = v.good_points.select("id", "log10_k", *cell).groupBy("row").agg(F.min_by(F.struct("col", "log10_k"), "id").alias("w")).orderBy("row").collect()
+    return R.Kriging.fit([(r["w"]["col"], r["row"]) for r in first], [0.3 * (r["w"]["log10_k"] + 0.4) for r in first], 0.3, 3.0, mean=0.0)
 
 
 @query("conditional_fft")
 def conditional_fft(v):
-    return R.to_long(_grid_kriging().update(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), 8), 8)
+    return R.to_long(_grid_kriging(v).update(R.fft_fields(v.spark, designs(v), 8, 8, 0.3, 3.0, SEED), 8), 8)
 
 
 @query("cached_prior")
 def cached_prior(v):
-    return R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED)
+    """A free field for each design, from its id alone: the same whenever it is drawn again."""
+    return R.fft_fields(v.spark, designs(v), 8, 8, 0.3, 3.0, SEED)
 
 
 @query("reference_field_map")
 def reference_field_map(v):
-    return R.to_long(R.around_reference(R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED), [-9.3] * 64, 0.3, arithmetic=True), 8)
+    """The reference field times 10 to the residuals of all draws."""
+    base = [r["value"] - 9.3 for r in v.reference_field.orderBy("row", "col").collect()]
+    return R.to_long(R.around_reference(R.fft_fields(v.spark, designs(v), 8, 8, 0.3, 3.0, SEED), base, 0.3, arithmetic=True), 8)
 
 
 @query("normal_score_map")
 def normal_score_map(v):
-    """Gaussian fields, scaled to scores, through the map from scores to values."""
+    """Gaussian scores through a map whose knots are the ensemble's own quantiles."""
     from gridweave.functions.scalars import interpolated
+    from gridweave.functions.special import ppf
+    import numpy as np
 
-    z = R.to_long(R.fft_fields(v.spark, 16, 8, 8, 1.0, 3.0, SEED), 8)
-    return z.withColumn("value", interpolated(F.col("value"), [(-2.0, -9.6), (-0.8, -9.4), (0.8, -9.2), (2.0, -9.0)]))
+    p = [0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98]
+    knots = v.log_k.agg(F.percentile("value", F.array(*map(F.lit, p)))).first()[0]
+    return R.to_long(_unit(v), 8).withColumn("value", interpolated(F.col("value"), list(zip(ppf(np.array(p)).tolist(), knots or p))))
 
 
 @query("perlin_field")
 def perlin_field(v):
-    return R.to_long(R.perlin(v.spark, 16, 16, 16, 5.0, SEED), 16)
+    return R.to_long(R.perlin(v.spark, designs(v), 16, 16, 5.0, SEED), 16)
 
 
 @query("ordinary_kriging")
@@ -230,40 +236,6 @@ def structural_profile_fit(v):
     return X.structural_fit(lags, v.fields_long.agg(F.var_pop("value")).first()[0], 8, 8)
 
 
-def _prefix(n):
-    at, values = [(1, 1), (6, 3), (6, 6)], [-0.2, 0.3, 0.1]
-    return R.Kriging.fit(at[:n], values[:n], 0.3, 3.0, mean=0.0)
-
-
-@query("known_mean_conditioner")
-def known_mean_conditioner(v):
-    """Mean and variance of each cell, given the first one, two and three readings."""
-    cells = v.reference_field.select((F.col("row") * 8 + F.col("col")).cast("long").alias("id"), F.col("col").cast("double").alias("x_m"), F.col("row").cast("double").alias("y_m"))
-    out = None
-    for n in (1, 2, 3):
-        one = _prefix(n).map(cells).withColumn("readings", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def conditioned_draws(v):
-    """readings, sample_id, row, col, value: the same draws, free and given the first one, two and three readings."""
-    prior = R.fft_fields(v.spark, 16, 8, 8, 0.3, 3.0, SEED)
-    out = R.to_long(prior, 8).withColumn("readings", F.lit(0))
-    for n in (1, 2, 3):
-        out = out.unionByName(R.to_long(_prefix(n).update(prior, 8), 8).withColumn("readings", F.lit(n)))
-    return out
-
-
-query("condition_prefixes")(conditioned_draws)
-
-
-@query("native_ensembles")
-def native_ensembles(v):
-    """Mean and spread of each cell over the draws, for every number of readings."""
-    return conditioned_draws(v).groupBy("readings", "row", "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-
-
 @query("block_bootstrap")
 def block_bootstrap(v):
     blocks = v.pred_truth.groupBy("block").agg(F.avg(F.col("truth") - F.col("mean")).alias("value"))
@@ -277,16 +249,15 @@ def condition_number(v):
 
 @query("pce_workflow")
 def pce_workflow(v):
-    """Train on a Latin hypercube, validate on iid points, of a response known in closed form."""
+    """Train a response of two coordinates on one half of the lines, validate on the other: both coordinates come from the table."""
     from gridweave.functions.scalars import legendre
     from gridweave.operators import distributions as D, scoring
 
-    def response(df):
-        a, b = F.col("xi")[0], F.col("xi")[1]
-        return df.select("sample_id", a.alias("a"), b.alias("b"), (1 + 2 * a - b + 0.5 * a * b + a * a).alias("y"))
-
+    a, b = F.col("l_discount") / 0.05 - 1, F.col("l_tax") / 0.04 - 1
+    lines = v.table("lineitem").select("l_orderkey", a.alias("a"), b.alias("b"), F.log("l_extendedprice").alias("price"))
+    lines = lines.withColumn("y", F.col("price") * (1 + 0.3 * F.col("a")) + 0.5 * F.col("a") * F.col("b"))
     terms = [(i, j) for i in range(3) for j in range(3 - i)]
     basis = [legendre(F.col("a"), i) * legendre(F.col("b"), j) for i, j in terms]
-    found = D.solve_normal(D.normal_equations(response(C.latin_hypercube(v.spark, N, 2, SEED)), basis, F.col("y")))
-    check = response(C.iid_uniform(v.spark, N, 2, SEED)).select(D.predicted(basis, found).alias("prediction"), F.col("y").alias("reference"))
+    found = D.solve_normal(D.normal_equations(lines.where("l_orderkey % 2 = 0"), basis, F.col("y")))
+    check = lines.where("l_orderkey % 2 = 1").select(D.predicted(basis, found).alias("prediction"), F.col("y").alias("reference"))
     return scoring.response_diagnostics(check)

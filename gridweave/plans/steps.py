@@ -149,14 +149,10 @@ def join_kriging_cross(v):
     return asked.join(blocks, ["bx", "by"]).where(d2 <= reach * reach).select("id", "other", (0.16 * F.exp(-F.sqrt(d2) / 2000)).alias("covariance"))
 
 
-@query("concat_fold_predictions", "-- doubles: truth mean std\nselect id, (block % 5)::int as fold, truth, mean, std from pred_truth", "pred_truth")
+@query("concat_fold_predictions", "-- doubles: truth mean std\nselect id, (block % 5)::int as fold, truth, mean, std from pred_truth", "pred_truth", digits=8)
 def concat_fold_predictions(v):
-    """The folds' tables one after the other; repeated rows stay."""
-    out = None
-    for k in range(5):
-        one = v.pred_truth.where(F.col("block") % 5 == k).select("id", F.lit(k).alias("fold"), "truth", "mean", "std")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every fold's predictions in one table; repeated rows stay."""
+    return v.pred_truth.select("id", (F.col("block") % 5).cast("int").alias("fold"), "truth", "mean", "std")
 
 
 @query("run_inventory", "select run, row_number() over (order by run)::int as place from (select distinct (p_partkey % 97)::bigint as run from part)")
@@ -300,22 +296,6 @@ def ensemble_fidelity(v):
     return moments.join(F.broadcast(curve.agg(e.alias("variogram_rmse"), (e / F.sqrt(F.avg(F.col("g1") * F.col("g1")))).alias("variogram_relative"))))
 
 
-@query(
-    "truncation_sensitivity",
-    """-- doubles: mean std paired_rmse
-    with t as (select sample_id, k, avg(value) as value from fields_long, (select unnest([2, 4, 8]) as k) where row < k group by sample_id, k)
-    select a.k::int as modes, avg(a.value) as mean, stddev_samp(a.value) as std, sqrt(avg((a.value - b.value) * (a.value - b.value))) as paired_rmse from t a join t b on a.sample_id = b.sample_id and b.k = 8 group by a.k""",
-    "fields_long",
-)
-def truncation_sensitivity(v):
-    """A quantity by the number of rows that it is made from, and its paired distance to the largest."""
-    cut = F.explode(F.array(*map(F.lit, (2, 4, 8)))).alias("modes")
-    rows = v.fields_long.select("sample_id", "row", "value", cut).where("row < modes").groupBy("sample_id", "modes").agg(F.avg("value").alias("value"))
-    most = rows.where("modes = 8").select("sample_id", F.col("value").alias("most"))
-    d = F.col("value") - F.col("most")
-    return rows.join(most, "sample_id").groupBy("modes").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.sqrt(F.avg(d * d)).alias("paired_rmse"))
-
-
 Z90 = 1.6448536269514722
 
 

@@ -127,47 +127,6 @@ def realistic_permeability(v):
     return parts(cells=M.cell_means(v.good_points, 800.0), variogram=P.point_variogram(values, 600.0, 100.0), summary=M.measurement_summary(v.good_points, 800.0))
 
 
-@query("conditional_density_visual")
-def conditional_density_visual(v):
-    """Spread of conditioned draws by number of readings: over all cells, and at the cell that no reading is near."""
-    from gridweave.plans.randomfields import conditioned_draws
-
-    cells = conditioned_draws(v).groupBy("readings", "row", "col").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
-    return parts(whole=cells.groupBy("readings").agg(F.avg("mean").alias("mean"), F.avg("variance").alias("variance")), far=cells.where("row = 0 and col = 7").select("readings", "mean", "variance"))
-
-
-@query("conditioning_temperature")
-def conditioning_temperature(v):
-    """What a surrogate makes of conditioned draws, by number of readings."""
-    from gridweave.plans.randomfields import conditioned_draws
-
-    t = conditioned_draws(v).withColumn("value", BACKGROUND + 4 * F.exp(F.col("value")))
-    mean = t.groupBy("readings", "sample_id").agg(F.avg("value").alias("value"))
-    return parts(draws=mean.groupBy("readings").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance")), cells=t.groupBy("readings", "row", "col").agg(F.stddev_samp("value").alias("std")))
-
-
-@query("reference_conditioning")
-def reference_conditioning(v):
-    """Conditioned draws at the readings, which they have to meet, and away from them."""
-    from gridweave.plans.randomfields import conditioned_draws
-
-    pins = v.rows([(1, 1, 1, -0.2), (2, 3, 6, 0.3), (3, 6, 6, 0.1)], "reading int, row int, col int, given double")
-    drawn = conditioned_draws(v)
-    at = drawn.join(F.broadcast(pins), ["row", "col"]).where("reading <= readings")
-    return parts(residual=at.groupBy("readings").agg(F.max(F.abs(F.col("value") - F.col("given"))).alias("largest")), away=drawn.join(F.broadcast(pins), ["row", "col"], "left_anti").groupBy("readings").agg(F.stddev_samp("value").alias("std")))
-
-
-@query("density_validation")
-def density_validation(v):
-    """Predictions from the first readings against the reference at all other cells, by number of readings."""
-    from gridweave.plans.randomfields import known_mean_conditioner
-
-    p = known_mean_conditioner(v).select("readings", "mean", F.sqrt("variance").alias("std"), F.expr("int(id div 8)").alias("row"), (F.col("id") % 8).cast("int").alias("col"))
-    e = F.col("mean") - F.col("reference")
-    inside = (F.abs(e) <= 1.6448536269514722 * F.col("std")).cast("double")
-    return parts(scores=p.join(_reference(v), ["row", "col"]).groupBy("readings").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(inside).alias("coverage")))
-
-
 @query("reference_kernel_study")
 def reference_kernel_study(v):
     """Which family fits each direction's variogram best, and how well all do."""

@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from gridweave.functions.special import ppf
 
 
-def drawn(spark: SparkSession, n: int, dimension: int, seed: int, draw: Callable[[np.random.Generator, int], np.ndarray]) -> DataFrame:
+def samples(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """id of n samples, or of a table that has their ids."""
+    return spark.range(n) if isinstance(n, int) else n.select(F.col("id").cast("long").alias("id"))
+
+
+def drawn(spark: SparkSession, n: int | DataFrame, dimension: int, seed: int, draw: Callable[[np.random.Generator, int], np.ndarray]) -> DataFrame:
     """sample_id, xi: a draw for each sample from its own generator."""
 
     def run(batches):
@@ -20,23 +25,25 @@ def drawn(spark: SparkSession, n: int, dimension: int, seed: int, draw: Callable
             rows = [draw(np.random.default_rng([seed, i]), dimension).tolist() for i in ids]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float64()))], ["sample_id", "xi"])
 
-    return spark.range(n).mapInArrow(run, "sample_id long, xi array<double>")
+    return samples(spark, n).mapInArrow(run, "sample_id long, xi array<double>")
 
 
-def iid_gaussian(spark: SparkSession, n: int, dimension: int, seed: int) -> DataFrame:
+def iid_gaussian(spark: SparkSession, n: int | DataFrame, dimension: int, seed: int) -> DataFrame:
     return drawn(spark, n, dimension, seed, lambda rng, m: rng.standard_normal(m))
 
 
-def iid_uniform(spark: SparkSession, n: int, dimension: int, seed: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
+def iid_uniform(spark: SparkSession, n: int | DataFrame, dimension: int, seed: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
     return drawn(spark, n, dimension, seed, lambda rng, m: rng.uniform(low, high, m))
 
 
-def latin_hypercube(spark: SparkSession, n: int, dimension: int, seed: int, gaussian: bool = False) -> DataFrame:
+def latin_hypercube(spark: SparkSession, n: int | DataFrame, dimension: int, seed: int, gaussian: bool = False) -> DataFrame:
     """One sample in each of n equal strata of every dimension.
 
     The strata of a dimension are the ranks of seeded hashes of the samples.
     """
-    x = spark.range(n).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(dimension - 1))).alias("d"))
+    ids = samples(spark, n)
+    n = n if isinstance(n, int) else ids.count()
+    x = ids.select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(dimension - 1))).alias("d"))
     key = F.xxhash64("sample_id", "d", F.lit(seed))
     jitter = F.pmod(F.xxhash64("d", "sample_id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     stratum = F.row_number().over(W.partitionBy("d").orderBy(key, "sample_id")) - 1
@@ -91,9 +98,9 @@ def sobol_directions(dimension: int, bits: int = 30, seed: int = 0) -> np.ndarra
     return out
 
 
-def sobol(spark: SparkSession, n: int, dimension: int, seed: int, gaussian: bool = True, bits: int = 30) -> DataFrame:
-    """Digitally shifted Sobol points; n is a power of two. Each point comes from its own number's Gray code."""
-    if n < 1 or n & (n - 1):
+def sobol(spark: SparkSession, n: int | DataFrame, dimension: int, seed: int, gaussian: bool = True, bits: int = 30) -> DataFrame:
+    """Digitally shifted Sobol points; n is a power of two, or a table of numbers. Each point comes from its own number's Gray code."""
+    if isinstance(n, int) and (n < 1 or n & (n - 1)):
         raise ValueError("the number of points has to be a power of two")
     directions = sobol_directions(dimension, bits)
     shift = np.random.default_rng(seed).integers(0, 1 << bits, dimension)
@@ -109,4 +116,4 @@ def sobol(spark: SparkSession, n: int, dimension: int, seed: int, gaussian: bool
             rows = (ppf(u) if gaussian else u).tolist()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float64()))], ["sample_id", "xi"])
 
-    return spark.range(n).mapInArrow(run, "sample_id long, xi array<double>")
+    return samples(spark, n).mapInArrow(run, "sample_id long, xi array<double>")

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridweave.randomfield.coordinates import samples
+
 FIELD = "sample_id long, values array<double>"
 
 
@@ -90,7 +92,7 @@ class Expansion:
         return _mapped(xi, "xi", lambda x, _: level + (mean + x[:, : len(mean)] @ factor.T) @ basis.T)
 
 
-def fft_fields(spark: SparkSession, n: int, height: int, width: int, sigma: float, length: float, seed: int, family: str = "exponential") -> DataFrame:
+def fft_fields(spark: SparkSession, n: int | DataFrame, height: int, width: int, sigma: float, length: float, seed: int, family: str = "exponential") -> DataFrame:
     """Stationary fields by circulant embedding on a grid of at least three times the size; small negative energies are clamped, large ones raise."""
     h, w = (1 << math.ceil(math.log2(3 * s)) for s in (height, width))
     dy, dx = np.minimum(np.arange(h), h - np.arange(h)), np.minimum(np.arange(w), w - np.arange(w))
@@ -109,7 +111,7 @@ def fft_fields(spark: SparkSession, n: int, height: int, width: int, sigma: floa
             for i in b.column("id").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([one(i).ravel().tolist()], pa.list_(pa.float64()))], ["sample_id", "values"])
 
-    return spark.range(n).mapInArrow(run, FIELD)
+    return samples(spark, n).mapInArrow(run, FIELD)
 
 
 @dataclass(frozen=True)
@@ -183,7 +185,7 @@ def around_reference(residuals: DataFrame, reference: list[float], sigma: float
     return _mapped(residuals, "values", lambda x, _: base + x)
 
 
-def perlin(spark: SparkSession, n: int, height: int, width: int, cell: float, seed: int) -> DataFrame:
+def perlin(spark: SparkSession, n: int | DataFrame, height: int, width: int, cell: float, seed: int) -> DataFrame:
     """Two-dimensional gradient noise on a lattice of ``cell`` grid steps, with a lattice of its own for each sample."""
 
     def one(i: int) -> np.ndarray:
@@ -202,7 +204,7 @@ def perlin(spark: SparkSession, n: int, height: int, width: int, cell: float, se
             for i in b.column("id").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([one(i).ravel().tolist()], pa.list_(pa.float64()))], ["sample_id", "values"])
 
-    return spark.range(n).mapInArrow(run, FIELD)
+    return samples(spark, n).mapInArrow(run, FIELD)
 
 
 def spectrum(fields: DataFrame, height: int, width: int) -> DataFrame:

@@ -123,3 +123,32 @@ def test_posterior_at_points_equals_a_dense_one(spark):
     assert all(r.mean == -9.3 and r.std == pytest.approx(np.sqrt((b[r.id] ** 2).sum())) for r in prior)
     with pytest.raises(ValueError, match="noise"):
         found.posterior(readings, 0.0)
+
+
+def test_truncations_equal_fields_of_their_own(spark):
+    from gridweave.operators.truncation import partial_quantities, truncation_table
+
+    found = ContinuousExpansion.fit(4, 5, 5.0, -9.3, 0.4, 15.0, share=0.999)
+    xi = np.random.default_rng(6).standard_normal((30, found.size))
+    y, x = (np.indices((4, 5)).reshape(2, -1) + 0.5) * 5.0
+    basis, terms = found.basis(x, y), [1, 3, found.size]
+    draws = spark.createDataFrame([(s, v.tolist()) for s, v in enumerate(xi)], "sample_id long, xi array<double>")
+    rows = {(r.quantity, r.terms): r for r in truncation_table(partial_quantities(found, draws, terms, -9.2)).collect()}
+    full = -9.3 + xi @ basis.T
+    for n in terms:
+        field = -9.3 + xi[:, :n] @ basis[:, :n].T
+        for name, f in (("mean", lambda a: a.mean(axis=1)), ("highest", lambda a: a.max(axis=1)), ("above", lambda a: (a > -9.2).mean(axis=1))):
+            a, r = f(field), rows[name, n]
+            want = (a.mean(), a.std(ddof=1), *np.quantile(a, [0.05, 0.5, 0.95]), np.sqrt(((a - f(full)) ** 2).mean()))
+            assert (r["mean"], r["std"], r["q05"], r["q50"], r["q95"], r["paired_rmse"]) == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError, match="increase"):
+        partial_quantities(found, draws, [3, 1], 0.0)
+
+
+def test_noisy_readings_are_met_within_their_noise(spark, readings, fields):
+    found = NestedConditioner.fit(readings, -9.3, 0.2, 4.0, noise=0.05)
+    got = [found.draws(fields.repartition(n), [7], seed=2).collect() for n in (1, 4)]
+    assert sorted(got[0]) == sorted(got[1])
+    at = {(r.sample_id, r.row, r.col): r.value for r in got[0]}
+    gaps = [at[s, r, c] - v for s in range(3) for (r, c), v in zip(AT, VALUES)]
+    assert 1e-4 < np.abs(gaps).mean() < 0.15
