@@ -13,6 +13,8 @@ from gridweave.operators.spatial import block_key, buffered_training
 from gridweave.randomfield.fields import Kriging, kernel
 
 FAMILIES = ("exponential", "gaussian", "matern32")
+#: Points that are kriged together, about.
+PART = 4096
 
 
 def least_squares(residual, start: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -188,9 +190,14 @@ def local_kriging(
     for k in range(level):
         one = spread(train, k, "x_m", "y_m", "value", "n")
         used = one if used is None else used.unionByName(one)
-    keys = ["level", "cx", "cy"]
-    targets = own.join(placed, ["bx", "by"]).select("id", "x_m", "y_m", *keys)
-    used = used.join(placed.select(*keys).distinct(), keys, "left_semi").select(*(F.col(c).alias(c if c == "n" else f"_{c}") for c in used.columns))
+    # Targets of one neighbourhood are dealt to parts, each of which gets its few observations.
+    keys = ["level", "cx", "cy", "part"]
+    each = own.join(placed, ["bx", "by"])
+    share = each.groupBy("level", "cx", "cy").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
+    targets = each.join(share, ["level", "cx", "cy"]).select("id", "x_m", "y_m", "level", "cx", "cy", F.pmod(F.xxhash64("id", "x_m", "y_m"), F.col("parts")).cast("int").alias("part"))
+    dealt = share.select("level", "cx", "cy", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    used = used.join(dealt, ["level", "cx", "cy"])
+    used = used.select(*(F.col(c).alias(c if c == "n" else f"_{c}") for c in used.columns))
 
     names = ["model", "id", "mean", "variance"] if models else ["id", "mean", "variance"]
 

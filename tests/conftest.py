@@ -1,3 +1,9 @@
+import os
+
+# Dense algebra of tests is small; its threads would only wait for each other.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
