@@ -23,7 +23,7 @@ from gridweave.randomfield.fields import kernel
 #: What the kernels of lags r gain by a larger logarithm of the length.
 STRETCH = {"exponential": lambda r: r * np.exp(-r), "gaussian": lambda r: r * r * np.exp(-r * r / 2), "matern32": lambda r: 3 * r * r * np.exp(-math.sqrt(3) * r)}
 #: Shares of a step that are tried in the same job.
-TRIALS = (1.0, 0.3, 0.08, 0.01)
+TRIALS = (1.0, 0.25, 0.03)
 
 
 def trend_basis(at: np.ndarray, trend: str) -> np.ndarray:
@@ -113,7 +113,7 @@ class Descent:
                 one = np.eye(len(s)) - np.outer(s, y) / (s @ y)
                 self.curve = one @ self.curve @ one.T + np.outer(s, s) / (s @ y)
         self.at, self.value, self.gradient, self.steps = self.asked[k], values[k], gradients[k], self.steps + 1
-        if np.abs(self.free()).max() < 1e-6 * max(1.0, abs(self.value)) or gone < 1e-10 * abs(self.value):
+        if np.abs(self.free()).max() < 1e-6 * max(1.0, abs(self.value)) or gone < 1e-7 * abs(self.value):
             self.status = "converged"
         elif self.steps >= self.limit:
             self.status = "limit"
@@ -231,7 +231,7 @@ def held_folds(folded: DataFrame, size: float, buffer_m: float) -> DataFrame:
     return folded.join(held, "id")
 
 
-def refitted_folds(folded: DataFrame, folds: int, models: list[dict], size: float, buffer_m: float = 0.0, per_block: int = 200, least: int = 20, shares=(0.05, 0.25)) -> tuple[DataFrame, DataFrame]:
+def refitted_folds(folded: DataFrame, folds: int, models: list[dict], size: float, buffer_m: float = 0.0, per_block: int = 100, least: int = 20, shares=(0.05, 0.25), limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """Fits and predictions of models (model, family, trend), fitted anew without each fold and its buffer.
 
     folded: id (unique), x_m, y_m, value, bx, by, fold (0 up). The first table
@@ -246,7 +246,7 @@ def refitted_folds(folded: DataFrame, folds: int, models: list[dict], size: floa
         sd, extent, low, high = limits(points)
         keyed = keyed_blocks(points.select("x_m", "y_m", "value", "held"), per_block).repartition("block_x", "block_y").persist()
         runs = [(k, m, s) for k in range(folds) for m in models for s in _starts(sd, extent, shares)]
-        found = descended(keyed, [(k, m["family"], m["trend"], s) for k, m, s in runs], low, high, least=least)
+        found = descended(keyed, [(k, m["family"], m["trend"], s) for k, m, s in runs], low, high, limit, least)
         keyed.unpersist()
         for k in range(folds):
             known = []

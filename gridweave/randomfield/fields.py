@@ -114,6 +114,17 @@ def fft_fields(spark: SparkSession, n: int | DataFrame, height: int, width: int,
     return samples(spark, n).mapInArrow(run, FIELD)
 
 
+def inverted(c: np.ndarray) -> np.ndarray:
+    """The inverse of a symmetric matrix; its pseudoinverse where that is no inverse to six digits."""
+    try:
+        found = np.linalg.inv(c)
+        if np.abs(c @ found - np.eye(len(c))).max() < 1e-6:
+            return (found + found.T) / 2
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.pinv(c, rcond=1e-12, hermitian=True)
+
+
 @dataclass(frozen=True)
 class Kriging:
     """A solved system of few observations at points (x, y): simple with a known mean, ordinary without."""
@@ -133,7 +144,7 @@ class Kriging:
         if mean is None:
             one = np.ones((len(at), 1))
             c = np.block([[c, one], [one.T, np.zeros((1, 1))]])
-        return cls(at, values, mean, sigma, length, family, np.linalg.pinv(c, rcond=1e-12, hermitian=True))
+        return cls(at, values, mean, sigma, length, family, inverted(c))
 
     def _cross(self, x: np.ndarray) -> np.ndarray:
         d = np.hypot(x[:, :1] - self.at[:, 0], x[:, 1:] - self.at[:, 1])
