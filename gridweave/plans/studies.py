@@ -34,8 +34,11 @@ def _qoi(v) -> DataFrame:
 
 @query("rq1")
 def rq1(v):
-    """An ensemble's propagation: cell statistics, risk, quantities of interest, convergence and method gain."""
+    """An ensemble's propagation: cell statistics, risk, quantities of interest, convergence, method gain and repeated designs of all variants."""
+    from gridweave.plans.sequences import rq1_repeated
+
     return parts(
+        repeated=rq1_repeated(v).drop("repetitions"),
         cells=C.risk_and_statistics(v.temperature, BACKGROUND, 0.5), uncertainty=Y.global_uncertainty(C.field_statistics(v.temperature)), qoi=Y.scalar_summary(_qoi(v)),
         fields=Y.prefix_field_convergence(v.temperature, v.budgets), scalars=Y.scalar_prefix_convergence(_qoi(v), v.budgets), gain=Y.method_gain(v.trial_errors).drop("repetitions"),
     )
