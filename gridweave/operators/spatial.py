@@ -200,3 +200,29 @@ def nearest_distance(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def unordered(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b), F.greatest(a, b))
+
+
+def axis_weights(spark, cells: int, resolution: float, to_resolution: float, to_cells: int) -> DataFrame:
+    """to, source, weight along an axis: each new cell's centre between two of the old nodes, which stand at 0, 1, ... times the resolution.
+
+    Centres beyond the last node go on with the slope of the last two.
+    """
+    at = (F.col("id") + 0.5) * float(to_resolution) / float(resolution)
+    first = F.least(F.floor(at), F.lit(cells - 2)).cast("int")
+    pair = F.array(F.struct(first.alias("source"), (1 - (at - first)).alias("weight")), F.struct((first + 1).alias("source"), (at - first).alias("weight")))
+    return spark.range(to_cells).select(F.col("id").cast("int").alias("to"), F.explode(pair).alias("p")).select("to", "p.source", "p.weight")
+
+
+def resampled_window(fields: DataFrame, shape: tuple[int, int], resolution: float, to_resolution: float, to_shape: tuple[int, int]) -> DataFrame:
+    """sample_id, row, col, value of all fields, linear between their nodes, at the centres of another grid.
+
+    A window's first axis is x: its rows become the new grid's columns. Old
+    nodes meet new cells by their index, so nothing but two short tables of
+    weights, one an axis, is sent to the tasks.
+    """
+    spark = fields.sparkSession
+    along_x = axis_weights(spark, shape[0], resolution, to_resolution, to_shape[1]).select(F.col("to").alias("to_col"), F.col("source").alias("row"), F.col("weight").alias("wx"))
+    along_y = axis_weights(spark, shape[1], resolution, to_resolution, to_shape[0]).select(F.col("to").alias("to_row"), F.col("source").alias("col"), F.col("weight").alias("wy"))
+    met = fields.join(F.broadcast(along_x), "row").join(F.broadcast(along_y), "col")
+    out = met.groupBy("sample_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"))
+    return out.agg(F.sum(F.col("value") * F.col("wx") * F.col("wy")).alias("value"))

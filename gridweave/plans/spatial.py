@@ -274,24 +274,35 @@ def to_2d(v):
     return v.fields_long.agg((F.count("*") == 64 * F.count_distinct("sample_id")).alias("complete"))
 
 
-def _historical(v):
-    """The reference turned and converted as the historical window is."""
-    from gridweave.functions import scalars as S
-
-    turned = P.orient(v.fields_long.where("sample_id = 0"), "transpose_flip_y", 8, 8)
-    return turned.select("sample_id", "row", "col", F.log10(F.pow(F.lit(10.0), "value") * S.HISTORICAL_DIVISOR).alias("value"))
+def _axis(name, cells, to_cells, step):
+    return f"""{name} as (select k::int as k, least(floor(at), {cells - 2})::int + o as source, case o when 0 then 1 - (at - least(floor(at), {cells - 2})) else at - least(floor(at), {cells - 2}) end as w
+      from (select k, (k + 0.5::double) * {step}::double as at from range({to_cells}) t(k)), (select unnest([0, 1]) as o))"""
 
 
-@query("historical_interpolate")
+@query(
+    "historical_interpolate",
+    f"""-- doubles: value
+    with {_axis("a", 8, 16, 0.5)} select sample_id, y.k as row, x.k as col, sum(pow(10.0::double, value) * x.w * y.w) as value
+    from fields_long f join a x on x.source = f.row join a y on y.source = f.col group by sample_id, y.k, x.k""",
+    "fields_long",
+)
 def historical_interpolate(v):
-    """The converted field read at points, between its cells."""
-    each = v.points.select("id", "x_m", "y_m", F.lit(0).cast("long").alias("sample_id"))
-    return P.bilinear(each, _historical(v), 0.0, 0.0, 1600.0, keys=("sample_id",)).select("id", "sampled")
+    """Every field on a grid of twice its resolution, linear between its nodes."""
+    return P.resampled_window(v.fields_long.withColumn("value", F.pow(F.lit(10.0), "value")), (8, 8), 20.0, 10.0, (16, 16))
 
 
-@query("historical_reconstruct")
+@query(
+    "historical_reconstruct",
+    f"""-- doubles: value
+    with {_axis("a", 6, 12, 0.5)}, w as (select sample_id, 6 - col as row, row - 1 as col, pow(10.0::double, value) as value from fields_long where row between 1 and 6 and col between 1 and 6)
+    select sample_id, y.k as row, x.k as col, log10(sum(w.value * x.w * y.w) * 7.5e6::double) as value from w join a x on x.source = w.row join a y on y.source = w.col group by sample_id, y.k, x.k""",
+    "fields_long",
+)
 def historical_reconstruct(v):
-    """The converted field on a grid of twice its resolution."""
-    nodes = v.spark.range(225).select("id", (F.col("id") % 15 * 800.0).alias("x_m"), (F.floor(F.col("id") / 15) * 800.0).alias("y_m"), F.lit(0).cast("long").alias("sample_id"))
-    fine = P.bilinear(nodes, _historical(v), 0.0, 0.0, 1600.0, keys=("sample_id",))
-    return fine.select(F.expr("int(id div 15)").alias("row"), (F.col("id") % 15).cast("int").alias("col"), F.col("sampled").alias("value"))
+    """The turned window of every field, on a grid of twice its resolution, converted by the historical divisor."""
+    from gridweave.functions import scalars as S
+
+    w = v.fields_long.where("row between 1 and 6 and col between 1 and 6").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
+    turned = P.orient(w, "transpose_flip_y", 6, 6).withColumn("value", F.pow(F.lit(10.0), "value"))
+    fine = P.resampled_window(turned, (6, 6), 20.0, 10.0, (12, 12))
+    return fine.withColumn("value", F.log10(F.col("value") * S.HISTORICAL_DIVISOR))

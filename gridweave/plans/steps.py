@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweave.operators import guards as G, spatial as P, summaries as X
+from gridweave.operators import guards as G, regions as N, spatial as P, summaries as X
 from gridweave.plans.registry import query
 from gridweave.sources.views import BACKGROUND
 from gridweave.streaming import accumulators as A
@@ -400,13 +400,18 @@ def callable_surrogate(v):
 
 @query(
     "heat_pump_centers",
-    "-- doubles: y x\nselect sample_id, avg(row) as y, avg(col) as x, count(*) as cells from (select *, max(value) over (partition by sample_id) as top from fields_long) where value = top group by sample_id",
+    """-- doubles: y x
+    with recursive m as (select sample_id, row, col, row * 8 + col as cell from fields_long where (case when value >= 0.1 then 2 else 1 end) = 2),
+    r as (select sample_id, cell, cell as root from m union select r.sample_id, n.cell, r.root from r join m c on c.sample_id = r.sample_id and c.cell = r.cell
+      join m n on n.sample_id = c.sample_id and abs(n.row - c.row) + abs(n.col - c.col) = 1),
+    l as (select sample_id, cell, min(root) as label from r group by sample_id, cell)
+    select m.sample_id, avg(m.row) as y, avg(m.col) as x, count(*) as cells from m join l on l.sample_id = m.sample_id and l.cell = m.cell group by m.sample_id, label""",
     "fields_long",
 )
 def heat_pump_centers(v):
-    """Centroid of each field's hottest cells, equal ones together."""
-    top = v.fields_long.groupBy("sample_id").agg(F.max("value").alias("top"))
-    return v.fields_long.join(top, "sample_id").where("value = top").groupBy("sample_id").agg(F.avg("row").alias("y"), F.avg("col").alias("x"), F.count("*").alias("cells"))
+    """Centroid of each connected region of the second material, which fields have from a value up; regions go on over tiles."""
+    material = F.when(F.col("value") >= 0.1, 2).otherwise(1)
+    return N.centres(v.fields_long.where(material == 2), tile=4)
 
 
 @query(

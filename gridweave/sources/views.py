@@ -153,6 +153,8 @@ def with_views(names: list[str], sql: str) -> str:
     head = ", ".join(f"{n} as ({SQL[n]})" for n in order)
     if not order:
         return body
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body[:5].lower() == "with " else f"with {head} {body}"
 
 
