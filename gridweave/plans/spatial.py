@@ -275,8 +275,8 @@ def to_2d(v):
 
 
 def _axis(name, cells, to_cells, step):
-    return f"""{name} as (select k::int as k, least(floor(at), {cells - 2})::int + o as source, case o when 0 then 1 - (at - least(floor(at), {cells - 2})) else at - least(floor(at), {cells - 2}) end as w
-      from (select k, (k + 0.5::double) * {step}::double as at from range({to_cells}) t(k)), (select unnest([0, 1]) as o))"""
+    return f"""{name} as (select k::int as k, least(floor(pos), {cells - 2})::int + o as source, case o when 0 then 1 - (pos - least(floor(pos), {cells - 2})) else pos - least(floor(pos), {cells - 2}) end as w
+      from (select k, (k + 0.5::double) * {step}::double as pos from range({to_cells}) t(k)), (select unnest([0, 1]) as o))"""
 
 
 @query(
