@@ -295,14 +295,14 @@ def historical_interpolate(v):
     "historical_reconstruct",
     f"""-- doubles: value
     with {_axis("a", 6, 12, 0.5)}, w as (select sample_id, 6 - col as row, row - 1 as col, pow(10.0::double, value) as value from fields_long where row between 1 and 6 and col between 1 and 6)
-    select sample_id, y.k as row, x.k as col, log10(sum(w.value * x.w * y.w) * 7.5e6::double) as value from w join a x on x.source = w.row join a y on y.source = w.col group by sample_id, y.k, x.k""",
+    select sample_id, y.k as row, x.k as col, case when sum(w.value * x.w * y.w) > 0 then log10(sum(w.value * x.w * y.w) * 7.5e6::double) end as value from w join a x on x.source = w.row join a y on y.source = w.col group by sample_id, y.k, x.k""",
     "fields_long",
 )
 def historical_reconstruct(v):
-    """The turned window of every field, on a grid of twice its resolution, converted by the historical divisor."""
+    """The turned window of every field, on a grid of twice its resolution, converted by the historical divisor; null where the slope beyond the last node leads below 0."""
     from gridweave.functions import scalars as S
 
     w = v.fields_long.where("row between 1 and 6 and col between 1 and 6").withColumns({"row": F.col("row") - 1, "col": F.col("col") - 1})
     turned = P.orient(w, "transpose_flip_y", 6, 6).withColumn("value", F.pow(F.lit(10.0), "value"))
     fine = P.resampled_window(turned, (6, 6), 20.0, 10.0, (12, 12))
-    return fine.withColumn("value", F.log10(F.col("value") * S.HISTORICAL_DIVISOR))
+    return fine.withColumn("value", F.when(F.col("value") > 0, F.log10(F.col("value") * S.HISTORICAL_DIVISOR)))
