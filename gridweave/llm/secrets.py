@@ -47,27 +47,41 @@ def _sql(text: str) -> str:
     return "r'" + text.replace("'", "' '") + "'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str, group: int, least: int) -> Column:
-    """start, end (code points, end exclusive) of a pattern's matches whose group is long enough.
+def _matches(text: str, pattern: str, group: int, token: bool = False) -> Column:
+    """Of each match of a pattern the lengths of what stands before it, its own and its group's, and with ``token`` its text.
 
-    What split leaves stands before, between and after the matches, so the
-    lengths of both add up to the places.
+    What split leaves stands before, between and after the matches.
     """
     p = _sql(pattern)
+    kept = "m['1']" if token else "cast(null as string)"
+    each = f"named_struct('before', length(m['0']), 'size', length(m['1']), 'grouped', length(m['2']), 'token', {kept})"
     return F.expr(
-        f"""case when {text} rlike {p} then aggregate(
-          arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-          named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, end: bigint>>)),
-          (a, x) -> named_struct(
-            'at', a.at + length(x['0']) + coalesce(length(x['1']), 0),
-            'out', case when coalesce(length(x['2']), 0) >= {least}
-              then array_append(a.out, named_struct('start', a.at + length(x['0']), 'end', a.at + length(x['0']) + length(x['1'])))
-              else a.out end),
-          a -> a.out)
-        else cast(array() as array<struct<start: bigint, end: bigint>>) end"""
+        f"""case when {text} rlike {p} then transform(
+          arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})), m -> {each}) end"""
     )
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    """row, kind (its place in KINDS; candidates last), start, end, token, free of all matches that are long enough.
+
+    Places are running sums of lengths over a text's matches. A candidate is
+    free if no base span overlaps it: none that starts before it goes on
+    beyond its start, and none starts within it. Both come from windows over
+    a text's spans in order, so the work is that of sorting them.
+    """
+    least = [*(n for _, _, n in KINDS.values()), 20]
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("least"), F.col(c).alias("m")) for k, (n, c) in enumerate(zip(least, [*KINDS, "candidates"], strict=True))))
+    kinds = found.select("row", F.explode(F.filter(each, lambda x: x["m"].isNotNull())).alias("k"))
+    flat = kinds.select("row", "k.kind", "k.least", F.posexplode("k.m").alias("place", "m")).select("row", "kind", "least", "place", "m.*").repartition("row")
+    end = F.sum(F.col("before") + F.coalesce("size", F.lit(0))).over(W.partitionBy("row", "kind").orderBy("place"))
+    spans = flat.withColumn("end", end.cast("long")).where("size is not null and grouped >= least").withColumn("start", F.col("end") - F.col("size"))
+    ordered, base = W.partitionBy("row").orderBy("start"), F.col("kind") < len(KINDS)
+    before = F.max(F.when(base, F.col("end"))).over(ordered)
+    after = F.min(F.when(base, F.col("start"))).over(W.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
+    inside = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+    return spans.select("row", "kind", "start", "end", "token", (~base & ~inside).alias("free"))
+
+
 def upper_tail(z: Column) -> Column:
     """The chance that a standard normal variable exceeds z (Abramowitz and Stegun 26.2.17)."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
@@ -153,22 +167,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: f
     Null and empty texts have no spans, and base_sha256 of an empty string.
     Null ids come back as null, repeated rows get repeated answers, an empty
     table no rows. Spans of the base kinds stay whatever the battery says; a
-    random token that overlaps one of them is not added.
+    random token that overlaps one of them is not added. Work grows with a
+    text's matches in proportion (they are sorted), so a very long list of
+    hashes is one text like others.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = docs.select(
         "doc_id",
-        *(_spans("text", _SEARCH[k], group, least).alias(k) for k, (_, group, least) in KINDS.items()),
-        _spans("text", CANDIDATE, 0, 20).alias("c"),
-        F.expr(f"regexp_extract_all(text, {_sql(CANDIDATE)}, 0)").alias("t"),
+        *(_matches("text", _SEARCH[k], group).alias(k) for k, (_, group, _least) in KINDS.items()),
+        _matches("text", CANDIDATE, 0, True).alias("candidates"),
         F.monotonically_increasing_id().alias("row"),
     )
     found = saved(found, "secrets")
+    placed = saved(_placed(found), "placed")
 
-    base = "concat(assign, access, hex)"
-    free = f"filter(arrays_zip(c, t), x -> not exists({base}, b -> b.start < x.c.end and x.c.start < b.end))"
-    tokens = found.select("row", F.explode(F.expr(free)).alias("x")).select("row", "x.c.start", "x.c.end", F.col("x.t").alias("token"))
-    tested = battery(tokens).select(
+    tested = battery(placed.where("free").select("row", "start", "end", "token")).select(
         "row", "start", "end",
         F.length(F.bin(F.col("end") - F.col("start"))).alias("klass"),
         _bin("p_text").alias("no_text"),
@@ -176,15 +189,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: f
     )
     tested = saved(tested, "tested")
     secret = discoveries(tested, "no_text", share) & ~discoveries(tested, "no_random", share)
-    added = tested.where(secret).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("random"))
-
-    x = found.join(added, "row", "left").withColumn("random", F.expr("coalesce(random, array())"))
-    named = lambda k, i: f"transform({k}, s -> named_struct('start', s.start, 'kind', {i}, 'text', concat_ws(':', '{k}', s.start, s.end)))"
-    joined = lambda kinds: f"array_join(transform(array_sort(concat({', '.join(named(k, i) for i, k in enumerate(kinds))})), s -> s.text), ',')"
+    added = tested.where(secret).select("row", "start", F.lit(len(KINDS)).alias("kind"), "end").distinct()
+
+    spans = placed.where(F.col("kind") < len(KINDS)).select("row", "start", "kind", "end").unionByName(added)
+    of_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
+    names = "array(" + ", ".join(f"'{k}'" for k in [*KINDS, "random"]) + ")"
+    joined = lambda which: f"array_join(transform({which}, s -> concat_ws(':', {names}[s.kind], s.start, s.end)), ',')"
+    x = found.select("doc_id", "row").join(of_row, "row", "left").withColumn("s", F.expr("coalesce(s, array())"))
+    many = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
     return x.select(
         "doc_id",
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(F.expr(joined(KINDS)), 256).alias("base_sha256"),
-        F.expr(joined([*KINDS, "random"])).alias("spans"),
-        F.size("random").cast("long").alias("n_random"),
+        *(many(i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
+        F.sha2(F.expr(joined(f"filter(s, s -> s.kind < {len(KINDS)})")), 256).alias("base_sha256"),
+        F.expr(joined("s")).alias("spans"),
+        many(len(KINDS)).alias("n_random"),
     )

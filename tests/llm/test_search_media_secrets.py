@@ -221,3 +221,32 @@ def test_battery_and_control_against_numpy(spark):
 
 def test_scan_of_nothing(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scan_of_a_long_list_of_hashes(spark):
+    """16 000 tokens in one text: places as of a plain search, in a time that grows with their number."""
+    import re
+    import time
+
+    rng = np.random.default_rng(9)
+    tokens = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(16_000)]
+    took = []
+    for n in (100, 8_000, 16_000):
+        text = "\n".join(tokens[:n]) + " token=abcdef123"
+        began = time.perf_counter()
+        row = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        took.append(time.perf_counter() - began)
+        want = [("assign", m.start(), m.end()) for m in re.finditer("token=abcdef123", text)] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+        assert row.n_hex == n and row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(want, key=lambda x: x[1]))
+    assert took[2] < 3 * took[1] + 5
+
+
+def test_tokens_beside_base_spans(spark):
+    """A candidate that a base span touches inside is not added; neighbours don't count."""
+    from gridweave.llm.secrets import _matches, _placed, _SEARCH, CANDIDATE
+
+    text = "secret=Abcdefghijklmnopqrstuvwx1 " + "d" * 30 + "Q" * 5 + " " + "Zx9" * 8
+    df = spark.createDataFrame([(0, text)], "row long, text string")
+    found = df.select("row", *(_matches("text", _SEARCH[k], g).alias(k) for k, (_, g, _n) in KINDS.items()), _matches("text", CANDIDATE, 0, True).alias("candidates"))
+    got = {(r.kind, text[r.start : r.end]): r.free for r in _placed(found).collect()}
+    assert got == {(0, text.split(" ")[0]): False, (2, "d" * 30): False, (3, text.split("=")[1].split(" ")[0]): False, (3, "d" * 30 + "Q" * 5): False, (3, "Zx9" * 8): True}
