@@ -285,10 +285,11 @@ def fit(rows: DataFrame, model_file: str, rows_per_lang: int = 1500, rounds: int
     """Languages and their piece probabilities (pieces, languages) from rows of doc_id, text, lang.
 
     At most about ``rows_per_lang`` rows of each language teach: those whose
-    hashed id is below the share that this bound is of the language's rows.
+    hashed id, or text where the id is null, is below the share that this
+    bound is of the language's rows.
     """
     sizes = rows.where("lang is not null").groupBy("lang").count().collect()
-    hashed, picked = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)), F.lit(False)
+    hashed, picked = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("fit")), F.lit(1_000_000)), F.lit(False)
     for r in sizes:  # a table of languages is as small as the model itself
         picked = picked | ((F.col("lang") == r["lang"]) & (hashed < min(1.0, rows_per_lang / r["count"]) * 1_000_000))
     picked = rows.where(picked & F.col("text").isNotNull())

@@ -183,3 +183,11 @@ def test_numerals_are_no_letters_and_clashing_columns(spark, speech):
     got = {r.doc_id: r for r in L.identify_rows(more, MODEL).collect()}
     assert got[951]._lang_pred == "und" and got[951]._score == 0.0 and got[951].n == 2
     assert got[950]._lang_pred != "und"
+
+
+def test_rows_without_ids_teach_too(spark):
+    rng = random.Random(4)
+    stock = {"en": "the and house with this that people over water", "de": "der und haus mit dieses dass leute über wasser"}
+    rows = [(None, " ".join(rng.choice(stock[k].split()) for _ in range(12)), k) for k in ("en", "de") for _ in range(120)]
+    langs, p = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL, rows_per_lang=20)
+    assert langs == ["de", "en"] and not np.allclose(p[:, 0], p[:, 1])
