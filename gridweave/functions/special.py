@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-_NORMAL = NormalDist()
 # Types are objects: workers import this module and can't parse type strings.
 _INTERVAL = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
 
@@ -19,9 +17,22 @@ def cdf(x: np.ndarray) -> np.ndarray:
 
 
 def ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse of cdf; 0 and 1 give infinities."""
-    one = lambda v: _NORMAL.inv_cdf(v) if 0 < v < 1 else math.copysign(math.inf, v - 0.5)
-    return np.array([one(v) for v in np.ravel(p)]).reshape(np.shape(p))
+    """Inverse of cdf; 0 and 1 give infinities.
+
+    A rational start by the tail (Abramowitz and Stegun 26.2.23, within 5e-4)
+    and two steps of Halley's method with the exact distribution function.
+    """
+    p = np.asarray(p, float)
+    inside = (p > 0) & (p < 1)
+    q = np.where(inside, p, 0.5)
+    tail = np.minimum(q, 1 - q)
+    t = np.sqrt(-2 * np.log(tail))
+    x = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    for _ in range(2):
+        # x is the upper tail's place, so the difference keeps its digits far out.
+        step = (tail - cdf(-x)) * math.sqrt(2 * math.pi) * np.exp(x * x / 2)
+        x = x - step / (1 + x * step / 2)
+    return np.where(inside, np.where(q < 0.5, -x, x), np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.nan)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -137,9 +137,14 @@ def guard_finite_positive(v):
     return G.violations(v.points, "k")
 
 
-@query("validate_output_grid", "select row, col from (values (0, 0), (7, 7), (8, 1), (-1, 3)) t(row, col) where row not between 0 and 7 or col not between 0 and 7")
+@query(
+    "validate_output_grid",
+    "select distinct row, col from (select floor(y_m / 1500)::int as row, floor(x_m / 1500)::int as col from points) where row not between 0 and 7 or col not between 0 and 7",
+    "points",
+)
 def validate_output_grid(v):
-    return G.outside_grid(v.rows([(0, 0), (7, 7), (8, 1), (-1, 3)], "row int, col int"), 8, 8)
+    """Cells of points that a grid of 8 by 8 cells of 1500 m leaves out."""
+    return G.outside_grid(v.points.select(*(F.floor(F.col(c) / 1500).cast("int").alias(n) for c, n in (("y_m", "row"), ("x_m", "col")))).distinct(), 8, 8)
 
 
 @query("scan_cellid_reorder", "select count(*) as n, count(*) = count(distinct p_partkey) and min(p_partkey) = 1 and max(p_partkey) = count(*) as complete from part")

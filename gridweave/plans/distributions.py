@@ -150,9 +150,14 @@ def criteria_assessment(v):
     return D.criteria(c, {"bias": 0.45, "spread": 0.5})
 
 
-@query("scenario_matrix", "-- doubles: length\nselect family, length, draws from (select unnest(['matern32', 'exponential']) as family), (select unnest([300.0, 500.0, 800.0])::double as length), (select unnest([8, 32])::int as draws)")
+@query(
+    "scenario_matrix",
+    "select status, priority, draws from (select distinct o_orderstatus as status from orders), (select distinct o_orderpriority as priority from orders), (select unnest([8, 32])::int as draws)",
+)
 def scenario_matrix(v):
-    return D.scenario_matrix(v.spark, {"family": ["matern32", "exponential"], "length": [300.0, 500.0, 800.0], "draws": [8, 32]})
+    """Every status with every priority that orders have, for two numbers of draws."""
+    levels = lambda c: [r[0] for r in v.table("orders").select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(1000).collect()]
+    return D.scenario_matrix(v.spark, {"status": levels("o_orderstatus"), "priority": levels("o_orderpriority"), "draws": [8, 32]})
 
 
 @query("scenario_weights", "-- doubles: weight\nselect n_nationkey, 1.0 / count(*) over () as weight from nation")
@@ -160,9 +165,11 @@ def scenario_weights(v):
     return v.table("nation").select("n_nationkey", (1.0 / F.count("*").over(W.partitionBy())).alias("weight"))
 
 
-@query("total_degree_multi_index", "select concat(a, ',', b, ',', c) as alpha, (a + b + c)::int as degree from range(4) x(a), range(4) y(b), range(4) z(c) where a + b + c <= 3")
+@query("total_degree_multi_index", "select concat(a, ',', b, ',', c) as alpha, (a + b + c)::int as degree from range(4) x(a), range(4) y(b), range(4) z(c) where a + b + c <= (select max(p_size % 4) from part)")
 def total_degree_multi_index(v):
-    return D.total_degree(v.spark, 3, 3).select(F.array_join(F.transform("alpha", lambda x: x.cast("string")), ",").alias("alpha"), "degree")
+    """Multi-indices of three dimensions up to the largest degree that parts ask for."""
+    degree = v.table("part").agg(F.max(F.col("p_size") % 4)).first()[0] or 0
+    return D.total_degree(v.spark, 3, degree).select(F.array_join(F.transform("alpha", lambda x: x.cast("string")), ",").alias("alpha"), "degree")
 
 
 def _basis(x):
@@ -210,13 +217,19 @@ def iid_normal_model(v):
     return v.good_points.agg(F.avg("log10_k").alias("mean"), (F.var_samp("log10_k") * (1 + 1.0 / F.count("*"))).alias("variance"))
 
 
-@query("kl_mode_select", """-- doubles: energy
-with l as (select i::int as i, exp(-i / 2.0::double) as value from range(8) t(i)), m as (select a.i as iy, b.i as ix, a.value * b.value as energy from l a, l b),
-r as (select *, row_number() over (order by energy desc, iy, ix)::int as mode, sum(energy) over (order by energy desc, iy, ix rows unbounded preceding) as run, sum(energy) over () as total from m)
-select mode, iy, ix, energy from r where run - energy < 0.9 * total""")
+@query(
+    "kl_mode_select",
+    """-- doubles: energy
+    with y as (select row as i, 100 * var_pop(value) as value from fields_long group by row), x as (select col as i, 100 * var_pop(value) as value from fields_long group by col),
+    m as (select y.i as iy, x.i as ix, y.value * x.value as energy from y, x),
+    r as (select *, row_number() over (order by energy desc, iy, ix)::int as mode, sum(energy) over (order by energy desc, iy, ix rows unbounded preceding) as run, sum(energy) over () as total from m)
+    select mode, iy, ix, energy from r where run - energy < 0.9 * total""",
+    "fields_long",
+)
 def kl_mode_select(v):
-    line = v.spark.range(8).select(F.col("id").cast("int").alias("i"), F.exp(-F.col("id") / 2.0).alias("value"))
-    return D.energy_modes(line, line, 0.9)
+    """Pairs of grid lines by the product of the ensemble's variances along them, up to a share of the whole."""
+    line = lambda axis: v.fields_long.groupBy(F.col(axis).alias("i")).agg((100 * F.var_pop("value")).alias("value"))
+    return D.energy_modes(line("row"), line("col"), 0.9)
 
 
 @query("kl_variance", "-- doubles: variance\nselect row, col, sum(value * value * (1.0 / (1 + sample_id))) as variance from fields_long group by row, col", "fields_long")
@@ -293,11 +306,22 @@ def measurement_prefix(v):
     return v.table("part").select(F.row_number().over(W.orderBy("p_partkey")).alias("position"), "p_partkey").where("position <= 64")
 
 
-for _name, _take in (("even_midpoint_sample", "floor(0.5 * (floor(i * 2000 / 50.0) + floor((i + 1) * 2000 / 50.0)))"), ("bounded_linspace_sample", "floor(i * 1999 / 49.0)")):
+_PARTS = "(select count(*) as n from part)"
+
+
+@query("even_midpoint_sample", f"select least(floor(0.5 * (floor(i * n / 50.0) + floor((i + 1) * n / 50.0))), n - 1)::bigint as position from range(50) t(i), {_PARTS}")
+def even_midpoint_sample(v):
+    """Fifty positions in the middle of equal stretches of the parts."""
+    n, cut = v.table("part").count(), lambda x: F.floor(x / 50.0)
+    i = F.col("id")
+    return v.spark.range(50).select(F.least(F.floor(0.5 * (cut(i * n) + cut((i + 1) * n))), F.lit(n - 1)).cast("bigint").alias("position"))
+
 
-    @query(_name, f"select least({_take}, 1999)::bigint as position from range(50) t(i)")
-    def even_sample(v, take=_take):
-        return v.spark.range(50).select(F.least(F.expr(take.replace("i", "id").replace("mid", "mi")), F.lit(1999)).cast("bigint").alias("position"))
+@query("bounded_linspace_sample", f"select least(floor(i * (n - 1) / 49.0), n - 1)::bigint as position from range(50) t(i), {_PARTS}")
+def bounded_linspace_sample(v):
+    """Fifty positions from the first to the last of the parts."""
+    n = v.table("part").count()
+    return v.spark.range(50).select(F.least(F.floor(F.col("id") * (n - 1) / 49.0), F.lit(n - 1)).cast("bigint").alias("position"))
 
 
 @query("historical_window", "-- doubles: value\nselect sample_id, (6 - col)::int as row, (row - 1)::int as col, log10(pow(10.0, value) * 7.5e6) as value from fields_long where row between 1 and 6 and col between 1 and 6", "fields_long")

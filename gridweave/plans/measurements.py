@@ -111,11 +111,11 @@ def join_fit_to_cv(v):
     "scan_run_with_fallback",
     """-- doubles: value
     select coalesce(a.k, b.k) as run, coalesce(a.value, b.value) as value from (select s_suppkey as k, s_acctbal as value from supplier where s_suppkey % 3 = 0) a
-    full join (select c_custkey as k, c_acctbal as value from customer where c_custkey <= 150) b on a.k = b.k""",
+    full join (select c_custkey as k, c_acctbal as value from customer) b on a.k = b.k""",
 )
 def scan_run_with_fallback(v):
     a = v.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("run"), F.col("s_acctbal").alias("value"))
-    b = v.table("customer").where("c_custkey <= 150").select(F.col("c_custkey").alias("run"), F.col("c_acctbal").alias("value"))
+    b = v.table("customer").select(F.col("c_custkey").alias("run"), F.col("c_acctbal").alias("value"))
     return M.fallback(a, b, "run")
 
 

@@ -139,19 +139,22 @@ def clopper_pearson(v):
 
 @query("normal_score_qq")
 def normal_score_qq(v):
-    """Values of a cell beside the normal scores of their ranks; counts of equal values are summed, not rows."""
+    """The values of every cell beside the normal scores of their ranks.
+
+    Ranks are within a cell. Stretches are of equal numbers, not of equal
+    width: each cell's approximate quantiles cut its values, what stands
+    before a stretch is a count, and a window runs within a stretch.
+    """
     from pyspark.sql import Window as W
 
-    cell = v.log_k.where("row = 0 and col = 0")
-    n = cell.count()
-    # The ranks before a stretch of values come from the stretches' counts; windows run within stretches.
-    low, high = cell.agg(F.min("value"), F.max("value")).first()
-    stretch = F.floor((F.col("value") - low) / max((high or 0) - (low or 0), 1e-300) * 1000).alias("stretch")
-    counts = cell.groupBy(stretch).agg(F.count("*").alias("n"))
-    counts = counts.select("stretch", F.coalesce(F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = cell.select("value", stretch).join(F.broadcast(counts), "stretch")
-    rank = F.col("before") + F.row_number().over(W.partitionBy("stretch").orderBy("value"))
-    return placed.select("value", ((rank - 0.5) / n).alias("p")).select("value", Z.normal_ppf("p").alias("z"))
+    fields, cell = v.log_k, ["row", "col"]
+    cuts = fields.groupBy(*cell).agg(F.percentile_approx("value", F.array(*(F.lit(k / 16) for k in range(1, 16))), 1000).alias("cuts"), F.count("*").alias("n"))
+    placed = fields.join(cuts, cell).withColumn("stretch", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
+    counts = placed.groupBy(*cell, "stretch").agg(F.count("*").alias("m"))
+    before = counts.select(*cell, "stretch", F.coalesce(F.sum("m").over(W.partitionBy(*cell).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.col("before") + F.row_number().over(W.partitionBy(*cell, "stretch").orderBy("value"))
+    ranked = placed.join(before, [*cell, "stretch"]).select(*cell, "value", ((rank - 0.5) / F.col("n")).alias("p"))
+    return ranked.select(*cell, "value", Z.normal_ppf("p").alias("z"))
 
 
 @query("fold_assign_greedy")

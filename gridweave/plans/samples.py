@@ -220,9 +220,18 @@ def gradient_central(v):
 _LATTICE = """select i::int as patch, ((i * 2) // 4 * 2)::int as row0, ((i * 2) % 4)::int as col0 from range(4) t(i)"""
 
 
-@query("patch_lattice", _LATTICE)
+@query(
+    "patch_lattice",
+    f"""with lattice as ({_LATTICE}), cells as (select floor(y_m / 1600)::int as r, floor(x_m / 1600)::int as c, count(*) as n from points group by r, c)
+    select patch, row0, col0, coalesce(sum(n), 0)::bigint as points from lattice left join cells on r >= row0 and r < row0 + 4 and c >= col0 and c < col0 + 4 group by patch, row0, col0""",
+    "points",
+)
 def patch_lattice(v):
-    return S.patch_lattice(v.spark, 8, 8, 4, 2)
+    """Each patch of the grid with the points on it, which are counted by cell first."""
+    cell = [F.floor(F.col(c) / 1600).cast("int").alias(n) for c, n in (("y_m", "r"), ("x_m", "c"))]
+    cells = v.points.groupBy(*cell).agg(F.count("*").alias("n"))
+    on = (F.col("r") >= F.col("row0")) & (F.col("r") < F.col("row0") + 4) & (F.col("c") >= F.col("col0")) & (F.col("c") < F.col("col0") + 4)
+    return S.patch_lattice(v.spark, 8, 8, 4, 2).join(cells, on, "left").groupBy("patch", "row0", "col0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
 
 
 _PATCHES = f"""-- doubles: mean std

@@ -246,11 +246,16 @@ def withheld_mask(v):
     return v.reference_field.select("row", "col").join(observed, ["row", "col"], "left_anti")
 
 
-@query("probe_stencil", "select distinct least(greatest(r, 0), 7)::int as row, least(greatest(c, 0), 7)::int as col from (select 2 * i + d as r, 2 * i - d as c from range(4) a(i), range(-2, 3) b(d))")
+@query(
+    "probe_stencil",
+    "select distinct least(greatest(r, 0), 7)::int as row, least(greatest(c, 0), 7)::int as col from (select floor(y_m / 1600)::int + d as r, floor(x_m / 1600)::int - d as c from points, range(-2, 3) b(d) where k > 0.9)",
+    "points",
+)
 def probe_stencil(v):
+    """Cells on the falling diagonals about the points of the largest values, moved onto the grid."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(7)).cast("int")
-    out = v.spark.range(4).withColumn("d", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    return out.select(clip(2 * F.col("id") + F.col("d")).alias("row"), clip(2 * F.col("id") - F.col("d")).alias("col")).distinct()
+    out = v.points.where("k > 0.9").select(F.floor(F.col("y_m") / 1600).alias("r"), F.floor(F.col("x_m") / 1600).alias("c"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("d"))
+    return out.select(clip(F.col("r") + F.col("d")).alias("row"), clip(F.col("c") - F.col("d")).alias("col")).distinct()
 
 
 @query(
