@@ -370,46 +370,3 @@ def block_bootstrap(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
     means = picks.select("replicate", pick.alias("pick")).join(placed, "pick").groupBy("replicate").agg(F.avg("value").alias("m"))
     out = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return out.select(F.lit(mean).cast("double").alias("estimate"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
-
-
-def streamline(u: np.ndarray, v: np.ndarray, start: tuple[float, float], step: float, limit: int) -> np.ndarray:
-    """Fourth-order Runge-Kutta through a bilinear velocity field until it leaves the grid or stands still."""
-    h, w = u.shape
-
-    def at(p):
-        y, x = p
-        i, j = min(int(y), h - 2), min(int(x), w - 2)
-        a, b = y - i, x - j
-        mix = lambda f: f[i, j] * (1 - a) * (1 - b) + f[i, j + 1] * (1 - a) * b + f[i + 1, j] * a * (1 - b) + f[i + 1, j + 1] * a * b
-        return np.array([mix(v), mix(u)])
-
-    inside = lambda p: 0 <= p[0] <= h - 1 and 0 <= p[1] <= w - 1
-    path = [np.asarray(start, float)]
-    for _ in range(limit):
-        p, k = path[-1], []
-        for weight in (0, 0.5, 0.5, 1):
-            q = p + weight * step * (k[-1] if k else 0)
-            if not inside(q):
-                return np.array(path)
-            k.append(at(q))
-        move = step * (k[0] + 2 * k[1] + 2 * k[2] + k[3]) / 6
-        if np.abs(move).max() < 1e-9 or not inside(p + move):
-            break
-        path.append(p + move)
-    return np.array(path)
-
-
-def streamlines(fields: DataFrame, height: int, width: int, starts: list[tuple[float, float]], step: float = 0.2, limit: int = 400) -> DataFrame:
-    """sample_id, line, point, row, col: traces along the negative gradient of fields (values)."""
-    schema = "sample_id long, line int, point int, row double, col double"
-
-    def run(frames):
-        for x in frames:
-            rows = []
-            for i, v in zip(x["sample_id"], x["values"], strict=True):
-                gy, gx = np.gradient(-np.reshape(np.asarray(v, float), (height, width)))
-                for k, start in enumerate(starts):
-                    rows += [(i, k, n, *p) for n, p in enumerate(streamline(gx, gy, start, step, limit).tolist())]
-            yield pd.DataFrame(rows, columns=["sample_id", "line", "point", "row", "col"])
-
-    return fields.select("sample_id", "values").mapInPandas(run, schema)

@@ -124,7 +124,17 @@ query("spectrum_2d")(lambda v: R.spectrum(_arrays(v), 8, 8))
 
 
 query("connected_components")(lambda v: R.components(_arrays(v), 8, 8, 0.1))
-query("streamlines")(lambda v: X.streamlines(_arrays(v), 8, 8, [(3.5, 3.5), (2.0, 5.0)]))
+
+
+@query("streamlines")
+def streamlines(v):
+    """Faded rasters of the lines from each field's highest cell, in three passes: from there and from both sides."""
+    from gridweave.operators import streamlines as T
+
+    top = v.fields_long.groupBy("sample_id").agg(F.max_by(F.struct("row", "col"), F.struct("value", "row", "col")).alias("c"))
+    starts = top.select("sample_id", F.lit(0).alias("line"), F.col("c.row").alias("row"), F.col("c.col").alias("col"))
+    return T.rasters(T.lines(_arrays(v), starts, 8, 8, (0.0, 1.0, -1.0), speed=4.0))
+
 
 query("normal_cdf")(lambda v: v.points.select("id", Z.normal_cdf("k").alias("p")))
 query("normal_ppf")(lambda v: v.points.select("id", Z.normal_ppf(F.col("x_m") / 12800 * 0.98 + 0.01).alias("z")))
