@@ -126,10 +126,6 @@ def test_component_labels():
     assert R.labels(mask).tolist() == [[1, 1, 0, 2], [0, 1, 0, 2], [3, 0, 0, 2]]
 
 
-def test_streamline_follows_a_uniform_flow():
-    path = X.streamline(np.ones((5, 9)), np.zeros((5, 9)), (2.0, 0.0), 0.5, 100)
-    assert path[-1] == pytest.approx([2.0, 8.0])
-
 
 def test_variogram_fit_recovers_its_parameters():
     lag = np.linspace(1, 30, 20)
