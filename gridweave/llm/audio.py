@@ -30,6 +30,8 @@ LEAST_VOTES, LEAST_FRAMES, MOST_ERRORS = 3, 16, 0.25
 FILTERS = [(k % 6, (5 * k) % 12, 1 + k % 4, 2 + 2 * (k % 7)) for k in range(16)]
 #: Edges between a filter's four values, as the difference of two sums of logarithms per cell.
 EDGES = np.array([-0.8, 0.0, 0.8])
+#: Integers that are made at a time, whatever a recording's length.
+STRETCH = 2048
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
@@ -61,13 +63,27 @@ def _parts(kind: int, y: int, h: int, w: int) -> tuple[list, list]:
     ][kind]
 
 
-def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """A packed integer (uint32) for each frame that all filters fit on."""
-    frames = chroma(samples, rate)
+def fingerprint(samples: np.ndarray, rate: int = RATE, stretch: int = STRETCH) -> np.ndarray:
+    """A packed integer (uint32) for each frame that all filters fit on.
+
+    Recordings go by overlapping stretches of ``stretch`` integers, so what is
+    held beside samples and integers doesn't grow with their length. A filter's
+    value is rounded before it meets the edges: an integer depends on the sound
+    alone, not on where in a recording or a stretch it stands.
+    """
     widest = max(w for *_, w in FILTERS)
-    count = len(frames) - widest + 1
-    if count <= 0:
-        return np.empty(0, np.uint32)
+    frames = (len(samples) - FRAME) // HOP + 1 if len(samples) >= FRAME else 0
+    count = max(0, frames - widest + 1)
+    out = np.empty(count, np.uint32)
+    for first in range(0, count, stretch):
+        n = min(stretch, count - first)
+        last = first + n + widest - 2
+        out[first : first + n] = _codes(chroma(samples[first * HOP : last * HOP + FRAME], rate), n)
+    return out
+
+
+def _codes(frames: np.ndarray, count: int) -> np.ndarray:
+    """The packed integers of the first ``count`` frames, by filters over the integral image of all."""
     around = np.concatenate((frames, frames, frames), axis=1)  # pitch classes go round
     image = np.zeros((len(frames) + 1, around.shape[1] + 1))
     image[1:, 1:] = around.cumsum(axis=0).cumsum(axis=1)
@@ -83,7 +99,7 @@ def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     out = np.zeros(count, np.uint32)
     for k, spec in enumerate(FILTERS):
         more, less = (mean(rects) for rects in _parts(*spec))
-        level = np.searchsorted(EDGES, more - less)
+        level = np.searchsorted(EDGES, np.round(more - less, 6))
         out |= (level ^ (level >> 1)).astype(np.uint32) << np.uint32(2 * k)  # neighbouring levels differ in one bit
     return out
 
@@ -202,8 +218,8 @@ def matches(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", every:
     divisible by ``every`` are the queries; alignments (class_id, offset in
     frames, votes, overlap, errors) stand with the class of a query, on the
     row of its least id, and are null elsewhere. Too short, null and empty
-    recordings have no integers, no class and no alignments; a last odd byte is
-    no sample; null ids come back without a class; repeated rows repeat. An empty table gives no rows.
+    recordings have no integers, no class and no alignments; long ones are
+    fingerprinted by stretches; a last odd byte is no sample; null ids come back without a class; repeated rows repeat. An empty table gives no rows.
     """
     every_one = saved(fingerprinted(df, id_col, pcm_col, rate), "codes")
     named = every_one.where("rec_id is not null and n_codes > 0")
