@@ -36,11 +36,16 @@ def _counts(counts, n: int) -> list[int]:
 
 @dataclass(frozen=True)
 class NestedConditioner:
-    """Readings at distinct cells (row, col), in order, of a field with known mean; inverse: that of the Cholesky factor."""
+    """Readings at distinct cells (row, col), in order, of a field whose mean is known, or None; inverse: that of the Cholesky factor.
+
+    A mean that isn't known is one constant with a flat prior, estimated by
+    each prefix from its own readings: its whitened ones and residuals are
+    running sums too, so it needs no further system either.
+    """
 
     at: np.ndarray
     values: np.ndarray
-    mean: float
+    mean: float | None
     sigma: float
     length: float
     family: str
@@ -48,7 +53,7 @@ class NestedConditioner:
     inverse: np.ndarray
 
     @classmethod
-    def fit(cls, readings: DataFrame, mean: float, sigma: float, length: float, family: str = "matern32", noise: float = 0.0) -> "NestedConditioner":
+    def fit(cls, readings: DataFrame, mean: float | None, sigma: float, length: float, family: str = "matern32", noise: float = 0.0) -> "NestedConditioner":
         """Of readings (place, row, col, value), by place; at most MOST_READINGS of them, at distinct cells."""
         rows = readings.select("place", "row", "col", "value").orderBy("place").limit(MOST_READINGS + 1).collect()
         if not 0 < len(rows) <= MOST_READINGS:
@@ -64,9 +69,17 @@ class NestedConditioner:
         d = np.hypot(cells[:, :1] - self.at[:, 0], cells[:, 1:] - self.at[:, 1])
         return self.sigma**2 * kernel(d / self.length, self.family) @ self.inverse.T
 
+    def _estimates(self, whitened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each prefix, the constant that its whitened values estimate, and that estimate's precision."""
+        ones = self.inverse.sum(axis=1)
+        precision = np.cumsum(ones * ones)
+        return np.cumsum(ones * whitened) / precision, precision
+
     def moments(self, cells: DataFrame, counts) -> DataFrame:
         """readings, row, col, mean, std of each cell given the first so many readings."""
-        counts, whitened = _counts(counts, len(self.at)), self.inverse @ (self.values - self.mean)
+        counts, known_mean = _counts(counts, len(self.at)), self.mean or 0.0
+        whitened, ones = self.inverse @ (self.values - known_mean), self.inverse.sum(axis=1)
+        estimate, precision = self._estimates(whitened)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -75,11 +88,14 @@ class NestedConditioner:
                     f = self.features(np.column_stack([part.column(c).to_numpy().astype(float) for c in ("row", "col")]))
                     mean, known = np.cumsum(f * whitened, axis=1), np.cumsum(f * f, axis=1)
                     for n in counts:
-                        left = self.sigma**2 - known[:, n - 1]
+                        left, middle = self.sigma**2 - known[:, n - 1], known_mean + mean[:, n - 1]
+                        if self.mean is None:
+                            apart = 1 - f[:, :n] @ ones[:n]
+                            left, middle = left + apart**2 / precision[n - 1], middle + apart * estimate[n - 1]
                         if left.min(initial=0) < -1e-8 * self.sigma**2:
                             raise ArithmeticError("a conditional variance is negative")
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(f), n, "i4")), part.column("row"), part.column("col"), pa.array(self.mean + mean[:, n - 1]), pa.array(np.sqrt(np.maximum(left, 0)))],
+                            [pa.array(np.full(len(f), n, "i4")), part.column("row"), part.column("col"), pa.array(middle), pa.array(np.sqrt(np.maximum(left, 0)))],
                             ["readings", "row", "col", "mean", "std"],
                         )
 
@@ -93,7 +109,7 @@ class NestedConditioner:
         readings get simulated noise for each draw, from seed and draw alone,
         which all prefixes share.
         """
-        counts, n = _counts(counts, len(self.at)), len(self.at)
+        counts, n, known_mean, ones = _counts(counts, len(self.at)), len(self.at), self.mean or 0.0, self.inverse.sum(axis=1)
         spark = fields.sparkSession
         fields = fields.select("sample_id", *(F.col(c).cast("int").alias(c) for c in ("row", "col")), F.col("value").cast("double").alias("value"))
         places = spark.createDataFrame([(k, int(r), int(c)) for k, (r, c) in enumerate(self.at)], "place int, row int, col int")
@@ -116,13 +132,15 @@ class NestedConditioner:
                     if key != held:
                         held, f = key, self.features(np.column_stack((row, col)).astype(float))
                     told = self.noise * np.random.default_rng([seed, b.column("sample_id")[k].as_py()]).standard_normal(n) if self.noise else 0.0
-                    whitened = self.inverse @ (self.values - self.mean - self.sigma * own - told)
-                    now, seen, size = self.mean + self.sigma * value, 0, len(value)
+                    whitened = self.inverse @ (self.values - known_mean - self.sigma * own - told)
+                    estimate, _ = self._estimates(whitened)
+                    now, seen, size = known_mean + self.sigma * value, 0, len(value)
                     for m in counts:
                         now = now + f[:, seen:m] @ whitened[seen:m]
                         seen = m
+                        conditioned = now if self.mean is not None else now + (1 - f[:, :m] @ ones[:m]) * estimate[m - 1]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(size, m, "i4")), pa.array(np.full(size, b.column("sample_id")[k].as_py(), "i8")), pa.array(row), pa.array(col), pa.array(now)],
+                            [pa.array(np.full(size, m, "i4")), pa.array(np.full(size, b.column("sample_id")[k].as_py(), "i8")), pa.array(row), pa.array(col), pa.array(conditioned)],
                             ["readings", "sample_id", "row", "col", "value"],
                         )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cells", "samples", "scalars", "summaries", "spatial", "measurements", "scoring", "distributions", "randomfields", "conditioning", "sequences", "studies", "steps")
+MODULES = ("cells", "samples", "scalars", "summaries", "spatial", "measurements", "scoring", "distributions", "randomfields", "conditioning", "sequences", "studies", "steps", "compatibility")
 
 
 def _all():

@@ -118,18 +118,6 @@ def join_prediction_reference(v):
     return both.select("sample_id", "row", "col", "prediction", "reference", (F.col("prediction") - F.col("reference")).alias("difference"))
 
 
-@query(
-    "join_raster_sample",
-    "-- doubles: value\nselect p.id, r.value, r.value is not null as valid from points p left join reference_field r on r.col = floor(x_m / 1500)::int and r.row = floor(y_m / 1500)::int",
-    "points reference_field",
-)
-def join_raster_sample(v):
-    """The pixel that holds a point; points outside the raster are not valid."""
-    at = lambda c: F.floor(F.col(c) / 1500).cast("int")
-    placed = v.points.select("id", at("x_m").alias("col"), at("y_m").alias("row"))
-    return placed.join(F.broadcast(v.reference_field), ["row", "col"], "left").select("id", "value", F.col("value").isNotNull().alias("valid"))
-
-
 @query(
     "join_kriging_cross",
     """-- doubles: covariance
@@ -207,20 +195,6 @@ def exceedance_accumulator(v):
     return counts.groupBy("row", "col").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("probability"))
 
 
-@query(
-    "marginal_accumulator",
-    "-- doubles: mean variance q05 q50 q95\nselect count(*) as n, avg(value) as mean, var_samp(value) as variance, quantile_cont(value, 0.05) as q05, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.95) as q95, count(*) filter (value < -0.2) as low, count(*) filter (value > 0.2) as high from fields_long",
-    "fields_long",
-)
-def marginal_accumulator(v):
-    """Pooled moments and counts, and exact quantiles in place of a reservoir."""
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    found = v.fields_long.agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), q.alias("q"), F.count_if(F.col("value") < -0.2).alias("low"), F.count_if(F.col("value") > 0.2).alias("high")
-    )
-    return found.select("n", "mean", "variance", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"), "low", "high")
-
-
 @query(
     "qoi_warming_area",
     f"-- doubles: area_m2\nselect sample_id, count(*) filter ((value - {BACKGROUND})::float > 0.5::float) * 25.0 as area_m2 from temperature where row between 2 and 5 group by sample_id",
@@ -263,39 +237,6 @@ def lag1_correlation(v):
     return out
 
 
-_HALF = "(sample_id % 2 = {})"
-_MOMENTS = "avg(value) as mean, stddev_samp(value) as std, quantile_cont(value, 0.05) as q05, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.95) as q95"
-
-
-@query(
-    "ensemble_fidelity",
-    f"""-- doubles: mean_error std_error q05_error q50_error q95_error variogram_rmse variogram_relative
-    with a as (select {_MOMENTS} from fields_long where sample_id % 2 = 0), b as (select {_MOMENTS} from fields_long where sample_id % 2 = 1),
-    steps as (select s.sample_id % 2 as half, 'x' as axis, lag, avg((t.value - s.value) * (t.value - s.value)) / 2 as gamma from fields_long s, (select unnest([1, 2, 3]) as lag), fields_long t
-        where t.sample_id = s.sample_id and t.row = s.row and t.col = s.col + lag group by all
-      union all select s.sample_id % 2, 'y', lag, avg((t.value - s.value) * (t.value - s.value)) / 2 from fields_long s, (select unnest([1, 2, 3]) as lag), fields_long t
-        where t.sample_id = s.sample_id and t.col = s.col and t.row = s.row + lag group by all),
-    curves as (select sqrt(avg((p.gamma - q.gamma) * (p.gamma - q.gamma))) as e, sqrt(avg(q.gamma * q.gamma)) as scale from steps p join steps q on p.axis = q.axis and p.lag = q.lag and p.half = 0 and q.half = 1)
-    select a.mean - b.mean as mean_error, a.std - b.std as std_error, a.q05 - b.q05 as q05_error, a.q50 - b.q50 as q50_error, a.q95 - b.q95 as q95_error, e as variogram_rmse, e / scale as variogram_relative from a, b, curves""",
-    "fields_long",
-)
-def ensemble_fidelity(v):
-    """Generated fields (even samples) against reference fields (odd ones): moments, quantiles and directional variograms."""
-    half = F.col("sample_id") % 2
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    m = v.fields_long.groupBy(half.alias("half")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q.alias("q"))
-    m = m.select("half", "mean", "std", *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate(("05", "50", "95"))))
-    names = ["mean", "std", "q05", "q50", "q95"]
-    of = lambda c, h: F.max(F.when(F.col("half") == h, F.col(c)))
-    moments = m.agg(*((of(c, 0) - of(c, 1)).alias(f"{c}_error") for c in names))
-    curve = None
-    for k in (0, 1):
-        one = P.directional_variograms(v.fields_long.where(half == k), {"y": (1, 0), "x": (0, 1)}, [1, 2, 3]).select("direction", F.round("distance", 6).alias("distance"), F.col("gamma").alias(f"g{k}"))
-        curve = one if curve is None else curve.join(one, ["direction", "distance"])
-    e = F.sqrt(F.avg((F.col("g0") - F.col("g1")) * (F.col("g0") - F.col("g1"))))
-    return moments.join(F.broadcast(curve.agg(e.alias("variogram_rmse"), (e / F.sqrt(F.avg(F.col("g1") * F.col("g1")))).alias("variogram_relative"))))
-
-
 Z90 = 1.6448536269514722
 
 
@@ -443,20 +384,6 @@ def training_profile(v):
     return p.select("metric", "n", "mean", "std", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q95"))
 
 
-@query(
-    "training_compat",
-    f"""with {_TRAIN}, r as (select metric, min(x) as a, max(x) as b from l where half = 1 group by metric)
-    select l.sample_id, count(*) filter (x < a or x > b) as outside, count(*) filter (x < a or x > b) > 0 as rejected from l join r on l.metric = r.metric where half = 0 group by l.sample_id""",
-    "fields_long",
-)
-def training_compat(v):
-    """Generated fields by the number of descriptors outside the training fields' range."""
-    x = _fields(v)
-    ranges = x.where("half = 1").groupBy("metric").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    out = F.count_if((F.col("x") < F.col("a")) | (F.col("x") > F.col("b")))
-    return x.where("half = 0").join(F.broadcast(ranges), "metric").groupBy("sample_id").agg(out.alias("outside"), (out > 0).alias("rejected"))
-
-
 _PATCH = "p as (select sample_id, sample_id % 2 as half, (row // 4 * 2 + col // 4)::int as patch, avg(value) as mean from fields_long group by all)"
 
 

@@ -53,6 +53,28 @@ def test_all_prefixes_equal_separate_solves(readings, fields, prior):
             assert all(abs(drawn[n, s, r, c] - v) < 1e-9 for s in range(3))
 
 
+def test_unknown_mean_equals_ordinary_systems(readings, fields, prior):
+    """Each prefix against a system with a multiplier of its own."""
+    found = NestedConditioner.fit(readings, None, 0.2, 4.0)
+    counts = [1, 2, 4, 7]
+    got = {(r.readings, r.row, r.col): (r.mean, r.std) for r in found.moments(fields.select("row", "col").distinct(), counts).collect()}
+    drawn = {(r.readings, r.sample_id, r.row, r.col): r.value for r in found.draws(fields.repartition(3), counts).collect()}
+    cov = lambda a, b: 0.04 * kernel(np.hypot(*(a[:, None] - b).transpose(2, 0, 1)) / 4.0, "matern32")
+    cells = np.array([(r, c) for r in range(8) for c in range(9)], float)
+    for n in counts:
+        at = np.array(AT[:n], float)
+        system = np.block([[cov(at, at), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        right = np.vstack((cov(cells, at).T, np.ones(72)))
+        solved = np.linalg.solve(system, right)
+        variance = 0.04 - (solved * right).sum(axis=0)
+        for k in range(72):
+            r, c = divmod(k, 9)
+            assert got[n, r, c] == pytest.approx((solved[:n, k] @ VALUES[:n], np.sqrt(max(variance[k], 0))), abs=1e-7)
+            for s in range(3):
+                own = np.array([0.2 * prior[s, a, b] for a, b in AT[:n]])
+                assert abs(drawn[n, s, r, c] - (0.2 * prior[s, r, c] + solved[:n, k] @ (VALUES[:n] - own))) < 1e-9
+
+
 def test_tiles_share_one_result(spark, readings, monkeypatch):
     z = np.random.default_rng(4).standard_normal((2, 70, 9))
     wide = spark.createDataFrame([(s, r, c, float(z[s, r, c])) for s in range(2) for r in range(70) for c in range(9)], "sample_id long, row int, col int, value double")
