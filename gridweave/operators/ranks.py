@@ -14,22 +14,34 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 STRETCHES = 128
 
 
-def running(values: DataFrame, counts: list[str], stretches: int = STRETCHES) -> DataFrame:
-    """Each distinct ``value`` with the sums of ``counts``, ``upto_c`` and ``total_c`` of each, and the ``next`` greater value (null for the last)."""
-    known = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("value").cast("double").alias("value"), *counts)
+def running(values: DataFrame, counts: list[str], stretches: int = STRETCHES, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each distinct ``value`` of a key with the sums of ``counts``, ``upto_c`` and ``total_c`` of each, and the ``next`` greater value (null for the last).
+
+    Stretches are those of all keys' values, so one key with most rows is many windows too.
+    """
+    known = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*by, F.col("value").cast("double").alias("value"), *counts)
     shares = [k / stretches for k in range(1, stretches)]
     edges = sorted(set(known.agg(F.percentile_approx("value", shares, 1000)).first()[0] or [])) if shares else []
     dealt = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e < F.col("value")))
-    own = known.groupBy("value").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("stretch", dealt)
-    sums = own.groupBy("stretch").agg(F.min("value").alias("first"), *(F.sum(c).alias(f"in_{c}") for c in counts))
-    order, everything = W.orderBy("stretch"), W.partitionBy()  # one row a stretch
+    own = known.groupBy(*by, "value").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("stretch", dealt)
+    # The cast keeps the optimizer from inferring a filter on value for the sums, which have none.
+    sums = own.groupBy(*by, F.col("stretch").cast("long").alias("stretch")).agg(F.min("value").alias("first"), *(F.sum(c).alias(f"in_{c}") for c in counts))
+    order, everything = W.partitionBy(*by).orderBy("stretch"), W.partitionBy(*by)  # a row a stretch
     sums = sums.select(
-        "stretch", F.lead("first").over(order).alias("follows"),
+        *by, "stretch", F.lead("first").over(order).alias("follows"),
         *(F.sum(f"in_{c}").over(everything).alias(f"total_{c}") for c in counts), *((F.sum(f"in_{c}").over(order) - F.col(f"in_{c}")).alias(f"before_{c}") for c in counts),
     )
-    within = W.partitionBy("stretch").orderBy("value")
-    placed = own.withColumns({"next": F.lead("value").over(within), **{f"upto_{c}": F.sum(c).over(within) for c in counts}}).join(F.broadcast(sums), "stretch")
-    return placed.select("value", F.coalesce("next", "follows").alias("next"), *counts, *((F.col(f"before_{c}") + F.col(f"upto_{c}")).alias(f"upto_{c}") for c in counts), *(f"total_{c}" for c in counts))
+    within = W.partitionBy(*by, "stretch").orderBy("value")
+    placed = own.withColumns({"next": F.lead("value").over(within), **{f"upto_{c}": F.sum(c).over(within) for c in counts}})
+    placed = placed.withColumn("stretch", F.col("stretch").cast("long")).join(sums if by else F.broadcast(sums), [*by, "stretch"])  # without keys, a row a stretch
+    return placed.select(*by, "value", F.coalesce("next", "follows").alias("next"), *counts, *((F.col(f"before_{c}") + F.col(f"upto_{c}")).alias(f"upto_{c}") for c in counts), *(f"total_{c}" for c in counts))
+
+
+def ranked(rank: int | None, count: str = "n") -> Column:
+    """Over rows of ``running``: the value of a 1-based rank; null for none."""
+    if rank is None:
+        return F.lit(None).cast("double")
+    return F.max(F.when((F.col(f"upto_{count}") >= rank) & (F.col(f"upto_{count}") - F.col(count) < rank), F.col("value")))
 
 
 def quantile(p: float, count: str = "n") -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from gridweave.operators.conditioning import NestedConditioner
+from gridweave.operators.reconstruction import reconstruction_cases, reconstruction_errors, stopping_counts
+from gridweave.operators.scenarios import scenario_mixture, scenario_quantities, scenario_table
+from gridweave.operators.selection import variance_locations
 from gridweave.operators.truncation import partial_quantities, truncation_table
 from gridweave.plans.randomfields import coordinates
 from gridweave.plans.registry import query
@@ -130,3 +133,27 @@ def truncation_sensitivity(v):
     """Quantities of each sample's field by the number of terms, and their paired distances to the full expansion."""
     found = expansion(0.99)
     return truncation_table(partial_quantities(found, coordinates(v), [4, 8, 16, found.size], -0.2))
+
+
+@query("covariance_reconstruction")
+def covariance_reconstruction(v):
+    """How many readings of sample 0, at cells that the covariance alone chooses, bring draws within limits of it, and how far they spread by themselves."""
+    reference = v.reference_field.select("row", "col", (MEAN + SIGMA * 8 * F.col("value")).alias("reference"))
+    cells = reference.select((F.col("row") * 8 + F.col("col")).cast("long").alias("id"), (F.col("col") * CELL).alias("x_m"), (F.col("row") * CELL).alias("y_m"))
+    chosen = variance_locations(cells, 16, 1.0, LENGTH * CELL, 4901)
+    at = chosen.select("place", F.expr("int(id div 8)").alias("row"), F.expr("int(id % 8)").alias("col"))
+    readings = at.join(reference.withColumnRenamed("reference", "value"), ["row", "col"])
+    found = NestedConditioner.fit(readings, None, 1.0, LENGTH)
+    errors = reconstruction_errors(found, _unit(v).where("sample_id <> 0"), reference, [2, 4, 8, 16], [0.2, SIGMA])
+    cases = reconstruction_cases(errors, 0.95, 0.95)
+    label = F.col("sigma").cast("string")
+    stopping = stopping_counts(cases, [0.2, 0.3, 0.5]).select("quantity", label.alias("sigma"), F.col("limit").cast("string").alias("limit"), *(F.col(f"by_{c}").cast("double").alias(f"by_{c}") for c in ("estimate", "upper")))
+    return parts(cases=cases.withColumn("sigma", label), stopping=stopping)
+
+
+@query("reference_scenarios")
+def reference_scenarios(v):
+    """Quantities under each covariance family and length, from the same coordinates, by number of draws; and their mixture by equal weights."""
+    found = {f"{family} {length:g}": ContinuousExpansion.fit(8, 8, CELL, MEAN, SIGMA, length, family, 0.9) for family in ("matern32", "exponential") for length in (1600.0, 3200.0, 6400.0)}
+    table = scenario_table(scenario_quantities(found, coordinates(v), -0.2), [32, 128])
+    return parts(scenarios=table, mixture=scenario_mixture(table, dict.fromkeys(found, 1 / len(found))))

@@ -90,24 +90,6 @@ def conditioning_deviation(v):
     )
 
 
-@query("covariance_reconstruction")
-def covariance_reconstruction(v):
-    """When the error's quantile and its interval fall below limits."""
-    error = F.avg(F.abs(F.col("l_discount") - 0.05)) / F.col("n")
-    cases = v.table("lineitem").withColumn("n", F.col("l_linenumber")).groupBy("n").agg(error.alias("estimate"), (error + 0.003).alias("upper"))
-    limits = v.rows([(0.004,), (0.01,), (0.02,)], "`limit` double")
-    table = Y.stopping_table(cases, limits).select(F.col("limit").cast("string").alias("limit"), F.col("first_estimate").cast("double"), F.col("first_upper").cast("double"))
-    return parts(cases=cases, stopping=table, interval=Y.quantile_interval(_qoi(v), 0.9, 0.95))
-
-
-@query("reference_scenarios")
-def reference_scenarios(v):
-    """A quantity for each scenario of a matrix, with equal weights."""
-    grid = D.scenario_matrix(v.spark, {"family": ["matern32", "exponential"], "length": [300, 500, 800], "draws": [32, 128]})
-    q = v.budgets.join(_qoi(v), F.col("sample_id") < F.col("budget")).groupBy("budget").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
-    return parts(scenarios=grid.join(q, F.col("draws") == F.col("budget")).drop("budget").withColumn("weight", F.lit(1.0 / 12)))
-
-
 _GRID = {"y": (1, 0), "x": (0, 1), "diagonal": (1, 1)}
 
 
