@@ -82,6 +82,16 @@ def fingerprint(samples: np.ndarray, rate: int = RATE, stretch: int = STRETCH) -
     return out
 
 
+def fingerprints(recordings: list[np.ndarray], rate: int = RATE) -> list[np.ndarray]:
+    """The integers of several recordings, played one after the other from places where a frame starts: those that reach over an end are left out."""
+    gaps = [np.zeros(-len(r) % HOP, "<i2") for r in recordings]
+    starts = np.cumsum([0] + [(len(r) + len(g)) // HOP for r, g in zip(recordings, gaps, strict=True)])
+    codes = fingerprint(np.concatenate([x for pair in zip(recordings, gaps, strict=True) for x in pair]), rate) if recordings else np.empty(0, np.uint32)
+    widest = max(w for *_, w in FILTERS)
+    counts = [max(0, (len(r) - FRAME) // HOP + 2 - widest) for r in recordings]
+    return [codes[a : a + n] for a, n in zip(starts, counts)]
+
+
 def _codes(frames: np.ndarray, count: int) -> np.ndarray:
     """The packed integers of the first ``count`` frames, by filters over the integral image of all."""
     around = np.concatenate((frames, frames, frames), axis=1)  # pitch classes go round
@@ -135,7 +145,7 @@ def fingerprinted(df: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", r
 
     def run(batches):
         for b in parts(batches, "pcm", 1 << 23, 256):
-            codes = [np.empty(0, np.uint32) if p is None else fingerprint(np.frombuffer(p, "<i2", len(p) // 2), rate) for p in b.column("pcm").to_pylist()]
+            codes = fingerprints([np.frombuffer(p or b"", "<i2", len(p or b"") // 2) for p in b.column("pcm").to_pylist()], rate)
             raw = [c.astype("<u4").tobytes() for c in codes]
             yield pa.RecordBatch.from_arrays(
                 [b.column("rec_id"), pa.array([len(c) for c in codes], pa.int32()), pa.array(raw, pa.binary()), pa.array(list(map(zlib.crc32, raw)), pa.int64())],

@@ -139,6 +139,19 @@ def test_fingerprints_by_stretches():
     assert len(A.fingerprint(x[: widest - 1])) == 0 and len(A.fingerprint(x[:widest])) == 1 and len(A.fingerprint(x[:0])) == 0
 
 
+def test_recordings_together_as_apart():
+    rng = np.random.default_rng(12)
+    widest = A.FRAME + (max(w for *_, w in A.FILTERS) - 1) * A.HOP
+    sizes = [0, 1, A.HOP, widest - 1, widest, widest + 1, widest + A.HOP - 1, widest + A.HOP, 9000, 16384, 16384, 30001]
+    found = [np.concatenate((A.tones(rng.integers(0, 36, n // 300 + 1), length=300), np.zeros(300, "<i2")))[:n] for n in sizes]
+    found.append(np.zeros(20000, "<i2"))
+    together = A.fingerprints(found)
+    assert len(together) == len(found) and sum(map(len, together)) > 200
+    for x, codes in zip(found, together, strict=True):
+        assert codes.tolist() == A.fingerprint(x).tolist()
+    assert A.fingerprints([]) == [] and [len(c) for c in A.fingerprints(found[:2])] == [0, 0]
+
+
 def test_long_recordings_in_bounded_memory():
     import tracemalloc
 
