@@ -35,17 +35,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id."""
+    """One document of each group of near copies stays, the one with the least id.
+
+    Rows that share this id all stay. Documents with a null id, a null text or
+    a text without words link with nothing and stay. An empty table stays
+    empty; other columns pass through.
+    """
     return deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null sources are one source, the last. Null and wordless texts have size 0
+    and are taken as often as others; a source of such texts alone is not taken
+    at all. Null ids stand by their texts; repeated rows count one by one. An
+    empty table stays empty; other columns pass through, but for those under
+    the names that the mix adds.
+    """
     return emitted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens.
+
+    A null text is an empty one, of the end id alone; null ids come back as
+    null, repeated rows are packed each for itself, longer documents are cut.
+    Only id and text are read. An empty table gives no rows.
+    """
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
