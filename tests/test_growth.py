@@ -30,3 +30,42 @@ def test_variograms_send_no_side_to_every_task(spark):
     one = got["other", 2]
     assert one.pairs == len(a) and np.isclose(one.distance, 2 * 2**0.5)
     assert np.isclose(one.gamma, ((a - b) ** 2).mean() / 2) and np.isclose(one.correlation, np.corrcoef(a, b)[0, 1])
+
+
+def readings(spark, n: int, places: int, seed: int = 2):
+    """id, x_m, y_m, value, many at one place; the values of some are null."""
+    rng = np.random.default_rng(seed)
+    at, of = rng.integers(0, 40, (places, 2)) * 50.0, rng.integers(0, places, n)
+    values = [None if k % 17 == 0 else float(x) for k, x in enumerate(rng.normal(5, 1, n))]
+    rows = [(k, float(at[p, 0]), float(at[p, 1]), v) for k, (p, v) in enumerate(zip(of, values))]
+    return rows, spark.createDataFrame([*rows, (n, None, 0.0, 1.0)], "id long, x_m double, y_m double, value double")
+
+
+def plain_pairs(rows, most):
+    return [(a, b, float(np.hypot(b[1] - a[1], b[2] - a[2]))) for k, a in enumerate(rows) for b in rows[k + 1 :] if np.hypot(b[1] - a[1], b[2] - a[2]) <= most]
+
+
+def test_point_pairs_at_repeated_places(spark):
+    rows, df = readings(spark, 120, 30)
+    found = P.point_pairs(df, 400.0)
+    assert "Broadcast" not in plan(found)
+    got = sorted((r.id, r.id2, r.value, r.value2, r.dx, r.dy, r.distance) for r in found.collect())
+    assert got == sorted((a[0], b[0], a[3], b[3], b[1] - a[1], b[2] - a[2], d) for a, b, d in plain_pairs(rows, 400.0))
+
+
+def test_point_variogram_pairs_places_not_points(spark):
+    """3,600 points at 12 places are 6 million pairs of points, which a join of points would make."""
+    rows, df = readings(spark, 150, 40)
+    want = {}
+    for a, b, d in plain_pairs(rows, 400.0):
+        angle = np.degrees(np.arctan2(abs(b[2] - a[2]), abs(b[1] - a[1])))
+        names = ["x"] * int(angle <= 22.5) + ["y"] * int(angle >= 67.5) + ["diagonal"] * int(abs(angle - 45) < 22.5 and (b[1] - a[1]) * (b[2] - a[2]) > 0)
+        for n in names if d > 0 else ():
+            want.setdefault((n, int(d // 100)), []).append((d, None if a[3] is None or b[3] is None else (a[3] - b[3]) ** 2))
+    got = {(r.direction, r.bin): r for r in P.point_variogram(df, 400.0, 100.0).collect()}
+    assert set(got) == set(want)
+    for k, pairs in want.items():
+        known = [s for _, s in pairs if s is not None]
+        assert got[k].pairs == len(pairs) and np.isclose(got[k].mean_lag, np.mean([d for d, _ in pairs])) and np.isclose(got[k].gamma, np.mean(known) / 2)
+    many = df.where("x_m is not null").limit(12).join(spark.range(300).withColumnRenamed("id", "copy")).selectExpr("id * 300 + copy as id", "x_m", "y_m", "value")
+    assert "id2" not in plan(P.point_variogram(many, 400.0, 100.0))
