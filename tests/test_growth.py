@@ -5,7 +5,7 @@ import io
 
 import numpy as np
 
-from gridweave.operators import spatial as P
+from gridweave.operators import likelihood as L, spatial as P
 
 
 def plan(df) -> str:
@@ -69,3 +69,19 @@ def test_point_variogram_pairs_places_not_points(spark):
         assert got[k].pairs == len(pairs) and np.isclose(got[k].mean_lag, np.mean([d for d, _ in pairs])) and np.isclose(got[k].gamma, np.mean(known) / 2)
     many = df.where("x_m is not null").limit(12).join(spark.range(300).withColumnRenamed("id", "copy")).selectExpr("id * 300 + copy as id", "x_m", "y_m", "value")
     assert "id2" not in plan(P.point_variogram(many, 400.0, 100.0))
+
+
+def test_likelihood_of_repeated_places_is_that_of_all_readings(spark):
+    rng = np.random.default_rng(3)
+    places, of = rng.uniform(0, 3000, (14, 2)), rng.integers(0, 14, 60)
+    at, y, held = places[of], rng.normal(-2, 0.5, 60), [[int(k)] for k in of % 3]
+    df = spark.createDataFrame([(0, 0, *map(float, p), float(v), h) for p, v, h in zip(at, y, held)], "block_x int, block_y int, x_m double, y_m double, value double, held array<int>")
+    assert L.gathered(df).count() == len(np.unique(of))
+    logs = np.log([900.0, 0.6, 0.3])
+    asked = [(0, None, "exponential", "constant", logs), (1, None, "matern32", "linear", logs + 0.1), (2, 1, "gaussian", "linear", logs), (3, None, "exponential", "constant", logs - 0.2)]
+    got = L.objectives(df, asked)
+    for number, fold, family, trend, p in asked:
+        own = at[[fold not in h for h in held]]
+        values = y[[fold not in h for h in held]]
+        value, gradient = L.restricted(np.hypot(own[:, :1] - own[:, 0], own[:, 1:] - own[:, 1]), values, L.trend_basis(own, trend), p, family)
+        assert np.isclose(got[number][0], value) and np.allclose(got[number][1], gradient) and got[number][2] == len(own)
