@@ -228,10 +228,28 @@ def knots(df: DataFrame, count: int) -> DataFrame:
     return q.select(F.posexplode("q").alias("k", "value")).withColumn("p", (F.col("k") + 0.5) / count)
 
 
+#: Weights that a task adds up for a place, about.
+WEIGHTS = 4096
+
+
 def simple_kriging_mean(queries: DataFrame, weights: DataFrame, mean: float, length: float) -> DataFrame:
     """id and posterior mean: mean + sum of weight times covariance (exponential) over observations.
 
-    Observations are few (their system was solved densely), which is checked; queries are many.
+    Every place that is asked for meets every place with weights, whose weights
+    are added up first: the work is the product of the places, whatever the
+    numbers of queries and observations. Weights are dealt into parts, each
+    part's sums are added, and neither side is held whole anywhere.
     """
-    d = F.sqrt((F.col("x_m") - F.col("ox")) * (F.col("x_m") - F.col("ox")) + (F.col("y_m") - F.col("oy")) * (F.col("y_m") - F.col("oy")))
-    return queries.join(bounded(weights)).groupBy("id").agg((F.lit(mean) + F.sum(F.col("alpha") * F.exp(-d / length))).alias("mean"))
+    asked = queries.select(F.col("x_m").alias("_x"), F.col("y_m").alias("_y")).distinct()
+    known = weights.groupBy("ox", "oy").agg(F.sum("alpha").alias("alpha"))
+    parts = max(1, math.ceil(known.count() / WEIGHTS))
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("ox", "oy"), F.lit(parts)).cast("int"))
+    d = F.sqrt((F.col("_x") - F.col("ox")) * (F.col("_x") - F.col("ox")) + (F.col("_y") - F.col("oy")) * (F.col("_y") - F.col("oy")))
+    # Places go in slices besides, so that few parts are still many tasks.
+    slices = 64
+    each = asked.select("_x", "_y", F.pmod(F.xxhash64("_x", "_y", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    each, dealt = (x.repartition(slices, "part", "slice") for x in (each, dealt))
+    sums = each.join(dealt.hint("merge"), ["part", "slice"]).groupBy("_x", "_y").agg(F.sum(F.col("alpha") * F.exp(-d / length)).alias("total"))
+    same = F.col("x_m").eqNullSafe(F.col("_x")) & F.col("y_m").eqNullSafe(F.col("_y"))
+    return queries.join(sums.hint("merge"), same).groupBy("id").agg((F.lit(mean) + F.sum("total")).alias("mean"))

@@ -5,7 +5,7 @@ import io
 
 import numpy as np
 
-from gridweave.operators import likelihood as L, spatial as P
+from gridweave.operators import distributions as D, likelihood as L, spatial as P
 
 
 def plan(df) -> str:
@@ -85,3 +85,25 @@ def test_likelihood_of_repeated_places_is_that_of_all_readings(spark):
         values = y[[fold not in h for h in held]]
         value, gradient = L.restricted(np.hypot(own[:, :1] - own[:, 0], own[:, 1:] - own[:, 1]), values, L.trend_basis(own, trend), p, family)
         assert np.isclose(got[number][0], value) and np.allclose(got[number][1], gradient) and got[number][2] == len(own)
+
+
+def test_weights_of_any_number_are_summed_by_place(spark):
+    rng = np.random.default_rng(4)
+    at, alpha = rng.integers(0, 60, (5000, 2)) * 20.0, rng.normal(0, 0.1, 5000)
+    weights = spark.createDataFrame([(*map(float, p), float(a)) for p, a in zip(at, alpha)], "ox double, oy double, alpha double")
+    asked = spark.createDataFrame([(1, 30.0, 40.0), (2, 30.0, 40.0), (3, 500.0, 7.0), (4, None, 7.0)], "id long, x_m double, y_m double")
+    many = weights.selectExpr("*", "explode(sequence(1, 25)) as copy").drop("copy")
+    found = D.simple_kriging_mean(asked, many, -0.4, 300.0)
+    got = {r.id: r.mean for r in found.collect()}
+    for i, x, y in ((1, 30, 40), (2, 30, 40), (3, 500, 7)):
+        assert np.isclose(got[i], -0.4 + 25 * (alpha * np.exp(-np.hypot(at[:, 0] - x, at[:, 1] - y) / 300)).sum())
+    assert got[4] is None and "Broadcast" not in plan(found)
+
+
+def test_cross_covariances_send_no_side_to_every_task(spark):
+    rows, df = readings(spark, 80, 25)
+    found = P.kriging_cross(df, df.where("id % 3 = 0"), 300.0, 0.16, 500.0)
+    assert "Broadcast" not in plan(found)
+    got = {(r.id, r.other): r.covariance for r in found.collect()}
+    want = {(a[0], b[0]): 0.16 * np.exp(-d / 500) for a in rows for b in rows if b[0] % 3 == 0 and (d := np.hypot(a[1] - b[1], a[2] - b[2])) <= 300}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
