@@ -107,3 +107,15 @@ def test_cross_covariances_send_no_side_to_every_task(spark):
     got = {(r.id, r.other): r.covariance for r in found.collect()}
     want = {(a[0], b[0]): 0.16 * np.exp(-d / 500) for a in rows for b in rows if b[0] % 3 == 0 and (d := np.hypot(a[1] - b[1], a[2] - b[2])) <= 300}
     assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_median_of_all_pairs_by_counting_passes(spark):
+    x = np.random.default_rng(5).normal(size=(41, 3, 3))
+    x[7], x[9] = x[3], x[3]
+    flat = x.reshape(41, -1)
+    want = np.array([np.sqrt(((flat[i] - flat[j]) ** 2).mean()) for i in range(41) for j in range(i + 1, 41)])
+    for most in (10_000, 1):
+        got = D.pair_rms_summary(fields(spark, x), block=16, most=most).first()
+        assert np.isclose(got.median_rms, np.median(want)) and np.isclose(got.max_rms, want.max())
+    assert np.allclose(sorted(r.rms for r in D.pairwise_rms(fields(spark, x), block=16).collect()), sorted(want), atol=1e-7)
+    assert D._dealt_pairs(fields(spark, x), None).groupBy("sample_id").count().agg({"count": "max"}).first()[0] == 1
