@@ -89,6 +89,33 @@ def bilinear_flow(u: np.ndarray, v: np.ndarray) -> Callable[[np.ndarray], np.nda
     return at
 
 
+#: Points of lines that leave a task together, about.
+POINTS = 20_000
+
+
+def line_frames(frames: Iterable[pd.DataFrame], height: int, width: int, offsets: tuple[float, ...], speed: float, t_end: float, points: int, most: int) -> Iterator[pd.DataFrame]:
+    """The points of all lines (sample_id, values, line, row, col), some lines at a time, so a task holds few of them."""
+    names = ["sample_id", "line", "pass", "point", "t", "fade", "row", "col"]
+    for x in frames:
+        rows = []
+        for i, values, line, row, col in x[["sample_id", "values", "line", "row", "col"]].itertuples(index=False):
+            field = np.reshape(np.asarray(values, float), (height, width))
+            if not np.isfinite(field).all():
+                raise ValueError(f"the field of sample {i} is not finite")
+            v, u = np.gradient(-speed * field)
+            for k, offset in enumerate(offsets):
+                try:
+                    path = traced(bilinear_flow(u, v), (row, col + offset), (height - 1, width - 1), t_end, points, most=most)
+                except WatchdogError as why:
+                    raise WatchdogError(f"sample {i}, line {line}, pass {k}: {why}") from None
+                end = path[-1, 0] if len(path) else 0.0
+                rows += [(i, line, k, n, t, 1 - t / end if end > 0 else 1.0, r, c) for n, (t, r, c) in enumerate(path.tolist())]
+                if len(rows) >= POINTS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
 def lines(fields: DataFrame, starts: DataFrame, height: int, width: int, offsets: tuple[float, ...] = (0.0,), speed: float = 1.0, t_end: float = 27.5, points: int = 200, most: int = 100_000) -> DataFrame:
     """sample_id, line, pass, point, t, fade, row, col: lines down the gradient of each sample's field (values, row by row) from its starts.
 
@@ -101,21 +128,7 @@ def lines(fields: DataFrame, starts: DataFrame, height: int, width: int, offsets
     asked = fields.select("sample_id", "values").join(each, "sample_id")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            rows = []
-            for i, values, line, row, col in x[["sample_id", "values", "line", "row", "col"]].itertuples(index=False):
-                field = np.reshape(np.asarray(values, float), (height, width))
-                if not np.isfinite(field).all():
-                    raise ValueError(f"the field of sample {i} is not finite")
-                v, u = np.gradient(-speed * field)
-                for k, offset in enumerate(offsets):
-                    try:
-                        path = traced(bilinear_flow(u, v), (row, col + offset), (height - 1, width - 1), t_end, points, most=most)
-                    except WatchdogError as why:
-                        raise WatchdogError(f"sample {i}, line {line}, pass {k}: {why}") from None
-                    end = path[-1, 0] if len(path) else 0.0
-                    rows += [(i, line, k, n, t, 1 - t / end if end > 0 else 1.0, r, c) for n, (t, r, c) in enumerate(path.tolist())]
-            yield pd.DataFrame(rows, columns=["sample_id", "line", "pass", "point", "t", "fade", "row", "col"])
+        return line_frames(frames, height, width, offsets, speed, t_end, points, most)
 
     return asked.mapInPandas(run, schema)
 

@@ -4,8 +4,9 @@ import contextlib
 import io
 
 import numpy as np
+import pandas as pd
 
-from gridweave.operators import distributions as D, likelihood as L, spatial as P
+from gridweave.operators import distributions as D, likelihood as L, spatial as P, streamlines as T
 
 
 def plan(df) -> str:
@@ -119,3 +120,14 @@ def test_median_of_all_pairs_by_counting_passes(spark):
         assert np.isclose(got.median_rms, np.median(want)) and np.isclose(got.max_rms, want.max())
     assert np.allclose(sorted(r.rms for r in D.pairwise_rms(fields(spark, x), block=16).collect()), sorted(want), atol=1e-7)
     assert D._dealt_pairs(fields(spark, x), None).groupBy("sample_id").count().agg({"count": "max"}).first()[0] == 1
+
+
+def test_lines_leave_a_task_some_at_a_time(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(30, 64))
+    frame = pd.DataFrame({"sample_id": range(30), "values": list(x), "line": 0, "row": 3.0, "col": 3.0})
+    ask = lambda: list(T.line_frames([frame], 8, 8, (0.0, 1.0), 4.0, 27.5, 200, 100_000))
+    (whole,) = ask()
+    monkeypatch.setattr(T, "POINTS", 500)
+    parts = ask()
+    assert len(parts) > 3 and max(map(len, parts)) < 700
+    pd.testing.assert_frame_equal(pd.concat([p for p in parts if len(p)], ignore_index=True), whole)
