@@ -6,7 +6,10 @@ import io
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from gridweave.operators import distributions as D, likelihood as L, spatial as P, streamlines as T
+from gridweave.randomfield.continuous import SHARING, ContinuousExpansion
 
 
 def plan(df) -> str:
@@ -131,3 +134,37 @@ def test_lines_leave_a_task_some_at_a_time(monkeypatch):
     parts = ask()
     assert len(parts) > 3 and max(map(len, parts)) < 700
     pd.testing.assert_frame_equal(pd.concat([p for p in parts if len(p)], ignore_index=True), whole)
+
+
+def test_draws_of_any_number_at_all_points(spark):
+    """More draws than one block or 4,096, most points at one place; nothing is sent to every task, a row of values is shared by a bounded number of points."""
+    found = ContinuousExpansion.fit(4, 5, 5.0, -9.3, 0.4, 15.0)
+    many = SHARING + 9
+    rows = [*((k, 3.0, 4.0) for k in range(many)), (many, 11.0, 2.5), (many, 11.0, 2.5), (many + 1, 99.0, 1.0), (many + 2, None, 1.0), (None, 3.0, 4.0)]
+    points = spark.createDataFrame(rows, "id long, x_m double, y_m double").repartition(3)
+    draws = spark.range(4200).selectExpr("id as sample_id", f"transform(sequence(1, {found.size + 1}), k -> double(sin(id * k))) as xi")
+    draws = draws.unionByName(draws.where("sample_id = 7"))
+    asked = found.draws_at(points, draws, digits=6)
+    assert "Broadcast" not in plan(asked)
+    got = asked.toPandas().sort_values(["id", "sample_id"], na_position="last")
+    assert len(got) == len(rows) * 4201
+    xi = np.sin(np.outer(np.sort([*range(4200), 7]), np.arange(1, found.size + 1)))
+    inside = [r for r in rows if r[1] is not None and r[1] < 99]
+    want = -9.3 + found.basis(*np.array([r[1:] for r in inside]).T) @ xi.T
+    known = got[got["value"].notna()]
+    assert np.abs(known["value"].to_numpy() - _by_id(inside, want)).max() < 6e-7
+    assert sorted(got[got["value"].isna()]["id"].unique()) == [many + 1, many + 2] and got["value"].isna().sum() == 2 * 4201
+    plain = found.draws_at(points, draws).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    assert plain.exceptAll(asked).isEmpty() and asked.exceptAll(plain).isEmpty()
+    assert found.draws_at(points, draws.where("false")).isEmpty() and found.draws_at(points.where("false"), draws).isEmpty()
+
+
+def _by_id(rows, values):
+    """Values of (row, draw) as they are sorted by id, null last, and draw; rows of one id have the same values."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    out, k = [], 0
+    while k < len(order):
+        same = [j for j in order[k:] if rows[j][0] == rows[order[k]][0]]
+        out.append(np.repeat(values[same[0]], len(same)))
+        k += len(same)
+    return np.concatenate(out)
