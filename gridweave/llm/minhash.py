@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import sketch as K
 from gridweave.llm.components import components
-from gridweave.llm.shared import only, release, saved, slices, trim
+from gridweave.llm.shared import only, parts, release, saved, slices, trim
 
 #: Sets of fewer shingles reach a similarity of 0.75 only if they are equal.
 LEAST_SET = 3
@@ -40,7 +41,7 @@ PAIRS = 1 << 15
 def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         release()
-        for b in slices(batches):
+        for b in parts(batches, "text", rows=512):
             sets = [K.shingles(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -74,22 +75,22 @@ def _banded(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, hashes (sorted, 8 bytes each): the full set of each wanted class, from the text of its representative."""
+    """rep, hashes (sorted, 8 bytes each): the full set of each wanted class, from the text of its representative.
+
+    An id that has several texts keeps the one whose set its class is of.
+    """
 
     def run(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("rep"),
-                    b.column("digest"),
-                    pa.array([K.shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary()),
-                ],
-                ["rep", "digest", "hashes"],
-            )
+        for b in parts(batches, "text", rows=512):
+            sets = [K.shingles(t, width) for t in b.column("text").to_pylist()]
+            own = [K.set_digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
+            hashes = pa.array([s.tobytes() if o else None for s, o in zip(sets, own, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), hashes], ["rep", "hashes"]).filter(pa.array(own, pa.bool_()))
+        trim()
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    found = texts.select("rep", "digest", "text").mapInArrow(run, "rep long, digest binary, hashes binary")
-    return found
+    found = texts.select("rep", "digest", "text").mapInArrow(run, "rep long, hashes binary")
+    return found.dropDuplicates(["rep"])
 
 
 def _arrays(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
@@ -100,13 +101,12 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
     """The pairs that their registers can't rule out."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 2048):
             a, c = (np.stack(_arrays(b.column(x), np.uint16)) for x in ("regs_a", "regs_b"))
             n, m = (b.column(x).to_numpy(zero_copy_only=False) for x in ("n_a", "n_b"))
             keep = pa.array(K.may_link(a, c, n, m, least))
             yield b.select(["a", "b"]).filter(keep)
+        trim()
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -121,10 +121,11 @@ def _linked(common, n, m, percent: int):
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in parts(batches, "set_a"):
             left, right = (_arrays(b.column(x), np.uint64) for x in ("set_a", "set_b"))
             keep = [_linked(_common(x, y), len(x), len(y), percent) for x, y in zip(left, right, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -138,16 +139,19 @@ def _pairs_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _rounds(block: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of whole blocks with few pairs together, or of one block."""
+def _rounds(block: np.ndarray, shingles: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Stretches of whole blocks with few pairs, and few shingles if those of the rows are given, together, or of one block."""
     ends = np.append(np.nonzero(block[1:] != block[:-1])[0] + 1, len(block))
     sizes = np.diff(np.concatenate(([0], ends)))
-    pairs, start, held = sizes * (sizes - 1) // 2, 0, 0
-    for e, p in zip(ends.tolist(), pairs.tolist(), strict=True):
-        held += p
-        if held >= PAIRS:
-            yield start, e
-            start, held = e, 0
+    share = sizes * (sizes - 1) // 2 / PAIRS
+    if shingles is not None:
+        share = np.maximum(share, np.add.reduceat(shingles, ends - sizes) / BLOCK_SHINGLES)
+    start, end, held = 0, 0, 0.0
+    for e, p in zip(ends.tolist(), share.tolist(), strict=True):
+        if end > start and held + p > 1:
+            yield start, end
+            start, held = end, 0.0
+        end, held = e, held + p
     if start < len(block):
         yield start, len(block)
 
@@ -212,7 +216,8 @@ def _block_links(least: float, percent: int):
 
     def run(frames):
         for whole in _held_together(frames, ["rep", "comp", "hashes"]):
-            for s, z in _rounds(whole.column("block").to_numpy()):
+            shingles = pc.binary_length(whole.column("hashes")).to_numpy() // 8
+            for s, z in _rounds(whole.column("block").to_numpy(), shingles):
                 t = whole.slice(s, z - s)
                 sets = _arrays(t.column("hashes"), np.uint64)
                 block, rep, comp = (t.column(c).to_numpy() for c in ("block", "rep", "comp"))
@@ -317,7 +322,7 @@ def near_duplicates(
     both = star.join(regs.select(*side("b", ["n", "regs"])), "b").join(regs.select(*side("a", ["n", "regs"])), "a")
     pairs = saved(_estimated(both, least), "pairs")
 
-    one_text = lambda wanted: _unique_sets(docs, wanted.join(own, "rep"), width)
+    one_text = lambda wanted: _sets(docs, wanted.join(own, "rep"), width)
     sets = saved(one_text(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "sets")
     side_set = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}"))
     links = saved(_verified(pairs.join(side_set("b"), "b").join(side_set("a"), "a"), percent), "links")
@@ -359,18 +364,6 @@ def near_duplicates(
     )
 
 
-def _unique_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """_sets, where an id that has several texts keeps the one whose set its class is of."""
-
-    def run(batches):
-        for b in batches:
-            keep = [K.set_digest(np.frombuffer(s, np.uint64)) == d for s, d in zip(b.column("hashes").to_pylist(), b.column("digest").to_pylist(), strict=True)]
-            yield b.select(["rep", "hashes"]).filter(pa.array(keep, pa.bool_()))
-
-    found = _sets(docs, wanted, width).mapInArrow(run, "rep long, hashes binary")
-    return found.dropDuplicates(["rep"])
-
-
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75, width: int = 5) -> DataFrame:
     """The rows of df that stay when one document of each group does.
 

@@ -1,9 +1,11 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from gridweave.llm import sketch as K
+from gridweave.llm import minhash as M, sketch as K
 from gridweave.llm.components import components
 from gridweave.llm.minhash import deduplicated, near_duplicates
 
@@ -110,3 +112,40 @@ def test_pairs_of_consecutive_groups():
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [*itertools.combinations(range(3), 2), *itertools.combinations(range(4, 8), 2)]
     block = np.array([1, 1, 2, 5, 5, 5])
     assert [x for x in M._rounds(block)] == [(0, 6)]
+
+
+def test_rounds_hold_few_pairs_and_shingles_or_one_block():
+    sizes = [2] * 5 + [700] + [3] * 4 + [200] * 4 + [1]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    shingles = np.where(block % 7 == 6, M.BLOCK_SHINGLES // 4, 10)
+    for weights in (None, shingles):
+        rounds = list(M._rounds(block) if weights is None else M._rounds(block, weights))
+        assert [a for a, _ in rounds] + [len(block)] == [0] + [z for _, z in rounds]
+        for a, z in rounds:
+            own = np.unique(block[a:z], return_counts=True)[1]
+            assert own.tolist() == [sizes[k] for k in np.unique(block[a:z])]
+            few = (own * (own - 1) // 2).sum() <= M.PAIRS and (weights is None or weights[a:z].sum() <= M.BLOCK_SHINGLES)
+            assert few or len(own) == 1
+
+
+def test_a_large_block_after_small_ones_is_not_expanded_into_pairs():
+    sizes = [2, 2, 3000, 2]
+    block, n = np.repeat(np.arange(4), sizes), np.full(sum(sizes), 40)
+    regs = np.random.default_rng(3).integers(1, 1 << 16, (len(n), K.BUCKETS)).astype(np.uint16)
+    regs[1], regs[3003] = regs[0], regs[4]
+    comp = np.arange(len(n))
+    comp[4:] = np.arange(len(n) - 4) // 1000
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (block, np.arange(len(n)), n, comp, [r.tobytes() for r in regs])], ["block", "rep", "n", "comp", "regs"])
+    tracemalloc.start()
+    found = [r for b in M._possible(0.75)([rows]) for r in b.column("rep").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [0, 1, 4, 3003]
+    assert peak < 50e6
+
+
+def test_an_id_of_several_texts_keeps_the_text_of_its_class(spark):
+    texts = ["one two three four five six", "one two three four five seven"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (1, None), (2, "alpha beta")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1, bytearray(K.set_digest(K.shingles(texts[1]))))], "rep long, digest binary")
+    assert [(r.rep, bytes(r.hashes)) for r in M._sets(docs, wanted, 5).collect()] == [(1, K.shingles(texts[1]).tobytes())]
