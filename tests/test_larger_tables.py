@@ -51,3 +51,36 @@ def test_scores_of_folds_and_their_choice(spark):
         assert r.n == (len(own) or None)
         if own:
             assert (r.rmse, r.crps) == (pytest.approx(np.sqrt(np.mean([x[3] ** 2 for x in own]))), pytest.approx(np.mean([x[4] for x in own])))
+
+
+def drawn_fields(spark, x):
+    rows = [(k, r, c, float(x[k, r, c])) for k in range(len(x)) for r in range(x.shape[1]) for c in range(x.shape[2])]
+    return spark.createDataFrame(rows, "sample_id long, row int, col int, value double")
+
+
+def test_a_draw_is_written_once_for_pairs_of_many_blocks(spark):
+    x = np.random.default_rng(6).normal(size=(60, 2, 3))
+    df = drawn_fields(spark, x)
+    assert D._dealt_pairs(df, 5).count() == 60
+    found = D.pairwise_rms(df, block=5, digits=6)
+    assert "CartesianProduct" in plan(found) and "Broadcast" not in plan(found)
+    got = {(r.a, r.b): r.rms for r in found.collect()}
+    flat = x.reshape(60, -1)
+    assert len(got) == 60 * 59 // 2
+    assert all(got[a, b] == pytest.approx(np.sqrt(((flat[a] - flat[b]) ** 2).mean()), abs=5.1e-7) and got[a, b] == round(got[a, b], 6) for a, b in got)
+
+
+def test_values_are_rounded_as_spark_rounds_them(spark):
+    x = np.concatenate((np.random.default_rng(7).uniform(0, 3, 3000), np.arange(1, 400, 2) * 5e-7, np.arange(1, 400, 2) / 2**7, [0.0, 1e-9, 4.5e15, 1e300, np.inf]))
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").select(F.round("v", 6)).collect()]
+    assert D.half_up(x, 6).tolist() == want and np.isnan(D.half_up(np.array([np.nan]), 6)[0])
+
+
+@pytest.mark.parametrize("about", [(0.0, 1e-3), (0.9, 1.9), (50.0, 60.0), None])
+def test_the_median_is_found_wherever_some_draws_say(spark, monkeypatch, about):
+    x = np.random.default_rng(8).normal(size=(33, 3, 3))
+    monkeypatch.setattr(D, "_about_middle", lambda fields: about)
+    flat = x.reshape(33, -1)
+    want = [np.sqrt(((flat[i] - flat[j]) ** 2).mean()) for i in range(33) for j in range(i + 1, 33)]
+    got = D.pair_rms_summary(drawn_fields(spark, x), block=16, most=40).first()
+    assert (got.median_rms, got.max_rms) == (pytest.approx(np.median(want)), pytest.approx(max(want)))
