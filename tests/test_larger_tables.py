@@ -84,3 +84,19 @@ def test_the_median_is_found_wherever_some_draws_say(spark, monkeypatch, about):
     want = [np.sqrt(((flat[i] - flat[j]) ** 2).mean()) for i in range(33) for j in range(i + 1, 33)]
     got = D.pair_rms_summary(drawn_fields(spark, x), block=16, most=40).first()
     assert (got.median_rms, got.max_rms) == (pytest.approx(np.median(want)), pytest.approx(max(want)))
+
+
+def test_points_of_a_place_are_paired_by_arrays(spark, monkeypatch):
+    monkeypatch.setattr(P, "IDS", 7)
+    rng = np.random.default_rng(9)
+    rows = [(k, *(100.0 * rng.integers(0, 6, 2)).tolist()) for k in range(120)] + [(200 + k, 250.0, 250.0) for k in range(30)] + [(300, None, 1.0), (0, 100.0, 300.0)]
+    df = spark.createDataFrame(rows, "id long, x_m double, y_m double")
+    near = [(a[0], b[0], np.hypot(a[1] - b[1], a[2] - b[2])) for a in rows for b in rows if a[1] is not None and b[1] is not None]
+    near = [x for x in near if x[2] <= 230]
+    found = P.pair_distances(df, 230.0, digits=6)
+    # A pair of places is a row up to the last two steps.
+    assert plan(found).count("Generate explode") >= 2 and "Broadcast" not in plan(found)
+    assert sorted((r.id, r.id2, r.distance) for r in found.collect()) == sorted((a, b, round(d, 6)) for a, b, d in near if a < b)
+    other = df.where("id % 3 = 0")
+    got = sorted((r.id, r.other, round(r.covariance, 5)) for r in P.kriging_cross(df, other, 230.0, 0.16, 500.0, digits=6).collect())
+    assert got == sorted((a, b, round(round(0.16 * np.exp(-d / 500), 6), 5)) for a, b, d in near if b % 3 == 0)
