@@ -133,17 +133,21 @@ def _packed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     )
 
 
-def _paired_blocks(fields: DataFrame, block: int | None) -> DataFrame:
-    """Each pair of blocks (own <= own2) once, as rows of both.
+def _blocks(fields: DataFrame, block: int | None) -> DataFrame:
+    return _dealt_pairs(fields, block).groupBy("own").applyInArrow(_packed, "own int, ids binary, places binary, v binary, known binary")
+
+
+def _paired_blocks(packs: DataFrame, fields: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """Each of the blocks with itself, and each pair of blocks (own <= own2) once, as rows of both.
 
     A draw is written once for either side, however many blocks there are:
     tasks of a Cartesian product read a few blocks of each.
     """
-    packs = _dealt_pairs(fields, block).groupBy("own").applyInArrow(_packed, "own int, ids binary, places binary, v binary, known binary")
     blocks = math.ceil(fields.select("sample_id").distinct().count() / (block or PAIR_BLOCK))
     parts = max(min(blocks, 12), math.ceil(blocks * (block or PAIR_BLOCK) / MOST_BLOCK / BLOCKS_MET))
-    left, right = packs.repartition(parts), packs.select(*(F.col(c).alias(f"{c}2") for c in packs.columns)).repartition(parts)
-    return left.hint("shuffle_replicate_nl").join(right, F.col("own") <= F.col("own2"))
+    again = [F.col(c).alias(f"{c}2") for c in packs.columns]
+    left, right = packs.repartition(parts), packs.select(*again).repartition(parts)
+    return packs.select("*", *again), left.hint("shuffle_replicate_nl").join(right, F.col("own") <= F.col("own2"))
 
 
 class _Block:
@@ -160,8 +164,8 @@ class _Block:
         self.known = None if self.known is None else self.known[:, places]
 
 
-def _square_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Block, _Block, slice, slice, np.ndarray, np.ndarray | float, np.ndarray | None]]:
-    """Tiles of pairs of blocks: both, which draws of either, sums of squares, numbers of cells that both have, and which pairs count, None for all."""
+def _block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Block, _Block]]:
+    """Pairs of blocks, with the cells that both have."""
     for b in batches:
         for k in range(b.num_rows):
             one, two = _Block(b, k, ""), _Block(b, k, "2")
@@ -170,29 +174,47 @@ def _square_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Block, _
                 common = [(i, there[tuple(p)]) for i, p in enumerate(one.places.tolist()) if tuple(p) in there]
                 one.cut([i for i, _ in common])
                 two.cut([j for _, j in common])
-            whole = one.known is None and two.known is None
-            sides = [np.where(x.known, x.values, 0.0) if x.known is not None else x.values for x in (one, two)]
-            there = [np.ones_like(x.values) if x.known is None else x.known.astype(float) for x in (one, two)]
-            if whole:
-                # |x|^2 + |y|^2 - 2xy as one product.
-                s = [(v * v).sum(axis=1)[:, None] for v in sides]
-                p, q = np.hstack((-2 * sides[0], s[0], np.ones_like(s[0]))), np.hstack((sides[1], np.ones_like(s[1]), s[1]))
-            else:
-                p, q = np.hstack((-2 * sides[0], sides[0] * sides[0], there[0])), np.hstack((sides[1], there[1], sides[1] * sides[1]))
-            for i in range(0, len(p), TILE[0]):
-                rows = slice(i, min(i + TILE[0], len(p)))
-                for j in range(0, len(q), TILE[1]):
-                    columns = slice(j, min(j + TILE[1], len(q)))
-                    if one.own == two.own and columns.stop <= rows.start + 1:
-                        continue
-                    squares = p[rows] @ q[columns].T
-                    np.maximum(squares, 0, out=squares)
-                    both = float(len(one.places)) if whole else there[0][rows] @ there[1][columns].T
-                    wanted = None if whole and both else np.broadcast_to(both > 0, squares.shape)
-                    if one.own == two.own and columns.start < rows.stop:
-                        upper = np.arange(rows.start, rows.stop)[:, None] < np.arange(columns.start, columns.stop)
-                        wanted = upper if wanted is None else wanted & upper
-                    yield one, two, rows, columns, squares, both, wanted
+            yield one, two
+
+
+def _tiles(one: _Block, two: _Block) -> Iterator[tuple[slice, slice, np.ndarray | None]]:
+    """Rows and columns of tiles, and which pairs of a tile count, None for all."""
+    for i in range(0, len(one.ids), TILE[0]):
+        rows = slice(i, min(i + TILE[0], len(one.ids)))
+        for j in range(0, len(two.ids), TILE[1]):
+            columns = slice(j, min(j + TILE[1], len(two.ids)))
+            if one.own != two.own or columns.start >= rows.stop:
+                yield rows, columns, None
+            elif columns.stop > rows.start + 1:
+                yield rows, columns, np.arange(rows.start, rows.stop)[:, None] < np.arange(columns.start, columns.stop)
+
+
+def _sides(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices whose product has |x - y|^2 of all rows, about the middle of x so that little is lost, and the largest |x|^2 + |y|^2."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        middle = x.mean(axis=0)
+        x, y = (v - np.where(np.isfinite(middle), middle, 0.0) for v in (x, y))
+        s, t = ((v * v).sum(axis=1)[:, None] for v in (x, y))
+    return np.hstack((-2 * x, s, np.ones_like(s))), np.hstack((y, np.ones_like(t), t)), float(s.max(initial=0) + t.max(initial=0))
+
+
+def _square_tiles(one: _Block, two: _Block) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray | float, np.ndarray | None]]:
+    """Tiles of a pair of blocks: which draws of either, sums of squares, numbers of cells that both have, and which pairs count, None for all."""
+    whole = one.known is None and two.known is None
+    if whole:
+        p, q, _ = _sides(one.values, two.values)
+    else:
+        there = [np.ones_like(x.values) if x.known is None else x.known.astype(float) for x in (one, two)]
+        v = [x.values if x.known is None else np.where(x.known, x.values, 0.0) for x in (one, two)]
+        p, q = np.hstack((-2 * v[0], v[0] * v[0], there[0])), np.hstack((v[1], there[1], v[1] * v[1]))
+    for rows, columns, wanted in _tiles(one, two):
+        squares = p[rows] @ q[columns].T
+        np.maximum(squares, 0, out=squares)
+        both = float(len(one.places)) if whole else there[0][rows] @ there[1][columns].T
+        if not whole or not both:
+            some = np.broadcast_to(both > 0, squares.shape)
+            wanted = some if wanted is None else wanted & some
+        yield rows, columns, squares, both, wanted
 
 
 def _rms(squares: np.ndarray, both: np.ndarray | float) -> np.ndarray:
@@ -215,8 +237,8 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return out
 
 
-def pairwise_rms(fields: DataFrame, block: int | None = None, between: tuple[float, float] | None = None, digits: int | None = None) -> DataFrame:
-    """a, b (a < b), rms distance over the cells that both have, of all pairs of draws, or of those with an rms in a closed range; rounded if digits are given.
+def pairwise_rms(fields: DataFrame, block: int | None = None, digits: int | None = None) -> DataFrame:
+    """a, b (a < b), rms distance over the cells that both have, of all pairs of draws, rounded if digits are given.
 
     Draws are dealt into blocks, and each pair of blocks is products of
     matrices of some draws by some others, so a task holds a few blocks of
@@ -225,37 +247,118 @@ def pairwise_rms(fields: DataFrame, block: int | None = None, between: tuple[flo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, two, rows, columns, squares, both, wanted in _square_tiles(batches):
-            if between is not None:
-                # A little wider first, then by the distance itself.
-                near = squares >= both * (between[0] * between[0] * (1 - 1e-12) if between[0] > 0 else -math.inf)
-                near &= squares <= both * between[1] * between[1] * (1 + 1e-12)
-                wanted = near if wanted is None else wanted & near
-            a, b = one.ids[rows][:, None], two.ids[columns]
-            if wanted is None:
-                rms, a, b = _rms(squares, both).ravel(), *(f(a, b).ravel() for f in ((np.minimum, np.maximum)))
-            else:
-                m, n = np.nonzero(wanted)
-                x, y = a[m, 0], b[n]
-                rms, a, b = _rms(squares[m, n], both if isinstance(both, float) else both[m, n]), np.minimum(x, y), np.maximum(x, y)
-            if between is not None:
-                kept = (rms >= between[0]) & (rms <= between[1])
-                a, b, rms = a[kept], b[kept], rms[kept]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rms if digits is None else half_up(rms, digits))], ["a", "b", "rms"])
-
-    return _paired_blocks(fields, block).mapInArrow(run, "a long, b long, rms double")
-
-
-#: Bins of a pass over all pairs, values of a range that are sorted as they are, and draws whose pairs tell about where the middle is.
-RMS_BINS, RMS_VALUES, RMS_DRAWS = 65_536, 1_000_000, 2048
-
-
-def _about_middle(fields: DataFrame) -> tuple[float, float] | None:
-    """A range of distances that should hold the median of all pairs, from those of some draws."""
-    some = fields.where("sample_id is not null").select("sample_id").distinct().orderBy(F.xxhash64("sample_id", F.lit(1))).limit(RMS_DRAWS)
-    rms = pairwise_rms(fields.join(F.broadcast(some), "sample_id")).agg(F.percentile_approx("rms", [0.44, 0.56], 10_000)).first()[0]
-    return (rms[0], rms[1]) if rms and math.isfinite(rms[0]) and math.isfinite(rms[1]) and rms[0] < rms[1] else None
+        for one, two in _block_pairs(batches):
+            for rows, columns, squares, both, wanted in _square_tiles(one, two):
+                a, b, rms = one.ids[rows][:, None], two.ids[columns], _rms(squares, both)
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                a, b, rms = (x.ravel() if wanted is None else x[wanted] for x in (a, b, rms))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rms if digits is None else half_up(rms, digits))], ["a", "b", "rms"])
+
+    return _paired_blocks(_blocks(fields, block), fields, block)[1].mapInArrow(run, "a long, b long, rms double")
+
+
+def _apart(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Root mean squares of the differences of rows i of x and j of y, each by itself: the same numbers wherever a pair is met."""
+    out, step = np.empty(len(i)), max(1, (1 << 16) // x.shape[1])
+    for k in range(0, len(i), step):
+        d = x[i[k : k + step]] - y[j[k : k + step]]
+        out[k : k + step] = np.einsum("ij,ij->i", d, d)
+    return np.sqrt(out / x.shape[1])
+
+
+def _ranged(batches: Iterable[pa.RecordBatch], low: float, high: float, rough: bool = False) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    """Tile by tile: pairs, how many of them have an rms up to low, the largest rms so far, and those above low and up to high.
+
+    Single precision tells most pairs from the range by more than it can be
+    wrong; the others are worked out from their differences. rough: all are
+    taken from products, for a first look.
+    """
+    best = -1.0
+    for one, two in _block_pairs(batches):
+        n, x, y = len(one.places), one.values, two.values
+        if rough or one.known is not None or two.known is not None or not n:
+            for _, _, squares, both, wanted in _square_tiles(one, two):
+                rms = _rms(squares, both)[wanted if wanted is not None else ...].ravel()
+                best = max(best, float(rms.max(initial=-1.0)))
+                yield len(rms), int(np.count_nonzero(rms <= low)), best, rms[(rms > low) & (rms <= high)]
+            continue
+        p, q, largest = _sides(x, y)
+        if 1e-25 < largest < 1e30:
+            p, q, slack = p.astype(np.float32), q.astype(np.float32), 4 * (n + 8) * 2.0**-24 * largest
+        else:
+            slack = 4 * (n + 8) * 2.0**-53 * largest
+        least, most = (n * low * low * (1 - 1e-12) - slack if low > 0 else -math.inf), n * high * high * (1 + 1e-12) + slack
+        for rows, columns, wanted in _tiles(one, two):
+            squares = p[rows] @ q[columns].T
+            if wanted is not None:
+                # Pairs that don't count are taken for nearer than any.
+                squares[~wanted] = -math.inf
+            size = squares.size if wanted is None else int(np.count_nonzero(wanted))
+            far = int(np.count_nonzero(squares > most))
+            near = squares >= least
+            near &= squares <= most
+            if wanted is not None:
+                near &= wanted
+            rms = _apart(x[rows], y[columns], *np.divmod(np.flatnonzero(near), near.shape[1]))
+            top = float(squares.max())
+            bar = n * best * best * (1 - 1e-12) if best >= 0 else 0.0
+            if size and top + slack >= bar:
+                i, j = np.nonzero(squares >= max(top - 2 * slack, bar - slack))
+                best = max(best, float(_apart(x[rows], y[columns], i, j).max(initial=-1.0)))
+            yield size, size - far - len(rms) + int(np.count_nonzero(rms <= low)), best, rms[(rms > low) & (rms <= high)]
+
+
+#: Bins of a pass over all pairs, and values of a range that are sorted as they are.
+RMS_BINS, RMS_VALUES = 65_536, 1_000_000
+
+
+def _binned(pairs: DataFrame, low: float, high: float, rough: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Edges of bins of a range, numbers of pairs of blocks up to the first, in each bin and above the last, and the largest rms."""
+    edges = np.linspace(low, high, RMS_BINS + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, best, kept = np.zeros(len(edges) + 1, np.int64), -1.0, []
+
+        def add(rms: np.ndarray) -> None:
+            # A value's bin is the number of edges below it: that is what a range of edges, open below, selects.
+            bins = np.clip(((rms - edges[0]) / (edges[-1] - edges[0]) * (len(edges) - 1)).astype(np.int64), 0, len(edges) - 2) + 1
+            bins -= (bins > 1) & (rms <= edges[bins - 1])
+            bins += (bins < len(edges) - 1) & (rms > edges[bins])
+            found[:] += np.bincount(bins, minlength=len(found))
+
+        for size, below, best, rms in _ranged(batches, edges[0], edges[-1], rough):  # noqa: B007
+            found[0] += below
+            found[-1] += size - below - len(rms)
+            kept.append(rms)
+            if len(kept) == 64:
+                add(np.concatenate(kept))
+                kept.clear()
+        if kept:
+            add(np.concatenate(kept))
+        held = np.nonzero(found)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held]), pa.array(np.full(len(held), best))], ["bin", "n", "top"])
+
+    rows = pairs.mapInArrow(count, "bin long, n long, top double").groupBy("bin").agg(F.sum("n").alias("n"), F.max("top").alias("top")).collect()
+    counts = np.zeros(len(edges) + 1, np.int64)
+    for r in rows:
+        counts[r["bin"]] = r["n"]
+    return edges, counts, max((r["top"] for r in rows), default=-1.0)
+
+
+def _about_middle(own: DataFrame, draws: int, low: float, high: float) -> tuple[float, float]:
+    """A range that should hold the median of all pairs, from the pairs within blocks, in which every draw is."""
+    share = 2 / math.sqrt(max(draws, 1)) + 1e-3
+    for _ in range(3):
+        edges, counts, _ = _binned(own, low, high, rough=True)
+        run, total = np.cumsum(counts), int(counts.sum())
+        first, last = (int(np.searchsorted(run, total * s)) for s in (max(0.5 - share, 0.0), min(0.5 + share, 1.0)))
+        if not total or first == 0 or last >= len(edges):
+            break
+        low, high = float(edges[first - 1]), float(edges[last])
+        if run[last] - run[first - 1] <= 2.5 * share * total:
+            break
+    return low, high
 
 
 def pair_rms_summary(fields: DataFrame, block: int | None = None, most: int = RMS_VALUES) -> DataFrame:
@@ -263,55 +366,32 @@ def pair_rms_summary(fields: DataFrame, block: int | None = None, most: int = RM
 
     A pass counts the pairs in bins of their distance; the bins with the middle
     ranks are binned again until they hold few enough values to be sorted. The
-    pairs of some draws tell where to look first: values outside that range
-    are only counted, and if the middle is not there, the whole range is binned.
+    pairs within blocks tell where to look first: what is outside that range is
+    only counted, and if the middle is not there, the whole range is binned.
     """
-    largest = fields.agg(F.max(F.abs(F.col("value").cast("double")))).first()[0]
+    largest, draws = fields.agg(F.max(F.abs(F.col("value").cast("double"))), F.approx_count_distinct("sample_id")).first()
     if largest is None or not math.isfinite(largest):
         return pairwise_rms(fields, block).agg(F.median("rms").alias("median_rms"), F.max("rms").alias("max_rms"))
     whole = (0.0, 2.0 * largest * (1 + 1e-9) + 1e-300)
-    low, high = _about_middle(fields) or whole
-    before, ranks, top = 0, None, None
-    pairs = _paired_blocks(fields, block)
+    packs = _blocks(fields, block).persist()
+    try:
+        found = _middle(*_paired_blocks(packs, fields, block), draws, *whole, most)
+    finally:
+        packs.unpersist()
+    return fields.sparkSession.createDataFrame([found], "median_rms double, max_rms double")
+
+
+def _middle(own: DataFrame, pairs: DataFrame, draws: int, least: float, largest: float, most: int) -> tuple[float | None, float | None]:
+    """The median and the largest rms of all pairs, which are up to ``largest``."""
+    whole = (least, largest)
+    low, high = _about_middle(own, draws, *whole)
+    ranks, top = None, None
     while True:
-        edges = np.linspace(low, high, RMS_BINS + 1)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # Bin 0 has what is not above the first edge, the last what is above the last one.
-            found, seen, most_seen = np.zeros(len(edges) + 1, np.int64), 0, -1.0
-            for _, _, _, _, squares, both, wanted in _square_tiles(batches):
-                seen += squares.size if wanted is None else int(np.count_nonzero(wanted))
-                near = squares > both * (edges[0] * edges[0] * (1 - 1e-12) if edges[0] > 0 else -math.inf)
-                if wanted is not None:
-                    near &= wanted
-                above = int(np.count_nonzero(near))
-                inside = near & (squares <= both * edges[-1] * edges[-1] * (1 + 1e-12))
-                within = int(np.count_nonzero(inside))
-                found[-1] += above - within
-                if within:
-                    rms = _rms(squares[inside], both if isinstance(both, float) else both[inside])
-                    # A value's bin is the number of edges below it: that is what a range of edges, open below, selects.
-                    bins = np.clip(((rms - edges[0]) / (edges[-1] - edges[0]) * (len(edges) - 1)).astype(np.int64), -1, len(edges) - 1) + 1
-                    bins -= (bins > 0) & (rms <= edges[np.maximum(bins - 1, 0)])
-                    bins += (bins < len(edges)) & (rms > edges[np.minimum(bins, len(edges) - 1)])
-                    found += np.bincount(bins, minlength=len(found))
-                if isinstance(both, float) and wanted is None:
-                    most_seen = max(most_seen, math.sqrt(float(squares.max()) / both))
-                elif wanted is None or wanted.any():
-                    rms = _rms(squares, both)
-                    most_seen = max(most_seen, float((rms if wanted is None else rms[wanted]).max()))
-            found[0] += seen - found.sum()
-            held = np.nonzero(found)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held]), pa.array(np.full(len(held), most_seen))], ["bin", "n", "top"])
-
-        rows = pairs.mapInArrow(count, "bin long, n long, top double").groupBy("bin").agg(F.sum("n").alias("n"), F.max("top").alias("top")).collect()
-        counts = np.zeros(len(edges) + 1, np.int64)
-        for r in rows:
-            counts[r["bin"]] = r["n"]
+        edges, counts, most_seen = _binned(pairs, low, high)
         if not counts.sum():
-            return pairwise_rms(fields.limit(0), block).agg(F.median("rms").alias("median_rms"), F.max("rms").alias("max_rms"))
+            return None, None
         if ranks is None:
-            top, total = max(r["top"] for r in rows), int(counts.sum())
+            top, total = most_seen, int(counts.sum())
             ranks = (total - 1) // 2, total // 2
         run = np.cumsum(counts)
         first, last = (int(np.searchsorted(run, k, side="right")) for k in ranks)
@@ -319,15 +399,20 @@ def pair_rms_summary(fields: DataFrame, block: int | None = None, most: int = RM
             low, high = whole
             continue
         inside, before = int(run[last] - run[first] + counts[first]), int(run[first] - counts[first])
-        narrow = (edges[first - 1] if first else -math.inf), (edges[last] if last < len(edges) else math.inf)
+        narrow = (float(edges[first - 1]) if first else -math.inf), (float(edges[last]) if last < len(edges) else math.inf)
         if inside <= most or not (math.isfinite(narrow[0]) and math.isfinite(narrow[1])) or narrow[1] - narrow[0] >= high - low or narrow[1] - narrow[0] < 1e-12 * largest:
             break
         low, high = narrow
-    above = math.nextafter(narrow[0], math.inf) if math.isfinite(narrow[0]) else narrow[0]
-    values = pairwise_rms(fields, block, (above, narrow[1])).groupBy("rms").agg(F.count("*").alias("n"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, rms in _ranged(batches, *narrow):
+            if len(rms):
+                yield pa.RecordBatch.from_arrays([pa.array(rms)], ["rms"])
+
+    values = pairs.mapInArrow(listed, "rms double").groupBy("rms").agg(F.count("*").alias("n"))
     placed = values.withColumn("run", F.sum("n").over(W.orderBy("rms")) + before)
     middle = [F.min(F.when(F.col("run") > k, F.col("rms"))) for k in ranks]
-    return placed.agg(((middle[0] + middle[1]) / 2).alias("median_rms"), F.lit(top).alias("max_rms"))
+    return placed.agg(((middle[0] + middle[1]) / 2).alias("median_rms")).first()[0], top
 
 
 def bounded(library: DataFrame, most: int = LIBRARY) -> DataFrame:

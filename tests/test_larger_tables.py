@@ -76,10 +76,10 @@ def test_values_are_rounded_as_spark_rounds_them(spark):
     assert D.half_up(x, 6).tolist() == want and np.isnan(D.half_up(np.array([np.nan]), 6)[0])
 
 
-@pytest.mark.parametrize("about", [(0.0, 1e-3), (0.9, 1.9), (50.0, 60.0), None])
-def test_the_median_is_found_wherever_some_draws_say(spark, monkeypatch, about):
-    x = np.random.default_rng(8).normal(size=(33, 3, 3))
-    monkeypatch.setattr(D, "_about_middle", lambda fields: about)
+@pytest.mark.parametrize("about, scale", [((0.0, 1e-3), 0.01), ((0.9, 1.9), 1.0), ((50.0, 60.0), 1.0), (None, 0.02)])
+def test_the_median_is_found_wherever_some_draws_say(spark, monkeypatch, about, scale):
+    x = np.random.default_rng(8).normal(size=(33, 3, 3)) * scale + 40.0
+    monkeypatch.setattr(D, "_about_middle", lambda own, draws, *whole: about or whole)
     flat = x.reshape(33, -1)
     want = [np.sqrt(((flat[i] - flat[j]) ** 2).mean()) for i in range(33) for j in range(i + 1, 33)]
     got = D.pair_rms_summary(drawn_fields(spark, x), block=16, most=40).first()
