@@ -100,3 +100,17 @@ def test_points_of_a_place_are_paired_by_arrays(spark, monkeypatch):
     other = df.where("id % 3 = 0")
     got = sorted((r.id, r.other, round(r.covariance, 5)) for r in P.kriging_cross(df, other, 230.0, 0.16, 500.0, digits=6).collect())
     assert got == sorted((a, b, round(round(0.16 * np.exp(-d / 500), 6), 5)) for a, b, d in near if b % 3 == 0)
+
+
+def test_deviations_take_pairs_from_blocks_written_once(spark):
+    from types import SimpleNamespace
+
+    from gridweave.plans.studies import conditioning_deviation
+
+    df = drawn_fields(spark, 0.1 * np.random.default_rng(10).normal(size=(12, 2, 2)))
+    found = conditioning_deviation(SimpleNamespace(fields_long=df, reference_field=df.where("sample_id = 0").drop("sample_id")))
+    assert "CartesianProduct" in plan(found)
+    got = {(r.part, r.key): r.value for r in found.collect()}
+    assert all(v is None or v == round(v, 6) for v in got.values()) and {p for p, _ in got} == {"draws", "cells", "designs", "pairs"}
+    want = {("pairs", f"{r.a}/{r.b}/rms"): r.rms for r in D.pairwise_rms(df, digits=6).collect()}
+    assert len(want) == 66 and {k: v for k, v in got.items() if k[0] == "pairs"} == want
